@@ -36,6 +36,8 @@ MAX_CUTS = 2
 BANDS, BAND_HASHES = 10, 3
 #: Hamming radius of near_duplicates: pairs at Jaccard 0.8 are 10 bits apart on average, 3 standard deviations above are 18.
 WIDE_RADIUS = 18
+#: Shards of at most so many texts are compared pair by pair.
+PAIRS_UP_TO = 32
 CHUNK = 1 << 16
 
 
@@ -217,23 +219,56 @@ def _signatures(shingle: int, bands: int, rows: int):
 
 
 def _lead(radius: int):
-    """Stream shards, keep a tree of leaders: (shard, node, leader) for members near a leader, leader null for leaders."""
+    """Compare the members of a shard: rows (shard, node, fp, leader, retry).
+
+    Of a small shard all pairs within the radius come out, for good. In a larger one a
+    member is compared with the leaders near it, and leaders are chosen from the shard's
+    centre outwards (its bitwise majority): the text that copies were made from leads
+    them. Leaders have a row with a null ``leader``.
+    """
+
+    def settle(key: int, cut: bool, members: list[tuple[int, int]]) -> list[tuple]:
+        tree, nodes, out = BKTree(), {}, []
+        if not cut and len(members) <= PAIRS_UP_TO:
+            for node, fp in members:
+                value = fp & (1 << 64) - 1
+                out += [(key, node, fp, other, False) for _, near in tree.within(value, radius) for other in nodes[near]]
+                tree.add(value)
+                nodes.setdefault(value, []).append(node)
+            return out
+        values = np.array([fp for _, fp in members], np.int64).view(np.uint64)
+        bits = np.zeros(BITS, np.int64)
+        for at in range(0, len(values), CHUNK):
+            bits += np.unpackbits(np.ascontiguousarray(values[at : at + CHUNK]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        centre = int(np.packbits(2 * bits > len(values), bitorder="little").view(np.uint64)[0])
+        for node, fp in sorted(members, key=lambda m: (((m[1] & (1 << 64) - 1) ^ centre).bit_count(), m[0])):
+            value = fp & (1 << 64) - 1
+            near = tree.within(value, radius)
+            out += [(key, node, fp, nodes[other], True) for _, other in near]
+            if not near:
+                tree.add(value)
+                nodes[value] = node
+                out.append((key, node, fp, None, True))
+        return out
 
     def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, tree, nodes = None, BKTree(), {}
+        def table(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=["shard", "node", "fp", "leader", "retry"]).astype({"shard": "int64", "node": "int64", "fp": "int64", "leader": "Int64", "retry": "bool"})
+
+        now, members, out = None, [], []
         for batch in batches:
-            out = []
-            for key, salt, node, fp in zip(batch["shard"].tolist(), batch["salt"].tolist(), batch["node"].tolist(), batch["fp"].tolist(), strict=True):
-                if shard != (key, salt):
-                    shard, tree, nodes = (key, salt), BKTree(), {}
-                value = fp & (1 << 64) - 1
-                near = tree.within(value, radius)
-                out += [(key, node, fp, nodes[other]) for _, other in near]
-                if not near:
-                    tree.add(value)
-                    nodes[value] = node
-                    out.append((key, node, fp, None))
-            yield pd.DataFrame(out, columns=["shard", "node", "fp", "leader"]).astype({"shard": "int64", "node": "int64", "fp": "int64", "leader": "Int64"})
+            for key, salt, cut, node, fp in zip(*[batch[c].tolist() for c in ("shard", "salt", "cut", "node", "fp")], strict=True):
+                if now is not None and now[:2] != (key, salt):
+                    out += settle(now[0], now[2], members)
+                    members = []
+                    if len(out) > CHUNK:
+                        yield table(out)
+                        out = []
+                now = (key, salt, cut)
+                members.append((node, fp))
+        if members:
+            out += settle(now[0], now[2], members)
+        yield table(out)
 
     return lead
 
@@ -241,7 +276,7 @@ def _lead(radius: int):
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(id, class_id): documents whose texts are equal, or linked by word-shingle sets at that Jaccard similarity.
 
-    In every shard a document is compared with the leaders near its fingerprint, not with
+    In a full shard a document is compared with the leaders near its fingerprint, not with
     all members, so a group of copies costs as many comparisons as it has members. One
     that agrees with none of its leaders stands again among those left over, until all are
     settled. class_id is the smallest id of the class. Null texts and those without a word
@@ -257,12 +292,12 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     salts = F.ceil(F.col("n") / shard_rows)
     left = staged(rows.join(sizes, "shard").select("shard", "node", "fp", F.pmod(F.xxhash64("node"), salts).alias("salt"), (salts > 1).alias("cut")), "neardup-rows")
     links = []
-    lead, out = _lead(radius), "shard bigint, node bigint, fp bigint, leader bigint"
+    lead, out = _lead(radius), "shard bigint, node bigint, fp bigint, leader bigint, retry boolean"
     while left.count():
         met = staged(left.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "node").mapInPandas(lead, out), "neardup-met")
         heads = met.filter("leader is null").join(left.filter("cut").select("shard").distinct(), "shard", "left_semi")
-        again = staged(heads.withColumn("salt", F.lit(0).cast("bigint")).repartition("shard").sortWithinPartitions("shard", "node").mapInPandas(lead, out), "neardup-heads")
-        candidates = met.unionByName(again).filter("leader is not null").select("shard", "node", "fp", "leader")
+        again = heads.select("shard", F.lit(0).cast("bigint").alias("salt"), F.lit(False).alias("cut"), "node", "fp").repartition("shard").sortWithinPartitions("shard", "node").mapInPandas(lead, out)
+        candidates = staged(met.unionByName(again).filter("leader is not null"), "neardup-candidates")
         pairs = candidates.select("node", "leader").distinct()
         wanted = pairs.select(F.explode(F.array("node", "leader")).alias("id")).distinct()
         sets = staged(source.join(wanted, "id", "left_semi").dropDuplicates(["id"]).select("id", F.array_distinct(_shingle_sets(shingle)("text")).alias("set")), "neardup-sets")
@@ -271,7 +306,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         agreed = staged(both.filter(common >= similarity * (F.size("a") + F.size("b") - common) - 1e-9).select("node", "leader"), "neardup-links")
         links.append(agreed)
         settled = candidates.join(agreed, ["node", "leader"], "left_semi").select("shard", "node").distinct()
-        left = staged(candidates.select("shard", "node", "fp").distinct().join(settled, ["shard", "node"], "left_anti").select("shard", "node", "fp", F.lit(0).cast("bigint").alias("salt"), F.lit(False).alias("cut")), "neardup-left")
+        left = staged(candidates.filter("retry").select("shard", "node", "fp").distinct().join(settled, ["shard", "node"], "left_anti").select("shard", "node", "fp", F.lit(0).cast("bigint").alias("salt"), F.lit(False).alias("cut")), "neardup-left")
     edges = texts.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     for more in links:
         edges = edges.unionByName(more.select(F.col("node").alias("a"), F.col("leader").alias("b")))
