@@ -36,8 +36,11 @@ MAX_CUTS = 2
 BANDS, BAND_HASHES = 10, 3
 #: Hamming radius of near_duplicates: pairs at Jaccard 0.8 are 10 bits apart on average, 3 standard deviations above are 18.
 WIDE_RADIUS = 18
-#: Shards of at most so many texts are compared pair by pair.
+#: Shards of at most so many texts are compared pair by pair at once.
 PAIRS_UP_TO = 32
+#: Smallest shingle hashes kept of a text. At Jaccard 0.8 a pair agrees on 48 of 60 on average; with fewer than
+#: SKETCH_AGREE it is not compared further (4 standard deviations below).
+SKETCH, SKETCH_AGREE = 60, 36
 CHUNK = 1 << 16
 
 
@@ -198,56 +201,54 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _signatures(shingle: int, bands: int, rows: int):
-    odd = np.array([xxhash.xxh64_intdigest(b"factor%d" % i, SEED) | 1 for i in range(bands * rows)], np.uint64)
-    add = np.array([xxhash.xxh64_intdigest(b"summand%d" % i, SEED) for i in range(bands * rows)], np.uint64)
+    odd = np.array([xxhash.xxh64_intdigest(b"factor%d" % i, SEED) | 1 for i in range(SKETCH)], np.uint64)
+    add = np.array([xxhash.xxh64_intdigest(b"summand%d" % i, SEED) for i in range(SKETCH)], np.uint64)
 
-    @F.pandas_udf("fp bigint, bands array<bigint>")
+    @F.pandas_udf("fp bigint, bands array<bigint>, sketch binary")
     def signature(texts: pd.Series) -> pd.DataFrame:
-        fps, keys = [], []
+        fps, keys, sketches = [], [], []
         for text in texts:
             hashes = shingle_hashes(text, shingle)
             fps.append(fingerprint(hashes))
             if not len(hashes):
                 keys.append([])
+                sketches.append(b"")
                 continue
             # Multiply-shift mixes the low bits up; the hashes are well mixed already.
             least = np.array([((hashes * a + b) ^ ((hashes * a + b) >> np.uint64(29))).min() for a, b in zip(odd, add, strict=True)], np.uint64)
             keys.append([_signed(xxhash.xxh64_intdigest(b"%d:" % i + least[i * rows : (i + 1) * rows].tobytes(), SEED)) for i in range(bands)])
-        return pd.DataFrame({"fp": pd.Series(fps, dtype="int64"), "bands": keys})
+            sketches.append(least.astype(np.uint32).tobytes())
+        return pd.DataFrame({"fp": pd.Series(fps, dtype="int64"), "bands": keys, "sketch": sketches})
 
     return signature
 
 
-def _lead(radius: int):
+def _lead(radius: int, pairs_up_to: int | None):
     """Compare the members of a shard: rows (shard, node, fp, leader, retry).
 
-    Of a small shard all pairs within the radius come out, for good. In a larger one a
-    member is compared with the leaders near it, and leaders are chosen from the shard's
-    centre outwards (its bitwise majority): the text that copies were made from leads
-    them. Leaders have a row with a null ``leader``.
+    Of a shard of at most ``pairs_up_to`` texts (None: of any) all pairs within the radius
+    whose sketches agree come out, for good. In a larger one a member is compared with the
+    leaders near it, and leaders are chosen from the shard's centre outwards (its bitwise
+    majority): the text that copies were made from leads them. Leaders have a row with a
+    null ``leader``.
     """
 
-    def settle(key: int, cut: bool, members: list[tuple[int, int]]) -> list[tuple]:
+    def settle(key: int, cut: bool, members: list[tuple[int, int, bytes]]) -> list[tuple]:
         tree, nodes, out = BKTree(), {}, []
-        if not cut and len(members) <= PAIRS_UP_TO:
-            for node, fp in members:
-                value = fp & (1 << 64) - 1
-                out += [(key, node, fp, other, False) for _, near in tree.within(value, radius) for other in nodes[near]]
-                tree.add(value)
-                nodes.setdefault(value, []).append(node)
-            return out
-        values = np.array([fp for _, fp in members], np.int64).view(np.uint64)
-        bits = np.zeros(BITS, np.int64)
-        for at in range(0, len(values), CHUNK):
-            bits += np.unpackbits(np.ascontiguousarray(values[at : at + CHUNK]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        centre = int(np.packbits(2 * bits > len(values), bitorder="little").view(np.uint64)[0])
-        for node, fp in sorted(members, key=lambda m: (((m[1] & (1 << 64) - 1) ^ centre).bit_count(), m[0])):
-            value = fp & (1 << 64) - 1
-            near = tree.within(value, radius)
-            out += [(key, node, fp, nodes[other], True) for _, other in near]
-            if not near:
+        pairwise = not cut and (pairs_up_to is None or len(members) <= pairs_up_to)
+        if not pairwise:
+            values = np.array([m[1] for m in members], np.int64)
+            bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            centre = int(np.packbits(2 * bits > len(values), bitorder="little").view(np.uint64)[0])
+            members = sorted(members, key=lambda m: (((m[1] & (1 << 64) - 1) ^ centre).bit_count(), m[0]))
+        for node, fp, sketch in members:
+            value, own = fp & (1 << 64) - 1, np.frombuffer(sketch, np.uint32)
+            near = [other for _, at in tree.within(value, radius) for other, theirs in nodes[at] if (own == theirs).sum() >= SKETCH_AGREE]
+            out += [(key, node, fp, other, not pairwise) for other in near]
+            if pairwise or not near:
                 tree.add(value)
-                nodes[value] = node
+                nodes.setdefault(value, []).append((node, own))
+            if not pairwise and not near:
                 out.append((key, node, fp, None, True))
         return out
 
@@ -257,7 +258,7 @@ def _lead(radius: int):
 
         now, members, out = None, [], []
         for batch in batches:
-            for key, salt, cut, node, fp in zip(*[batch[c].tolist() for c in ("shard", "salt", "cut", "node", "fp")], strict=True):
+            for key, salt, cut, node, fp, sketch in zip(*[batch[c].tolist() for c in ("shard", "salt", "cut", "node", "fp", "sketch")], strict=True):
                 if now is not None and now[:2] != (key, salt):
                     out += settle(now[0], now[2], members)
                     members = []
@@ -265,7 +266,7 @@ def _lead(radius: int):
                         yield table(out)
                         out = []
                 now = (key, salt, cut)
-                members.append((node, fp))
+                members.append((node, fp, sketch))
         if members:
             out += settle(now[0], now[2], members)
         yield table(out)
@@ -278,25 +279,25 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     In a full shard a document is compared with the leaders near its fingerprint, not with
     all members, so a group of copies costs as many comparisons as it has members. One
-    that agrees with none of its leaders stands again among those left over, until all are
-    settled. class_id is the smallest id of the class. Null texts and those without a word
+    that agrees with none of its leaders is compared with all of those left over; sketches of
+    smallest shingle hashes keep out pairs that can't reach the similarity. class_id is the smallest id of the class. Null texts and those without a word
     equal empty ones. Rows with a null id are left out.
     """
     text = F.when(bare(text_col).rlike(SPACED_WORD), bare(text_col)).otherwise("")
     source = docs.filter(bare(id_col).isNotNull()).select(bare(id_col).alias("id"), text.alias("text"))
-    marked = staged(source.select("id", F.md5("text").alias("copy"), _signatures(shingle, BANDS, BAND_HASHES)("text").alias("s")).select("id", "copy", "s.fp", "s.bands"), "neardup-marked")
-    texts = staged(marked.groupBy("copy").agg(F.min(F.struct("id", "fp", "bands")).alias("m")).select("copy", F.col("m.id").alias("node"), "m.fp", "m.bands"), "neardup-texts")
-    rows = texts.select("node", "fp", F.explode("bands").alias("shard"))
+    marked = staged(source.select("id", F.md5("text").alias("copy"), _signatures(shingle, BANDS, BAND_HASHES)("text").alias("s")).select("id", "copy", "s.fp", "s.bands", "s.sketch"), "neardup-marked")
+    texts = staged(marked.groupBy("copy").agg(F.min(F.struct("id", "fp", "bands", "sketch")).alias("m")).select("copy", F.col("m.id").alias("node"), "m.fp", "m.bands", "m.sketch"), "neardup-texts")
+    rows = texts.select("node", "fp", "sketch", F.explode("bands").alias("shard"))
     sizes = staged(rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "neardup-shards")
     # A shard that is too full is dealt to several trees first; their leaders then meet in one.
     salts = F.ceil(F.col("n") / shard_rows)
-    left = staged(rows.join(sizes, "shard").select("shard", "node", "fp", F.pmod(F.xxhash64("node"), salts).alias("salt"), (salts > 1).alias("cut")), "neardup-rows")
-    links = []
-    lead, out = _lead(radius), "shard bigint, node bigint, fp bigint, leader bigint, retry boolean"
+    left = staged(rows.join(sizes, "shard").select("shard", "node", "fp", "sketch", F.pmod(F.xxhash64("node"), salts).alias("salt"), (salts > 1).alias("cut")), "neardup-rows")
+    links, sketches = [], texts.select("node", "sketch")
+    lead, out = _lead(radius, PAIRS_UP_TO), "shard bigint, node bigint, fp bigint, leader bigint, retry boolean"
     while left.count():
         met = staged(left.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "node").mapInPandas(lead, out), "neardup-met")
         heads = met.filter("leader is null").join(left.filter("cut").select("shard").distinct(), "shard", "left_semi")
-        again = heads.select("shard", F.lit(0).cast("bigint").alias("salt"), F.lit(False).alias("cut"), "node", "fp").repartition("shard").sortWithinPartitions("shard", "node").mapInPandas(lead, out)
+        again = heads.join(sketches, "node").select("shard", F.lit(0).cast("bigint").alias("salt"), F.lit(False).alias("cut"), "node", "fp", "sketch").repartition("shard").sortWithinPartitions("shard", "node").mapInPandas(lead, out)
         candidates = staged(met.unionByName(again).filter("leader is not null"), "neardup-candidates")
         pairs = candidates.select("node", "leader").distinct()
         wanted = pairs.select(F.explode(F.array("node", "leader")).alias("id")).distinct()
@@ -306,7 +307,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         agreed = staged(both.filter(common >= similarity * (F.size("a") + F.size("b") - common) - 1e-9).select("node", "leader"), "neardup-links")
         links.append(agreed)
         settled = candidates.join(agreed, ["node", "leader"], "left_semi").select("shard", "node").distinct()
-        left = staged(candidates.filter("retry").select("shard", "node", "fp").distinct().join(settled, ["shard", "node"], "left_anti").select("shard", "node", "fp", F.lit(0).cast("bigint").alias("salt"), F.lit(False).alias("cut")), "neardup-left")
+        left = staged(candidates.filter("retry").select("shard", "node", "fp").distinct().join(settled, ["shard", "node"], "left_anti").join(sketches, "node").select("shard", "node", "fp", "sketch", F.lit(0).cast("bigint").alias("salt"), F.lit(False).alias("cut")), "neardup-left")
+        lead = _lead(radius, None)  # what its leaders settled not is compared pair by pair, so there is no third round
     edges = texts.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     for more in links:
         edges = edges.unionByName(more.select(F.col("node").alias("a"), F.col("leader").alias("b")))
