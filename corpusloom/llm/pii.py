@@ -133,20 +133,22 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: Column) -> Column:
 
 def filled(form: Column, symbols: Column) -> Column:
     """``form`` with its letters and digits replaced by ``symbols`` in turn."""
-    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("next"))
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("next"), symbols.alias("left"))
 
     def step(acc: Column, c: Column) -> Column:
         is_symbol = c.rlike(r"^[\p{L}\p{N}]$")
-        return F.struct(F.concat(acc["out"], F.when(is_symbol, F.substr(symbols, acc["next"], F.lit(1))).otherwise(c)).alias("out"), (acc["next"] + is_symbol.cast("int")).alias("next"))
+        return F.struct(F.concat(acc["out"], F.when(is_symbol, F.substr(acc["left"], acc["next"], F.lit(1))).otherwise(c)).alias("out"), (acc["next"] + is_symbol.cast("int")).alias("next"), acc["left"].alias("left"))
 
     return F.aggregate(F.filter(F.split(form, ""), lambda c: c != ""), start, step)["out"]
 
 
 def written(form: Column, symbols: Column) -> Column:
     """As ``filled``, with capitals where ``form`` has them."""
-    plain = filled(form, symbols)
-    cased = F.transform(F.filter(F.split(form, ""), lambda c: c != ""), lambda c, i: F.when(c.rlike(r"^\p{Lu}$"), F.upper(F.substr(plain, i + 1, F.lit(1)))).otherwise(F.substr(plain, i + 1, F.lit(1))))
-    return F.array_join(cased, "")
+
+    def cased(plain: Column) -> Column:
+        return F.transform(F.filter(F.split(form, ""), lambda c: c != ""), lambda c, i: F.when(c.rlike(r"^\p{Lu}$"), F.upper(F.substr(plain, i + 1, F.lit(1)))).otherwise(F.substr(plain, i + 1, F.lit(1))))
+
+    return F.array_join(_let(filled(form, symbols), cased), "")
 
 
 def render(kind: Column, raw: Column, canon: Column, new: Column) -> Column:
@@ -161,7 +163,8 @@ def settled_surrogates(entities: DataFrame, key: str) -> DataFrame:
     First surrogates are distinct already. Those that clash are drawn again, tweak by
     tweak, until they meet neither an entity nor a surrogate. Usually there are none.
     """
-    drawn = staged(entities.select("kind", "canon", surrogate(F.col("kind"), F.col("canon"), key, F.lit(0)).alias("new")), "pii-drawn")
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work a row
+    drawn = staged(entities.repartition(tasks, "kind", "canon").select("kind", "canon", surrogate(F.col("kind"), F.col("canon"), key, F.lit(0)).alias("new")), "pii-drawn")
     real = drawn.select("kind", F.col("canon").alias("new"))
     pending = staged(drawn.join(real, ["kind", "new"], "left_semi"), "pii-clashes")
     used, solved, attempt = drawn.select("kind", "new"), pending.limit(0).select("kind", "canon", "new"), 0
@@ -192,7 +195,8 @@ def pseudonymise(docs: DataFrame, key: str = "surrogate-key-1", id_col: str = "d
     found = staged(mentions(hit.select("id", "h", "found").distinct(), ["id", "h"]), "pii-mentions")
     clashes = staged(settled_surrogates(found.select("kind", "canon").distinct(), key), "pii-settled")
     n_clashes = clashes.count()
-    first = found.withColumn("first", surrogate(F.col("kind"), F.col("canon"), key, F.lit(0)))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = found.repartition(tasks, "id", "h").withColumn("first", surrogate(F.col("kind"), F.col("canon"), key, F.lit(0)))
     if n_clashes:
         first = first.join(F.broadcast(clashes) if n_clashes <= 100_000 else clashes, ["kind", "canon"], "left").withColumn("first", F.coalesce("new", "first"))
     named = first.select("id", "h", "idx", "kind", render(F.col("kind"), F.col("raw"), F.col("canon"), F.col("first")).alias("out"))
