@@ -41,6 +41,8 @@ PAIRS_UP_TO = 32
 #: Smallest shingle hashes kept of a text. At Jaccard 0.8 a pair agrees on 48 of 60 on average; with fewer than
 #: SKETCH_AGREE it is not compared further (4 standard deviations below).
 SKETCH, SKETCH_AGREE = 60, 36
+#: Texts of a block when classes of a full shard are compared with each other.
+BLOCK_ROWS = 2_000
 CHUNK = 1 << 16
 
 
@@ -223,19 +225,18 @@ def _signatures(shingle: int, bands: int, rows: int):
     return signature
 
 
-def _lead(radius: int, pairs_up_to: int | None):
-    """Compare the members of a shard: rows (shard, node, fp, leader, retry).
+def _lead(radius: int, pairs_up_to: int):
+    """Compare the members of a shard: rows (shard, node, fp, leader).
 
-    Of a shard of at most ``pairs_up_to`` texts (None: of any) all pairs within the radius
-    whose sketches agree come out, for good. In a larger one a member is compared with the
-    leaders near it, and leaders are chosen from the shard's centre outwards (its bitwise
-    majority): the text that copies were made from leads them. Leaders have a row with a
-    null ``leader``.
+    Of a shard of at most ``pairs_up_to`` texts all pairs within the radius whose sketches agree
+    come out. In a larger one a member is compared with the leaders near it, and leaders are
+    chosen from the shard's centre outwards (its bitwise majority): the text that copies were
+    made from leads them. Leaders have a row with a null ``leader``.
     """
 
     def settle(key: int, cut: bool, members: list[tuple[int, int, bytes]]) -> list[tuple]:
         tree, nodes, out = BKTree(), {}, []
-        pairwise = not cut and (pairs_up_to is None or len(members) <= pairs_up_to)
+        pairwise = not cut and len(members) <= pairs_up_to
         if not pairwise:
             values = np.array([m[1] for m in members], np.int64)
             bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -244,17 +245,17 @@ def _lead(radius: int, pairs_up_to: int | None):
         for node, fp, sketch in members:
             value, own = fp & (1 << 64) - 1, np.frombuffer(sketch, np.uint32)
             near = [other for _, at in tree.within(value, radius) for other, theirs in nodes[at] if (own == theirs).sum() >= SKETCH_AGREE]
-            out += [(key, node, fp, other, not pairwise) for other in near]
+            out += [(key, node, fp, other) for other in near]
             if pairwise or not near:
                 tree.add(value)
                 nodes.setdefault(value, []).append((node, own))
             if not pairwise and not near:
-                out.append((key, node, fp, None, True))
+                out.append((key, node, fp, None))
         return out
 
     def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def table(rows: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=["shard", "node", "fp", "leader", "retry"]).astype({"shard": "int64", "node": "int64", "fp": "int64", "leader": "Int64", "retry": "bool"})
+            return pd.DataFrame(rows, columns=["shard", "node", "fp", "leader"]).astype({"shard": "int64", "node": "int64", "fp": "int64", "leader": "Int64"})
 
         now, members, out = None, [], []
         for batch in batches:
@@ -274,14 +275,72 @@ def _lead(radius: int, pairs_up_to: int | None):
     return lead
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def _across(radius: int):
+    """Pairs (node, leader) of a block's asking and asked texts that are in different classes so far.
+
+    The asked ones of a block come first and make its tree. Of two texts that both ask, the
+    one with the larger node reports the pair.
+    """
+
+    def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, tree, nodes, out = None, BKTree(), {}, []
+        for batch in batches:
+            for *key, asks, node, fp, root, minor, sketch in zip(*[batch[c].tolist() for c in ("shard", "qb", "tb", "asks", "node", "fp", "root", "minor", "sketch")], strict=True):
+                if block != key:
+                    block, tree, nodes = key, BKTree(), {}
+                value, own = fp & (1 << 64) - 1, np.frombuffer(sketch, np.uint32)
+                if not asks:
+                    tree.add(value)
+                    nodes.setdefault(value, []).append((node, root, minor, own))
+                    continue
+                near = [m for _, at in tree.within(value, radius) for m in nodes[at] if m[1] != root and (m[0] < node or not m[2])]
+                if near:
+                    agree = (np.stack([m[3] for m in near]) == own).sum(1) >= SKETCH_AGREE
+                    out += [(node, near[i][0]) for i in np.flatnonzero(agree)]
+            if len(out) > CHUNK:
+                yield pd.DataFrame(out, columns=["node", "leader"], dtype="int64")
+                out = []
+        yield pd.DataFrame(out, columns=["node", "leader"], dtype="int64")
+
+    return across
+
+
+def _class_crossings(members: DataFrame, roots: DataFrame, radius: int, block_rows: int) -> DataFrame:
+    """Pairs (node, leader) of members of one shard that may be alike and are in different classes so far.
+
+    Texts outside their shard's largest class ask all texts of the shard. Both sides are cut
+    into blocks, and a task holds one block of the asked, so memory doesn't grow with a shard.
+    """
+    rooted = staged(members.join(roots, "node", "left").select("shard", "node", "fp", "sketch", F.coalesce("root", "node").alias("root")), "neardup-rooted")
+    classes = rooted.groupBy("shard", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = classes.groupBy("shard").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n")).filter("top.n < n")
+    blocks = mixed.select("shard", F.col("top.root").alias("major"), F.ceil((F.col("n") - F.col("top.n")) / block_rows).alias("qbs"), F.ceil(F.col("n") / block_rows).alias("tbs"))
+    rows = rooted.join(blocks, "shard").withColumn("minor", F.col("root") != F.col("major"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    asked = rows.select("*", F.lit(False).alias("asks"), every("qbs").alias("qb"), F.pmod(F.xxhash64("node"), "tbs").alias("tb"))
+    asking = rows.filter("minor").select("*", F.lit(True).alias("asks"), F.pmod(F.xxhash64("node", F.lit(1)), "qbs").alias("qb"), every("tbs").alias("tb"))
+    dealt = asked.unionByName(asking).repartition("shard", "qb", "tb").sortWithinPartitions("shard", "qb", "tb", "asks")
+    return dealt.select("shard", "qb", "tb", "asks", "node", "fp", "root", "minor", "sketch").mapInPandas(_across(radius), "node bigint, leader bigint")
+
+
+def _alike(source: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the distinct pairs (node, leader) whose shingle sets reach the similarity."""
+    wanted = pairs.select(F.explode(F.array("node", "leader")).alias("id")).distinct()
+    sets = staged(source.join(wanted, "id", "left_semi").dropDuplicates(["id"]).select("id", F.array_distinct(_shingle_sets(shingle)("text")).alias("set")), "neardup-sets")
+    both = pairs.join(sets.select(F.col("id").alias("node"), F.col("set").alias("a")), "node").join(sets.select(F.col("id").alias("leader"), F.col("set").alias("b")), "leader")
+    common = F.size(F.array_intersect("a", "b"))
+    return staged(both.filter(common >= similarity * (F.size("a") + F.size("b") - common) - 1e-9).select("node", "leader"), "neardup-links")
+
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, shard_rows: int = SHARD_ROWS, pairs_up_to: int = PAIRS_UP_TO, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, class_id): documents whose texts are equal, or linked by word-shingle sets at that Jaccard similarity.
 
-    In a full shard a document is compared with the leaders near its fingerprint, not with
-    all members, so a group of copies costs as many comparisons as it has members. One
-    that agrees with none of its leaders is compared with all of those left over; sketches of
-    smallest shingle hashes keep out pairs that can't reach the similarity. class_id is the smallest id of the class. Null texts and those without a word
-    equal empty ones. Rows with a null id are left out.
+    In a full shard a document is first compared with the leaders near its fingerprint, so a
+    group of copies costs as many comparisons as it has members. A second round compares those
+    members of a full shard that the first left in different classes, so no link is lost that
+    the shards, the radius and the sketches of smallest shingle hashes let through. class_id
+    is the smallest id of the class. Null texts and those without a word equal empty ones.
+    Rows with a null id are left out.
     """
     text = F.when(bare(text_col).rlike(SPACED_WORD), bare(text_col)).otherwise("")
     source = docs.filter(bare(id_col).isNotNull()).select(bare(id_col).alias("id"), text.alias("text"))
@@ -291,28 +350,20 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     sizes = staged(rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "neardup-shards")
     # A shard that is too full is dealt to several trees first; their leaders then meet in one.
     salts = F.ceil(F.col("n") / shard_rows)
-    left = staged(rows.join(sizes, "shard").select("shard", "node", "fp", "sketch", F.pmod(F.xxhash64("node"), salts).alias("salt"), (salts > 1).alias("cut")), "neardup-rows")
-    links, sketches = [], texts.select("node", "sketch")
-    lead, out = _lead(radius, PAIRS_UP_TO), "shard bigint, node bigint, fp bigint, leader bigint, retry boolean"
-    while left.count():
-        met = staged(left.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "node").mapInPandas(lead, out), "neardup-met")
-        heads = met.filter("leader is null").join(left.filter("cut").select("shard").distinct(), "shard", "left_semi")
-        again = heads.join(sketches, "node").select("shard", F.lit(0).cast("bigint").alias("salt"), F.lit(False).alias("cut"), "node", "fp", "sketch").repartition("shard").sortWithinPartitions("shard", "node").mapInPandas(lead, out)
-        candidates = staged(met.unionByName(again).filter("leader is not null"), "neardup-candidates")
-        pairs = candidates.select("node", "leader").distinct()
-        wanted = pairs.select(F.explode(F.array("node", "leader")).alias("id")).distinct()
-        sets = staged(source.join(wanted, "id", "left_semi").dropDuplicates(["id"]).select("id", F.array_distinct(_shingle_sets(shingle)("text")).alias("set")), "neardup-sets")
-        both = pairs.join(sets.select(F.col("id").alias("node"), F.col("set").alias("a")), "node").join(sets.select(F.col("id").alias("leader"), F.col("set").alias("b")), "leader")
-        common = F.size(F.array_intersect("a", "b"))
-        agreed = staged(both.filter(common >= similarity * (F.size("a") + F.size("b") - common) - 1e-9).select("node", "leader"), "neardup-links")
-        links.append(agreed)
-        settled = candidates.join(agreed, ["node", "leader"], "left_semi").select("shard", "node").distinct()
-        left = staged(candidates.filter("retry").select("shard", "node", "fp").distinct().join(settled, ["shard", "node"], "left_anti").join(sketches, "node").select("shard", "node", "fp", "sketch", F.lit(0).cast("bigint").alias("salt"), F.lit(False).alias("cut")), "neardup-left")
-        lead = _lead(radius, None)  # what its leaders settled not is compared pair by pair, so there is no third round
-    edges = texts.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    for more in links:
-        edges = edges.unionByName(more.select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    left = staged(rows.join(sizes, "shard").select("shard", "node", "fp", "sketch", "n", F.pmod(F.xxhash64("node"), salts).alias("salt"), (salts > 1).alias("cut")), "neardup-rows")
+    lead, out = _lead(radius, pairs_up_to), "shard bigint, node bigint, fp bigint, leader bigint"
+    met = staged(left.drop("n").repartition("shard", "salt").sortWithinPartitions("shard", "salt", "node").mapInPandas(lead, out), "neardup-met")
+    heads = met.filter("leader is null").join(left.filter("cut").select("shard").distinct(), "shard", "left_semi")
+    again = heads.join(texts.select("node", "sketch"), "node").select("shard", F.lit(0).cast("bigint").alias("salt"), F.lit(False).alias("cut"), "node", "fp", "sketch").repartition("shard").sortWithinPartitions("shard", "node").mapInPandas(lead, out)
+    pairs = staged(met.unionByName(again).filter("leader is not null").select("node", "leader").distinct(), "neardup-candidates")
+    led = _alike(source, pairs, shingle, similarity)
+    edges = led.select(F.col("node").alias("a"), F.col("leader").alias("b"))
     roots = connected_components(edges)
+    full = left.filter((F.col("n") > pairs_up_to) | F.col("cut"))
+    crossing = staged(_class_crossings(full, roots, radius, block_rows).distinct().join(pairs, ["node", "leader"], "left_anti"), "neardup-crossing")
+    more = _alike(source, crossing, shingle, similarity)
+    if not more.isEmpty():
+        roots = connected_components(edges.unionByName(more.select(F.col("node").alias("a"), F.col("leader").alias("b"))))
     classes = texts.join(roots, "node", "left").select("copy", F.coalesce("root", "node").alias("class_id"))
     return marked.join(classes, "copy").select(F.col("id").alias(id_col), "class_id")
 

@@ -361,6 +361,20 @@ def test_near_duplicates(spark, edge, empty):
             for _ in range(0 if c == 1 else rng.randrange(0, max(2, len(base) // 80))):
                 copy[rng.randrange(len(copy))] = word()
             rows.append((g * 100 + c, " ".join(copy), "s", "x"))
+
+    def edited(words, n):
+        words = list(words)
+        for _ in range(n):
+            words[rng.randrange(len(words))] = word()
+        return words
+
+    # Families without their first text, and copies of copies: most links run between texts that no leader joins.
+    for g in range(3):
+        base = [word() for _ in range(400)]
+        for c in range(16):
+            child = edited(base, 5)
+            for k in range(4):
+                rows.append((10_000 + g * 1000 + c * 10 + k, " ".join(child if k == 0 else edited(child, 4 + g)), "s", "x"))
     frame = spark.createDataFrame(rows, SCHEMA)
     sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t, *_ in rows}
     root = {i: i for i in sets}
@@ -375,8 +389,8 @@ def test_near_duplicates(spark, edge, empty):
             if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    for salted in (20_000, 3):
-        got = {r["doc_id"]: r["class_id"] for r in simhash.near_duplicate_classes(frame, shard_rows=salted).collect()}
+    for options in ({}, {"shard_rows": 3}, {"pairs_up_to": 1, "block_rows": 3}):
+        got = {r["doc_id"]: r["class_id"] for r in simhash.near_duplicate_classes(frame, **options).collect()}
         assert got == {i: find(i) for i in sets}
     kept = simhash.drop_near_duplicates(edge)
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 5, 6, 8] and kept.columns == edge.columns
