@@ -43,6 +43,8 @@ PAIRS_UP_TO = 32
 SKETCH, SKETCH_AGREE = 60, 36
 #: Texts of a block when classes of a full shard are compared with each other.
 BLOCK_ROWS = 2_000
+#: Smallest shingle hashes kept of a text in that comparison: all of a short text, and an estimate within 0.025 for others.
+FINE = 256
 CHUNK = 1 << 16
 
 
@@ -275,7 +277,26 @@ def _lead(radius: int, pairs_up_to: int):
     return lead
 
 
-def _across(radius: int):
+def _may_reach(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether sets with these smallest hashes can have that Jaccard similarity: exact for sets kept whole, else up to 4 standard deviations."""
+    both = np.union1d(a, b)
+    whole = len(a) < FINE and len(b) < FINE
+    both = both if whole else both[:FINE]
+    shared = np.intersect1d(a, b, assume_unique=True)
+    n = len(shared) if whole else np.searchsorted(shared, both[-1], side="right")
+    slack = 0.01 if whole else 4 * (similarity * (1 - similarity) / len(both)) ** 0.5
+    return n >= (similarity - slack) * len(both)
+
+
+def _finest(shingle: int):
+    @F.pandas_udf("binary")
+    def finest(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique((shingle_hashes(t, shingle) >> np.uint64(32)).astype(np.uint32))[:FINE].tobytes() for t in texts], dtype=object)
+
+    return finest
+
+
+def _across(radius: int, similarity: float):
     """Pairs (node, leader) of a block's asking and asked texts that are in different classes so far.
 
     The asked ones of a block come first and make its tree. Of two texts that both ask, the
@@ -285,18 +306,18 @@ def _across(radius: int):
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, tree, nodes, out = None, BKTree(), {}, []
         for batch in batches:
-            for *key, asks, node, fp, root, minor, sketch in zip(*[batch[c].tolist() for c in ("shard", "qb", "tb", "asks", "node", "fp", "root", "minor", "sketch")], strict=True):
+            for *key, asks, node, fp, root, minor, sketch, finest in zip(*[batch[c].tolist() for c in ("shard", "qb", "tb", "asks", "node", "fp", "root", "minor", "sketch", "fine")], strict=True):
                 if block != key:
                     block, tree, nodes = key, BKTree(), {}
-                value, own = fp & (1 << 64) - 1, np.frombuffer(sketch, np.uint32)
+                value, own, fine = fp & (1 << 64) - 1, np.frombuffer(sketch, np.uint32), np.frombuffer(finest, np.uint32)
                 if not asks:
                     tree.add(value)
-                    nodes.setdefault(value, []).append((node, root, minor, own))
+                    nodes.setdefault(value, []).append((node, root, minor, own, fine))
                     continue
                 near = [m for _, at in tree.within(value, radius) for m in nodes[at] if m[1] != root and (m[0] < node or not m[2])]
                 if near:
                     agree = (np.stack([m[3] for m in near]) == own).sum(1) >= SKETCH_AGREE
-                    out += [(node, near[i][0]) for i in np.flatnonzero(agree)]
+                    out += [(node, near[i][0]) for i in np.flatnonzero(agree) if _may_reach(fine, near[i][4], similarity)]
             if len(out) > CHUNK:
                 yield pd.DataFrame(out, columns=["node", "leader"], dtype="int64")
                 out = []
@@ -305,7 +326,7 @@ def _across(radius: int):
     return across
 
 
-def _class_crossings(members: DataFrame, roots: DataFrame, radius: int, block_rows: int) -> DataFrame:
+def _class_crossings(source: DataFrame, members: DataFrame, roots: DataFrame, shingle: int, similarity: float, radius: int, block_rows: int) -> DataFrame:
     """Pairs (node, leader) of members of one shard that may be alike and are in different classes so far.
 
     Texts outside their shard's largest class ask all texts of the shard. Both sides are cut
@@ -315,12 +336,14 @@ def _class_crossings(members: DataFrame, roots: DataFrame, radius: int, block_ro
     classes = rooted.groupBy("shard", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = classes.groupBy("shard").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n")).filter("top.n < n")
     blocks = mixed.select("shard", F.col("top.root").alias("major"), F.ceil((F.col("n") - F.col("top.n")) / block_rows).alias("qbs"), F.ceil(F.col("n") / block_rows).alias("tbs"))
-    rows = rooted.join(blocks, "shard").withColumn("minor", F.col("root") != F.col("major"))
+    rows = staged(rooted.join(blocks, "shard").withColumn("minor", F.col("root") != F.col("major")), "neardup-mixed")
+    texts = source.join(rows.select(F.col("node").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
+    rows = rows.join(texts.select(F.col("id").alias("node"), _finest(shingle)("text").alias("fine")), "node")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     asked = rows.select("*", F.lit(False).alias("asks"), every("qbs").alias("qb"), F.pmod(F.xxhash64("node"), "tbs").alias("tb"))
     asking = rows.filter("minor").select("*", F.lit(True).alias("asks"), F.pmod(F.xxhash64("node", F.lit(1)), "qbs").alias("qb"), every("tbs").alias("tb"))
     dealt = asked.unionByName(asking).repartition("shard", "qb", "tb").sortWithinPartitions("shard", "qb", "tb", "asks")
-    return dealt.select("shard", "qb", "tb", "asks", "node", "fp", "root", "minor", "sketch").mapInPandas(_across(radius), "node bigint, leader bigint")
+    return dealt.select("shard", "qb", "tb", "asks", "node", "fp", "root", "minor", "sketch", "fine").mapInPandas(_across(radius, similarity), "node bigint, leader bigint")
 
 
 def _alike(source: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -360,7 +383,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     edges = led.select(F.col("node").alias("a"), F.col("leader").alias("b"))
     roots = connected_components(edges)
     full = left.filter((F.col("n") > pairs_up_to) | F.col("cut"))
-    crossing = staged(_class_crossings(full, roots, radius, block_rows).distinct().join(pairs, ["node", "leader"], "left_anti"), "neardup-crossing")
+    crossing = staged(_class_crossings(source, full, roots, shingle, similarity, radius, block_rows).distinct().join(pairs, ["node", "leader"], "left_anti"), "neardup-crossing")
     more = _alike(source, crossing, shingle, similarity)
     if not more.isEmpty():
         roots = connected_components(edges.unionByName(more.select(F.col("node").alias("a"), F.col("leader").alias("b"))))
