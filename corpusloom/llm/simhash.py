@@ -212,7 +212,8 @@ def _signatures(shingle: int, bands: int, rows: int):
     def signature(texts: pd.Series) -> pd.DataFrame:
         fps, keys, sketches = [], [], []
         for text in texts:
-            hashes = shingle_hashes(text, shingle)
+            # Without repeats, as in the sets whose similarity decides: else texts that differ in repeats alone are far apart.
+            hashes = np.unique(shingle_hashes(text, shingle))
             fps.append(fingerprint(hashes))
             if not len(hashes):
                 keys.append([])

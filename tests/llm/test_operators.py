@@ -351,6 +351,17 @@ def test_links_in_full_shards(spark):
             assert (want[a] == want[b]) == (a == b or a in roots and b in roots and roots[a] == roots[b])
 
 
+def test_near_duplicates_that_differ_in_repeats(spark):
+    """A line that stands twelve times leaves the set of shingles as it is, nearly, whatever the texts."""
+    rows = []
+    for k in range(20):
+        words = [f"t{k}w{i}" for i in range(274)]
+        line = " ".join(words[100:120])
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, "\n".join([" ".join(words), *[line] * 12]))]
+    classes = simhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in classes} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_near_duplicates(spark, edge, empty):
     rng, rows = random.Random(5), []
     word = lambda: "".join(rng.choices("abcdefghijklm", k=6))
