@@ -1,6 +1,7 @@
 """Uniform shuffling into shards of exact sizes by a hypergeometric communication matrix.
 
-Rows are dealt to blocks by a hash. How many rows of a block go to a shard follows the
+Rows are dealt to blocks by a hash of their identity and of the number that tells equal
+rows apart, so copies spread like any other rows. How many rows of a block go to a shard follows the
 multivariate hypergeometric law of a uniform shuffle, so the shards' sizes are exact. Each
 block permutes its rows and cuts them by its line of the matrix; each shard permutes what
 it receives. Neither a block nor a shard is ever one task's unbounded group: blocks are
@@ -61,6 +62,22 @@ def communication_matrix(block_rows: list[int], shard_rows: list[int], seed: int
     return lines
 
 
+def numbered_copies(rows: DataFrame, part_rows: int) -> DataFrame:
+    """(one, two, row) with ``copy``: 0, 1, ... among the rows of equal (one, two).
+
+    Copies are numbered within parts of at most ``part_rows`` rows of the table as it is
+    stored, and the parts' counts of an identity are summed up, so no group of copies is one task's.
+    """
+    key = ["one", "two", "part"]
+    parts = rows.withColumn("part", F.floor(F.col("row") / F.lit(part_rows)))
+    inside = parts.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("row")))
+    counts = parts.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("one", "two").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Only identities that stand in several parts have something before them.
+    later = counts.withColumn("before", before).filter("before > 0").select(*key, "before")
+    return inside.join(later, key, "left").select("one", "two", "row", (F.coalesce("before", F.lit(0)) + F.col("nth") - 1).alias("copy"))
+
+
 def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, seed: int = 11, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All columns of ``docs`` with ``shard`` (0 to shards - 1) and ``slot`` (0, 1, ... within the shard).
 
@@ -70,10 +87,14 @@ def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     identity = [bare(id_col), bare(text_col)]
-    rows = docs.select(packed(docs), F.xxhash64(F.lit(seed), *identity).alias("draw"), F.xxhash64(F.lit(seed + 1), *identity).alias("place"), F.xxhash64(F.lit(seed + 2), *identity).alias("tie"))
-    total = docs.count()
+    # The rows themselves stay here until the end; what is moved before is a few numbers of each.
+    source = staged(docs.select(packed(docs), F.xxhash64(F.lit(seed), *identity).alias("one"), F.xxhash64(F.lit(seed + 1), *identity).alias("two"), F.monotonically_increasing_id().alias("row")), "sharding-rows")
+    numbered = numbered_copies(source.select("one", "two", "row"), block_rows)
+    copy = ["one", "two", "copy"]
+    rows = numbered.select("row", F.xxhash64(F.lit(seed), *copy).alias("draw"), F.xxhash64(F.lit(seed + 1), *copy).alias("place"), F.xxhash64(F.lit(seed + 2), *copy).alias("tie"))
+    total = source.count()
     blocks = max(1, min(MAX_BLOCKS, total // block_rows))
-    dealt = rows.withColumn("block", F.pmod(F.col("tie"), F.lit(blocks)).cast("int"))
+    dealt = staged(rows.withColumn("block", F.pmod(F.col("tie"), F.lit(blocks)).cast("int")), "sharding-dealt")
     counts = {r["block"]: r["count"] for r in dealt.groupBy("block").count().collect()}  # MAX_BLOCKS rows at most
     matrix = communication_matrix([counts.get(b, 0) for b in range(blocks)], [total // shards + (s < total % shards) for s in range(shards)], seed)
     cuts = []
@@ -90,10 +111,10 @@ def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pieces = max(1, min(MAX_BLOCKS, total // shards // block_rows + 1))
     # The piece is the leading part of the shard's random order, so that pieces laid end to end are that order.
     piece = F.floor(F.shiftrightunsigned("place", 11) / F.lit(float(1 << 53)) * pieces).cast("int")
-    sent = permuted.select(ROW, "place", "tie", "draw", shard.alias("shard"), piece.alias("piece"))
+    sent = permuted.select("row", "place", "tie", "draw", shard.alias("shard"), piece.alias("piece"))
     placed = staged(sent.withColumn("at", F.row_number().over(Window.partitionBy("shard", "piece").orderBy("place", "tie", "draw"))), "sharding-placed")
     starts = placed.groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = F.broadcast(starts.select(F.col("shard").alias("s_shard"), F.col("piece").alias("s_piece"), before.alias("first")))  # shards x MAX_BLOCKS rows at most
-    slotted = placed.join(starts, (F.col("shard") == F.col("s_shard")) & (F.col("piece") == F.col("s_piece")))
-    return unpacked(slotted, docs.columns, {"shard": F.col("shard").cast("int"), "slot": (F.col("first") + F.col("at") - 1).cast("long")})
+    slotted = placed.join(starts, (F.col("shard") == F.col("s_shard")) & (F.col("piece") == F.col("s_piece"))).select("row", "shard", (F.col("first") + F.col("at") - 1).alias("slot"))
+    return unpacked(source.select(ROW, "row").join(slotted, "row"), docs.columns, {"shard": F.col("shard").cast("int"), "slot": F.col("slot").cast("long")})

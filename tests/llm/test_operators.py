@@ -249,6 +249,20 @@ def test_sharding(spark, docs, edge, empty):
     assert sharding.shard_rows(empty).count() == 0
 
 
+def test_sharding_spreads_copies(spark):
+    """600 of 1,800 rows are equal: each shard and each stretch of a shard gets its share, and none of them stand in one run."""
+    frame = spark.createDataFrame([(1, "same", "s", "x")] * 600 + [(i, f"t{i}", "s", "x") for i in range(2, 1202)], SCHEMA)
+    for layout in (frame, frame.repartition(7), frame.coalesce(1)):
+        rows = sharding.shard_rows(layout, shards=6, block_rows=100).select("doc_id", "shard", "slot").collect()
+        copies = [(r["shard"], r["slot"]) for r in rows if r["doc_id"] == 1]
+        by = Counter(s for s, _ in copies)
+        assert len(rows) == 1800 and len(copies) == 600 and all(60 <= by[s] <= 140 for s in range(6))
+        # Of a copy's successors a third are copies, 200 of 600 on average.
+        assert sum((s, k + 1) in set(copies) for s, k in copies) < 270
+        first = sorted(copies) if layout is frame else first
+        assert sorted(copies) == first
+
+
 def test_hypergeometric_law():
     from math import comb
 
