@@ -67,6 +67,28 @@ def text_counts(text: Column) -> Column:
     return counts(text)
 
 
+def without_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines whose hashes (as in text_counts) are in ``gone``; its other lines stay as they are."""
+
+    @F.pandas_udf("string")
+    def cleaned(texts: pd.Series, gones: pd.Series) -> pd.Series:
+        out = []
+        for text, gone in zip(texts, gones, strict=True):
+            if text is None or gone is None:
+                out.append(None)
+                continue
+            taken, left = set(gone.tolist()), []
+            for line in text.split("\n"):
+                inside = line.encode("utf-8", "replace").split()
+                if not inside or xxhash.xxh64_intdigest(b" ".join(inside).lower()) - (1 << 63) not in taken:
+                    left.append(line)
+            out.append("\n".join(left))
+        return pd.Series(out, dtype=object)
+
+    # Texts that keep all their lines don't go through Python again.
+    return F.when(gone.isNull(), text).otherwise(cleaned(F.when(gone.isNotNull(), text), gone))
+
+
 def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """(host, line, n_docs) above the limits, from (host, copy, line_hashes).
 
@@ -81,7 +103,9 @@ def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS, max_share: float
 
 
 def quality(docs: DataFrame, host_col: str = "source", text_col: str = "text", min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """All columns of ``docs`` with the counts, ``n_left`` words after boilerplate lines, ``base_failed`` and ``kept``.
+    """All columns of ``docs`` with the counts, ``n_left`` words after boilerplate lines, ``clean_text``, ``base_failed`` and ``kept``.
+
+    ``clean_text`` is the text without its boilerplate lines; a null text stays null.
 
     ``base_failed``: fewer than min_words words, or more than half of the words in repeated
     3-word windows. ``kept`` is false if so, or if boilerplate lines depleted the document.
@@ -96,18 +120,28 @@ def quality(docs: DataFrame, host_col: str = "source", text_col: str = "text", m
     per_line = lines.select("host", "copy", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("l")).select("host", "copy", F.col("l.line_hashes").alias("line"), F.col("l.line_words").alias("words"))
     common = common.select(F.col("host").alias("c_host"), F.col("line").alias("c_line"))
     hit = per_line.join(F.broadcast(common) if n_common <= 200_000 else common, per_line["host"].eqNullSafe(F.col("c_host")) & (F.col("line") == F.col("c_line")))
-    removed = hit.groupBy("host", "copy").agg(F.sum("words").alias("removed")).select(F.col("host").alias("r_host"), F.col("copy").alias("r_copy"), "removed")
+    removed = hit.groupBy("host", "copy").agg(F.sum("words").alias("removed"), F.collect_set("line").alias("gone")).select(F.col("host").alias("r_host"), F.col("copy").alias("r_copy"), "removed", "gone")
     verdicts = lines.join(removed, F.col("host").eqNullSafe(F.col("r_host")) & (F.col("copy") == F.col("r_copy")), "left").withColumn("n_left", F.col("n_words") - F.coalesce("removed", F.lit(0)))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     depleted = F.col("removed").isNotNull() & ((F.col("n_left") < min_words) | (F.col("n_left") < min_left * F.col("n_words")))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_left"]
-    verdicts = verdicts.select(F.col("host").alias("v_host"), F.col("copy").alias("v_copy"), *counts, failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
+    verdicts = verdicts.select(F.col("host").alias("v_host"), F.col("copy").alias("v_copy"), *counts, "gone", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
     rows = docs.select(packed(docs), bare(host_col).alias("host"), F.xxhash64(text, F.length(text)).alias("copy"))
     joined = rows.join(verdicts, rows["host"].eqNullSafe(F.col("v_host")) & (rows["copy"] == F.col("v_copy")))
-    return unpacked(joined, docs.columns, {c: F.col(c) for c in [*counts, "base_failed", "kept"]})
+    clean = {"clean_text": without_lines(F.col(ROW)[text_col], F.col("gone"))}
+    return unpacked(joined, docs.columns, {c: F.col(c) for c in counts} | clean | {c: F.col(c) for c in ("base_failed", "kept")})
 
 
 def keep_good(docs: DataFrame, host_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` that pass, columns unchanged."""
+    """``docs`` that pass, their texts without boilerplate lines; columns unchanged, but n_chars counts what is left of a text that lost lines."""
     judged = quality(docs.select(packed(docs), bare(host_col).alias("host"), bare(text_col).alias("text")), "host", "text", **options)
-    return judged.filter("kept").select(*[F.col(ROW)[c].alias(c) for c in docs.columns])
+
+    def kept(name: str) -> Column:
+        value, clean = F.col(ROW)[name], F.col("clean_text")
+        if name == text_col:
+            return clean
+        if name == "n_chars":
+            return F.when(clean.eqNullSafe(F.col("text")), value).otherwise(F.char_length(clean).cast(docs.schema[name].dataType))
+        return value
+
+    return judged.filter("kept").select(*[kept(c).alias(c) for c in docs.columns])

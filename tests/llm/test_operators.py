@@ -191,6 +191,17 @@ def test_quality(spark, docs, edge, empty):
     assert quality.keep_good(docs).columns == docs.columns
 
 
+def test_quality_takes_boilerplate_out(spark):
+    own = lambda i: "\n".join(f"Own  line {k} of {i} " + " ".join(f"u{i}x{k}x{j}" for j in range(20)) for k in range(4))
+    docs = [(i, f"Home |  About\n{own(i)}\n\n home | ABOUT\t\nlast {i}", "hot", "x", 7) for i in range(30)]
+    docs += [(100, f"Home | About\n{own(100)}", None, "x", 7)]  # a line of one host is none of another's
+    want = {i: (f"{own(i)}\n\nlast {i}", len(f"{own(i)}\n\nlast {i}")) for i in range(30)} | {100: (docs[-1][1], 7)}
+    frame = spark.createDataFrame(docs, SCHEMA + ", n_chars int")
+    assert {r["doc_id"]: r["clean_text"] for r in quality.quality(frame).collect()} == {i: t for i, (t, _) in want.items()}
+    good = quality.keep_good(frame)
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in good.collect()} == want and good.schema["n_chars"].dataType == frame.schema["n_chars"].dataType
+
+
 def test_language_held_out(spark, sf_dir, edge, empty):
     from pyspark.sql import functions as F
 
