@@ -340,11 +340,25 @@ def _class_crossings(source: DataFrame, members: DataFrame, roots: DataFrame, sh
     rows = staged(rooted.join(blocks, "shard").withColumn("minor", F.col("root") != F.col("major")), "neardup-mixed")
     texts = source.join(rows.select(F.col("node").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
     rows = rows.join(texts.select(F.col("id").alias("node"), _finest(shingle)("text").alias("fine")), "node")
+    return _blocks(rows).mapInPandas(_across(radius, similarity), "node bigint, leader bigint")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows (shard, node, fp, root, minor, sketch, fine, qbs, tbs) dealt to qbs blocks of those that ask and tbs of those asked."""
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     asked = rows.select("*", F.lit(False).alias("asks"), every("qbs").alias("qb"), F.pmod(F.xxhash64("node"), "tbs").alias("tb"))
     asking = rows.filter("minor").select("*", F.lit(True).alias("asks"), F.pmod(F.xxhash64("node", F.lit(1)), "qbs").alias("qb"), every("tbs").alias("tb"))
     dealt = asked.unionByName(asking).repartition("shard", "qb", "tb").sortWithinPartitions("shard", "qb", "tb", "asks")
-    return dealt.select("shard", "qb", "tb", "asks", "node", "fp", "root", "minor", "sketch", "fine").mapInPandas(_across(radius, similarity), "node bigint, leader bigint")
+    return dealt.select("shard", "qb", "tb", "asks", "node", "fp", "root", "minor", "sketch", "fine")
+
+
+def _leader_blocks(source: DataFrame, heads: DataFrame, shingle: int, block_rows: int) -> DataFrame:
+    """The leaders (shard, salt, node, fp, sketch) of cut shards in blocks: all ask, and those of one tree have met already."""
+    sizes = heads.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("tbs"))
+    texts = source.join(heads.select(F.col("node").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
+    fine = texts.select(F.col("id").alias("node"), _finest(shingle)("text").alias("fine"))
+    rows = heads.join(F.broadcast(sizes), "shard").join(fine, "node")  # cut shards only: 10 in SHARD_ROWS rows at most
+    return _blocks(rows.select("shard", "node", "fp", F.col("salt").alias("root"), F.lit(True).alias("minor"), "sketch", "fine", F.col("tbs").alias("qbs"), "tbs"))
 
 
 def _alike(source: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -372,14 +386,16 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     texts = staged(marked.groupBy("copy").agg(F.min(F.struct("id", "fp", "bands", "sketch")).alias("m")).select("copy", F.col("m.id").alias("node"), "m.fp", "m.bands", "m.sketch"), "neardup-texts")
     rows = texts.select("node", "fp", "sketch", F.explode("bands").alias("shard"))
     sizes = staged(rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "neardup-shards")
-    # A shard that is too full is dealt to several trees first; their leaders then meet in one.
+    # A shard that is too full is dealt to several trees first; their leaders then meet in blocks, as they can be as many as the texts.
     salts = F.ceil(F.col("n") / shard_rows)
     left = staged(rows.join(sizes, "shard").select("shard", "node", "fp", "sketch", "n", F.pmod(F.xxhash64("node"), salts).alias("salt"), (salts > 1).alias("cut")), "neardup-rows")
     lead, out = _lead(radius, pairs_up_to), "shard bigint, node bigint, fp bigint, leader bigint"
     met = staged(left.drop("n").repartition("shard", "salt").sortWithinPartitions("shard", "salt", "node").mapInPandas(lead, out), "neardup-met")
-    heads = met.filter("leader is null").join(left.filter("cut").select("shard").distinct(), "shard", "left_semi")
-    again = heads.join(texts.select("node", "sketch"), "node").select("shard", F.lit(0).cast("bigint").alias("salt"), F.lit(False).alias("cut"), "node", "fp", "sketch").repartition("shard").sortWithinPartitions("shard", "node").mapInPandas(lead, out)
-    pairs = staged(met.unionByName(again).filter("leader is not null").select("node", "leader").distinct(), "neardup-candidates")
+    pairs = met.filter("leader is not null").select("node", "leader")
+    if not sizes.filter(F.col("n") > shard_rows).isEmpty():
+        heads = staged(met.filter("leader is null").select("shard", "node").join(left.filter("cut"), ["shard", "node"]).select("shard", "salt", "node", "fp", "sketch"), "neardup-heads")
+        pairs = pairs.unionByName(_leader_blocks(source, heads, shingle, block_rows).mapInPandas(_across(radius, similarity), "node bigint, leader bigint"))
+    pairs = staged(pairs.distinct(), "neardup-candidates")
     led = _alike(source, pairs, shingle, similarity)
     edges = led.select(F.col("node").alias("a"), F.col("leader").alias("b"))
     roots = connected_components(edges)

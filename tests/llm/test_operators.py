@@ -486,6 +486,19 @@ def test_surrogate_clashes_are_drawn_again(spark):
     assert solved and len(set(final.values())) == 40 and not set(final.values()) & set(final)
 
 
+def test_leaders_meet_in_blocks(spark):
+    """A cut shard of 500 leaders: no block holds many of them, and each two meet in one."""
+    from pyspark.sql import functions as F
+
+    source = spark.createDataFrame([(i, f"text {i}") for i in range(500)], "id long, text string")
+    heads = source.select(F.lit(7).cast("bigint").alias("shard"), (F.col("id") % 3).alias("salt"), F.col("id").alias("node"), F.col("id").alias("fp"), F.lit(b"").alias("sketch"))
+    blocks = defaultdict(lambda: ([], []))
+    for r in simhash._leader_blocks(source, heads, 5, 50).collect():
+        blocks[r["qb"], r["tb"]][r["asks"]].append(r["node"])
+    assert max(len(side) for block in blocks.values() for side in block) < 100
+    assert {(a, b) for asked, asking in blocks.values() for a in asking for b in asked} == {(a, b) for a in range(500) for b in range(500)}
+
+
 def brute_contamination(docs, items):
     windows = defaultdict(set)
     for i, t in items:
