@@ -6,8 +6,6 @@ chunk_id, document_id, chunk_index, content, embedding, and what the predicates
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -78,39 +76,37 @@ def with_metadata(df: DataFrame) -> DataFrame:
 
 
 def top_k_blocks(queries: DataFrame, chunks: DataFrame, limit: int, block: int = 4096) -> DataFrame:
-    """(query_id, chunk_id, score): unfiltered nearest chunks by block matrix products.
+    """(query_id, chunk_id, score, rank): unfiltered nearest chunks by block matrix products.
 
-    The query table is broadcast as one matrix, in blocks of at most ``block`` rows that are
-    run one after the other; every task keeps ``limit`` rows of each query, and a window
-    merges them.
+    Both tables are dealt to blocks of about ``block`` rows, and each two blocks meet in one
+    group of a shuffle. A group keeps ``limit`` rows of each query by rounded score and
+    chunk_id, as the window that merges them does.
     """
-    numbered = queries.select("query_id", "vector").orderBy("query_id")
-    parts, rows = [], numbered.toLocalIterator()
-    while taken := [r for _, r in zip(range(block), rows, strict=False)]:
-        ids = np.array([r["query_id"] for r in taken])
-        matrix = np.array([r["vector"] for r in taken], float)
-        matrix /= np.where((n := np.linalg.norm(matrix, axis=1, keepdims=True)) > 0, n, 1)
-        shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
-
-        def nearest(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, matrix = shared.value
-            for batch in batches:
-                batch = batch[batch["embedding"].notna()]
-                if not len(batch):
-                    continue
-                vectors = np.stack(batch["embedding"].to_numpy()).astype(float)
-                vectors /= np.where((n := np.linalg.norm(vectors, axis=1, keepdims=True)) > 0, n, 1)
-                scores = matrix @ vectors.T
+    asked = queries.filter("vector is not null").select("query_id", "vector")
+    held = chunks.filter("embedding is not null").select("chunk_id", "embedding")
+    qbs, cbs = (max(1, -(-df.count() // block)) for df in (asked, held))
+    one = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    left = asked.select("*", one("query_id", qbs).alias("qb"), every(cbs).alias("cb"))
+    right = held.select("*", one("chunk_id", cbs).alias("cb"), every(qbs).alias("qb"))
+
+    def unit(vectors: pd.Series) -> np.ndarray:
+        matrix = np.stack(vectors.to_numpy()).astype(float)
+        return matrix / np.where((n := np.linalg.norm(matrix, axis=1, keepdims=True)) > 0, n, 1)
+
+    def nearest(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        parts = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "chunk_id": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})]
+        if len(some) and len(others):
+            others = others.sort_values("chunk_id")  # so that a stable sort leaves ties in this order
+            ids, matrix, chunk_ids, vectors = some["query_id"].to_numpy(), unit(some["vector"]), others["chunk_id"].to_numpy(), unit(others["embedding"])
+            for at in range(0, len(ids), 256):
+                scores = (matrix[at : at + 256] @ vectors.T).round(DECIMALS)
                 keep = np.argsort(-scores, axis=1, kind="stable")[:, :limit]
-                yield pd.DataFrame({"query_id": np.repeat(ids, keep.shape[1]), "chunk_id": batch["chunk_id"].to_numpy()[keep.ravel()], "score": np.take_along_axis(scores, keep, 1).ravel().round(DECIMALS)})
-
-        parts.append(chunks.select("chunk_id", "embedding").mapInPandas(nearest, "query_id bigint, chunk_id bigint, score double"))
-    if not parts:
-        return chunks.select(F.lit(0).cast("bigint").alias("query_id"), F.col("chunk_id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return _top(out, limit, F.col("score").desc(), "chunk_id")
+                parts.append(pd.DataFrame({"query_id": np.repeat(ids[at : at + 256], keep.shape[1]), "chunk_id": chunk_ids[keep.ravel()], "score": np.take_along_axis(scores, keep, 1).ravel()}))
+        return pd.concat(parts[1:] or parts)
+
+    met = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(nearest, "query_id bigint, chunk_id bigint, score double")
+    return _top(met, limit, F.col("score").desc(), "chunk_id")
 
 
 # ---- fusion ------------------------------------------------------------------------------
