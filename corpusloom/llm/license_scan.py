@@ -77,11 +77,14 @@ def _find_all(spaced: bytes, piece: bytes) -> list[int]:
     return found
 
 
-def fuzzy_spans(spaced: bytes, notices: list[tuple[Notice, list, object]]) -> list[tuple[str, int, int, int]]:
-    """(label, first word, words, edits) of every notice found; overlapping finds of one notice are one."""
+def fuzzy_spans(spaced: bytes, notices: list[tuple[Notice, list, object]]) -> list[tuple[str, int, int, int, int]]:
+    """(label, first word, words, edits, length of the notice) of every notice found; overlapping finds of one notice are one.
+
+    Windows are cut in bytes and edits counted in characters, which have up to four bytes.
+    """
     spans = []
     for notice, seeds, pattern in notices:
-        size, slack = len(notice.text), notice.edits
+        size, slack = len(notice.text), 4 * notice.edits
         windows = sorted({(max(0, at - offset - slack - 1), at - offset + size + slack + 1) for offset, piece in seeds for at in _find_all(spaced, piece)})
         merged: list[list[int]] = []
         for a, b in windows:
@@ -97,8 +100,9 @@ def fuzzy_spans(spaced: bytes, notices: list[tuple[Notice, list, object]]) -> li
             for m in pattern.finditer(part):
                 lead = len(part[: m.start()].encode())
                 got = m.group().strip(" ")
-                first = spaced.count(b" ", 0, a + lead + 1) - 1 if spaced[a + lead : a + lead + 1] != b" " else spaced.count(b" ", 0, a + lead + 1) - 1
-                spans.append((notice.label, first, got.count(" ") + 1, sum(m.fuzzy_counts)))
+                lead += len(m.group()) - len(m.group().lstrip(" "))
+                first = spaced.count(b" ", 0, a + lead + 1) - 1
+                spans.append((notice.label, first, got.count(" ") + 1, sum(m.fuzzy_counts), size))
     return spans
 
 
@@ -115,9 +119,6 @@ def scan_texts(text: Column, phrases=PHRASES, notices=NOTICES) -> Column:
     @F.pandas_udf("n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans array<struct<label:string,first_word:bigint,n_words:bigint,edits:int>>")
     def scan(texts: pd.Series) -> pd.DataFrame:
         compiled = [(n, seeds, n.pattern()) for n, seeds in pieces]
-        sizes = {}
-        for n in made:
-            sizes[n.label] = max(sizes.get(n.label, 0), len(n.text))
         rows = []
         for value in texts:
             words = words_of(value)
@@ -128,9 +129,9 @@ def scan_texts(text: Column, phrases=PHRASES, notices=NOTICES) -> Column:
                     base.add(label)
                     starts += at
             spans = fuzzy_spans(spaced, compiled) if words else []
-            best = max((1 - e / sizes[label] for label, _, _, e in spans), default=0.0)
+            best = max((1 - edits / size for *_, edits, size in spans), default=0.0)
             labels = base | {s[0] for s in spans}
-            rows.append((words.count(b" ") + 1 if words else 0, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if base else max(0.0, best), sorted(spans, key=lambda s: (s[1], s[0]))))
+            rows.append((words.count(b" ") + 1 if words else 0, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if base else max(0.0, best), sorted((s[:4] for s in spans), key=lambda s: (s[1], s[0]))))
         out = pd.DataFrame(rows, columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
         return out.astype({"first_word": "Int64", "last_word": "Int64"})
 
