@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -39,10 +40,13 @@ def unpacked(df: DataFrame, columns: list[str], outputs: dict[str, Column]) -> D
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of our own only where the session names none."""
+    """The folder in spark.checkpoint.dir; in a session on this machine alone, one of our own where it is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusloom-"))
     return sc.getCheckpointDir()
 
 
@@ -50,7 +54,26 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df into the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete staged tables. For those alone whose readers have all been staged themselves; others are left as they are."""
+    for table in tables:
+        if path := getattr(table, "staged_path", None):
+            jvm, sc = table.sparkSession._jvm, table.sparkSession.sparkContext
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def row_key(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes, ``one`` and ``two``, of all columns: rows that agree on both are equal. Maps are hashed as JSON."""
+    parts = [F.to_json(F.struct(bare(f.name))) if "map<" in f.dataType.simpleString() else bare(f.name) for f in df.schema]
+    # A null is skipped by the hash, so its place is told apart by the flag.
+    flags = F.concat_ws("", *[p.isNull().cast("int").cast("string") for p in parts])
+    return [F.xxhash64(F.lit(k), flags, *parts).alias(name) for k, name in ((1, "one"), (2, "two"))]
 
 
 def ascii_lower(text: Column) -> Column:
