@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, SPACED_WORD, bare, packed, staged, uniform, unpacked
+from .common import ROW, SPACED_WORD, bare, forget, packed, row_key, staged, uniform, unpacked
 
 #: Documents of one source that meet in a bucket of the tree, on average.
 FAN_IN = 48
+#: Equal rows that one task unfolds.
+PART_ROWS = 20_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: float = 3.0) -> DataFrame:
@@ -46,7 +48,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
 
 
 def _duel(first: Column, second: Column, seed: int, level: int) -> Column:
-    """Two (key, size, mass) structs with mass in (0, 1): struct(done, open) after one exchange.
+    """Two (key, two, size, mass) structs with mass in (0, 1): struct(done, open) after one exchange.
 
     Either the first gains what the second loses, or the reverse, in words; the odds keep
     both expectations. ``open`` is null when both become whole.
@@ -54,7 +56,7 @@ def _duel(first: Column, second: Column, seed: int, level: int) -> Column:
     p, q, a, b = first["mass"], second["mass"], first["size"].cast("double"), second["size"].cast("double")
     up = F.least((1 - p) * a, q * b)  # words that the first can gain
     down = F.least(p * a, (1 - q) * b)  # words that it can lose
-    gains = uniform(F.lit(seed), F.lit(level), first["key"], second["key"]) < down / (up + down)
+    gains = uniform(F.lit(seed), F.lit(level), first["key"], first["two"], second["key"], second["two"]) < down / (up + down)
     first_full, second_empty = (1 - p) * a <= q * b, (1 - p) * a >= q * b
     first_empty, second_full = p * a <= (1 - q) * b, p * a >= (1 - q) * b
     p_up, q_up = F.when(first_full, F.lit(1.0)).otherwise(p + up / a), F.when(second_empty, F.lit(0.0)).otherwise(q - up / b)
@@ -66,7 +68,7 @@ def _duel(first: Column, second: Column, seed: int, level: int) -> Column:
 
 
 def _with_mass(item: Column, mass: Column) -> Column:
-    return F.struct(item["key"].alias("key"), item["size"].alias("size"), mass.alias("mass"))
+    return F.struct(item["key"].alias("key"), item["two"].alias("two"), item["size"].alias("size"), mass.alias("mass"))
 
 
 def _whole(item: Column) -> Column:
@@ -87,15 +89,16 @@ def _fold(items: Column, kind: str, seed: int, level: int) -> Column:
 
 
 def round_copies(fractions: DataFrame, seed: int = 7, fan_in: int = FAN_IN) -> DataFrame:
-    """(key, extra) with extra 0 or 1 from (source, key, size, mass): the reduction tree.
+    """(key, two, extra) with extra 0 or 1 from (source, key, two, size, mass): the reduction tree.
 
-    Rows with mass 0 or 1, or of size 0, are whole at once. A source has
-    n / fan_in buckets at a level and each passes on one document at most.
+    Rows with mass 0 or 1, or of size 0, are whole at once. A source has n / fan_in buckets
+    at a level and each passes on one document at most. (key, two) tells documents apart.
     """
-    kind = "struct<key:bigint,size:bigint,mass:double>"
-    item = F.struct(F.col("key").cast("long").alias("key"), F.col("size").cast("long").alias("size"), F.col("mass").cast("double").alias("mass"))
+    kind = "struct<key:bigint,two:bigint,size:bigint,mass:double>"
+    item = F.struct(*[F.col(c).cast("long").alias(c) for c in ("key", "two", "size")], F.col("mass").cast("double").alias("mass"))
     whole = (F.col("mass") <= 0) | (F.col("mass") >= 1) | (F.col("size") <= 0)
-    decided = [fractions.filter(whole).select("key", F.when(F.col("mass") >= 1, 1).otherwise(0).alias("extra"))]
+    up = lambda is_up: F.when(is_up, 1).otherwise(0).alias("extra")
+    decided = [fractions.filter(whole).select("key", "two", up(F.col("mass") >= 1))]
     current = fractions.filter(~whole).select("source", item.alias("item"))
     level = 0
     counts = current.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
@@ -103,49 +106,72 @@ def round_copies(fractions: DataFrame, seed: int = 7, fan_in: int = FAN_IN) -> D
     most = counts.agg(F.max("n")).first()[0] or 0
     while most > 1:
         buckets = staged(buckets, "mixing-buckets")
-        dealt = current.join(F.broadcast(buckets) if level == 0 and buckets.count() <= 100_000 else buckets, current["source"].eqNullSafe(buckets["source"])).select(current["source"], F.pmod(F.xxhash64(F.lit(seed + level), "item.key", "item.size"), F.col("buckets")).alias("bucket"), "item")
-        met = dealt.groupBy("source", "bucket").agg(F.collect_list(F.struct((-F.col("item.size")).alias("o"), F.col("item.key").alias("k"), "item")).alias("items"))
+        dealt = current.join(F.broadcast(buckets) if buckets.count() <= 100_000 else buckets, current["source"].eqNullSafe(buckets["source"])).select(current["source"], F.pmod(F.xxhash64(F.lit(seed + level), "item.key", "item.two", "item.size"), F.col("buckets")).alias("bucket"), "item")
+        met = dealt.groupBy("source", "bucket").agg(F.collect_list(F.struct((-F.col("item.size")).alias("o"), F.col("item.key").alias("k"), F.col("item.two").alias("t"), "item")).alias("items"))
         folded = staged(met.select("source", _fold(F.transform(F.array_sort("items"), lambda x: x["item"]), kind, seed, level).alias("f")), "mixing-level")
-        decided.append(folded.select(F.explode("f.done").alias("d")).select("d.key", F.when(F.col("d.mass") >= 1, 1).otherwise(0).alias("extra")))
+        decided.append(folded.select(F.explode("f.done").alias("d")).select("d.key", "d.two", up(F.col("d.mass") >= 1)))
         current = folded.filter("f.open is not null").select("source", F.col("f.open").alias("item"))
         counts = current.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+        forget(buckets)
         buckets = counts.select("source", F.ceil(F.col("n") / fan_in).alias("buckets"))
         most, level = counts.agg(F.max("n")).first()[0] or 0, level + 1
-    last = uniform(F.lit(seed), F.lit(-1), F.col("item.key")) < F.col("item.mass")
-    decided.append(current.select("item.key", F.when(last, 1).otherwise(0).alias("extra")))
+    last = uniform(F.lit(seed), F.lit(-1), F.col("item.key"), F.col("item.two")) < F.col("item.mass")
+    decided.append(current.select("item.key", "item.two", up(last)))
     out = decided[0]
     for more in decided[1:]:
         out = out.unionByName(more)
     return out
 
 
-def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: float = 3.0, seed: int = 7, fan_in: int = FAN_IN) -> DataFrame:
-    """All columns of ``docs`` with ``size``, ``source_size``, ``target``, ``copies`` and ``taken``.
+INFO = ["size", "source_size", "target"]
 
-    ``size`` counts what stands between white space; a null or empty text has 0 and is never
-    taken. A null source is a source of its own. Equal rows share one decision. An empty
-    table gives an empty one.
-    """
+
+def _mixed(docs: DataFrame, source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: float = 3.0, seed: int = 7, fan_in: int = FAN_IN, part_rows: int = PART_ROWS) -> DataFrame:
+    """The packed rows with size, source_size, target and copies."""
     size = F.regexp_count(F.coalesce(bare(text_col), F.lit("")), F.lit(SPACED_WORD)).cast("long")
-    key = F.xxhash64(bare(id_col), F.xxhash64(bare(text_col)))
-    rows = docs.select(packed(docs), bare(source_col).alias("source"), size.alias("size"), key.alias("key"))
-    thin = staged(rows.select("source", "size", "key"), "mixing-sizes")
+    keyed = docs.select(packed(docs), *row_key(docs))
+    thin = staged(docs.select(bare(source_col).alias("source"), size.alias("size"), *row_key(docs)), "mixing-sizes")
     targets = staged(source_targets(thin, weights, max_epochs), "mixing-targets")
     small = F.broadcast(targets) if targets.count() <= 100_000 else targets
-    per_doc = thin.distinct().join(small, thin["source"].eqNullSafe(small["source"]), "inner").select(thin["source"], "size", "key", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
-    near = F.round("rate", 9)
-    rate = F.when(F.abs(F.col("rate") - F.round("rate")) < 1e-9, F.round("rate")).otherwise(near)
-    fractions = per_doc.select("source", "key", "size", (rate - F.floor(rate)).alias("mass"))
-    extra = round_copies(fractions, seed, fan_in).withColumnRenamed("key", "x_key")
-    joined = rows.join(small.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source")), "left").join(extra, F.col("key") == F.col("x_key"), "left")
-    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    floor = F.floor(F.when(F.abs(share - F.round(share)) < 1e-9, F.round(share)).otherwise(F.round(share, 9)))
-    copies = F.when(F.col("size") > 0, floor + F.coalesce("extra", F.lit(0))).otherwise(F.lit(0)).cast("int")
-    return unpacked(joined, docs.columns, {"size": F.col("size"), "source_size": F.col("source_size").cast("long"), "target": F.col("target"), "copies": copies, "taken": (copies * F.col("size")).cast("long")})
-
-
-def take_mix(docs: DataFrame, **options) -> DataFrame:
+    once = thin.groupBy("one", "two", "source", "size").agg(F.count(F.lit(1)).alias("times"))
+    # A rate within rounding of a whole number is that number.
+    rate = F.when(F.col("source_size") > 0, F.round(F.col("target") / F.col("source_size"), 9)).otherwise(F.lit(0.0))
+    expected = F.when(F.col("size") > 0, F.round(F.col("times") * rate, 7)).otherwise(F.lit(0.0))
+    per_doc = once.join(small, once["source"].eqNullSafe(small["source"])).select(once["source"], "one", "two", "size", "times", "source_size", "target", expected.alias("expected"))
+    per_doc = staged(per_doc, "mixing-documents")
+    fractions = per_doc.select("source", F.col("one").alias("key"), "two", "size", (F.col("expected") - F.floor("expected")).alias("mass"))
+    extra = round_copies(fractions, seed, fan_in).withColumnRenamed("key", "one")
+    share = per_doc.join(extra, ["one", "two"]).select("one", "two", "size", "times", F.col("source_size").cast("long").alias("source_size"), "target", (F.floor("expected") + F.col("extra")).alias("sum"))
+    share = staged(share, "mixing-shares")
+    forget(thin, per_doc)
+    out = keyed.join(share.filter("times = 1"), ["one", "two"]).select(ROW, *INFO, F.col("sum").alias("copies"))
+    several = share.filter("times > 1")
+    if not several.isEmpty():
+        # Equal rows are counted, not told apart: one of them is unfolded again, in parts that are dealt out before.
+        parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("times") - 1) / part_rows)))
+        firsts = keyed.join(several, ["one", "two"]).groupBy("one", "two", "times", "sum", *INFO).agg(F.first(ROW).alias(ROW))
+        dealt = firsts.withColumn("part", parts).repartition("one", "two", "part")
+        nth = F.explode(F.sequence(F.col("part") * part_rows, F.least("times", (F.col("part") + 1) * part_rows) - 1))
+        each = dealt.select(ROW, *INFO, "times", "sum", nth.alias("nth"))
+        copies = F.floor(F.col("sum") / F.col("times")) + F.when(F.col("nth") < F.col("sum") % F.col("times"), 1).otherwise(0)
+        out = out.unionByName(each.select(ROW, *INFO, copies.alias("copies")))
+    return out
+
+
+def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """All columns of ``docs`` with ``size``, ``source_size``, ``target``, ``copies`` and ``taken``.
+
+    ``size`` counts what stands between white space; a null or empty text has 0 and is never
+    taken. A null source is a source of its own. Rows equal in all columns are one document
+    that comes so many times: what they get together is rounded once and dealt out among
+    them, so that they meet their target as different rows do. An empty table gives an empty one.
+    """
+    out = _mixed(docs, source_col, text_col, **options)
+    return unpacked(out, docs.columns, {c: F.col(c) for c in INFO} | {"copies": F.col("copies").cast("int"), "taken": (F.col("copies") * F.col("size")).cast("long")})
+
+
+def take_mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it; columns unchanged."""
-    mixed = mix(docs.select(packed(docs), *[bare(options.get(f"{n}_col", d)).alias(n) for n, d in (("source", "source"), ("text", "text"), ("id", "doc_id"))]), "source", "text", "id", **{k: v for k, v in options.items() if not k.endswith("_col")})
-    repeated = mixed.filter("copies > 0").select(ROW, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    mixed = _mixed(docs, source_col, text_col, **options)
+    repeated = mixed.filter("copies > 0").select(ROW, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies").cast("bigint"))).alias("copy"))
     return repeated.select(*[F.col(ROW)[c].alias(c) for c in docs.columns])
