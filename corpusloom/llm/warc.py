@@ -15,11 +15,15 @@ from .common import bare, staged
 
 #: Fixed values of the formats: skippable frame of a WARC dictionary, Zstandard frame, Zstandard dictionary.
 SKIPPABLE_DICT, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
+SKIPPABLE = range(0x184D2A50, 0x184D2A60)
+#: A record may be so long once it is read; one that goes on is an error, whatever its frame says of itself.
+RECORD_BYTES = 1 << 30
 #: An archive is closed at so many payload bytes, and so are the samples that train its dictionary.
 ARCHIVE_BYTES, SAMPLE_BYTES, DICT_BYTES = 16 << 20, 1 << 20, 16 << 10
 LEVEL = 3
 #: Records with equal payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 100
+LINE_BREAKS = {0x0A: "%0A", 0x0D: "%0D"}
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 ARCHIVE_SCHEMA = "archive string, content binary"
 RECORD_SCHEMA = "archive string, record_id string, record_type string, target_uri string, refers_to string, payload_bytes bigint, payload_digest string, payload binary, error string"
@@ -37,7 +41,8 @@ def record_bytes(record_id: str, uri: str, payload: bytes, digest: str, refers_t
     if refers_to:
         head += [("WARC-Refers-To", f"<{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
     head.append(("Content-Length", str(len(block))))
-    text = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in head)
+    # A line break would end the header; anything else in a value is kept.
+    text = "".join(f"{k}: {v.translate(LINE_BREAKS)}\r\n" for k, v in head)
     return b"WARC/1.1\r\n" + text.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -66,6 +71,34 @@ def archive_bytes(records: list[bytes]) -> bytes:
     return lead + b"".join(map(compressor.compress, records))
 
 
+def skippable_end(data: memoryview, at: int) -> int | None:
+    """Where a skippable frame that starts at ``at`` ends; None if another frame does."""
+    if len(data) - at < 8 or struct.unpack_from("<I", data, at)[0] not in SKIPPABLE:
+        return None
+    end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
+    if end > len(data):
+        raise ArchiveError(f"cut skippable frame at byte {at}")
+    return end
+
+
+def unpacked_frame(frame: memoryview, reader: zstandard.ZstdDecompressor, most: int = RECORD_BYTES) -> bytes:
+    """One frame's content, with or without its size in the header, and never more than ``most`` bytes of it."""
+    with reader.stream_reader(frame) as stream:
+        parts, size = [], 0
+        while part := stream.read(1 << 20):
+            parts.append(part)
+            size += len(part)
+            if size > most:
+                raise ArchiveError(f"a record of more than {most} bytes")
+    return b"".join(parts)
+
+
+def number(text: str) -> int:
+    if not (text.isascii() and text.isdigit()):
+        raise ArchiveError(f"{text[:40]!r} is no length")
+    return int(text)
+
+
 def frame_end(data: memoryview, at: int) -> int:
     """Where the Zstandard frame that starts at ``at`` ends, from its block headers."""
     if len(data) - at < 6 or struct.unpack_from("<I", data, at)[0] != FRAME:
@@ -97,7 +130,7 @@ def load_dictionary(data: memoryview) -> tuple[zstandard.ZstdCompressionDict | N
         raise ArchiveError("cut dictionary frame")
     raw = bytes(data[8 : 8 + size])
     if raw[:4] == struct.pack("<I", FRAME):
-        raw = zstandard.ZstdDecompressor().decompress(raw)
+        raw = unpacked_frame(memoryview(raw), zstandard.ZstdDecompressor())
     if raw[:4] != struct.pack("<I", DICTIONARY):
         raise ArchiveError("the leading frame holds no dictionary")
     return zstandard.ZstdCompressionDict(raw), 8 + size
@@ -112,19 +145,19 @@ def parse_record(raw: bytes) -> dict:
     fields = {}
     for line in lines[1:]:
         name, colon, value = line.decode("utf-8", "replace").partition(":")
-        if not colon:
-            raise ArchiveError("header line without a colon")
+        if not colon or not name.strip():
+            raise ArchiveError("header line without a name or colon")
         fields[name.strip().lower()] = value.strip()
     for name in ("warc-type", "warc-record-id", "content-length"):
         if name not in fields:
             raise ArchiveError(f"no {name}")
-    if not fields["content-length"].isdigit() or len(rest) != int(fields["content-length"]) + 4 or not rest.endswith(b"\r\n\r\n"):
+    if len(rest) != number(fields["content-length"]) + 4 or not rest.endswith(b"\r\n\r\n"):
         raise ArchiveError("the block is not as long as stated")
     block = rest[:-4]
     payload = block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
     digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
     if fields["warc-type"] == "revisit":
-        payload, length = b"", int(fields.get("x-payload-length", 0))
+        payload, length = b"", number(fields.get("x-payload-length", "0"))
     else:
         length, own = len(payload), hashlib.sha256(payload).hexdigest()
         if digest and digest != own:
@@ -146,12 +179,15 @@ def read_records(content: bytes) -> Iterator[dict]:
     reader = zstandard.ZstdDecompressor(dict_data=made) if made else zstandard.ZstdDecompressor()
     while at < len(data):
         try:
+            if (end := skippable_end(data, at)) is not None:
+                at = end
+                continue
             end = frame_end(data, at)
         except ArchiveError as e:
             yield none | {"error": str(e)}
             return
         try:
-            yield parse_record(reader.decompress(data[at:end], max_output_size=0))
+            yield parse_record(unpacked_frame(data[at:end], reader))
         except (ArchiveError, zstandard.ZstdError) as e:
             yield none | {"error": f"record at byte {at}: {e}"}
         at = end
@@ -204,6 +240,29 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     return archives.mapInPandas(read, RECORD_SCHEMA)
 
 
+def checked_revisits(records: DataFrame) -> DataFrame:
+    """``records`` of read_archives; a revisit that no good response bears out gets an ``error``.
+
+    The response named must exist, in whatever archive, with the length and digest that the
+    revisit states. Records of one id are told apart by these two, so one of them is enough.
+    """
+    good = F.col("error").isNull()
+    responses = records.filter(good & (F.col("record_type") == "response")).select(F.col("record_id").alias("r_id"), F.col("payload_bytes").alias("r_bytes"), F.col("payload_digest").alias("r_digest"))
+    asked = records.filter(good & (F.col("record_type") == "revisit"))
+    same = (F.col("refers_to") == F.col("r_id")) & (F.col("payload_bytes") == F.col("r_bytes")) & (F.col("payload_digest") == F.col("r_digest"))
+    # Many revisits refer to one response: they meet it by what they state, once for each different statement.
+    stated = asked.select("refers_to", "payload_bytes", "payload_digest").distinct()
+    borne = staged(stated.join(responses, same, "left_semi"), "warc-borne")
+    names = ["refers_to", "payload_bytes", "payload_digest"]
+    wrong = staged(stated.join(borne, names, "left_anti").select(*[F.col(c).alias(f"w_{c}") for c in names]).distinct(), "warc-unborne")
+    if wrong.isEmpty():
+        return records
+    unborne = [F.col(c).eqNullSafe(F.col(f"w_{c}")) for c in names]
+    marked = records.join(wrong.withColumn("w", F.lit(True)), [*unborne, good, F.col("record_type") == "revisit"], "left")
+    error = F.when(F.col("w"), F.lit("no response has the payload of this revisit")).otherwise(F.col("error"))
+    return marked.select(*[error.alias(c) if c == "error" else F.col(c) for c in records.columns])
+
+
 def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """Records for write_archives: of equal payloads of revisit_bytes or more, all but the smallest id refer to that one.
 
