@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, bare, packed, staged, unpacked
+from .common import ROW, bare, forget, packed, staged, unpacked
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -90,19 +90,45 @@ def without_lines(text: Column, gone: Column) -> Column:
 
 
 def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, line, n_docs) above the limits, from (host, copy, line_hashes).
+    """(host, line, n_docs) above the limits, from (host, id, line_hashes): a document counts once for a line, however often it has it.
 
-    Documents of a host with the same text (``copy``) are one document: copies do not make
-    their own lines boilerplate.
+    Rows of one host and id are one document, and so are those of a host with a null id.
     """
-    texts = staged(lines.groupBy("host", "copy").agg(F.first(F.array_distinct("line_hashes")).alias("lines")), "quality-texts")
-    hosts = texts.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    counted = texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > min_docs)
+    hosts = lines.select("host", "id").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    held = lines.select("host", "id", F.explode(F.array_distinct("line_hashes")).alias("line")).distinct()
+    counted = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > min_docs)
     joined = counted.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")))
     return joined.filter(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "line", "n_docs")
 
 
-def quality(docs: DataFrame, host_col: str = "source", text_col: str = "text", min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _judged(docs: DataFrame, host_col: str = "source", text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+    """The packed rows with COUNTS, n_left, gone (hashes of the lines to take out, or null), base_failed and kept."""
+    text = F.coalesce(bare(text_col), F.lit(""))
+    copy = F.xxhash64(text, F.length(text)).alias("copy")
+    # The rows themselves stay where they are; what the rules need of a text is written once.
+    marked = staged(docs.select(bare(host_col).alias("host"), bare(id_col).alias("id"), copy, text_counts(text).alias("c")).select("host", "id", "copy", "c.*"), "quality-marked")
+    common = staged(frequent_lines(marked, min_docs, max_share), "quality-common")
+    small = common.count() <= 200_000
+    common = common.select(F.col("host").alias("c_host"), F.col("line").alias("c_line"))
+    texts = marked.select("host", "copy", *COUNTS, "line_hashes", "line_words").dropDuplicates(["host", "copy"])
+    texts = staged(texts, "quality-texts")
+    per_line = texts.select("host", "copy", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("l")).select("host", "copy", F.col("l.line_hashes").alias("line"), F.col("l.line_words").alias("words"))
+    hit = per_line.join(F.broadcast(common) if small else common, per_line["host"].eqNullSafe(F.col("c_host")) & (F.col("line") == F.col("c_line")))
+    removed = hit.groupBy("host", "copy").agg(F.sum("words").alias("removed"), F.collect_set("line").alias("gone")).select(F.col("host").alias("r_host"), F.col("copy").alias("r_copy"), "removed", "gone")
+    verdicts = texts.drop("line_hashes", "line_words").join(removed, F.col("host").eqNullSafe(F.col("r_host")) & (F.col("copy") == F.col("r_copy")), "left").withColumn("n_left", F.col("n_words") - F.coalesce("removed", F.lit(0)))
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    depleted = F.col("removed").isNotNull() & ((F.col("n_left") < min_words) | (F.col("n_left") < min_left * F.col("n_words")))
+    verdicts = staged(verdicts.select(F.col("host").alias("v_host"), F.col("copy").alias("v_copy"), *COUNTS, "n_left", "gone", failed.alias("base_failed"), (~failed & ~depleted).alias("kept")), "quality-verdicts")
+    forget(marked, texts)
+    # Equal texts of a host meet one verdict; where they are very many, AQE deals them out anew.
+    rows = docs.select(packed(docs), bare(host_col).alias("host"), copy)
+    return rows.join(verdicts, rows["host"].eqNullSafe(F.col("v_host")) & (rows["copy"] == F.col("v_copy"))).drop("host", "copy", "v_host", "v_copy")
+
+
+def quality(docs: DataFrame, host_col: str = "source", text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """All columns of ``docs`` with the counts, ``n_left`` words after boilerplate lines, ``clean_text``, ``base_failed`` and ``kept``.
 
     ``clean_text`` is the text without its boilerplate lines; a null text stays null.
@@ -111,37 +137,21 @@ def quality(docs: DataFrame, host_col: str = "source", text_col: str = "text", m
     3-word windows. ``kept`` is false if so, or if boilerplate lines depleted the document.
     A null text has no words; a null host is a host of its own. Repeated rows get equal verdicts.
     """
-    text = F.coalesce(bare(text_col), F.lit(""))
-    marked = docs.select(packed(docs), bare(host_col).alias("host"), text_counts(text).alias("c"), F.xxhash64(text, F.length(text)).alias("copy"))
-    # The rows themselves stay where they are; what the line statistics need is written once.
-    lines = staged(marked.select("host", "copy", "c.line_hashes", "c.line_words", "c.n_words", "c.word_chars", "c.n_symbols", "c.n_dup_lines", "c.n_repeat_words").dropDuplicates(["host", "copy"]), "quality-lines")
-    common = staged(frequent_lines(lines, min_docs, max_share), "quality-common")
-    n_common = common.count()
-    per_line = lines.select("host", "copy", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("l")).select("host", "copy", F.col("l.line_hashes").alias("line"), F.col("l.line_words").alias("words"))
-    common = common.select(F.col("host").alias("c_host"), F.col("line").alias("c_line"))
-    hit = per_line.join(F.broadcast(common) if n_common <= 200_000 else common, per_line["host"].eqNullSafe(F.col("c_host")) & (F.col("line") == F.col("c_line")))
-    removed = hit.groupBy("host", "copy").agg(F.sum("words").alias("removed"), F.collect_set("line").alias("gone")).select(F.col("host").alias("r_host"), F.col("copy").alias("r_copy"), "removed", "gone")
-    verdicts = lines.join(removed, F.col("host").eqNullSafe(F.col("r_host")) & (F.col("copy") == F.col("r_copy")), "left").withColumn("n_left", F.col("n_words") - F.coalesce("removed", F.lit(0)))
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    depleted = F.col("removed").isNotNull() & ((F.col("n_left") < min_words) | (F.col("n_left") < min_left * F.col("n_words")))
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_left"]
-    verdicts = verdicts.select(F.col("host").alias("v_host"), F.col("copy").alias("v_copy"), *counts, "gone", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
-    rows = docs.select(packed(docs), bare(host_col).alias("host"), F.xxhash64(text, F.length(text)).alias("copy"))
-    joined = rows.join(verdicts, rows["host"].eqNullSafe(F.col("v_host")) & (rows["copy"] == F.col("v_copy")))
+    judged = _judged(docs, host_col, text_col, id_col, **options)
     clean = {"clean_text": without_lines(F.col(ROW)[text_col], F.col("gone"))}
-    return unpacked(joined, docs.columns, {c: F.col(c) for c in counts} | clean | {c: F.col(c) for c in ("base_failed", "kept")})
+    return unpacked(judged, docs.columns, {c: F.col(c) for c in (*COUNTS, "n_left")} | clean | {c: F.col(c) for c in ("base_failed", "kept")})
 
 
-def keep_good(docs: DataFrame, host_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+def keep_good(docs: DataFrame, host_col: str = "source", text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` that pass, their texts without boilerplate lines; columns unchanged, but n_chars counts what is left of a text that lost lines."""
-    judged = quality(docs.select(packed(docs), bare(host_col).alias("host"), bare(text_col).alias("text")), "host", "text", **options)
+    judged = _judged(docs, host_col, text_col, id_col, **options).filter("kept")
+    clean = without_lines(F.col(ROW)[text_col], F.col("gone"))
 
     def kept(name: str) -> Column:
-        value, clean = F.col(ROW)[name], F.col("clean_text")
         if name == text_col:
-            return clean
+            return F.col("_cl_clean")
         if name == "n_chars":
-            return F.when(clean.eqNullSafe(F.col("text")), value).otherwise(F.char_length(clean).cast(docs.schema[name].dataType))
-        return value
+            return F.when(F.col("gone").isNull(), F.col(ROW)[name]).otherwise(F.char_length("_cl_clean").cast(docs.schema[name].dataType))
+        return F.col(ROW)[name]
 
-    return judged.filter("kept").select(*[kept(c).alias(c) for c in docs.columns])
+    return judged.select("*", clean.alias("_cl_clean")).select(*[kept(c).alias(c) for c in docs.columns])
