@@ -23,7 +23,7 @@ from .common import bare, packed, unpacked
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-#: The model is fitted on this many labelled texts of a language at most, of at most so many characters each.
+#: The model is fitted on this many labelled texts of a language at most, and on at most so many characters of each.
 SAMPLE_TEXTS, SAMPLE_CHARS = 400, 20_000
 HASH_BITS, EPOCHS, BATCH, STEPS, RATE = 16, 4, 256, 32, 0.5
 #: Training sequences of STEPS words, cut from the sample and joined across languages.
@@ -181,17 +181,26 @@ def _batch_posteriors(scores: np.ndarray, start: np.ndarray, moves: np.ndarray)
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Fit on at most sample_texts texts of each language, those of the smallest hash of their id.
+    """Fit on at most sample_texts texts of each language, those of the smallest hash of id and text.
 
-    The sample is what the driver gets; its bound is sample_texts x sample_chars a language.
-    Rows without a text or a language, and texts over sample_chars, teach nothing.
+    Of a text longer than sample_chars that many characters from a hashed place on are
+    taken, so long texts teach like others. The sample is what the driver gets; its bound
+    is sample_texts x sample_chars a language. It is thinned by the languages' counts before
+    it is ranked, so no task reads a language. Rows without a text or a language teach nothing.
     """
-    usable = labelled.filter(bare(text_col).isNotNull() & bare(lang_col).isNotNull() & (F.length(bare(text_col)) <= sample_chars))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    chosen = usable.select(bare(id_col).alias("id"), bare(lang_col).alias("lang"), F.xxhash64(bare(id_col)).alias("h")).distinct().withColumn("rank", rank).filter(F.col("rank") <= sample_texts).select("id", "lang")
-    texts = usable.select(bare(id_col).alias("id"), bare(text_col).alias("text"), bare(lang_col).alias("lang"))
-    rows = texts.join(F.broadcast(chosen), ["id", "lang"], "left_semi").collect()
-    return fit([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["id"], r["lang"], r["text"]))])
+    text = bare(text_col)
+    usable = labelled.filter(text.isNotNull() & bare(lang_col).isNotNull())
+    rows = usable.select(bare(lang_col).alias("lang"), F.xxhash64(bare(id_col), text).alias("h"), text.alias("text"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("lang", "n_lang")
+    u = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
+    # Twice as many as are taken, and a few: too few come out once in 10 ** 20 samples.
+    near = rows.join(F.broadcast(counts), F.col("lang") == F.col("n_lang")).filter(u * F.col("n") <= 2 * sample_texts + 50)  # one row a language
+    at = F.floor(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) / F.lit(float(1 << 20)) * F.greatest(F.length("text") - sample_chars, F.lit(0))).cast("int")
+    piece = F.when(F.length("text") <= sample_chars, F.col("text")).otherwise(F.substr("text", at + 1, F.lit(sample_chars)))
+    near = near.select("lang", "h", piece.alias("text")).distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(u, "h", "text"))
+    chosen = near.withColumn("rank", rank).filter(F.col("rank") <= sample_texts).select("lang", "h", "text").collect()
+    return fit([(r["text"], r["lang"]) for r in sorted(chosen, key=lambda r: (r["lang"], r["h"], r["text"]))])
 
 
 def _scorer(spark: SparkSession, model: Model, by_word: bool):
