@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED_WORD, bare, staged
+from .common import ROW, SPACED_WORD, bare, forget, packed, staged
 from .components import connected_components
 
 SEED = 42
@@ -327,7 +327,13 @@ def _across(radius: int, similarity: float):
     return across
 
 
-def _class_crossings(source: DataFrame, members: DataFrame, roots: DataFrame, shingle: int, similarity: float, radius: int, block_rows: int) -> DataFrame:
+def _texts_of(source: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the distinct texts with these nodes, from (copy, text) rows."""
+    wanted = texts.join(nodes.distinct(), "node", "left_semi").select("node", F.col("copy").alias("w_copy"))
+    return source.join(wanted, F.col("copy") == F.col("w_copy")).dropDuplicates(["node"]).select("node", "text")
+
+
+def _class_crossings(source: DataFrame, texts: DataFrame, members: DataFrame, roots: DataFrame, shingle: int, similarity: float, radius: int, block_rows: int) -> DataFrame:
     """Pairs (node, leader) of members of one shard that may be alike and are in different classes so far.
 
     Texts outside their shard's largest class ask all texts of the shard. Both sides are cut
@@ -338,9 +344,10 @@ def _class_crossings(source: DataFrame, members: DataFrame, roots: DataFrame, sh
     mixed = classes.groupBy("shard").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n")).filter("top.n < n")
     blocks = mixed.select("shard", F.col("top.root").alias("major"), F.ceil((F.col("n") - F.col("top.n")) / block_rows).alias("qbs"), F.ceil(F.col("n") / block_rows).alias("tbs"))
     rows = staged(rooted.join(blocks, "shard").withColumn("minor", F.col("root") != F.col("major")), "neardup-mixed")
-    texts = source.join(rows.select(F.col("node").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-    rows = rows.join(texts.select(F.col("id").alias("node"), _finest(shingle)("text").alias("fine")), "node")
-    return _blocks(rows).mapInPandas(_across(radius, similarity), "node bigint, leader bigint")
+    fine = staged(_texts_of(source, texts, rows.select("node")).select("node", _finest(shingle)("text").alias("fine")), "neardup-fine")
+    out = staged(_blocks(rows.join(fine, "node")).mapInPandas(_across(radius, similarity), "node bigint, leader bigint").distinct(), "neardup-across")
+    forget(rooted, rows, fine)
+    return out
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -352,60 +359,79 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return dealt.select("shard", "qb", "tb", "asks", "node", "fp", "root", "minor", "sketch", "fine")
 
 
-def _leader_blocks(source: DataFrame, heads: DataFrame, shingle: int, block_rows: int) -> DataFrame:
+def _leader_blocks(source: DataFrame, texts: DataFrame, heads: DataFrame, shingle: int, block_rows: int) -> DataFrame:
     """The leaders (shard, salt, node, fp, sketch) of cut shards in blocks: all ask, and those of one tree have met already."""
     sizes = heads.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("tbs"))
-    texts = source.join(heads.select(F.col("node").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-    fine = texts.select(F.col("id").alias("node"), _finest(shingle)("text").alias("fine"))
+    fine = _texts_of(source, texts, heads.select("node")).select("node", _finest(shingle)("text").alias("fine"))
     rows = heads.join(F.broadcast(sizes), "shard").join(fine, "node")  # cut shards only: 10 in SHARD_ROWS rows at most
     return _blocks(rows.select("shard", "node", "fp", F.col("salt").alias("root"), F.lit(True).alias("minor"), "sketch", "fine", F.col("tbs").alias("qbs"), "tbs"))
 
 
-def _alike(source: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _alike(source: DataFrame, texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those of the distinct pairs (node, leader) whose shingle sets reach the similarity."""
-    wanted = pairs.select(F.explode(F.array("node", "leader")).alias("id")).distinct()
-    sets = staged(source.join(wanted, "id", "left_semi").dropDuplicates(["id"]).select("id", F.array_distinct(_shingle_sets(shingle)("text")).alias("set")), "neardup-sets")
-    both = pairs.join(sets.select(F.col("id").alias("node"), F.col("set").alias("a")), "node").join(sets.select(F.col("id").alias("leader"), F.col("set").alias("b")), "leader")
+    wanted = pairs.select(F.explode(F.array("node", "leader")).alias("node"))
+    sets = staged(_texts_of(source, texts, wanted).select("node", F.array_distinct(_shingle_sets(shingle)("text")).alias("set")), "neardup-sets")
+    both = pairs.join(sets.select("node", F.col("set").alias("a")), "node").join(sets.select(F.col("node").alias("leader"), F.col("set").alias("b")), "leader")
     common = F.size(F.array_intersect("a", "b"))
-    return staged(both.filter(common >= similarity * (F.size("a") + F.size("b") - common) - 1e-9).select("node", "leader"), "neardup-links")
+    out = staged(both.filter(common >= similarity * (F.size("a") + F.size("b") - common) - 1e-9).select("node", "leader"), "neardup-links")
+    forget(sets)
+    return out
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, shard_rows: int = SHARD_ROWS, pairs_up_to: int = PAIRS_UP_TO, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id, class_id): documents whose texts are equal, or linked by word-shingle sets at that Jaccard similarity.
+def _copy(text: Column) -> Column:
+    """The texts without a word are one text."""
+    return F.md5(F.when(text.rlike(SPACED_WORD), text).otherwise(""))
 
-    In a full shard a document is first compared with the leaders near its fingerprint, so a
-    group of copies costs as many comparisons as it has members. A second round compares those
-    members of a full shard that the first left in different classes, so no link is lost that
-    the shards, the radius and the sketches of smallest shingle hashes let through. class_id
-    is the smallest id of the class. Null texts and those without a word equal empty ones.
-    Rows with a null id are left out.
-    """
-    text = F.when(bare(text_col).rlike(SPACED_WORD), bare(text_col)).otherwise("")
-    source = docs.filter(bare(id_col).isNotNull()).select(bare(id_col).alias("id"), text.alias("text"))
-    marked = staged(source.select("id", F.md5("text").alias("copy"), _signatures(shingle, BANDS, BAND_HASHES)("text").alias("s")).select("id", "copy", "s.fp", "s.bands", "s.sketch"), "neardup-marked")
-    texts = staged(marked.groupBy("copy").agg(F.min(F.struct("id", "fp", "bands", "sketch")).alias("m")).select("copy", F.col("m.id").alias("node"), "m.fp", "m.bands", "m.sketch"), "neardup-texts")
-    rows = texts.select("node", "fp", "sketch", F.explode("bands").alias("shard"))
-    sizes = staged(rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "neardup-shards")
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, radius: int, shard_rows: int, pairs_up_to: int, block_rows: int) -> DataFrame:
+    """(copy, least, root): the distinct texts by digest, the smallest id of each, and a number that the texts of a class share."""
+    word = F.when(bare(text_col).rlike(SPACED_WORD), bare(text_col)).otherwise("")
+    source = docs.select(F.md5(word).alias("copy"), word.alias("text"))
+    marked = staged(docs.select(bare(id_col).alias("id"), F.md5(word).alias("copy"), _signatures(shingle, BANDS, BAND_HASHES)(word).alias("s")), "neardup-marked")
+    texts = staged(marked.groupBy("copy").agg(F.min("id").alias("least"), F.first("s").alias("s")).select(F.monotonically_increasing_id().alias("node"), "copy", "least", "s.*"), "neardup-texts")
+    bands = texts.select("node", F.explode("bands").alias("shard"))
+    sizes = bands.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # A shard that is too full is dealt to several trees first; their leaders then meet in blocks, as they can be as many as the texts.
     salts = F.ceil(F.col("n") / shard_rows)
-    left = staged(rows.join(sizes, "shard").select("shard", "node", "fp", "sketch", "n", F.pmod(F.xxhash64("node"), salts).alias("salt"), (salts > 1).alias("cut")), "neardup-rows")
+    thin = bands.join(sizes, "shard").select("shard", "node", "n", F.pmod(F.xxhash64("node"), salts).alias("salt"), (salts > 1).alias("cut"))
+    left = staged(thin.join(texts.select("node", "fp", "sketch"), "node"), "neardup-rows")
     lead, out = _lead(radius, pairs_up_to), "shard bigint, node bigint, fp bigint, leader bigint"
-    met = staged(left.drop("n").repartition("shard", "salt").sortWithinPartitions("shard", "salt", "node").mapInPandas(lead, out), "neardup-met")
+    met = staged(left.select("shard", "salt", "cut", "node", "fp", "sketch").repartition("shard", "salt").sortWithinPartitions("shard", "salt", "node").mapInPandas(lead, out), "neardup-met")
     pairs = met.filter("leader is not null").select("node", "leader")
-    if not sizes.filter(F.col("n") > shard_rows).isEmpty():
+    if not left.filter("cut").isEmpty():
         heads = staged(met.filter("leader is null").select("shard", "node").join(left.filter("cut"), ["shard", "node"]).select("shard", "salt", "node", "fp", "sketch"), "neardup-heads")
-        pairs = pairs.unionByName(_leader_blocks(source, heads, shingle, block_rows).mapInPandas(_across(radius, similarity), "node bigint, leader bigint"))
+        pairs = pairs.unionByName(_leader_blocks(source, texts, heads, shingle, block_rows).mapInPandas(_across(radius, similarity), "node bigint, leader bigint"))
     pairs = staged(pairs.distinct(), "neardup-candidates")
-    led = _alike(source, pairs, shingle, similarity)
-    edges = led.select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    roots = connected_components(edges)
+    edge = [F.col("node").alias("a"), F.col("leader").alias("b")]
+    links = _alike(source, texts, pairs, shingle, similarity)
+    roots = connected_components(links.select(*edge))
     full = left.filter((F.col("n") > pairs_up_to) | F.col("cut"))
-    crossing = staged(_class_crossings(source, full, roots, shingle, similarity, radius, block_rows).distinct().join(pairs, ["node", "leader"], "left_anti"), "neardup-crossing")
-    more = _alike(source, crossing, shingle, similarity)
-    if not more.isEmpty():
-        roots = connected_components(edges.unionByName(more.select(F.col("node").alias("a"), F.col("leader").alias("b"))))
-    classes = texts.join(roots, "node", "left").select("copy", F.coalesce("root", "node").alias("class_id"))
-    return marked.join(classes, "copy").select(F.col("id").alias(id_col), "class_id")
+    if not full.isEmpty():
+        across = _class_crossings(source, texts, full, roots, shingle, similarity, radius, block_rows)
+        crossing = staged(across.join(pairs, ["node", "leader"], "left_anti"), "neardup-crossing")
+        more = _alike(source, texts, crossing, shingle, similarity)
+        if not more.isEmpty():
+            roots = connected_components(links.unionByName(more).select(*edge))
+    out = staged(texts.join(roots, "node", "left").select("copy", "least", F.coalesce("root", "node").alias("root")), "neardup-classes")
+    forget(marked, texts, left, met, pairs, links)
+    return out
+
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, shard_rows: int = SHARD_ROWS, pairs_up_to: int = PAIRS_UP_TO, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, class_id): documents whose texts are equal, or linked by word-shingle sets at that Jaccard similarity.
+
+    In a full shard a document is first compared with the leaders near its fingerprint, so a
+    group of copies costs as many comparisons as it has members. A second round compares those
+    members of a full shard that the first left in different classes, so no link is lost that
+    the shards, the radius and the sketches of smallest shingle hashes let through. class_id
+    is the smallest id of the class, of whatever type, and null only where all ids of a class
+    are. Null texts and those without a word equal empty ones. Every row comes back.
+    """
+    classes = _classes(docs, id_col, text_col, shingle, similarity, radius, shard_rows, pairs_up_to, block_rows)
+    least = classes.groupBy("root").agg(F.min("least").alias("class_id"))
+    named = classes.join(least, "root").select(F.col("copy").alias("c_copy"), "class_id")
+    rows = docs.select(bare(id_col).alias(id_col), _copy(bare(text_col)).alias("_cl_copy"))
+    return rows.join(named, F.col("_cl_copy") == F.col("c_copy")).select(bare(id_col), "class_id")
 
 
 def _shingle_sets(shingle: int):
@@ -416,12 +442,23 @@ def _shingle_sets(shingle: int):
     return sets
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each class, that of the smallest id; columns unchanged.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, shard_rows: int = SHARD_ROWS, pairs_up_to: int = PAIRS_UP_TO, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row of each class, that of the smallest id (null ids last, then by the text's digest); columns unchanged.
 
-    Rows of one id are one document and one of them stays; rows with a null id all stay.
+    Rows that share an id but not a class are different documents and stay. Of rows with
+    one id and one text any one stays.
     """
-    classes = near_duplicate_classes(docs, id_col, text_col, **options)
-    kept = classes.select(F.col("class_id").alias("_cl_keep")).distinct()
-    firsts = docs.join(kept, bare(id_col) == F.col("_cl_keep"), "left_semi").dropDuplicates([id_col])
-    return firsts.unionByName(docs.filter(bare(id_col).isNull()))
+    classes = _classes(docs, id_col, text_col, shingle, similarity, radius, shard_rows, pairs_up_to, block_rows)
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("copy").alias("copy"))).alias("w")
+    kept = staged(classes.groupBy("root").agg(first).select(F.col("w.id").alias("k_id"), F.col("w.copy").alias("k_copy")), "neardup-kept")
+    forget(classes)
+    rows = docs.select(packed(docs), bare(id_col).alias("id"), _copy(bare(text_col)).alias("copy"))
+    own = (F.col("copy") == F.col("k_copy")) & F.col("id").eqNullSafe(F.col("k_id"))
+    again = rows.select("id", "copy").groupBy("id", "copy").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("id").alias("a_id"), F.col("copy").alias("a_copy"))
+    again = staged(again, "neardup-again")
+    both = (F.col("k_copy") == F.col("a_copy")) & F.col("k_id").eqNullSafe(F.col("a_id"))
+    single = rows.join(kept.join(again, both, "left_anti"), own, "left_semi").select(ROW)
+    if not again.isEmpty():
+        several = rows.join(kept.join(again, both, "left_semi"), own, "left_semi").dropDuplicates(["id", "copy"]).select(ROW)
+        single = single.unionByName(several)
+    return single.select(*[F.col(ROW)[c].alias(c) for c in docs.columns])
