@@ -24,7 +24,7 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     archives = staged(warc.write_archives(warc.page_records(pages)), "warc-archives")
-    read = warc.read_archives(archives, payloads=False)
+    read = warc.checked_revisits(staged(warc.read_archives(archives, payloads=False), "warc-records"))
     number = lambda c: F.regexp_extract(c, r"^urn:page:(.*)$", 1).cast("long")
     checked = F.when(F.col("error").isNull(), number(F.col("record_id"))).otherwise(F.raise_error(F.col("error")).cast("long"))
     return read.select(checked.alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"))
@@ -52,13 +52,13 @@ with d as (
 grams as (select r, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] as g from (select r, w, unnest(range(1, len(w) - 1)) as i from d)),
 again as (select r, i from (select r, i, count(*) over (partition by r, g) as n from grams) where n > 1),
 inside as (select r, count(distinct p) as n from (select r, unnest([i, i+1, i+2]) as p from again) group by r),
-lines as (select r, source, text, unnest(string_split(text, chr(10))) as l, unnest(range(len(string_split(text, chr(10))))) as k from d),
-worded as (select r, source, text, l, k, regexp_extract_all(l, '[^\x20\x09-\x0D]+') as lw from lines where regexp_matches(l, '[^\x20\x09-\x0D]')),
+lines as (select r, source, doc_id, unnest(string_split(text, chr(10))) as l, unnest(range(len(string_split(text, chr(10))))) as k from d),
+worded as (select r, source, doc_id, l, k, regexp_extract_all(l, '[^\x20\x09-\x0D]+') as lw from lines where regexp_matches(l, '[^\x20\x09-\x0D]')),
 dups as (select r, count(*) as n from (select row_number() over (partition by r, l order by k) as c, r from worded) where c > 1 group by r),
-normal as (select r, source, text, len(lw) as n, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as l from worded),
-hosts as (select source, count(distinct text) as n from d group by source),
+normal as (select r, source, doc_id, len(lw) as n, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as l from worded),
+hosts as (select source, count(distinct doc_id) as n from d group by source),
 common as (
-  select a.source, a.l from (select source, l, count(distinct text) as n from normal group by source, l) a
+  select a.source, a.l from (select source, l, count(distinct doc_id) as n from normal group by source, l) a
   join hosts h on a.source is not distinct from h.source where a.n > 20 and a.n > 0.05 * h.n),
 gone as (select x.r, sum(x.n) as n from normal x join common c on x.source is not distinct from c.source and x.l = c.l group by x.r),
 c as (
@@ -76,7 +76,7 @@ from v
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))  # a null id has no remainder
     model = langid.train(docs.filter(~held_out))
     return langid.label_language(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -84,7 +84,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.xxhash64(text).alias("text_hash"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    sharded = sharding.shard_rows(docs, text_col="text_hash")
+    sharded = sharding.shard_rows(docs)
     return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -97,8 +97,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: A job of one's own takes the key from its secrets; this one makes the query's results repeatable.
+PII_KEY = "key of the registered query"
+
+
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_entities", "kinds", "text")
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY).select("doc_id", "n_entities", "kinds", "text")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

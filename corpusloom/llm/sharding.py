@@ -1,24 +1,26 @@
 """Uniform shuffling into shards of exact sizes by a hypergeometric communication matrix.
 
-Rows are dealt to blocks by a hash of their identity and of the number that tells equal
+Rows are dealt to blocks by a hash of their values and of the number that tells equal
 rows apart, so copies spread like any other rows. How many rows of a block go to a shard follows the
 multivariate hypergeometric law of a uniform shuffle, so the shards' sizes are exact. Each
 block permutes its rows and cuts them by its line of the matrix; each shard permutes what
-it receives. Neither a block nor a shard is ever one task's unbounded group: blocks are
-counted in advance, and a shard is permuted in pieces whose first slots are summed up.
+it receives. Neither a block nor a shard is ever one task's unbounded group: both are
+permuted in pieces whose first ranks are summed up. All this moves row keys; whole rows
+are joined to their places at the end.
 """
 
 from __future__ import annotations
 
 import math
 import random
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, bare, packed, staged, unpacked
+from .common import ROW, forget, packed, row_key, staged, unpacked
 
-#: Rows of a block, on average, until there are MAX_BLOCKS; the matrix has MAX_BLOCKS lines at most.
+#: Rows of a block, on average, until there are MAX_BLOCKS lines of the matrix; from then on blocks grow, and are permuted in more pieces.
 BLOCK_ROWS, MAX_BLOCKS = 20_000, 4096
 
 
@@ -62,59 +64,73 @@ def communication_matrix(block_rows: list[int], shard_rows: list[int], seed: int
     return lines
 
 
-def numbered_copies(rows: DataFrame, part_rows: int) -> DataFrame:
-    """(one, two, row) with ``copy``: 0, 1, ... among the rows of equal (one, two).
+def numbered_copies(counted: DataFrame, part_rows: int) -> DataFrame:
+    """(one, two, copy): each of the n rows of (one, two, n) by its number from 0.
 
-    Copies are numbered within parts of at most ``part_rows`` rows of the table as it is
-    stored, and the parts' counts of an identity are summed up, so no group of copies is one task's.
+    A row that repeats very often is unfolded in parts of ``part_rows``, which are dealt out
+    before, so that no row's copies are one task's.
     """
-    key = ["one", "two", "part"]
-    parts = rows.withColumn("part", F.floor(F.col("row") / F.lit(part_rows)))
-    inside = parts.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("row")))
-    counts = parts.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("one", "two").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # Only identities that stand in several parts have something before them.
-    later = counts.withColumn("before", before).filter("before > 0").select(*key, "before")
-    return inside.join(later, key, "left").select("one", "two", "row", (F.coalesce("before", F.lit(0)) + F.col("nth") - 1).alias("copy"))
+    n = F.col("n")
+    parts = counted.select("one", "two", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / part_rows))).alias("part"))
+    dealt = staged(parts.repartition("one", "two", "part"), "sharding-parts")
+    ends = F.least(n, (F.col("part") + 1) * part_rows) - 1
+    return dealt.select("one", "two", F.explode(F.sequence(F.col("part") * part_rows, ends)).alias("copy"))
 
 
-def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, seed: int = 11, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """All columns of ``docs`` with ``shard`` (0 to shards - 1) and ``slot`` (0, 1, ... within the shard).
+def _ranked(rows: DataFrame, groups: list[str], pieces: int, name: str, label: str, by: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``name``: 0, 1, ... in the order of the 64-bit hash ``by`` within the groups; and the staged rows that it reads.
 
-    Shards' row counts differ by one at most. The order depends on id, text and seed alone;
-    equal rows may change places with each other. Null ids and texts are values like any
-    other; an empty table gives an empty one.
+    A group is ranked in pieces, each a range of the hash and one task's work, whose first ranks are summed up.
     """
-    spark = docs.sparkSession
-    identity = [bare(id_col), bare(text_col)]
-    # The rows themselves stay here until the end; what is moved before is a few numbers of each.
-    source = staged(docs.select(packed(docs), F.xxhash64(F.lit(seed), *identity).alias("one"), F.xxhash64(F.lit(seed + 1), *identity).alias("two"), F.monotonically_increasing_id().alias("row")), "sharding-rows")
-    numbered = numbered_copies(source.select("one", "two", "row"), block_rows)
-    copy = ["one", "two", "copy"]
-    rows = numbered.select("row", F.xxhash64(F.lit(seed), *copy).alias("draw"), F.xxhash64(F.lit(seed + 1), *copy).alias("place"), F.xxhash64(F.lit(seed + 2), *copy).alias("tie"))
-    total = source.count()
+    piece = F.floor(F.shiftrightunsigned(by, 11) / F.lit(float(1 << 53)) * pieces).cast("int")
+    keys = [*groups, "piece"]
+    # Unsigned order of the hash, as the pieces have it.
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(F.shiftrightunsigned(by, 1), F.col(by), *order))
+    inside = staged(rows.withColumn("piece", piece).withColumn("at", at), label)
+    sizes = inside.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*groups).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*[F.col(k).alias(f"s_{k}") for k in keys], before.alias("first"))
+    joined = inside.join(starts, [F.col(k) == F.col(f"s_{k}") for k in keys])
+    return joined.select(*rows.columns, (F.col("first") + F.col("at") - 1).alias(name)), inside
+
+
+def placements(counted: DataFrame, total: int, shards: int, seed: int, block_rows: int) -> DataFrame:
+    """(one, two, copy, shard, slot) for each of the n rows of (one, two, n): the shuffle on row keys alone."""
+    spark, copy = counted.sparkSession, ["one", "two", "copy"]
+    hashes = [F.xxhash64(F.lit(seed + k), *copy).alias(c) for k, c in enumerate(("draw", "place", "tie"))]
     blocks = max(1, min(MAX_BLOCKS, total // block_rows))
-    dealt = staged(rows.withColumn("block", F.pmod(F.col("tie"), F.lit(blocks)).cast("int")), "sharding-dealt")
-    counts = {r["block"]: r["count"] for r in dealt.groupBy("block").count().collect()}  # MAX_BLOCKS rows at most
+    rows = numbered_copies(counted, block_rows).select(*copy, *hashes).withColumn("block", F.pmod(F.col("tie"), F.lit(blocks)).cast("int"))
+    ranked, in_blocks = _ranked(rows, ["block"], max(1, total // blocks // block_rows), "rank", "sharding-ranked", "draw", ["tie", "place"])
+    counts = {r["block"]: r["count"] for r in in_blocks.groupBy("block").count().collect()}  # MAX_BLOCKS rows at most
     matrix = communication_matrix([counts.get(b, 0) for b in range(blocks)], [total // shards + (s < total % shards) for s in range(shards)], seed)
-    cuts = []
-    for line in matrix:
-        ends, at = [], 0
-        for n in line:
-            at += n
-            ends.append(at)
-        cuts.append(ends)
-    lines = F.broadcast(spark.createDataFrame([(b, ends) for b, ends in enumerate(cuts)], "block int, ends array<bigint>"))  # MAX_BLOCKS lines of `shards` numbers at most
-
-    permuted = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy("draw", "tie", "place"))).join(lines, "block")
-    shard = F.size(F.filter("ends", lambda e: e < F.col("rank")))
-    pieces = max(1, min(MAX_BLOCKS, total // shards // block_rows + 1))
-    # The piece is the leading part of the shard's random order, so that pieces laid end to end are that order.
-    piece = F.floor(F.shiftrightunsigned("place", 11) / F.lit(float(1 << 53)) * pieces).cast("int")
-    sent = permuted.select("row", "place", "tie", "draw", shard.alias("shard"), piece.alias("piece"))
-    placed = staged(sent.withColumn("at", F.row_number().over(Window.partitionBy("shard", "piece").orderBy("place", "tie", "draw"))), "sharding-placed")
-    starts = placed.groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(starts.select(F.col("shard").alias("s_shard"), F.col("piece").alias("s_piece"), before.alias("first")))  # shards x MAX_BLOCKS rows at most
-    slotted = placed.join(starts, (F.col("shard") == F.col("s_shard")) & (F.col("piece") == F.col("s_piece"))).select("row", "shard", (F.col("first") + F.col("at") - 1).alias("slot"))
-    return unpacked(source.select(ROW, "row").join(slotted, "row"), docs.columns, {"shard": F.col("shard").cast("int"), "slot": F.col("slot").cast("long")})
+    lines = [(b, list(accumulate(line))) for b, line in enumerate(matrix)]
+    lines = F.broadcast(spark.createDataFrame(lines, "block int, ends array<bigint>"))  # MAX_BLOCKS lines of `shards` numbers at most
+    shard = F.size(F.filter("ends", lambda e: e <= F.col("rank"))).cast("int")
+    sent = ranked.join(lines, "block").select(*copy, "place", "tie", "draw", shard.alias("shard"))
+    slotted, in_shards = _ranked(sent, ["shard"], max(1, total // shards // block_rows), "slot", "sharding-placed", "place", ["tie", "draw"])
+    forget(in_blocks)
+    return slotted.select(*copy, "shard", F.col("slot").cast("long").alias("slot"))
+
+
+def shard_rows(docs: DataFrame, shards: int = 24, seed: int = 11, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """All columns of ``docs`` with ``shard`` (0 to shards - 1) and ``slot`` (0, 1, ... within the shard).
+
+    Shards' row counts differ by one at most. The order depends on the rows' values and the
+    seed alone. Rows equal in all columns are one row with a count until the end: a whole
+    row moves once, to where its places are. Nulls are values like any other, an empty table
+    gives an empty one, and outputs replace input columns of their name.
+    """
+    keyed = docs.select(packed(docs), *row_key(docs))
+    counted = staged(keyed.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")), "sharding-counted")
+    total, repeated = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    placed = placements(counted, total, shards, seed, block_rows)
+    if repeated > 1:
+        # The same value under the same key, whichever row of several it is taken from.
+        keyed = keyed.groupBy("one", "two").agg(F.first(ROW).alias(ROW))
+    placed = placed.select("one", "two", F.floor(F.col("copy") / block_rows).alias("part"), "shard", "slot")
+    out = keyed.join(placed.filter("part = 0"), ["one", "two"]).select(ROW, "shard", "slot")
+    if repeated > block_rows:
+        # Copies of one row beyond the first part meet it part by part; so frequent are total / block_rows rows at most.
+        many = counted.filter(F.col("n") > block_rows).select("one", "two", F.explode(F.sequence(F.lit(1).cast("bigint"), F.floor((F.col("n") - 1) / block_rows))).alias("part"))
+        out = out.unionByName(keyed.join(many, ["one", "two"]).join(placed, ["one", "two", "part"]).select(ROW, "shard", "slot"))
+    return unpacked(out, docs.columns, {"shard": F.col("shard"), "slot": F.col("slot")})
