@@ -46,6 +46,8 @@ BLOCK_ROWS = 2_000
 #: Smallest shingle hashes kept of a text in that comparison: all of a short text, and an estimate within 0.025 for others.
 FINE = 256
 CHUNK = 1 << 16
+#: Digests and numbers of texts (40 bytes each) that are broadcast; more are joined by shuffle.
+BROADCAST_TEXTS = 200_000
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -328,8 +330,9 @@ def _across(radius: int, similarity: float):
 
 
 def _texts_of(source: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the distinct texts with these nodes, from (copy, text) rows."""
-    wanted = texts.join(nodes.distinct(), "node", "left_semi").select("node", F.col("copy").alias("w_copy"))
+    """(node, text) of the distinct texts with these nodes, from (copy, text) rows; a few digests are broadcast, so that only their texts move."""
+    wanted = staged(texts.join(nodes.distinct(), "node", "left_semi").select("node", F.col("copy").alias("w_copy")), "neardup-wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
     return source.join(wanted, F.col("copy") == F.col("w_copy")).dropDuplicates(["node"]).select("node", "text")
 
 
