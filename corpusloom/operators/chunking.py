@@ -1,15 +1,17 @@
 """Splitting pages into passages.
 
-Windows, sentences, headings and their attribution are SQL expressions. Recursive,
-structural, semantic and page-carrying splits fold over one page or document, and run as
-mapInPandas over pages or applyInPandas per document.
+Windows, sentences and headings are SQL expressions. Recursive, structural, semantic and
+annotated splits fold over one text; where their chunks stand among a document's pages and
+sections depends on the chunk before, so a document is one group of applyInPandas.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,10 +19,15 @@ from pyspark.sql import functions as F
 
 from ..functions.text import first_words, not_blank, strip
 
+#: Separators from coarse to fine, the pattern of a numbered heading (in SQL and in Python), that of a Markdown heading, and what an annotator puts between chunks.
 SEPARATORS = ("\n\n", "\n", " ", "")
 HEADING = r"(?mU)^\s*(\d+(?:\.\d+)*\.?\s+[^\W\d_].*?)\s*$"
+HEADING_LINE = re.compile(r"^\s*(\d+(?:\.\d+)*\.?\s+[^\W\d_].*?)\s*$", re.MULTILINE)
+MARKDOWN_HEADING = re.compile(r"(^(?:#|\s*##|\s*###|\s*####)\s+.*$)", re.MULTILINE)
 BREAK_MARKER = "===CHUNK_BREAK==="
-CHUNK_SCHEMA = "document_id bigint, page_number int, chunk_index int, content string"
+#: Pages each on their own, with the end of the page before put in front, or laid end to end.
+ISOLATED, CARRIED, JOINED = "isolated", "carried", "joined"
+Split = Callable[[str], list[str]]
 
 
 def window_array(text: Column, size: int, overlap: int) -> Column:
@@ -63,26 +70,16 @@ def headings(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(HEADING), F.lit(1))
 
 
-def page_offsets(pages: DataFrame) -> DataFrame:
-    """Pages with their [start, end) in the document's pages joined by line breaks."""
-    order = Window.partitionBy("document_id").orderBy("page_number")
-    before = F.coalesce(F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return pages.withColumn("start", before).withColumn("end", F.col("start") + F.length("text") + 1)
+def heading_marks(pages: DataFrame) -> DataFrame:
+    """(document_id, page_number, pos, title) of numbered headings; ``pos`` is where the match begins, blank lines before it included."""
+    kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(d, p, m.start(), m[1].strip()) for d, p, t in zip(batch["document_id"], batch["page_number"], batch["text"], strict=True) for m in HEADING_LINE.finditer(t or "")]
+            yield pd.DataFrame(rows, columns=["document_id", "page_number", "pos", "title"])
 
-def cross_page_windows(pages: DataFrame, size: int, overlap: int) -> DataFrame:
-    """Windows over the whole document; each belongs to the page that holds its start (1 if none does).
-
-    Pages of one document meet in one group, whose size is the document's own. The page is
-    found inside the row, so no interval join multiplies rows.
-    """
-    at = F.array_sort(F.collect_list(F.struct("page_number", "text")))
-    docs = pages.groupBy("document_id").agg(at.alias("pages"))
-    ends = F.transform(F.sequence(F.lit(1), F.size("pages")), lambda k: F.aggregate(F.slice("pages", 1, k), F.lit(0), lambda s, p: s + F.length(p["text"]) + 1))
-    docs = docs.select("document_id", "pages", F.array_join(F.transform("pages", lambda p: p["text"]), "\n").alias("text"), ends.alias("ends"))
-    cut = character_windows(docs.select("document_id", "pages", "ends", "text"), size, overlap)
-    index = F.size(F.filter("ends", lambda e: e <= F.col("start")))
-    return cut.select("document_id", F.coalesce(F.get("pages", index)["page_number"], F.lit(1)).alias("page_number"), "chunk_index", "start", "content")
+    return pages.select("document_id", "page_number", "text").mapInPandas(run, f"document_id {kinds['document_id']}, page_number int, pos int, title string")
 
 
 def section_of_chunks(chunks: DataFrame, marks: DataFrame) -> DataFrame:
@@ -117,6 +114,15 @@ def shared_edge(previous: Column, content: Column, most: int = 300) -> Column:
 # ---- folds -------------------------------------------------------------------------------
 
 
+def window_pieces(text: str, size: int, overlap: int) -> list[str]:
+    """The windows of ``window_array`` as plain text."""
+    if size <= 0:
+        return [text]
+    step = max(1, size - overlap)
+    last = max(0, -(-(len(text) - size) // step))
+    return [w for w in (text[k * step : k * step + size] for k in range(last + 1)) if w.strip()]
+
+
 def recursive_pieces(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
     """Greedy packing at the coarsest separator that works, finer ones for what is too long.
 
@@ -161,15 +167,14 @@ def recursive_pieces(text: str, size: int, overlap: int, separators: tuple[str,
 
 def structural_pieces(text: str, most: int, size: int, overlap: int) -> list[str]:
     """A chunk begins at every Markdown heading, and where it would grow over ``most``; longer ones are split again."""
-    parts = [p for p in re.split(r"(^(?:#|\s*#{2,4})\s+.*$)", text, flags=re.MULTILINE) if p.strip()]
-    grown: list[str] = []
-    for part in parts:
-        if not grown or part.strip().startswith("#") or len(grown[-1]) + len(part) > most:
+    grown = [""]
+    for part in filter(str.strip, MARKDOWN_HEADING.split(text)):
+        if part.strip().startswith("#") or len(grown[-1]) + len(part) > most:
             grown.append(part)
         else:
             grown[-1] += "\n" + part
     out: list[str] = []
-    for chunk in (g.strip() for g in grown):
+    for chunk in filter(None, map(str.strip, grown)):
         out += recursive_pieces(chunk, size, overlap) if len(chunk) > most else [chunk]
     return out
 
@@ -201,14 +206,13 @@ def packed_sentences(parts: list[str], distances: list[float] | None, limit: flo
 
 
 def semantic_pieces(text: str, embed: Callable[[list[str]], list[list[float]]] | None, kind: str = "percentile", value: float = 95.0, buffer: int = 1, most: int = 3000) -> list[str]:
-    """Cut where neighbouring sentence groups are further apart than most; without an embedder by length alone."""
+    """Cut where neighbouring groups of ``buffer`` sentences are further apart than most; without an embedder by length alone."""
     parts = [s.strip() for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()]
     if not parts:
-        return []
-    if embed is None:
+        return [text]
+    vectors = embed([" ".join(parts[i : i + buffer]) for i in range(len(parts))]) if embed else []
+    if len(vectors) != len(parts):
         return packed_sentences(parts, None, 0.0, most)
-    groups = [" ".join(parts[max(0, i - buffer) : i + buffer + 1]) for i in range(len(parts))]
-    vectors = embed(groups)
     distances = []
     for a, b in zip(vectors, vectors[1:], strict=False):
         scale = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
@@ -218,35 +222,100 @@ def semantic_pieces(text: str, embed: Callable[[list[str]], list[list[float]]] |
     return packed_sentences(parts, distances, distance_limit(distances, kind, value), most)
 
 
-def split_pages(pages: DataFrame, split: Callable[[str], list[str]]) -> DataFrame:
-    """Each page on its own, blank pages skipped; chunk_index runs through the document's pages."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(d, p, i, c) for d, p, t in batch[["document_id", "page_number", "text"]].itertuples(index=False) if t and t.strip() for i, c in enumerate(split(t))]
-            yield pd.DataFrame(rows, columns=["document_id", "page_number", "chunk_index", "content"])
-
-    cut = pages.select("document_id", "page_number", "text").mapInPandas(run, CHUNK_SCHEMA)
-    order = Window.partitionBy("document_id").orderBy("page_number", "chunk_index")
-    return cut.withColumn("chunk_index", F.row_number().over(order) - 1)
+def annotated_pieces(text: str, annotate: Callable[[str], str | None] | None, block: int = 4000, size: int = 1500, overlap: int = 250) -> list[str]:
+    """What an annotator makes of each ``block`` characters, cut at its markers; recursive pieces where it says nothing or fails."""
+    if not text.strip():
+        return []
+    if annotate is None:
+        return recursive_pieces(text, size, overlap)
+    out: list[str] = []
+    for at in range(0, len(text), block):
+        part = text[at : at + block]
+        try:
+            reply = annotate(part) or ""
+        except Exception:  # one failed call must not lose the document
+            reply = ""
+        found = [p.strip() for p in reply.split(BREAK_MARKER) if p.strip()]
+        out += found or ([] if BREAK_MARKER in reply else recursive_pieces(part, size, overlap))
+    return out or recursive_pieces(text, size, overlap)
+
+
+def placed(parts: list[str], text: str) -> Iterator[tuple[str, int]]:
+    """(content, start): parts without outer white space, blanks dropped, each at its first place from the end of the one before on; else at that end."""
+    at = 0
+    for content in filter(None, map(str.strip, parts)):
+        found = text.find(content, at)
+        if found < 0:
+            yield content, at
+        else:
+            yield content, found
+            at = found + len(content)
 
 
-def split_pages_with_carry(pages: DataFrame, split: Callable[[str], list[str]], overlap: int) -> DataFrame:
-    """As split_pages, with the end of a page's last chunk put before the next page; an overlap of 0 carries nothing.
+def placed_chunks(pages: list[tuple[int, str]], split: Split, mode: str, overlap: int) -> Iterator[tuple[int, int, str, str | None]]:
+    """(page_number, start, content, section_title) of one document's (page_number, text) in order.
 
-    A document's pages are one group: the carry makes each page depend on the one before.
+    A section is the last numbered heading at or before the start; it stays open until the
+    next one. Joined pages end in a line break each, and a chunk belongs to the page that
+    holds its start (1 if none does).
+    """
+    section, carry = None, ""
+    if mode == JOINED:
+        starts = list(accumulate((len(t) + 1 for _, t in pages), initial=0))
+        whole = "".join(f"{t}\n" for _, t in pages)
+        marks = [(begin + m.start(), m[1].strip()) for begin, (_, t) in zip(starts, pages, strict=False) for m in HEADING_LINE.finditer(t)]
+        places = [p for p, _ in marks]
+        for content, start in placed(split(whole), whole):
+            if at := bisect_right(places, start):
+                section = marks[at - 1][1]
+            k = bisect_right(starts, start) - 1
+            yield pages[k][0] if k < len(pages) else 1, start, content, section
+        return
+    for number, text in pages:
+        if not text.strip():
+            continue
+        marks = [(m.start(), m[1].strip()) for m in HEADING_LINE.finditer(text)]
+        places = [p for p, _ in marks]
+        parts = split(f"{carry}\n{text}" if carry else text)
+        if mode == CARRIED:
+            # An overlap of 0 carries the whole last chunk, as the slice from the end by 0 does.
+            carry = parts[-1][-overlap:] if parts else ""
+        for content, start in placed(parts, text):
+            if at := bisect_right(places, start):
+                section = marks[at - 1][1]
+            yield number, start, content, section
+
+
+def split_pages(pages: DataFrame, split: Split, mode: str = ISOLATED, overlap: int = 0) -> DataFrame:
+    """(document_id, page_number, chunk_index, start, content, section_title) by any way of splitting a text.
+
+    Blank pages are skipped, null ones are blank; chunk_index is gapless through the
+    document. A document's pages are one group: each chunk's place depends on the one before.
     """
+    if mode not in (ISOLATED, CARRIED, JOINED):
+        raise ValueError(f"{mode!r} is no way to treat pages")
+    kind = pages.schema["document_id"].dataType.simpleString()
+    columns = ["document_id", "page_number", "chunk_index", "start", "content", "section_title"]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows, carry = [], ""
-        for d, p, t in group.sort_values("page_number")[["document_id", "page_number", "text"]].itertuples(index=False):
-            if not t or not t.strip():
-                continue
-            pieces = split(f"{carry}\n{t}" if carry else t)
-            rows += [(d, p, c) for c in pieces]
-            carry = pieces[-1][-overlap:] if pieces and overlap > 0 else ""
-        out = pd.DataFrame(rows, columns=["document_id", "page_number", "content"])
-        out.insert(2, "chunk_index", range(len(out)))
-        return out
-
-    return pages.groupBy("document_id").applyInPandas(run, CHUNK_SCHEMA)
+        listed = [(int(p), t or "") for p, t in zip(group["page_number"], group["text"], strict=True)]
+        rows = [(group["document_id"].iloc[0], p, i, a, c, s) for i, (p, a, c, s) in enumerate(placed_chunks(sorted(listed), split, mode, overlap))]
+        return pd.DataFrame(rows, columns=columns)
+
+    schema = f"document_id {kind}, page_number int, chunk_index int, start int, content string, section_title string"
+    return pages.select("document_id", "page_number", "text").groupBy("document_id").applyInPandas(run, schema)
+
+
+def previews(pages: DataFrame, settings: dict[str, tuple[Split, str, int]]) -> DataFrame:
+    """The chunks of several settings (split, mode, overlap) side by side, with ``setting``; nothing is written."""
+    out = None
+    for name, (split, mode, overlap) in settings.items():
+        part = split_pages(pages, split, mode, overlap).withColumn("setting", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def preview_sizes(chunks: DataFrame) -> DataFrame:
+    """(setting, document_id, n_chunks, characters, longest): what two settings make of a document, to compare them by."""
+    n = F.length("content")
+    return chunks.groupBy("setting", "document_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(n).cast("bigint").alias("characters"), F.max(n).cast("bigint").alias("longest"))

@@ -7,26 +7,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .predicates import ASKER, SEEN, may_see
 
 START, END = "[[MATCH_START]]", "[[MATCH_END]]"
 MOST_OVERLAP = 300
 PLACEHOLDER = "{context_str}"
 
 
-def neighbours(hits: DataFrame, chunks: DataFrame, kind: str, reach: int = 1) -> DataFrame:
-    """(query_id, hit_id, chunk_id, chunk_index, content) around each hit of (query_id, hit_id, document_id, chunk_index, page_number, section_title).
+def neighbours(hits: DataFrame, chunks: DataFrame, kind: str, reach: int = 1, queries: DataFrame | None = None, as_of_year: int | None = None) -> DataFrame:
+    """(query_id, hit_id, document_id, chunk_id, chunk_index, content) around each hit of (query_id, hit_id, document_id, chunk_index, page_number, section_title).
 
     Siblings by an equi-join on exploded indexes, so that a long document is not paired
-    with itself; page and section by equi-join, where a null section meets none. Give
-    ``chunks`` that the query may see: access is not looked at again.
+    with itself; page and section by equi-join, where a null section meets none. With
+    ``queries`` a neighbour must pass tenant, access and freshness as the hit did; without,
+    give ``chunks`` that all who ask may see.
     """
-    around = chunks.select("document_id", F.col("chunk_id"), F.col("chunk_index").cast("int").alias("chunk_index"), "content", "page_number", "section_title")
+    around = chunks.select("document_id", "chunk_id", F.col("chunk_index").cast("int").alias("chunk_index"), "content", "page_number", "section_title", *(SEEN if queries is not None else ()))
     if kind == "siblings":
         near = hits.select("query_id", "hit_id", "document_id", F.explode(F.sequence(F.col("chunk_index").cast("int") - reach, F.col("chunk_index").cast("int") + reach)).alias("chunk_index"))
         joined = near.join(around, ["document_id", "chunk_index"])
     else:
         on = ["document_id", "page_number" if kind == "page" else "section_title"]
         joined = hits.select("query_id", "hit_id", *on).join(around, on)
+    if queries is not None:
+        joined = joined.join(queries.select("query_id", *ASKER), "query_id").filter(may_see(as_of_year))
     return joined.select("query_id", "hit_id", "document_id", "chunk_id", "chunk_index", "content")
 
 
@@ -59,9 +63,9 @@ def merged(contents: list[str], hit: int) -> str:
     return text if span is None else text[: span[0]] + START + text[span[0] : span[1]] + END + text[span[1] :]
 
 
-def expand(hits: DataFrame, chunks: DataFrame, kind: str, reach: int = 1, max_tokens: int = 4000) -> DataFrame:
+def expand(hits: DataFrame, chunks: DataFrame, kind: str, reach: int = 1, max_tokens: int = 4000, queries: DataFrame | None = None, as_of_year: int | None = None) -> DataFrame:
     """(query_id, hit_id, content) with context; hits that nothing surrounds keep their content. Groups are single hits."""
-    found = neighbours(hits, chunks, kind, reach)
+    found = neighbours(hits, chunks, kind, reach, queries, as_of_year)
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["chunk_index", "chunk_id"], ignore_index=True)
@@ -92,6 +96,30 @@ def evidence(hits: DataFrame) -> DataFrame:
     return listed.select("query_id", F.array_join(F.transform("blocks", lambda b: b["block"]), "\n---\n").alias("context"))
 
 
+def templates_for(askers: DataFrame, templates: DataFrame, default_tenant: str = "default", default_locale: str = "cs", locales: tuple[str, ...] = ("cs", "en")) -> DataFrame:
+    """``askers`` (tenant, locale, ...) with ``template``: that of the tenant's base and the locale, else the default tenant's.
+
+    ``templates``: (tenant, locale, template), a configuration table. The base of a tenant is
+    what stands before its first dash; a locale that is not known counts as the default one.
+    """
+    known = F.broadcast(templates.groupBy("tenant", "locale").agg(F.max("template").alias("template")).withColumnsRenamed({"tenant": "t_tenant", "locale": "t_locale"}))  # configuration
+    base = F.split(F.coalesce("tenant", F.lit(default_tenant)), "-")[0]
+    locale = F.when(F.lower("locale").isin(*locales), F.lower("locale")).otherwise(default_locale)
+    asked = askers.withColumn("_base", base).withColumn("_locale", locale)
+    own = asked.join(known, (F.col("_base") == F.col("t_tenant")) & (F.col("_locale") == F.col("t_locale")), "left").withColumnRenamed("template", "_own").drop("t_tenant", "t_locale")
+    rest = known.filter(F.col("t_tenant") == default_tenant).drop("t_tenant")
+    both = own.join(rest, F.col("_locale") == F.col("t_locale"), "left")
+    return both.select(*askers.columns, F.coalesce("_own", "template").alias("template"))
+
+
+def answer_sources(hits: DataFrame) -> DataFrame:
+    """(query_id, sources): what an answer was given, in order, from hits (query_id, rank, document_id, chunk_id, title, content, section_title, page_number, freshness_status, score, allowed_groups)."""
+    fields = ["document_id", "chunk_id", "title", "content", "section_title", "page_number", "freshness_status", "score", "allowed_groups"]
+    given = F.coalesce("allowed_groups", F.array().cast("array<string>")).alias("allowed_groups")
+    listed = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.struct(*[given if f == "allowed_groups" else F.col(f) for f in fields]).alias("s")))).alias("l"))
+    return listed.select("query_id", F.transform("l", lambda x: x["s"]).alias("sources"))
+
+
 def prompt(template: Column, context: Column) -> Column:
     """The template with its placeholder filled, or with the context after it."""
     return F.when(F.contains(template, F.lit(PLACEHOLDER)), F.replace(template, F.lit(PLACEHOLDER), context)).otherwise(F.concat(template, F.lit("\n\n=== DOCUMENTS ===\n"), context, F.lit("\n")))

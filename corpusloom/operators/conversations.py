@@ -17,6 +17,14 @@ def thread_list(threads: DataFrame, messages: DataFrame) -> DataFrame:
     return threads.join(counts, "thread_id", "left").withColumn("n_messages", F.coalesce("n_messages", F.lit(0)))
 
 
+def thread_detail(threads: DataFrame, messages: DataFrame) -> DataFrame:
+    """Threads with ``messages``: message_id, role, content, sources and created_at in the order of time; empty for threads without any."""
+    said = F.struct("created_at", "message_id", "role", "content", "sources")
+    listed = messages.groupBy("thread_id").agg(F.array_sort(F.collect_list(said)).alias("messages"))
+    none = F.array().cast(listed.schema["messages"].dataType)
+    return threads.join(listed, "thread_id", "left").withColumn("messages", F.coalesce("messages", none))
+
+
 def auto_title(title: Column, first_question: Column, is_empty: Column) -> Column:
     """The first 50 characters of the question, with dots if there are more; for threads with a default or no title, or no messages."""
     short = F.when(F.length(first_question) > 50, F.concat(F.substring(first_question, 1, 50), F.lit("..."))).otherwise(first_question)

@@ -93,3 +93,14 @@ def propagate_acl(documents: DataFrame, categories: DataFrame) -> DataFrame:
     joined = documents.join(groups, F.col("metadata")["department"] == F.col("c_key"), "left")
     differs = F.col("c_key").isNotNull() & ~F.col("acl").eqNullSafe(F.col("c_acl"))
     return joined.select(*[F.when(differs, F.col("c_acl")).otherwise(F.col("acl")).alias("acl") if c == "acl" else F.col(c) for c in documents.columns], differs.alias("propagated"))
+
+
+def mirrored(chunks: DataFrame, documents: DataFrame, columns: tuple[str, ...] = ("language", "freshness_status", "acl", "metadata")) -> DataFrame:
+    """Chunks with what they inherit taken again from ``documents``, the edited, moved or propagated ones; others stay as they are.
+
+    Titles are not a chunk's, and columns that chunks lack are left out.
+    """
+    taken = [c for c in columns if c in chunks.columns and c in documents.columns]
+    new = documents.select("document_id", *[F.col(c).alias(f"_new_{c}") for c in taken], F.lit(True).alias("_mirrored"))
+    joined = chunks.join(new, "document_id", "left")
+    return joined.select(*[F.when(F.col("_mirrored"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in taken else F.col(c) for c in chunks.columns])

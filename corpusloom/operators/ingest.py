@@ -58,8 +58,12 @@ def created_at(metadata: Column, run_time: Column) -> Column:
 
 
 def classify(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """``incoming`` (source_uri, checksum, ...) with ``existing_id`` and ``change``: new, unchanged or changed."""
-    known = existing.select(uri_path(F.col("source_uri")).alias("path"), F.col("document_id").alias("existing_id"), F.col("checksum").alias("existing_checksum"))
+    """``incoming`` (source_uri, checksum, ...) with ``existing_id`` and ``change``: new, unchanged or changed.
+
+    A path that is stored under several addresses is one document, that of the smallest id.
+    """
+    known = existing.groupBy(uri_path(F.col("source_uri")).alias("path")).agg(F.min(F.struct("document_id", "checksum")).alias("e"))
+    known = known.select("path", F.col("e.document_id").alias("existing_id"), F.col("e.checksum").alias("existing_checksum"))
     joined = incoming.withColumn("path", uri_path(F.col("source_uri"))).join(known, "path", "left")
     change = F.when(F.col("existing_id").isNull(), "new").when(F.col("checksum") == F.col("existing_checksum"), "unchanged").otherwise("changed")
     return joined.withColumn("change", change).drop("path", "existing_checksum")

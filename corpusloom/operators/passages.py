@@ -2,42 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_form, strip
 
 
 def page_strings(words: DataFrame) -> DataFrame:
-    """(document_id, page_number, joined, ends): normalised words end to end, and where each ends."""
-    listed = words.groupBy("document_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("word_index", normal_form(F.col("word")).alias("w")))).alias("ws"))
-    parts = F.transform("ws", lambda x: x["w"])
-    ends = F.aggregate(parts, F.array().cast("array<int>"), lambda acc, w: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + F.length(w))))
-    return listed.select("document_id", "page_number", F.array_join(parts, "").alias("joined"), F.transform("ws", lambda x: x["word_index"]).alias("indexes"), ends.alias("ends"))
+    """(document_id, page_number, joined, indexes, ends): normalised words end to end, and where each ends."""
+    on_page = ["document_id", "page_number"]
+    end = F.sum(F.length("w")).over(Window.partitionBy(*on_page).orderBy("word_index")).cast("int")
+    ended = words.select(*on_page, "word_index", normal_form(F.col("word")).alias("w")).withColumn("end", end)
+    listed = ended.groupBy(*on_page).agg(F.array_sort(F.collect_list(F.struct("word_index", "w", "end"))).alias("ws"))
+    return listed.select(*on_page, F.array_join(F.transform("ws", lambda x: x["w"]), "").alias("joined"), F.transform("ws", lambda x: x["word_index"]).alias("indexes"), F.transform("ws", lambda x: x["end"]).alias("ends"))
 
 
 def _word_range(phrase: Column) -> Column:
     """Struct of the first and last word index of a phrase in ``joined``; null if it is not there."""
-    norm = normal_form(phrase)
-    at = F.position(norm, F.col("joined"))
-    begin = F.size(F.filter("ends", lambda e: e < at))
-    end = F.size(F.filter("ends", lambda e: e < at + F.length(norm) - 1))
-    return F.when((norm != "") & (at > 0), F.struct(F.get("indexes", begin).alias("first_word"), F.get("indexes", end).alias("last_word")))
+    found = F.struct(normal_form(phrase).alias("norm"))
+    at = F.transform(F.array(found), lambda f: F.struct(F.position(f["norm"], F.col("joined")).alias("begins"), F.length(f["norm"]).alias("size")))
+
+    def ranged(f: Column) -> Column:
+        begin = F.size(F.filter("ends", lambda e: e < f["begins"]))
+        end = F.size(F.filter("ends", lambda e: e < f["begins"] + f["size"] - 1))
+        return F.when((f["size"] > 0) & (f["begins"] > 0), F.struct(F.get("indexes", begin).alias("first_word"), F.get("indexes", end).alias("last_word")))
+
+    return F.get(F.transform(at, ranged), F.lit(0))
 
 
 def locate(chunks: DataFrame, words: DataFrame) -> DataFrame:
-    """(chunk_id, level, ranges): whole text, else its sentences, else its first ten words, else its first five."""
+    """(chunk_id, document_id, page_number, level, ranges): whole text, else its sentences, else its first ten words, else its first five.
+
+    A step is worked out only where the one before found nothing. Chunks of pages without words are left out.
+    """
     joined = chunks.join(page_strings(words), ["document_id", "page_number"])
-    text = strip(F.regexp_replace("content", r"(?U)\s+", " "))
-    parts = F.filter(F.transform(F.split(text, "[.!?]"), strip), lambda s: F.length(s) > 10)
-    tokens = F.filter(F.split(text, " "), lambda w: w != "")
-    whole = F.filter(F.array(_word_range(text)), lambda r: r.isNotNull())
-    by_sentence = F.filter(F.transform(parts, _word_range), lambda r: r.isNotNull())
-    ten = F.when(F.size(tokens) >= 5, _word_range(F.array_join(F.slice(tokens, 1, 10), " ")))
-    five = F.when(F.size(tokens) >= 3, _word_range(F.array_join(F.slice(tokens, 1, 5), " ")))
-    level = F.when(F.size(whole) > 0, "whole").when(F.size(by_sentence) > 0, "sentences").when(ten.isNotNull(), "ten words").when(five.isNotNull(), "five words").otherwise("none")
-    ranges = F.when(F.size(whole) > 0, whole).when(F.size(by_sentence) > 0, by_sentence).when(ten.isNotNull(), F.array(ten)).when(five.isNotNull(), F.array(five)).otherwise(F.slice(whole, 1, 0))
-    return joined.select("chunk_id", "document_id", "page_number", level.alias("level"), ranges.alias("ranges"))
+    known = ["chunk_id", "document_id", "page_number", "joined", "indexes", "ends"]
+    rows = joined.select(*known, strip(F.regexp_replace("content", r"(?U)\s+", " ")).alias("text"))
+    rows = rows.select("*", F.split("text", " ").alias("tokens"), _word_range(F.col("text")).alias("whole"))
+    parts = F.filter(F.transform(F.split("text", "[.!?]"), strip), lambda s: F.length(s) > 10)
+    rows = rows.select("*", F.when(F.col("whole").isNull(), F.filter(F.transform(parts, _word_range), lambda r: r.isNotNull())).alias("sentences"))
+    missed = F.size("sentences") == 0
+    first = lambda n, least: F.when(missed & (F.size("tokens") >= least), _word_range(F.array_join(F.slice("tokens", 1, n), " ")))
+    rows = rows.select("*", first(10, 5).alias("ten")).select("*", F.when(F.col("ten").isNull(), first(5, 3)).alias("five"))
+    level = F.when(F.col("whole").isNotNull(), "whole").when(F.size("sentences") > 0, "sentences").when(F.col("ten").isNotNull(), "ten words").when(F.col("five").isNotNull(), "five words").otherwise("none")
+    one = F.coalesce("whole", "ten", "five")
+    ranges = F.when(F.size("sentences") > 0, F.col("sentences")).otherwise(F.filter(F.array(one), lambda r: r.isNotNull()))
+    return rows.select("chunk_id", "document_id", "page_number", level.alias("level"), ranges.alias("ranges"))
+
+
+def matched_words(located: DataFrame, words: DataFrame) -> DataFrame:
+    """The words (with chunk_id) inside the ranges that ``locate`` gives, each once a chunk."""
+    ranges = located.select("chunk_id", "document_id", "page_number", F.explode("ranges").alias("r"))
+    at = ranges.select("chunk_id", "document_id", "page_number", F.explode(F.sequence("r.first_word", "r.last_word")).alias("word_index")).distinct()
+    return at.join(words, ["document_id", "page_number", "word_index"])
 
 
 def boxes(matched: DataFrame) -> DataFrame:

@@ -6,8 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MANAGEMENT, EVERYONE = "Management", "User"
-#: Filter keys that configure the search instead of naming metadata.
-CONFIGURATION_KEYS = ("freshness_filter", "search_strategy", "hybrid_strategy", "additionalProp1")
+#: Filter keys that configure the search instead of naming metadata.
+CONFIGURATION_KEYS = (
+    "freshness_filter", "search_strategy", "hybrid_strategy", "vector_weight", "keyword_weight",
+    "rrf_k", "vector_limit", "keyword_limit", "final_limit", "vector_final_limit",
+    "keyword_final_limit", "score_threshold", "freshness_boost", "context_expansion",
+    "context_expansion_size", "chunk_size", "chunk_overlap", "context_max_tokens",
+)
 
 
 def _yes(condition: Column) -> Column:
@@ -68,3 +73,12 @@ def library_search(needle: Column, *fields: Column) -> Column:
     for f in fields:
         hit = hit | _yes(F.contains(F.lower(f), wanted))
     return (wanted == "") | hit
+
+
+#: What decides whether a query may see a chunk: columns of the query, and of the chunk with its document.
+ASKER, SEEN = ("tenant", "groups", "freshness"), ("tenant_id", "doc_acl", "acl", "freshness_status", "created_at")
+
+
+def may_see(as_of_year: int) -> Column:
+    """Tenant, access and freshness over the columns ASKER and SEEN; documents' and chunks' lists both count."""
+    return tenant_matches(F.col("tenant_id"), F.col("tenant")) & acl_strict(F.col("doc_acl"), F.col("groups")) & acl_strict(F.col("acl"), F.col("groups")) & fresh_enough(F.col("freshness"), F.col("freshness_status"), F.col("created_at"), as_of_year)

@@ -1,38 +1,42 @@
 """Ranked retrieval for a table of queries.
 
 ``queries``: query_id, query, vector, groups, tenant, freshness, filters. ``chunks``:
-chunk_id, document_id, chunk_index, content, embedding, and what the predicates need.
+chunk_id, document_id, chunk_index, content, embedding, and what the predicates need. No
+step pairs all queries with all chunks: words lead from queries to chunks, and vectors
+meet block by block.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SearchConfig
 from ..functions.text import dedup_key, tokens
 from ..functions.vectors import cosine
 from . import predicates as P
+from .context import expand
+from .predicates import ASKER, SEEN, may_see
 
-#: Query tables of at most so many rows are broadcast; more are joined by shuffle, or taken in blocks.
+#: Tables made of queries are broadcast up to so many rows; more are joined by shuffle.
 BROADCAST_QUERIES = 10_000
+#: Queries, and chunks, of one block of the matrix product.
+BLOCK = 4096
 DECIMALS = 6
 
 
-def _queries_side(queries: DataFrame, limit: int = BROADCAST_QUERIES) -> DataFrame:
-    return F.broadcast(queries) if queries.count() <= limit else queries
+def _small(df: DataFrame, limit: int = BROADCAST_QUERIES) -> DataFrame:
+    return F.broadcast(df) if df.count() <= limit else df
 
 
-def prefiltered(queries: DataFrame, chunks: DataFrame, as_of_year: int) -> DataFrame:
-    """Query and chunk pairs that tenant, access and freshness allow; documents' and chunks' lists both count."""
-    ok = P.tenant_matches(F.col("tenant_id"), F.col("tenant")) & P.acl_strict(F.col("doc_acl"), F.col("groups")) & P.acl_strict(F.col("acl"), F.col("groups")) & P.fresh_enough(F.col("freshness"), F.col("freshness_status"), F.col("created_at"), as_of_year)
-    return chunks.join(_queries_side(queries), ok)
+def fits_metadata() -> Column:
+    return P.metadata_matches(P.cleaned_filters(F.col("filters")), F.col("columns"), F.col("doc_metadata"), F.col("metadata"))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf): the keyword index as a table."""
+    """(term, chunk_id, tf): the keyword index, to be written once and given to every search."""
     return chunks.select("chunk_id", F.explode(tokens(F.col("content"))).alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -40,10 +44,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
 
 
-def keyword_ranks(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, fts_rank): 0.1 for every matching position of any query term."""
-    hits = index.join(_queries_side(query_terms(queries), 10 * BROADCAST_QUERIES), "term")
-    return hits.groupBy("query_id", "chunk_id").agg(F.round(0.1 * F.sum("tf"), DECIMALS).alias("fts_rank"))
+def keyword_ranks(queries: DataFrame, chunks: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, fts_rank): 0.1 for every matching position of any query term.
+
+    Without an index the chunks' words meet the terms as they are read, so only hits are shuffled.
+    """
+    terms = _small(query_terms(queries), 10 * BROADCAST_QUERIES)
+    words = chunks.select("chunk_id", F.explode(tokens(F.col("content"))).alias("term"), F.lit(1).alias("tf")) if index is None else index
+    return words.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.round(0.1 * F.sum("tf"), DECIMALS).alias("fts_rank"))
 
 
 def _top(df: DataFrame, limit: int, *order) -> DataFrame:
@@ -51,62 +59,102 @@ def _top(df: DataFrame, limit: int, *order) -> DataFrame:
     return ranked.filter(F.col("rank") <= limit)
 
 
-def vector_candidates(pairs: DataFrame, limit: int) -> DataFrame:
-    """Nearest by cosine; chunks without a vector come last, ties go by chunk_id."""
-    scored = pairs.withColumn("score", F.round(cosine(F.col("embedding"), F.col("vector")), DECIMALS))
-    return _top(scored, limit, F.col("embedding").isNull(), F.col("score").desc(), "chunk_id")
-
+def _units(vectors: pd.Series) -> np.ndarray:
+    matrix = np.stack(vectors.to_numpy()).astype(float)
+    return matrix / np.where((n := np.linalg.norm(matrix, axis=1, keepdims=True)) > 0, n, 1)
 
-def keyword_candidates(pairs: DataFrame, ranks: DataFrame, limit: int) -> DataFrame:
-    """By keyword rank; ``score`` is still the cosine, for display."""
-    found = pairs.join(ranks, ["query_id", "chunk_id"])
-    scored = found.withColumn("score", F.round(cosine(F.col("embedding"), F.col("vector")), DECIMALS))
-    return _top(scored, limit, F.col("fts_rank").desc(), "chunk_id")
 
+def _nearest(limit: int):
+    """Of two blocks of one class, each query's ``limit`` best chunks by rounded score and chunk_id, as the window that merges blocks has it."""
 
-def boosted(df: DataFrame, boost: float, as_of_year: int) -> DataFrame:
-    """A constant on top for documents of the year; lists keep their order."""
-    return df.withColumn("score", F.round(F.col("score") + F.when(F.year("created_at") == as_of_year, boost).otherwise(0.0), DECIMALS))
-
+    def nearest(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        parts = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "chunk_id": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})]
+        if len(some) and len(others):
+            others = others.sort_values("chunk_id", ignore_index=True)
+            ids, matrix, chunk_ids, vectors = some["query_id"].to_numpy(), _units(some["vector"]), others["chunk_id"].to_numpy(), _units(others["embedding"])
+            most = min(limit, len(chunk_ids))
+            for at in range(0, len(ids), 256):
+                scores = (matrix[at : at + 256] @ vectors.T).round(DECIMALS)
+                # The limit-th best score of each query; what equals it is kept too, and cut by chunk_id.
+                bar = -np.partition(-scores, most - 1, axis=1)[:, most - 1 : most]
+                q, c = np.nonzero(scores >= bar)
+                order = np.lexsort((c, -scores[q, c], q))
+                q, c = q[order], c[order]
+                place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+                q, c = q[place < most], c[place < most]
+                parts.append(pd.DataFrame({"query_id": ids[at : at + 256][q], "chunk_id": chunk_ids[c], "score": scores[q, c]}))
+        return pd.concat(parts[1:] or parts)
 
-def with_metadata(df: DataFrame) -> DataFrame:
-    """Document and chunk metadata in one map, the chunk's values first."""
-    doc = F.map_filter("doc_metadata", lambda k, v: ~F.coalesce(F.map_contains_key("metadata", k), F.lit(False)))
-    return df.withColumn("merged_metadata", F.map_concat(F.coalesce(doc, F.create_map().cast("map<string,string>")), F.coalesce("metadata", F.create_map().cast("map<string,string>"))))
+    return nearest
 
 
-def top_k_blocks(queries: DataFrame, chunks: DataFrame, limit: int, block: int = 4096) -> DataFrame:
-    """(query_id, chunk_id, score, rank): unfiltered nearest chunks by block matrix products.
+def _met_blocks(asked: DataFrame, held: DataFrame, limit: int, block: int) -> DataFrame:
+    """(query_id, chunk_id, score) of asked (class, query_id, vector) and held (class, chunk_id, embedding), class by class.
 
-    Both tables are dealt to blocks of about ``block`` rows, and each two blocks meet in one
-    group of a shuffle. A group keeps ``limit`` rows of each query by rounded score and
-    chunk_id, as the window that merges them does.
+    Both are dealt to blocks of about ``block`` rows, and each two blocks of a class meet in one group of a shuffle.
     """
-    asked = queries.filter("vector is not null").select("query_id", "vector")
-    held = chunks.filter("embedding is not null").select("chunk_id", "embedding")
     qbs, cbs = (max(1, -(-df.count() // block)) for df in (asked, held))
     one = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     left = asked.select("*", one("query_id", qbs).alias("qb"), every(cbs).alias("cb"))
     right = held.select("*", one("chunk_id", cbs).alias("cb"), every(qbs).alias("qb"))
+    keys = ["class", "qb", "cb"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_nearest(limit), "query_id bigint, chunk_id bigint, score double")
 
-    def unit(vectors: pd.Series) -> np.ndarray:
-        matrix = np.stack(vectors.to_numpy()).astype(float)
-        return matrix / np.where((n := np.linalg.norm(matrix, axis=1, keepdims=True)) > 0, n, 1)
 
-    def nearest(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        parts = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "chunk_id": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})]
-        if len(some) and len(others):
-            others = others.sort_values("chunk_id")  # so that a stable sort leaves ties in this order
-            ids, matrix, chunk_ids, vectors = some["query_id"].to_numpy(), unit(some["vector"]), others["chunk_id"].to_numpy(), unit(others["embedding"])
-            for at in range(0, len(ids), 256):
-                scores = (matrix[at : at + 256] @ vectors.T).round(DECIMALS)
-                keep = np.argsort(-scores, axis=1, kind="stable")[:, :limit]
-                parts.append(pd.DataFrame({"query_id": np.repeat(ids[at : at + 256], keep.shape[1]), "chunk_id": chunk_ids[keep.ravel()], "score": np.take_along_axis(scores, keep, 1).ravel()}))
-        return pd.concat(parts[1:] or parts)
+def top_k_blocks(queries: DataFrame, chunks: DataFrame, limit: int, block: int = BLOCK) -> DataFrame:
+    """(query_id, chunk_id, score, rank): unfiltered nearest chunks by block matrix products."""
+    asked = queries.filter("vector is not null").select(F.lit(0).alias("class"), "query_id", "vector")
+    held = chunks.filter("embedding is not null").select(F.lit(0).alias("class"), "chunk_id", "embedding")
+    return _top(_met_blocks(asked, held, limit, block), limit, F.col("score").desc(), "chunk_id")
+
+
+def vector_candidates(queries: DataFrame, chunks: DataFrame, limit: int, as_of_year: int, pre: bool = False, block: int = BLOCK) -> DataFrame:
+    """The chunks' columns with query_id, score and rank: nearest by cosine among those that the query may see.
+
+    Queries that may see the same are one class; a chunk is looked at once for each class
+    of its tenant, and vectors meet in blocks. Chunks without a vector come last, ties go by
+    chunk_id. Queries without a vector have no list.
+    """
+    who = [*ASKER, *(["filters"] if pre else [])]
+    key = F.xxhash64("tenant", F.col("groups").isNull(), "groups", F.col("freshness").isNull(), "freshness", *([F.to_json("filters")] if pre else []))
+    asked = queries.filter("vector is not null").withColumn("class", key)
+    classes = asked.groupBy("class").agg(*[F.first(c).alias(c) for c in who])
+    classes = classes.select("class", *who, F.explode(F.array_distinct(F.array("tenant", F.split("tenant", "-")[0]))).alias("tenant_id"))
+    ok = may_see(as_of_year) & (fits_metadata() if pre else F.lit(True))
+    looked = ["chunk_id", "embedding", *SEEN, *(["columns", "doc_metadata", "metadata"] if pre else [])]
+    seen = chunks.select(*looked).join(_small(classes), "tenant_id").filter(ok).select(F.col("class").alias("class"), "chunk_id", "embedding")
+    met = _met_blocks(asked.select("class", "query_id", "vector"), seen.filter("embedding is not null"), limit, block).withColumn("blank", F.lit(False))
+    first = F.row_number().over(Window.partitionBy("class").orderBy("chunk_id"))
+    blanks = seen.filter("embedding is null").select("class", "chunk_id").withColumn("n", first).filter(F.col("n") <= limit)
+    blanks = asked.select("class", "query_id").join(blanks, "class").select("query_id", "chunk_id", F.lit(0.0).alias("score"), F.lit(True).alias("blank"))
+    best = _top(met.unionByName(blanks), limit, "blank", F.col("score").desc(), "chunk_id").drop("blank")
+    return chunks.join(best, "chunk_id")
+
+
+def keyword_candidates(queries: DataFrame, chunks: DataFrame, limit: int, as_of_year: int, index: DataFrame | None = None, pre: bool = False) -> DataFrame:
+    """The chunks' columns with query_id, fts_rank, score and rank: by keyword rank; ``score`` is the cosine, for display.
+
+    The index gives the pairs; chunks come in by their ids, and only the first ``limit`` of each query are scored.
+    """
+    hits = keyword_ranks(queries, chunks, index)
+    about = chunks.select("chunk_id", *SEEN, *(["columns", "doc_metadata", "metadata"] if pre else []))
+    asker = queries.select("query_id", *ASKER, *(["filters"] if pre else []))
+    pairs = hits.join(about, "chunk_id").join(asker, "query_id").filter(may_see(as_of_year) & (fits_metadata() if pre else F.lit(True)))
+    best = _top(pairs.select("query_id", "chunk_id", "fts_rank"), limit, F.col("fts_rank").desc(), "chunk_id")
+    found = chunks.join(best, "chunk_id").join(queries.select("query_id", "vector"), "query_id")
+    return found.withColumn("score", F.round(cosine(F.col("embedding"), F.col("vector")), DECIMALS)).drop("vector")
+
+
+def boosted(df: DataFrame, boost: float, as_of_year: int) -> DataFrame:
+    """A constant on top for documents of the year; lists keep their order."""
+    return df.withColumn("score", F.round(F.col("score") + F.when(F.year("created_at") == as_of_year, boost).otherwise(0.0), DECIMALS))
 
-    met = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(nearest, "query_id bigint, chunk_id bigint, score double")
-    return _top(met, limit, F.col("score").desc(), "chunk_id")
+
+def with_metadata(df: DataFrame) -> DataFrame:
+    """Document and chunk metadata in one map, the chunk's values first."""
+    doc = F.map_filter("doc_metadata", lambda k, v: ~F.coalesce(F.map_contains_key("metadata", k), F.lit(False)))
+    return df.withColumn("merged_metadata", F.map_concat(F.coalesce(doc, F.create_map().cast("map<string,string>")), F.coalesce("metadata", F.create_map().cast("map<string,string>"))))
 
 
 # ---- fusion ------------------------------------------------------------------------------
@@ -157,32 +205,41 @@ def fuse_union(vector: DataFrame, keyword: DataFrame, vector_limit: int, keyword
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, config: SearchConfig, as_of_year: int, index: DataFrame | None = None, limit: int | None = None) -> DataFrame:
-    """The whole search for every query: (query_id, rank, chunk_id, score, content). ``limit`` None means the configured one."""
+    """The whole search for every query: (query_id, rank, chunk_id, score, content). ``limit`` None means the configured one.
+
+    With a context expansion, ``content`` is the hit between markers among what surrounds it,
+    as far as the query may see it; ``chunks`` then need page_number and section_title.
+    """
     cut = config.final_limit if limit is None else limit
-    pairs = prefiltered(queries, chunks, as_of_year)
-    fits = P.metadata_matches(P.cleaned_filters(F.col("filters")), F.col("columns"), F.col("doc_metadata"), F.col("metadata"))
-    if config.metadata_stage == "pre":
-        pairs = pairs.filter(fits)
+    pre = config.metadata_stage == "pre"
+    wanted = queries.select("query_id", "filters")
 
     def listed(df: DataFrame) -> DataFrame:
         kept = boosted(df, config.freshness_boost, as_of_year)
-        if config.metadata_stage == "post":
-            kept = kept.filter(fits)
+        if not pre:
+            kept = kept.join(wanted, "query_id").filter(fits_metadata()).drop("filters")
             kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
         return kept
 
-    slim = ["query_id", "chunk_id", "content", "score", "rank"]
+    slim = ["query_id", "rank", "chunk_id", "score", "content"]
     vector = keyword = None
     if config.search_strategy in ("vector", "hybrid"):
-        vector = listed(vector_candidates(pairs, config.vector_limit))
+        vector = listed(vector_candidates(queries, chunks, config.vector_limit, as_of_year, pre))
     if config.search_strategy in ("keyword", "hybrid"):
-        keyword = listed(keyword_candidates(pairs, keyword_ranks(queries, postings(chunks) if index is None else index), config.keyword_limit))
+        keyword = listed(keyword_candidates(queries, chunks, config.keyword_limit, as_of_year, index, pre))
     if keyword is None:
-        return vector.filter((F.col("rank") <= cut) & (F.col("score") >= config.score_threshold)).select(*slim)
-    if vector is None:
-        return keyword.filter(F.col("rank") <= cut).select(*slim)
-    if config.hybrid_strategy == "rrf":
-        return fuse_rrf(vector, keyword, cut, config.rrf_k, config.vector_weight, config.keyword_weight)
-    if config.hybrid_strategy == "score":
-        return fuse_scores(vector, keyword, cut, config.vector_weight, config.keyword_weight, config.score_threshold)
-    return fuse_union(vector, keyword, config.vector_final_limit, config.keyword_final_limit)
+        found = vector.filter((F.col("rank") <= cut) & (F.col("score") >= config.score_threshold)).select(*slim)
+    elif vector is None:
+        found = keyword.filter(F.col("rank") <= cut).select(*slim)
+    elif config.hybrid_strategy == "rrf":
+        found = fuse_rrf(vector, keyword, cut, config.rrf_k, config.vector_weight, config.keyword_weight)
+    elif config.hybrid_strategy == "score":
+        found = fuse_scores(vector, keyword, cut, config.vector_weight, config.keyword_weight, config.score_threshold)
+    else:
+        found = fuse_union(vector, keyword, config.vector_final_limit, config.keyword_final_limit)
+    if config.context_expansion == "none":
+        return found
+    around = chunks.select("chunk_id", "document_id", "chunk_index", "page_number", "section_title")
+    hits = found.join(around, "chunk_id").withColumn("hit_id", F.col("chunk_id"))
+    more = expand(hits, chunks, config.context_expansion, config.context_expansion_size, config.context_max_tokens, queries, as_of_year)
+    return found.drop("content").join(more.withColumnRenamed("hit_id", "chunk_id"), ["query_id", "chunk_id"]).select(*slim)

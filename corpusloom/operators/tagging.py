@@ -15,7 +15,8 @@ STOP_WORDS = {"en": ("the", "and", "of", "to", "in", "is"), "fr": ("le", "la", "
 
 def date_candidates(text: Column, most: int = 5, around: int = 2) -> Column:
     """Lines with a date and the lines around them; the first ``most``."""
-    lines = F.split(text, r"\R")
+    # A line break at the end opens no line.
+    lines = F.split(F.regexp_replace(text, r"\R\z", ""), r"\R")
     at = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(DATE_LINE))
     first = F.slice(at, 1, most)
     return F.transform(first, lambda i: F.array_join(F.slice(lines, F.greatest(i - around, F.lit(0)) + 1, F.least(i, F.lit(around)) + around + 1), "\n"))
@@ -111,7 +112,20 @@ def page_texts(pages: DataFrame) -> DataFrame:
 
 
 def chronological(documents: DataFrame, date_text: Column) -> DataFrame:
-    """``date_order`` within a tenant: by date, what is no date first, then by id."""
+    """``date_order`` within a tenant: by date, what is no date first, then by id.
+
+    Documents are numbered within their day, and the days' numbers summed up, so that a tenant is no task's group.
+    """
     day = F.try_to_timestamp(date_text, F.lit("yyyy-MM-dd")).cast("date")
-    order = Window.partitionBy("tenant_id").orderBy(day.asc_nulls_first(), "document_id")
-    return documents.withColumn("date_order", F.row_number().over(order))
+    dated = documents.withColumn("_day", day)
+    sizes = dated.groupBy("tenant_id", "_day").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("tenant_id").orderBy(F.col("_day").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select(F.col("tenant_id").alias("_tenant"), F.col("_day").alias("_of"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    numbered = dated.withColumn("_at", F.row_number().over(Window.partitionBy("tenant_id", "_day").orderBy("document_id")))
+    joined = numbered.join(firsts, F.col("tenant_id").eqNullSafe(F.col("_tenant")) & F.col("_day").eqNullSafe(F.col("_of")))
+    return joined.select(*documents.columns, (F.col("_before") + F.col("_at")).alias("date_order"))
+
+
+def relation_candidates(documents: DataFrame) -> DataFrame:
+    """(document_id, title) of the documents that a new one may replace or modify: the current ones."""
+    return documents.filter("freshness_status = 'current'").select("document_id", "title")

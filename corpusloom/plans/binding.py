@@ -9,6 +9,8 @@ from ..operators.chunking import character_windows
 
 AS_OF_YEAR = 2026
 SIZE, OVERLAP = 1000, 250
+#: No document has so many chunks, so their numbers never run into the next document's.
+CHUNKS_AT_MOST = 1 << 32
 #: The same text in both engines.
 DOCUMENTS_SQL = """
 select doc_id as document_id,
@@ -29,7 +31,7 @@ from documents
 #: Common table expressions of the oracles.
 D = f"d as (select *, case when acl_csv is null then null when acl_csv = '' then [] else string_split(acl_csv, ',') end as acl from ({DOCUMENTS_SQL}))"
 C = f"""c as (
- select *, document_id * 1000 + chunk_index as chunk_id from (
+ select *, document_id * 4294967296 + chunk_index as chunk_id from (
   select *, row_number() over (partition by document_id order by i) - 1 as chunk_index from (
    select *, i * {SIZE - OVERLAP} as start, substr(text, cast(i * {SIZE - OVERLAP} + 1 as bigint), {SIZE}) as content from (
     select *, unnest(range(0, cast(greatest(0, ceil((length(text) - {SIZE}) / {SIZE - OVERLAP}.0)) as bigint) + 1)) as i from d))
@@ -56,7 +58,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunks(spark: SparkSession, sf_dir: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Windows of the documents, without what retrieval joins to them."""
     cut = character_windows(documents(spark, sf_dir).select("document_id", "text"), size, overlap)
-    return cut.withColumn("chunk_id", F.col("document_id") * 1000 + F.col("chunk_index"))
+    return cut.withColumn("chunk_id", F.col("document_id") * CHUNKS_AT_MOST + F.col("chunk_index"))
 
 
 def searchable(spark: SparkSession, sf_dir: str) -> DataFrame:

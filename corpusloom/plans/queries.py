@@ -14,6 +14,7 @@ from ..operators import context as X
 from ..operators import conversations as V
 from ..operators import governance as U
 from ..operators import ingest as I
+from ..operators import jobs as J
 from ..operators import passages as L
 from ..operators import predicates as P
 from ..operators import retrieval as R
@@ -39,6 +40,7 @@ def _csv(array) -> F.Column:
     return F.array_join(array, ",")
 
 
+_STRIPPED = "regexp_replace(regexp_replace({0}, '^\\s+', ''), '\\s+$', '')"
 USERS = "(values ('management', ['Management']), ('hr', ['HR']), ('nobody', [])) as u(who, groups)"
 
 
@@ -65,7 +67,7 @@ def p1_access_and_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
  (select document_id, language, department, case when acl_csv = '' then '' else acl_csv end as acl_csv from d)""")
 def p5_metadata_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = B.documents(spark, sf_dir)
-    asked = P.cleaned_filters(F.create_map(F.lit("language"), F.lit("en"), F.lit("department"), F.lit("hr"), F.lit("freshness_filter"), F.lit("all"), F.lit("additionalProp1"), F.lit("{}"), F.lit("empty"), F.lit(None).cast("string")))
+    asked = P.cleaned_filters(F.create_map(F.lit("language"), F.lit("en"), F.lit("department"), F.lit("hr"), F.lit("freshness_filter"), F.lit("all"), F.lit("final_limit"), F.lit("3"), F.lit("additionalProp1"), F.lit("{}"), F.lit("empty"), F.lit(None).cast("string")))
     columns = F.create_map(F.lit("language"), F.col("language"), F.lit("document_type"), F.col("document_type"))
     return docs.select("document_id", P.metadata_matches(asked, columns, F.col("metadata")).alias("fits"), _csv(T.comma_list(F.col("acl_csv"))).alias("asked"))
 
@@ -129,6 +131,77 @@ def i9_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.by_rules(B.documents(spark, sf_dir).select("document_id", "title"), rules, F.col("title")).select("document_id", "freshness_status", "department")
 
 
+def _files(docs: DataFrame) -> DataFrame:
+    """Documents as files of a folder; every ninth has no metadata and no list of groups."""
+    none = F.col("document_id") % 9 == 0
+    path = F.concat(F.lit("/srv/data/"), F.col("source_folder"), F.lit("/doc_"), F.col("document_id"), F.lit(".txt"))
+    said = F.create_map(F.lit("created_at"), F.col("created_at").cast("string"), F.lit("n"), F.col("document_id").cast("string"))
+    return docs.select(path.alias("path"), "tenant_id", F.col("text").alias("content"), F.when(~none, said).alias("metadata"), F.when(~none, F.col("acl")).alias("acl"), "language", F.when(~none, F.col("freshness_status")).alias("freshness_status"))
+
+
+_ROWS = """r as (select sha256(source_uri2) as document_id, source_uri2 as source_uri, title, 'document' as document_type, language, case when document_id % 9 = 0 then timestamp '2026-02-03 04:05:06' else cast(created_at as timestamp) end as created_at,
+ case when document_id % 9 = 0 then 'current' else freshness_status end as freshness_status, sha256(text) as checksum, case when document_id % 9 = 0 or acl_csv is null then 'Public' else acl_csv end as acl, text, document_id as n
+ from (select *, concat('file://', source_folder, '/doc_', document_id, '.txt') as source_uri2 from d))"""
+RUN_TIME = "2026-02-03 04:05:06"
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.document_rows(_files(B.documents(spark, sf_dir)), F.lit(RUN_TIME).cast("timestamp"))
+
+
+@query(f"with {B.D}, {_ROWS} select document_id, source_uri, title, document_type, language, strftime(created_at, '%Y-%m-%d %H:%M:%S') as created, freshness_status, checksum, acl from r")
+def i7_document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).select("document_id", "source_uri", "title", "document_type", "language", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"), "freshness_status", "checksum", _csv(F.col("acl")).alias("acl"))
+
+
+@query(f"""with {B.D}, {_ROWS}, {B.C} select sha256(concat(r.document_id, '#', chunk_index)) as chunk_id, r.language, r.acl, r.freshness_status, sha256(content) as content_hash from c join r on r.n = c.document_id""")
+def i8_chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = F.concat(F.lit("file://"), F.col("source_folder"), F.lit("/doc_"), F.col("document_id"), F.lit(".txt"))
+    texts = B.documents(spark, sf_dir).select(F.sha2(uri, 256).alias("document_id"), "text")
+    cut = C.character_windows(texts, B.SIZE, B.OVERLAP).select("document_id", "chunk_index", "content", F.lit(1).alias("page_number"), F.lit(None).cast("string").alias("section_title"))
+    return I.chunk_rows(cut, _stored(spark, sf_dir)).select("chunk_id", "language", _csv(F.col("acl")).alias("acl"), "freshness_status", "content_hash")
+
+
+@query(f"""with {B.D}, q as (select distinct 'api' as source_type, source_uri, title, document_type, language, text as content, acl_csv from d where document_id % 2 = 0)
+ select sha256(content) as checksum, title, language, acl_csv as acl, 0 as chunk_index, content, 'current' as freshness_status from q""")
+def s5_direct_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second document sent in as a request, twice."""
+    asked = B.documents(spark, sf_dir).filter("document_id % 2 = 0").select(F.lit("api").alias("source_type"), "source_uri", "title", "document_type", "language", "acl", "metadata", F.col("text").alias("content"))
+    documents, chunks = J.direct_records(asked.unionByName(asked), F.lit(RUN_TIME).cast("timestamp"))
+    both = documents.select("document_id", "checksum", "title").join(chunks, "document_id")
+    return both.select("checksum", "title", "language", _csv(F.col("acl")).alias("acl"), "chunk_index", "content", "freshness_status")
+
+
+@query(f"""with {B.D}, {B.C}, f as (select document_id, language, acl_csv, document_id % 10 <> 3 as there, case when document_id % 10 = 4 then '' else text end as now from d),
+ k as (select document_id, language, acl_csv, j, {_STRIPPED.format("substr(now, cast(j * 600 + 1 as bigint), 600)")} as content from (
+  select *, unnest(range(0, cast(greatest(0, ceil((length(now) - 600) / 600.0)) as bigint) + 1)) as j from f where there)),
+ fresh as (select document_id, row_number() over (partition by document_id order by j) - 1 as chunk_index, language, acl_csv, content from k where content <> '')
+ select document_id, chunk_index, language, acl_csv as acl, sha256(content) as digest from fresh
+ union all select document_id, chunk_index, 'old', 'old', sha256(content) from c where document_id not in (select document_id from fresh)""")
+def i14_rechunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored chunks against files: one in ten is missing, one is empty, one has moved to another folder."""
+    docs, n = B.documents(spark, sf_dir), F.col("document_id")
+    old = B.chunks(spark, sf_dir).select("document_id", F.col("chunk_index").cast("int").alias("chunk_index"), "content", F.lit("old").alias("language"), F.array(F.lit("old")).alias("acl"))
+    folder = F.when(n % 10 == 5, "moved").otherwise(F.col("source_folder"))
+    pages = docs.filter(n % 10 != 3).select(F.concat(F.lit("/srv/data/"), folder, F.lit("/doc_"), n, F.lit(".txt")).alias("path"), F.lit(1).alias("page_number"), F.when(n % 10 == 4, "").otherwise(F.col("text")).alias("text"))
+    out = J.rechunked(docs, old, pages, lambda t: C.window_pieces(t, 600, 0))
+    return out.select("document_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "language", _csv(F.col("acl")).alias("acl"), F.sha2("content", 256).alias("digest"))
+
+
+@query()
+def i15_full_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as files, from reading to related documents with their chunks counted."""
+    docs, n = B.documents(spark, sf_dir), F.col("document_id")
+    path = F.concat(F.lit("/srv/data/"), F.col("source_folder"), F.lit("/doc_"), n, F.lit(".txt"))
+    more = F.when((n % 35 == 0) & (n >= 7), F.concat(F.lit("\nIssued "), F.col("created_at").cast("string"), F.lit(". This replaces doc_"), n - 7, F.lit("."))).otherwise("")
+    files = docs.select(path.alias("path"), "tenant_id", F.concat("text", more).alias("content"), F.lit(None).cast("timestamp").alias("modified"))
+    pages = files.select("path", F.lit(1).alias("page_number"), F.col("content").alias("text"))
+    keywords = spark.createDataFrame(KEYWORDS, "key string, term string")
+    documents, chunks, _ = J.full_reindex(files, pages, keywords, B.categories(spark), F.lit(RUN_TIME).cast("timestamp"), lambda t: C.window_pieces(t, B.SIZE, B.OVERLAP))
+    counts = chunks.groupBy("document_id", F.col("freshness_status").alias("chunk_status")).agg(F.count(F.lit(1)).alias("n_chunks"))
+    return documents.join(counts, "document_id").select("source_uri", "language", "freshness_status", "chunk_status", F.col("metadata")["department"].alias("department"), F.col("metadata")["replaced_by_document_title"].alias("replaced_by"), "n_chunks")
+
+
 # ---- chunking ----------------------------------------------------------------------------
 
 
@@ -151,17 +224,38 @@ def _pages(docs: DataFrame) -> DataFrame:
     return cut.select("document_id", (F.col("chunk_index") + 1).alias("page_number"), F.col("content").alias("text"))
 
 
-@query("""with p as (select doc_id, i + 1 as page, substr(text, cast(i * 700 + 1 as bigint), 700) as t from (
+#: Pages of 700 characters, blank ones left out, numbered again; and the same laid end to end, a line break after each.
+_PAGES = """p as (select doc_id, i, substr(text, cast(i * 700 + 1 as bigint), 700) as t from (
   select *, unnest(range(0, cast(greatest(0, ceil((length(text) - 700) / 700.0)) as bigint) + 1)) as i from documents) where regexp_matches(substr(text, cast(i * 700 + 1 as bigint), 700), '\\S')),
- n as (select *, row_number() over (partition by doc_id order by page) as page_number, sum(length(t) + 1) over (partition by doc_id order by page) as until from p),
- w as (select doc_id, string_agg(t, chr(10) order by page) as text from p group by doc_id),
- k as (select doc_id, i * 900 as start, substr(text, cast(i * 900 + 1 as bigint), 1000) as content from (
-  select *, unnest(range(0, cast(greatest(0, ceil((length(text) - 1000) / 900.0)) as bigint) + 1)) as i from w))
- select k.doc_id as document_id, cast(k.start as bigint) as start, cast(min(n.page_number) as bigint) as page_number, sha256(k.content) as digest
- from k join n on n.doc_id = k.doc_id and n.until > k.start where regexp_matches(k.content, '\\S') group by k.doc_id, k.start, k.content""")
+ n as (select *, row_number() over (partition by doc_id order by i) as page_number, sum(length(t) + 1) over (partition by doc_id order by i) as until from p)"""
+
+@query(f"""with {_PAGES}, w as (select doc_id, concat(string_agg(t, chr(10) order by i), chr(10)) as text from p group by doc_id),
+ k as (select doc_id, i * 1000 as begins, substr(text, cast(i * 1000 + 1 as bigint), 1000) as raw from (
+  select *, unnest(range(0, cast(greatest(0, ceil((length(text) - 1000) / 1000.0)) as bigint) + 1)) as i from w)),
+ s as (select doc_id, begins + length(raw) - length(regexp_replace(raw, '^\\s+', '')) as start, {_STRIPPED.format("raw")} as content from k where regexp_matches(raw, '\\S'))
+ select s.doc_id as document_id, row_number() over (partition by s.doc_id order by start) - 1 as chunk_index, cast(start as bigint) as start, cast(min(n.page_number) as bigint) as page_number, sha256(content) as digest
+ from s join n on n.doc_id = s.doc_id and n.until > s.start group by s.doc_id, s.start, s.content""")
 def c11_cross_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = C.cross_page_windows(_pages(B.documents(spark, sf_dir)), 1000, 100)
-    return cut.select("document_id", F.col("start").cast("bigint").alias("start"), F.col("page_number").cast("bigint").alias("page_number"), F.sha2("content", 256).alias("digest"))
+    cut = C.split_pages(_pages(B.documents(spark, sf_dir)), lambda t: C.window_pieces(t, 1000, 0), C.JOINED)
+    return cut.select("document_id", *[F.col(c).cast("bigint").alias(c) for c in ("chunk_index", "start", "page_number")], F.sha2("content", 256).alias("digest"))
+
+
+@query(f"""with {_PAGES}, k as (select doc_id, page_number, j, substr(t, cast(j * 250 + 1 as bigint), 300) as raw from (
+  select *, unnest(range(0, cast(greatest(0, ceil((length(t) - 300) / 250.0)) as bigint) + 1)) as j from n))
+ select doc_id as document_id, cast(page_number as bigint) as page_number, row_number() over (partition by doc_id order by page_number, j) - 1 as chunk_index, {_STRIPPED.format("raw")} as content
+ from k where regexp_matches(raw, '\\S')""")
+def c10_page_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = C.split_pages(_pages(B.documents(spark, sf_dir)), lambda t: C.window_pieces(t, 300, 50))
+    return cut.select("document_id", *[F.col(c).cast("bigint").alias(c) for c in ("page_number", "chunk_index")], "content")
+
+
+@query(f"""with {_PAGES}, k as (select 'small' as setting, 200 as size, t, doc_id from n union all select 'large', 500, t, doc_id from n),
+ w as (select setting, doc_id, {_STRIPPED.format("substr(t, cast(j * size + 1 as bigint), size)")} as content from (
+  select *, unnest(range(0, cast(greatest(0, ceil((length(t) - size) / cast(size as double))) as bigint) + 1)) as j from k))
+ select setting, doc_id as document_id, count(*) as n_chunks, cast(sum(length(content)) as bigint) as characters, max(length(content)) as longest from w where content <> '' group by setting, doc_id""")
+def c18_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = {name: ((lambda t, n=n: C.window_pieces(t, n, 0)), C.ISOLATED, 0) for name, n in (("small", 200), ("large", 500))}
+    return C.preview_sizes(C.previews(_pages(B.documents(spark, sf_dir)), settings))
 
 
 @query(f"""with {B.D}, {B.C} select document_id, cast(chunk_index as bigint) as chunk_index,
@@ -196,9 +290,12 @@ def c7_token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.documents(spark, sf_dir).select("document_id", F.size(C.token_windows(F.col("text"), 512, 64)).cast("bigint").alias("n_windows"))
 
 
+_CUT = ["document_id", "page_number", "chunk_index", "content"]
+
+
 @query()
 def c2_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.split_pages(_pages(B.documents(spark, sf_dir)), lambda t: C.recursive_pieces(t, 300, 50))
+    return C.split_pages(_pages(B.documents(spark, sf_dir)), lambda t: C.recursive_pieces(t, 300, 50)).select(_CUT)
 
 
 @query()
@@ -206,18 +303,27 @@ def c4_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..hooks import hashing_embedder
 
     embed = hashing_embedder(32)
-    return C.split_pages(_pages(B.documents(spark, sf_dir)), lambda t: C.semantic_pieces(t, lambda s: embed(s).tolist()))
+    return C.split_pages(_pages(B.documents(spark, sf_dir)), lambda t: C.semantic_pieces(t, lambda s: embed(s).tolist())).select(_CUT)
 
 
 @query()
 def c6_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
     headed = B.documents(spark, sf_dir).select("document_id", F.lit(1).alias("page_number"), F.concat(F.lit("# One\n"), F.col("text"), F.lit("\n## Two\n"), F.col("text")).alias("text"))
-    return C.split_pages(headed, lambda t: C.structural_pieces(t, 1200, 400, 50))
+    return C.split_pages(headed, lambda t: C.structural_pieces(t, 1200, 400, 50)).select(_CUT)
 
 
 @query()
 def c12_page_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.split_pages_with_carry(_pages(B.documents(spark, sf_dir)), lambda t: C.recursive_pieces(t, 300, 50), 50)
+    return C.split_pages(_pages(B.documents(spark, sf_dir)), lambda t: C.recursive_pieces(t, 300, 50), C.CARRIED, 50).select(_CUT)
+
+
+@query()
+def c15_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts and sections of recursive pieces across pages; every third page opens with a numbered heading."""
+    pages = _pages(B.documents(spark, sf_dir))
+    n = F.col("page_number")
+    headed = F.when(n % 3 == 1, F.concat(F.lit("\n"), n, F.lit(". Part of the text\n"), F.col("text"))).otherwise(F.col("text"))
+    return C.split_pages(pages.withColumn("text", headed), lambda t: C.recursive_pieces(t, 300, 50), C.JOINED).select("document_id", "chunk_index", "page_number", "start", "section_title")
 
 
 # ---- tagging -----------------------------------------------------------------------------
@@ -248,20 +354,55 @@ def t7_relation_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.documents(spark, sf_dir).select("document_id", G.parsed_relation(said).alias("r")).select("document_id", F.col("r.relationship_type").alias("kind"), F.col("r.target_document_id").alias("target"))
 
 
-@query("""select doc_id as source_document_id, 'replaces' as relationship_type, doc_id - 7 as target_document_id from documents where doc_id % 35 = 0 and doc_id >= 7""")
+@query(r"""with s as (select doc_id, unnest(list_filter(list_transform(string_split(regexp_replace(concat(text, case when doc_id % 35 = 0 then concat(' This replaces the old doc_', doc_id - 7, ' at once.') when doc_id % 35 = 1 then concat(' It amends doc_', doc_id - 1, '.') else '' end), '([.!?])\s+', concat('\1', chr(1)), 'g'), chr(1)),
+ lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')) as sentence from documents),
+ f as (select doc_id, sentence, case when regexp_matches(sentence, '(?i)\b(?:replaces|nahrazuje|ruší)\b') then regexp_extract(sentence, '(?is)\b(?:replaces|nahrazuje|ruší)\b(.*)$', 1) end as a, case when regexp_matches(sentence, '(?i)\b(?:modifies|amends|upravuje|doplňuje|mění)\b') then regexp_extract(sentence, '(?is)\b(?:modifies|amends|upravuje|doplňuje|mění)\b(.*)$', 1) end as m from s)
+ select distinct f.doc_id as source_document_id, 'replaces' as relationship_type, d.doc_id as target_document_id from f join documents d on list_contains(regexp_split_to_array(f.a, '[^\p{L}\p{N}_-]+'), concat('doc_', d.doc_id)) and d.doc_id < f.doc_id
+ union all select distinct f.doc_id, 'modifies', d.doc_id from f join documents d on list_contains(regexp_split_to_array(f.m, '[^\p{L}\p{N}_-]+'), concat('doc_', d.doc_id)) and d.doc_id < f.doc_id""")
 def t8_relation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = B.documents(spark, sf_dir)
-    said = docs.filter("document_id % 35 = 0").select("document_id", F.concat(F.lit("This replaces the old doc_"), F.col("document_id") - 7, F.lit(" at once.")).alias("sentence"))
-    return G.relations_by_rule(said, docs.select("document_id", "title", F.col("document_id").alias("date_order")))
+    """Every sentence of every document; one in 35 ends by replacing, and one by amending an earlier one."""
+    docs, n = B.documents(spark, sf_dir), F.col("document_id")
+    more = F.when(n % 35 == 0, F.concat(F.lit(" This replaces the old doc_"), n - 7, F.lit(" at once."))).when(n % 35 == 1, F.concat(F.lit(" It amends doc_"), n - 1, F.lit("."))).otherwise("")
+    said = docs.select("document_id", F.explode(C.sentences(F.concat("text", more))).alias("sentence"))
+    return G.relations_by_rule(said, docs.select("document_id", "title", n.alias("date_order")))
+
+
+@query(f"with {B.D} select document_id, title from d where freshness_status = 'current'")
+def t6_relation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.relation_candidates(B.documents(spark, sf_dir))
+
+
+KEYWORDS = (("management", "the"), ("management", "de"), ("hr", "of"), ("hr", "la"), ("hr", "the"), ("finance", "und"), ("finance", "que"))
+
+
+@query(f"""with {B.D}, w as (select document_id, unnest(regexp_extract_all(lower(substr(text, 1, 1400)), '{B.WORDS_RE}')) as term from d),
+ k as (select * from (values {", ".join(map(str, KEYWORDS))}) as k(key, term)),
+ h as (select document_id, key, count(*) as n from w join k using (term) group by all),
+ b as (select document_id, min(key) as key from (select *, max(n) over (partition by document_id) as top from h) where n = top group by document_id)
+ select distinct w.document_id, coalesce(key, 'user') as category_key from w left join b using (document_id)""")
+def t5_keyword_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two pages' words against keywords of the categories."""
+    keywords = spark.createDataFrame(KEYWORDS, "key string, term string")
+    words = B.documents(spark, sf_dir).select("document_id", F.explode(T.tokens(F.substring("text", 1, 1400))).alias("term"))
+    return G.category_by_keywords(words, keywords)
+
+
+@query(f"""with {B.D} select document_id, case document_id % 4 when 0 then 'Management' when 1 then 'Management,HR' when 2 then 'Management,Finance' else 'Management,HR,Finance,User' end as acl, case document_id % 4 when 3 then 'Management' else 'known' end as edited from (select document_id, case when document_id % 4 = 3 then 'ghost' else department end as department from d)""")
+def t11_category_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups by category: all of them for unknown ones at ingest, Management's alone in an edit."""
+    named = B.documents(spark, sf_dir).select("document_id", F.when(F.col("document_id") % 4 == 3, "ghost").otherwise(F.col("department")).alias("key"))
+    joined = named.join(F.broadcast(B.categories(spark)), "key", "left")  # configuration
+    alone = U.category_groups(joined, (U.MANAGEMENT,))
+    return joined.select("document_id", _csv(U.category_groups(joined)).alias("acl"), F.when(F.col("label").isNull(), _csv(alone)).otherwise("known").alias("edited"))
 
 
 _SQL_STOPS = "greatest(" + ", ".join(f"struct_pack(n := len(list_filter(ws, lambda w: list_contains({list(s)!r}, w))), k := {-k}, lang := '{lang}')" for k, (lang, s) in enumerate(G.STOP_WORDS.items())) + ")"
 
 
-@query(f"""with {B.D}, w as (select document_id, regexp_extract_all(lower(substr(text, 1, 2000)), '{B.WORDS_RE}') as ws from d)
+@query(f"""with {B.D}, w as (select document_id, regexp_extract_all(lower(text), '{B.WORDS_RE}') as ws from d)
  select document_id, {_SQL_STOPS}.lang as language from w""")
 def t9_language_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = T.tokens(F.substring("text", 1, 2000))
+    words = T.tokens(F.col("text"))
     return B.documents(spark, sf_dir).withColumn("ws", words).select("document_id", G.language_by_stop_words(F.col("ws")).alias("language"))
 
 
@@ -323,6 +464,39 @@ def u6_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy(F.col("metadata")["department"].alias("department")).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("propagated").cast("bigint")).alias("propagated"))
 
 
+def _mirror(spark: SparkSession, sf_dir: str, documents: DataFrame, changed: DataFrame) -> DataFrame:
+    """Chunks with what they inherited, after ``changed`` documents were written back to them."""
+    inherited = documents.select("document_id", "language", "freshness_status", "acl", "metadata")
+    cut = B.chunks(spark, sf_dir).select("document_id", "chunk_id").join(inherited, "document_id")
+    out = U.mirrored(cut, changed)
+    return out.select("chunk_id", "language", F.col("metadata")["department"].alias("department"), _csv(F.col("acl")).alias("acl"))
+
+
+@query(f"""with {B.D}, {B.C} select chunk_id, case when document_id % 6 = 0 then 'xx' else language end as language,
+ case when document_id % 6 = 0 then 'hr' when document_id % 6 = 3 then 'ghost' else department end as department,
+ case when document_id % 6 = 0 then 'Management,HR' when document_id % 6 = 3 then 'Management' else acl_csv end as acl from c""")
+def u3_edited_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, n = B.documents(spark, sf_dir), F.col("document_id")
+    edits = docs.filter(n % 3 == 0).select("document_id", F.lit("t").alias("new_title"), F.lit(None).cast("string").alias("new_status"), F.when(n % 6 == 0, "xx").alias("new_language"), F.when(n % 6 == 0, "hr").otherwise("ghost").alias("new_category"))
+    edited = U.apply_edits(docs, edits, B.categories(spark))
+    return _mirror(spark, sf_dir, docs, edited.join(edits.select("document_id"), "document_id", "left_semi"))
+
+
+@query(f"""with {B.D}, {B.C} select chunk_id, language, case department when 'finance' then 'user' else department end as department,
+ case when department = 'finance' then 'Management,HR,Finance,User' else acl_csv end as acl from c""")
+def u5_migrated_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = B.documents(spark, sf_dir)
+    moves = spark.createDataFrame([("finance", "user")], "deleted_key string, replacement_key string")
+    return _mirror(spark, sf_dir, docs, U.migrate_categories(docs, moves, B.categories(spark)).filter("migrated"))
+
+
+@query(f"""with {B.D}, {B.C} select chunk_id, language, department,
+ case department when 'management' then 'Management' when 'hr' then 'Management,HR' when 'finance' then 'Management,Finance' else 'Management,HR,Finance,User' end as acl from c""")
+def u6_propagated_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = B.documents(spark, sf_dir)
+    return _mirror(spark, sf_dir, docs, U.propagate_acl(docs, B.categories(spark)).filter("propagated"))
+
+
 # ---- retrieval ---------------------------------------------------------------------------
 
 CONFIG = SearchConfig(final_limit=8)
@@ -340,29 +514,51 @@ both_lists as (select query_id, chunk_id, coalesce(vec.content, key.content) as
 _KEY = "lower(substr(trim(regexp_replace(content, '\\s+', ' ', 'g')), 1, 120))"
 
 
-def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     asked, searched = B.queries(spark, sf_dir), B.searchable(spark, sf_dir)
-    pairs = R.prefiltered(asked, searched, B.AS_OF_YEAR)
-    ranks = R.keyword_ranks(asked, R.postings(searched))
-    return asked, searched, R.vector_candidates(pairs, 50), R.keyword_candidates(pairs, ranks, 50)
+    return R.vector_candidates(asked, searched, 50, B.AS_OF_YEAR), R.keyword_candidates(asked, searched, 50, B.AS_OF_YEAR)
 
 
 @query(f"with {_PAIRS} select query_id, chunk_id, rank, score from vec")
 def r1_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sides(spark, sf_dir)[2].select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), "score")
+    found = R.vector_candidates(B.queries(spark, sf_dir), B.searchable(spark, sf_dir), 50, B.AS_OF_YEAR)
+    return found.select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), "score")
 
 
 @query(f"with {_PAIRS} select query_id, chunk_id, rank, fts_rank, score from key")
 def r6_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sides(spark, sf_dir)[3].select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), "fts_rank", "score")
+    found = R.keyword_candidates(B.queries(spark, sf_dir), B.searchable(spark, sf_dir), 50, B.AS_OF_YEAR)
+    return found.select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), "fts_rank", "score")
+
 
+_RRF = f"""{_PAIRS}, fused as (select *, round(coalesce(0.6::double / (60 + v_rank), 0) + coalesce(0.4::double / (60 + k_rank), 0), 9) as fused from both_lists),
+ best as (select * from fused qualify row_number() over (partition by query_id, {_KEY} order by fused desc, v_rank nulls last, k_rank nulls last, chunk_id) = 1),
+ top as (select query_id, row_number() over (partition by query_id order by fused desc, v_rank nulls last, k_rank nulls last, chunk_id) as rank, chunk_id, fused as score from best qualify rank <= 8)"""
 
-@query(f"""with {_PAIRS}, fused as (select *, round(coalesce(0.6::double / (60 + v_rank), 0) + coalesce(0.4::double / (60 + k_rank), 0), 9) as fused from both_lists),
- best as (select * from fused qualify row_number() over (partition by query_id, {_KEY} order by fused desc, v_rank nulls last, k_rank nulls last, chunk_id) = 1)
- select query_id, row_number() over (partition by query_id order by fused desc, v_rank nulls last, k_rank nulls last, chunk_id) as rank, chunk_id, fused as score from best qualify rank <= 8""")
+
+@query(f"with {_RRF} select query_id, rank, chunk_id, score from top")
 def r12_hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, searched, *_ = _sides(spark, sf_dir)
-    return R.retrieve(asked, searched, CONFIG, B.AS_OF_YEAR).select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id", "score")
+    return _found(spark, sf_dir).select("query_id", "rank", "chunk_id", "score")
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = R.retrieve(B.queries(spark, sf_dir), B.searchable(spark, sf_dir), CONFIG, B.AS_OF_YEAR)
+    return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id", "score", "content")
+
+
+@query(f"""with {_PAIRS} select query_id, chunk_id, rank, round(score + case when year(created_at) = {B.AS_OF_YEAR} then 0.25 else 0 end, 6) as score from key""")
+def r8_freshness_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = R.keyword_candidates(B.queries(spark, sf_dir), B.searchable(spark, sf_dir), 50, B.AS_OF_YEAR)
+    return R.boosted(found, 0.25, B.AS_OF_YEAR).select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), "score")
+
+
+@query(f"""with {B.D}, {B.C} select chunk_id, concat('chunk_index=', chunk_index, ',department=', case when document_id % 2 = 0 then 'own' else department end, ',source_folder=', source_folder) as metadata from c""")
+def r9_result_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document and chunk metadata in one map; every second chunk has a department of its own, which wins."""
+    rows = B.searchable(spark, sf_dir)
+    own = F.when(F.col("document_id") % 2 == 0, F.map_concat("metadata", F.create_map(F.lit("department"), F.lit("own")))).otherwise(F.col("metadata"))
+    entries = F.array_sort(F.map_entries("merged_metadata"))
+    return R.with_metadata(rows.withColumn("metadata", own)).select("chunk_id", F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("metadata"))
 
 
 @query(f"""with {_PAIRS}, fused as (select *, round(0.6::double * case when v_rank is null then 0 else greatest(0, v_score) end + 0.4::double * coalesce(fts_rank, 0) / greatest(coalesce(max(fts_rank) over (partition by query_id), 0), 0.1), 9) as fused from both_lists),
@@ -370,7 +566,7 @@ def r12_hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
  cut as (select query_id, row_number() over (partition by query_id order by fused desc, v_rank nulls last, k_rank nulls last, chunk_id) as rank, chunk_id, fused as score from best qualify rank <= 8)
  select query_id, rank, chunk_id, round(score, 6) as score from cut where score >= 0.2""")
 def r13_score_addition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    *_, vector, keyword = _sides(spark, sf_dir)
+    vector, keyword = _sides(spark, sf_dir)
     return R.fuse_scores(vector, keyword, 8, threshold=0.2).select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -380,7 +576,7 @@ def r13_score_addition(spark: SparkSession, sf_dir: str) -> DataFrame:
  u as (select query_id, chunk_id, rank as place, 0 as list from vv union all select query_id, chunk_id, rank, 1 from k2)
  select query_id, row_number() over (partition by query_id order by list, place) as rank, chunk_id from u qualify rank <= 10""")
 def r14_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    *_, vector, keyword = _sides(spark, sf_dir)
+    vector, keyword = _sides(spark, sf_dir)
     return R.fuse_union(vector, keyword, 5, 5).select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id")
 
 
@@ -393,34 +589,66 @@ def r1_vector_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- context, passages -------------------------------------------------------------------
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    cut = B.chunks(spark, sf_dir).withColumn("page_number", F.floor(F.col("chunk_index") / 2).cast("int")).withColumn("section_title", F.when(F.col("chunk_index") > 0, F.concat(F.lit("S"), F.floor(F.col("chunk_index") / 3))))
-    hits = cut.filter("document_id % 20 = 0 and chunk_index = 1").select(F.col("document_id").alias("query_id"), F.col("chunk_id").alias("hit_id"), "document_id", "chunk_index", "page_number", "section_title", "content")
-    return hits, cut
+def _placed(cut: DataFrame) -> DataFrame:
+    """Two chunks to a page, three to a section, and none to the first chunk's."""
+    section = F.when(F.col("chunk_index") > 0, F.concat(F.lit("S"), F.floor(F.col("chunk_index") / 3)))
+    return cut.withColumn("page_number", F.floor(F.col("chunk_index") / 2).cast("int")).withColumn("section_title", section)
 
 
-@query(f"""with {B.D}, {B.C}, h as (select document_id, chunk_id from c where document_id % 20 = 0 and chunk_index = 1)
- select 'siblings' as kind, h.chunk_id as hit_id, c.chunk_id from h join c using (document_id) where c.chunk_index between 0 and 2
- union all select 'page', h.chunk_id, c.chunk_id from h join c using (document_id) where c.chunk_index // 2 = 0
- union all select 'section', h.chunk_id, c.chunk_id from h join c using (document_id) where c.chunk_index // 3 = 0 and c.chunk_index > 0""")
+def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    cut = _placed(B.searchable(spark, sf_dir))
+    around = cut.select("chunk_id", "document_id", "chunk_index", "page_number", "section_title")
+    return _found(spark, sf_dir).withColumn("hit_id", F.col("chunk_id")).join(around, "chunk_id"), cut
+
+
+@query(f"""with {_RRF}, h as (select top.query_id, c.* from top join c using (chunk_id)),
+ ask as (select query_id, groups, freshness from q), near as (
+ select 'siblings' as kind, h.query_id, h.chunk_id as hit_id, c.* from h join c using (document_id) where abs(c.chunk_index - h.chunk_index) <= 1
+ union all select 'page', h.query_id, h.chunk_id, c.* from h join c using (document_id) where c.chunk_index // 2 = h.chunk_index // 2
+ union all select 'section', h.query_id, h.chunk_id, c.* from h join c using (document_id) where c.chunk_index // 3 = h.chunk_index // 3 and c.chunk_index > 0 and h.chunk_index > 0)
+ select kind, near.query_id, hit_id, chunk_id from near join ask using (query_id) where tenant_id in ('acme-prod', 'acme')
+  and (list_contains(groups, 'Management') or coalesce(list_has_any(acl, list_concat(groups, ['User'])), false)) and (freshness = 'all' or freshness_status = 'current')""")
 def x1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits, cut = _hits(spark, sf_dir)
-    parts = [X.neighbours(hits, cut, k).select(F.lit(k).alias("kind"), "hit_id", "chunk_id") for k in ("siblings", "page", "section")]
+    asked = B.queries(spark, sf_dir)
+    parts = [X.neighbours(hits, cut, k, 1, asked, B.AS_OF_YEAR).select(F.lit(k).alias("kind"), "query_id", "hit_id", "chunk_id") for k in ("siblings", "page", "section")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query()
 def x2_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits, cut = _hits(spark, sf_dir)
-    return X.expand(hits, cut, "siblings", 2, 700)
+    """The whole search with its hits' siblings around them."""
+    config = SearchConfig(final_limit=8, context_expansion="siblings", context_expansion_size=2, context_max_tokens=700)
+    return R.retrieve(B.queries(spark, sf_dir), _placed(B.searchable(spark, sf_dir)), config, B.AS_OF_YEAR)
+
+
+def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits, _ = _hits(spark, sf_dir)
+    titles = B.documents(spark, sf_dir).select("document_id", "title", "freshness_status", F.col("acl").alias("allowed_groups"))
+    return hits.join(titles, "document_id")
 
 
-@query(f"""with {B.D}, {B.C} select document_id as query_id, concat('Answer from:', chr(10), string_agg(concat('[', chunk_index + 1, '] Title: ', title, ' (Section: N/A, Page: ', chunk_index, ')', chr(10), 'Content: ', content, chr(10)), concat(chr(10), '---', chr(10)) order by chunk_index)) as prompt
- from c where chunk_index < 5 group by document_id""")
+@query(f"""with {_RRF} select top.query_id, concat(case when top.query_id % 3 = 0 then 'Answer from:' else 'Stručně:' end, chr(10), string_agg(concat('[', rank, '] Title: ', title, ' (Section: ', case when chunk_index > 0 then concat('S', chunk_index // 3) else 'N/A' end, ', Page: ', chunk_index // 2, ')', chr(10), 'Content: ', content, chr(10)), concat(chr(10), '---', chr(10)) order by rank)) as prompt
+ from top join c using (chunk_id) group by top.query_id""")
 def x5_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = B.documents(spark, sf_dir).select("document_id", "title")
-    hits = B.chunks(spark, sf_dir).filter("chunk_index < 5").join(docs, "document_id").select(F.col("document_id").alias("query_id"), (F.col("chunk_index") + 1).alias("rank"), "title", F.lit(None).cast("string").alias("section_title"), F.col("chunk_index").alias("page_number"), F.concat(F.lit(X.START), "content", F.lit(X.END)).alias("content"))
-    return X.evidence(hits).select("query_id", X.prompt(F.lit("Answer from:\n{context_str}"), F.col("context")).alias("prompt"))
+    """Evidence of the search's hits in the template of the tenant and locale who ask."""
+    templates = spark.createDataFrame([("acme", "en", "Answer from:\n{context_str}"), ("default", "cs", "Stručně:\n{context_str}"), ("other", "cs", "?")], "tenant string, locale string, template string")
+    told = X.evidence(_told(spark, sf_dir).withColumn("content", F.concat(F.lit(X.START), "content", F.lit(X.END))))
+    asked = told.withColumn("tenant", F.lit("acme-prod")).withColumn("locale", F.when(F.col("query_id") % 3 == 0, "EN").otherwise("fr"))
+    return X.templates_for(asked, templates).select("query_id", X.prompt(F.col("template"), F.col("context")).alias("prompt"))
+
+
+@query(f"""with {_RRF} select top.query_id, count(*) as n, string_agg(concat_ws('|', document_id, chunk_id, title, chunk_index // 2, freshness_status, coalesce(acl_csv, '')), ';' order by rank) as sources from top join c using (chunk_id) group by top.query_id""")
+def x6_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = X.answer_sources(_told(spark, sf_dir))
+    line = lambda s: F.concat_ws("|", s["document_id"], s["chunk_id"], s["title"], s["page_number"], s["freshness_status"], F.array_join(s["allowed_groups"], ","))
+    return listed.select("query_id", F.size("sources").cast("bigint").alias("n"), F.array_join(F.transform("sources", line), ";").alias("sources"))
+
+
+@query("""select conv_id, turn, case when turn % 4 = 0 then 'vector_pgvector' when turn % 4 = 1 then 'keyword_fts' else 'hybrid_rrf' end as label from conversations""")
+def x9_strategy_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = F.when(F.col("turn") % 4 == 0, "vector").when(F.col("turn") % 4 == 1, "keyword").when(F.col("turn") % 4 == 2, "hybrid")
+    return B.table(spark, sf_dir, "conversations").select("conv_id", "turn", X.strategy_label(asked).alias("label"))
 
 
 @query("""select concat(conv_id, '-', turn) as message_id, 1 + turn % 2 as place, case turn % 2 when 0 then concat('doc_', conv_id) else concat('doc_', conv_id + turn) end as source from conversations where role = 'assistant'""")
@@ -437,22 +665,34 @@ def _words(docs: DataFrame) -> DataFrame:
     return at.withColumn("block_no", F.floor(i / 50)).withColumn("line_no", F.floor(i / 10)).withColumn("x0", i % 10 * 7).withColumn("y0", F.floor(i / 10) * 12).withColumn("x1", i % 10 * 7 + 6).withColumn("y1", F.floor(i / 10) * 12 + 10)
 
 
-@query(rf"""with w as (select doc_id, regexp_split_to_array(text, '\s+') as ws from documents where doc_id % 20 = 0),
- t as (select doc_id, array_to_string(ws[4:9], ' ') as phrase, array_to_string(ws, ' ') as whole from w where len(ws) >= 9),
- n as (select doc_id, regexp_replace(strip_accents(lower(phrase)), '[^a-z0-9]', '', 'g') as p, regexp_replace(strip_accents(lower(whole)), '[^a-z0-9]', '', 'g') as x from t)
- select doc_id as document_id, 'whole' as level from n where p <> '' and contains(x, p)""")
+_LOCATED = rf"""{B.D}, {B.C}, w as (select document_id, unnest(regexp_split_to_array(text, '\s+')) as word, unnest(range(len(regexp_split_to_array(text, '\s+')))) as i from d where document_id % 20 = 0),
+ v as (select *, regexp_replace(strip_accents(lower(word)), '[^a-z0-9]', '', 'g') as x from w),
+ e as (select *, sum(length(x)) over (partition by document_id order by i) as until from v),
+ j as (select document_id, string_agg(x, '' order by i) as joined from v group by document_id),
+ p as (select chunk_id, document_id, regexp_replace(strip_accents(lower(content)), '[^a-z0-9]', '', 'g') as x from c where document_id % 20 = 0),
+ f as (select p.*, strpos(joined, p.x) as begins from p join j using (document_id)),
+ r as (select chunk_id, f.document_id, count(*) filter (where until < begins) as first_word, count(*) filter (where until < begins + length(f.x) - 1) as last_word from f join e using (document_id) where f.x <> '' and begins > 0 group by chunk_id, f.document_id)"""
+
+
+def _located(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The chunks of the documents asked for among all words of those documents."""
+    asked = F.col("document_id") % 20 == 0
+    words = _words(B.documents(spark, sf_dir).filter(asked))
+    cut = B.chunks(spark, sf_dir).filter(asked).select("chunk_id", "document_id", F.lit(1).alias("page_number"), "content")
+    return L.locate(cut, words), words
+
+
+@query(f"with {_LOCATED} select p.chunk_id, case when r.chunk_id is null then 'none' else 'whole' end as level, first_word, last_word from p left join r using (chunk_id)")
 def l2_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = B.documents(spark, sf_dir)
-    parts = F.split("text", r"(?U)\s+")
-    asked = docs.filter((F.col("document_id") % 20 == 0) & (F.size(parts) >= 9)).select(F.col("document_id").alias("chunk_id"), "document_id", F.lit(1).alias("page_number"), F.array_join(F.slice(parts, 4, 6), " ").alias("content"))
-    return L.locate(asked, _words(docs)).filter("level = 'whole'").select("document_id", "level")
+    found, _ = _located(spark, sf_dir)
+    return found.select("chunk_id", "level", *[F.get("ranges", F.lit(0))[c].cast("bigint").alias(c) for c in ("first_word", "last_word")])
 
 
-@query("""with w as (select doc_id, unnest(range(len(regexp_split_to_array(text, '\\s+')))) as i from documents)
- select doc_id as chunk_id, i // 50 as block_no, i // 10 as line_no, min(i % 10 * 7) as x0, min(i // 10 * 12) as y0, max(i % 10 * 7 + 6) as x1, max(i // 10 * 12 + 10) as y1 from w where i between 3 and 27 group by all""")
+@query(f"""with {_LOCATED} select chunk_id, i // 50 as block_no, i // 10 as line_no, min(i % 10 * 7) as x0, min(i // 10 * 12) as y0, max(i % 10 * 7 + 6) as x1, max(i // 10 * 12 + 10) as y1 from r join w using (document_id) where i between first_word and last_word group by all""")
 def l3_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _words(B.documents(spark, sf_dir)).filter("word_index between 3 and 27").withColumn("chunk_id", F.col("document_id"))
-    return L.boxes(words).select("chunk_id", *[F.col(c).cast("bigint").alias(c) for c in ("block_no", "line_no", "x0", "y0", "x1", "y1")])
+    """Boxes of the words that the chunks were located at."""
+    found, words = _located(spark, sf_dir)
+    return L.boxes(L.matched_words(found, words)).select("chunk_id", *[F.col(c).cast("bigint").alias(c) for c in ("block_no", "line_no", "x0", "y0", "x1", "y1")])
 
 
 # ---- conversations, libraries ------------------------------------------------------------
@@ -464,6 +704,34 @@ def v1_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("thread_id", "user_id", "n_messages", F.minute("updated_at").cast("bigint").alias("last_turn"))
 
 
+@query("""select conv_id as thread_id, conv_id % 10 as user_id, string_agg(concat_ws('|', concat(conv_id, '-', turn), role, text, case when role = 'assistant' then concat('doc_', conv_id, ',doc_', conv_id + turn) else '' end), ';' order by turn) as messages from conversations group by conv_id""")
+def v2_thread_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = V.thread_detail(B.threads(spark, sf_dir), B.messages(spark, sf_dir))
+    line = lambda m: F.concat_ws("|", m["message_id"], m["role"], m["content"], F.array_join(m["sources"], ","))
+    return listed.select("thread_id", "user_id", F.array_join(F.transform("messages", line), ";").alias("messages"))
+
+
+@query("""with n as (select conv_id, count(*) as n, max(turn) as last from conversations group by conv_id)
+ select conv_id as thread_id, n + case when conv_id % 3 = 0 then 2 else 0 end as n_messages, case when conv_id % 3 = 0 then 90 else last end as minutes from n""")
+def v5_append_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question and its answer, 90 minutes in, to every third thread."""
+    threads, messages = B.threads(spark, sf_dir), B.messages(spark, sf_dir)
+    start = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    asked = threads.filter("thread_id % 3 = 0").select("thread_id", F.explode(F.array(F.lit("user"), F.lit("assistant"))).alias("role"))
+    turns = asked.select(F.concat_ws("-", "thread_id", "role").alias("message_id"), "thread_id", F.lit(90).cast(messages.schema["turn"].dataType).alias("turn"), "role", F.lit("new").alias("content"), (start + F.make_interval(mins=F.lit(90))).alias("created_at"), F.array().cast("array<string>").alias("sources"))
+    after, said = V.append_turns(threads, messages, turns)
+    minutes = ((F.unix_timestamp("updated_at") - F.unix_timestamp(start)) / 60).cast("bigint")
+    return V.thread_list(after, said).select("thread_id", "n_messages", minutes.alias("minutes"))
+
+
+@query("""select distinct conv_id as user_id, case when conv_id % 3 = 0 then 'HR' when conv_id % 3 = 1 then 'Management,HR,Finance,User' else 'User' end as groups from conversations""")
+def v8_default_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = B.threads(spark, sf_dir).select(F.col("thread_id").alias("user_id"))
+    n = F.col("user_id") % 3
+    groups = V.default_groups(F.when(n == 0, F.array(F.lit("HR"))), F.when(n == 1, "admin").otherwise("user"))
+    return users.select("user_id", _csv(groups).alias("groups"))
+
+
 @query("""select concat(conv_id, '-', turn) as message_id, row_number() over (partition by conv_id order by turn desc, concat(conv_id, '-', turn) desc) as back from conversations qualify back <= 6""")
 def v3_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.history(B.messages(spark, sf_dir)).select("message_id", F.col("back").cast("bigint").alias("back"))
@@ -489,9 +757,9 @@ def v6_rename_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.delete(V.rename(threads, names), threads.filter(n % 5 == 0)).select("thread_id", "title")
 
 
-@query(f"""with {B.D}, {B.C}, n as (select document_id, count(*) as n from c where chunk_index > 0 group by document_id) select d.document_id, coalesce(n.n, 0) as n_chunks from d left join n using (document_id)""")
+@query(f"""with {B.D}, {B.C}, n as (select document_id, count(*) as n from c group by document_id) select d.document_id, coalesce(n.n, 0) as n_chunks from d left join n using (document_id)""")
 def j6_chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = B.chunks(spark, sf_dir).filter("chunk_index > 0").groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = B.chunks(spark, sf_dir).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
     return B.documents(spark, sf_dir).select("document_id").join(counts, "document_id", "left").select("document_id", F.coalesce("n", F.lit(0)).alias("n_chunks"))
 
 

@@ -55,10 +55,25 @@ def load_categories(spark: SparkSession, path: str | None = None) -> DataFrame:
     return read.select(F.posexplode("categories").alias("ord", "c")).select("ord", "c.key", "c.label", "c.description", "c.role_name", "c.allowed_groups")
 
 
-def write_snapshot(documents: DataFrame, chunks: DataFrame, folder: str) -> None:
-    """A new snapshot of both tables, chunks by tenant; readers switch to it when it is whole."""
-    documents.write.mode("overwrite").parquet(f"{folder}/documents")
-    chunks.write.mode("overwrite").partitionBy("tenant_id").parquet(f"{folder}/chunks")
+def write_snapshot(documents: DataFrame, chunks: DataFrame, folder: str, number: int) -> None:
+    """A full refresh: both tables under a new number, chunks by tenant, and a mark once they are whole, by which readers switch."""
+    place = f"{folder}/snapshot={number}"
+    documents.write.mode("overwrite").parquet(f"{place}/documents")
+    chunks.write.mode("overwrite").partitionBy("tenant_id").parquet(f"{place}/chunks")
+    jvm, sc = documents.sparkSession._jvm, documents.sparkSession.sparkContext
+    mark = jvm.org.apache.hadoop.fs.Path(f"{place}/_whole")
+    mark.getFileSystem(sc._jsc.hadoopConfiguration()).create(mark, True).close()
+
+
+def read_snapshot(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Documents and chunks of the newest whole snapshot."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/snapshot=*/_whole")
+    marks = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    places = [m.getPath().getParent().toString() for m in marks or []]
+    if not places:
+        raise FileNotFoundError(f"no whole snapshot in {folder}")
+    newest = max(places, key=lambda p: int(p.rsplit("=", 1)[1]))
+    return spark.read.parquet(f"{newest}/documents"), spark.read.parquet(f"{newest}/chunks")
 
 
 def document_chunks(chunks: DataFrame, document_id) -> DataFrame:

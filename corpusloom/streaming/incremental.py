@@ -11,7 +11,7 @@ from ..operators.ingest import checksum, file_uri
 
 DOCUMENTS = "document_id string, source_uri string, checksum string, text string, batch bigint"
 CHUNKS = "document_id string, chunk_index int, content string, batch bigint"
-METRICS = "batch bigint, rows_in bigint, new bigint, changed bigint, unchanged bigint"
+METRICS = "batch bigint, rows_in bigint, new bigint, changed bigint, unchanged bigint, rejected bigint"
 
 
 def current(spark: SparkSession, store: str) -> DataFrame:
@@ -32,7 +32,10 @@ def ingest_batch(batch: DataFrame, batch_id: int, store: str, size: int, overlap
         spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{store}/{name}/run=-1")
     uri = file_uri(F.col("path"))
     text = F.decode("content", "UTF-8")
-    rows = batch.select(F.sha2(uri, 256).alias("document_id"), uri.alias("source_uri"), checksum(F.col("content")).alias("checksum"), text.alias("text"), "modificationTime")
+    # Files of another kind, and those that are no UTF-8, are counted and left out.
+    good = F.lower("path").endswith(".txt") & F.expr("is_valid_utf8(content)")
+    bad = batch.filter(~good).count()
+    rows = batch.filter(good).select(F.sha2(uri, 256).alias("document_id"), uri.alias("source_uri"), checksum(F.col("content")).alias("checksum"), text.alias("text"), "modificationTime")
     rows = rows.groupBy("document_id").agg(F.max(F.struct("modificationTime", "source_uri", "checksum", "text")).alias("v")).select("document_id", "v.source_uri", "v.checksum", "v.text")
     before = current(spark, store).filter(F.col("batch") < batch_id).select("document_id", F.col("checksum").alias("old"))
     marked = rows.join(before, "document_id", "left").withColumn("change", F.when(F.col("old").isNull(), "new").when(F.col("old") == F.col("checksum"), "unchanged").otherwise("changed")).withColumn("batch", F.lit(batch_id).cast("bigint"))
@@ -40,10 +43,10 @@ def ingest_batch(batch: DataFrame, batch_id: int, store: str, size: int, overlap
     fresh.select("document_id", "source_uri", "checksum", "text", "batch").write.mode("overwrite").parquet(f"{store}/documents/run={batch_id}")
     fresh.select("document_id", F.posexplode(window_array(F.col("text"), size, overlap)).alias("chunk_index", "w"), "batch").select("document_id", "chunk_index", F.col("w.content").alias("content"), "batch").write.mode("overwrite").parquet(f"{store}/chunks/run={batch_id}")
     count = lambda c: F.coalesce(F.sum(F.when(F.col("change") == c, 1).otherwise(0)), F.lit(0)).cast("bigint").alias(c)
-    marked.agg(F.lit(batch_id).cast("bigint").alias("batch"), F.count(F.lit(1)).alias("rows_in"), count("new"), count("changed"), count("unchanged")).write.mode("overwrite").parquet(f"{store}/metrics/run={batch_id}")
+    marked.agg(F.lit(batch_id).cast("bigint").alias("batch"), (F.count(F.lit(1)) + bad).alias("rows_in"), count("new"), count("changed"), count("unchanged"), F.lit(bad).cast("bigint").alias("rejected")).write.mode("overwrite").parquet(f"{store}/metrics/run={batch_id}")
 
 
 def start(spark: SparkSession, folder: str, store: str, checkpoint: str, size: int = 1500, overlap: int = 250) -> StreamingQuery:
-    """Takes in all files that are there and ends; run it again for what comes later."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(folder)
+    """Takes in all files that are there and ends; run it again for what comes later. Only text files become documents."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", True).load(folder)
     return files.writeStream.foreachBatch(lambda df, n: ingest_batch(df, n, store, size, overlap)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
