@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-QUERY_PUNCTUATION = "?.,!;:()[]{}"
 TOKEN = r"[\p{L}\p{N}_]+"
 
 
@@ -42,8 +43,16 @@ def comma_list(text: Column, default: str = "User") -> Column:
     return F.coalesce(F.filter(F.transform(F.split(text, ","), strip), lambda x: x != ""), F.array(F.lit(default)))
 
 
+def _accents() -> tuple[str, str]:
+    """Latin letters that canonically decompose into an ASCII letter and marks, and those letters."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if unicodedata.decomposition(chr(c))]
+    kept = [(c, base.lower()) for c, base in pairs if base.isascii() and base.isalpha()]
+    return "".join(c for c, _ in kept), "".join(base for _, base in kept)
+
+
+ACCENTED, PLAIN = _accents()
+
+
 def normal_form(text: Column) -> Column:
-    """Lower case, common Latin accents off, ASCII letters and digits only."""
-    accented = "àáâãäåāăąçćčďđèéêëēėęěìíîïīįłñńňòóôõöøōőŕřśšťùúûüūůűýÿźżž"
-    plain = "aaaaaaaaacccddeeeeeeeeiiiiiilnnnoooooooorrsstuuuuuuuyyzzz"
-    return F.regexp_replace(F.translate(F.lower(text), accented, plain), "[^a-z0-9]", "")
+    """Lower case, accents off Latin letters, ASCII letters and digits only."""
+    return F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), "[^a-z0-9]", "")

@@ -278,8 +278,7 @@ def placed_chunks(pages: list[tuple[int, str]], split: Split, mode: str, overlap
         places = [p for p, _ in marks]
         parts = split(f"{carry}\n{text}" if carry else text)
         if mode == CARRIED:
-            # An overlap of 0 carries the whole last chunk, as the slice from the end by 0 does.
-            carry = parts[-1][-overlap:] if parts else ""
+            carry = parts[-1][-overlap:] if parts and overlap > 0 else ""
         for content, start in placed(parts, text):
             if at := bisect_right(places, start):
                 section = marks[at - 1][1]

@@ -8,6 +8,8 @@ meet block by block.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +27,8 @@ BROADCAST_QUERIES = 10_000
 #: Queries, and chunks, of one block of the matrix product.
 BLOCK = 4096
 DECIMALS = 6
+#: Words of a text column: the place for a stemmer.
+Analyzer = Callable[[Column], Column]
 
 
 def _small(df: DataFrame, limit: int = BROADCAST_QUERIES) -> DataFrame:
@@ -35,22 +39,24 @@ def fits_metadata() -> Column:
     return P.metadata_matches(P.cleaned_filters(F.col("filters")), F.col("columns"), F.col("doc_metadata"), F.col("metadata"))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
+def postings(chunks: DataFrame, analyzer: Analyzer = tokens) -> DataFrame:
     """(term, chunk_id, tf): the keyword index, to be written once and given to every search."""
-    return chunks.select("chunk_id", F.explode(tokens(F.col("content"))).alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+    return chunks.select("chunk_id", F.explode(analyzer(F.col("content"))).alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+def query_terms(queries: DataFrame, analyzer: Analyzer = tokens) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(analyzer(F.col("query")))).alias("term"))
 
 
-def keyword_ranks(queries: DataFrame, chunks: DataFrame, index: DataFrame | None = None) -> DataFrame:
+def keyword_ranks(queries: DataFrame, chunks: DataFrame, index: DataFrame | None = None, analyzer: Analyzer = tokens) -> DataFrame:
     """(query_id, chunk_id, fts_rank): 0.1 for every matching position of any query term.
 
-    Without an index the chunks' words meet the terms as they are read, so only hits are shuffled.
+    Without an index the chunks' words meet the terms as they are read, so only hits are
+    shuffled. Queries and chunks go through one analyzer, plain words unless a stemmer is
+    plugged in; an index must have been built with the same one.
     """
-    terms = _small(query_terms(queries), 10 * BROADCAST_QUERIES)
-    words = chunks.select("chunk_id", F.explode(tokens(F.col("content"))).alias("term"), F.lit(1).alias("tf")) if index is None else index
+    terms = _small(query_terms(queries, analyzer), 10 * BROADCAST_QUERIES)
+    words = chunks.select("chunk_id", F.explode(analyzer(F.col("content"))).alias("term"), F.lit(1).alias("tf")) if index is None else index
     return words.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.round(0.1 * F.sum("tf"), DECIMALS).alias("fts_rank"))
 
 
@@ -132,12 +138,12 @@ def vector_candidates(queries: DataFrame, chunks: DataFrame, limit: int, as_of_y
     return chunks.join(best, "chunk_id")
 
 
-def keyword_candidates(queries: DataFrame, chunks: DataFrame, limit: int, as_of_year: int, index: DataFrame | None = None, pre: bool = False) -> DataFrame:
+def keyword_candidates(queries: DataFrame, chunks: DataFrame, limit: int, as_of_year: int, index: DataFrame | None = None, pre: bool = False, analyzer: Analyzer = tokens) -> DataFrame:
     """The chunks' columns with query_id, fts_rank, score and rank: by keyword rank; ``score`` is the cosine, for display.
 
     The index gives the pairs; chunks come in by their ids, and only the first ``limit`` of each query are scored.
     """
-    hits = keyword_ranks(queries, chunks, index)
+    hits = keyword_ranks(queries, chunks, index, analyzer)
     about = chunks.select("chunk_id", *SEEN, *(["columns", "doc_metadata", "metadata"] if pre else []))
     asker = queries.select("query_id", *ASKER, *(["filters"] if pre else []))
     pairs = hits.join(about, "chunk_id").join(asker, "query_id").filter(may_see(as_of_year) & (fits_metadata() if pre else F.lit(True)))
@@ -204,7 +210,7 @@ def fuse_union(vector: DataFrame, keyword: DataFrame, vector_limit: int, keyword
     return _top(both, vector_limit + keyword_limit, "list", "place").select("query_id", "rank", "chunk_id", "score", "content")
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, config: SearchConfig, as_of_year: int, index: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, chunks: DataFrame, config: SearchConfig, as_of_year: int, index: DataFrame | None = None, limit: int | None = None, analyzer: Analyzer = tokens) -> DataFrame:
     """The whole search for every query: (query_id, rank, chunk_id, score, content). ``limit`` None means the configured one.
 
     With a context expansion, ``content`` is the hit between markers among what surrounds it,
@@ -226,7 +232,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: SearchConfig, as_of_
     if config.search_strategy in ("vector", "hybrid"):
         vector = listed(vector_candidates(queries, chunks, config.vector_limit, as_of_year, pre))
     if config.search_strategy in ("keyword", "hybrid"):
-        keyword = listed(keyword_candidates(queries, chunks, config.keyword_limit, as_of_year, index, pre))
+        keyword = listed(keyword_candidates(queries, chunks, config.keyword_limit, as_of_year, index, pre, analyzer))
     if keyword is None:
         found = vector.filter((F.col("rank") <= cut) & (F.col("score") >= config.score_threshold)).select(*slim)
     elif vector is None:
