@@ -82,12 +82,12 @@ def replaced(stored: DataFrame, gone: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def document_rows(files: DataFrame, run_time: Column) -> DataFrame:
-    """Rows of the documents table from (path, tenant_id, content, metadata, acl, language, freshness_status)."""
+    """Rows of the documents table from (path, tenant_id, content, metadata, acl, language, freshness_status); a ``checksum`` may stand for the content."""
     path = relative_path(F.col("path"))
     uri = F.concat(F.lit("file://"), path)
     return files.select(
         F.sha2(uri, 256).alias("document_id"), "tenant_id", F.lit("file").alias("source_type"), uri.alias("source_uri"), title_of(path).alias("title"), type_of(path).alias("document_type"), "language",
-        created_at(F.col("metadata"), run_time).alias("created_at"), F.coalesce("freshness_status", F.lit("current")).alias("freshness_status"), checksum(F.col("content")).alias("checksum"),
+        created_at(F.col("metadata"), run_time).alias("created_at"), F.coalesce("freshness_status", F.lit("current")).alias("freshness_status"), (F.col("checksum") if "checksum" in files.columns else checksum(F.col("content"))).alias("checksum"),
         F.coalesce("acl", F.array(*[F.lit(g) for g in DEFAULT_ACL])).alias("acl"), run_time.alias("ingested_at"), F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"),
     )
 

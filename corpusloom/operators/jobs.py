@@ -68,33 +68,39 @@ def rechunked(documents: DataFrame, chunks: DataFrame, pages: DataFrame, split:
 
 
 def analysed(files: DataFrame, pages: DataFrame, keywords: DataFrame, categories: DataFrame, run_date: Column) -> DataFrame:
-    """What the rules say of every file: (path, tenant_id, content, full_text, released, language, department, acl).
+    """What the rules say of every file: (path, tenant_id, checksum, released, language, department, acl).
 
     ``files``: (path, tenant_id, content, modified); ``pages``: (path, page_number, text);
     ``keywords``: (key, term) of the categories. Stands in for a model's answers.
     """
     texts = G.page_texts(pages.withColumnRenamed("path", "document_id"))
-    terms = texts.select("document_id", F.explode(tokens(F.col("excerpt"))).alias("term"))
-    kinds = G.category_by_keywords(terms, keywords).withColumnsRenamed({"document_id": "c_path", "category_key": "key"})
-    joined = files.join(texts.withColumnRenamed("document_id", "t_path"), F.col("path") == F.col("t_path"), "left").join(kinds, F.col("path") == F.col("c_path"), "left")
-    joined = joined.withColumn("department", F.coalesce("key", F.lit("user"))).drop("key")
+    dated = G.first_date(F.get(G.date_candidates(F.col("full_text")), F.lit(0)))
+    told = texts.select(F.col("document_id").alias("t_path"), dated.alias("said"), G.language_by_stop_words(tokens(F.col("full_text"))).alias("language"))
+    terms = pages.filter("page_number <= 2").select(F.col("path").alias("document_id"), F.explode(tokens(F.col("text"))).alias("term"))
+    kinds = G.category_by_keywords(terms, keywords).withColumnsRenamed({"document_id": "c_path", "category_key": "said_key"})
+    rows = files.select("path", "tenant_id", I.checksum(F.col("content")).alias("checksum"), "modified")
+    joined = rows.join(told, F.col("path") == F.col("t_path"), "left").join(kinds, F.col("path") == F.col("c_path"), "left")
+    joined = joined.withColumn("department", F.coalesce("said_key", F.lit("user")))
     joined = joined.join(F.broadcast(categories.select("key", "allowed_groups")), F.col("department") == F.col("key"), "left")  # configuration
-    full = F.coalesce("full_text", F.lit(""))
-    dated = G.first_date(F.get(G.date_candidates(full), F.lit(0)))
-    return joined.select("path", "tenant_id", "content", full.alias("full_text"), G.release_date(dated, F.lit(None).cast("date"), F.col("modified"), run_date).alias("released"), G.language_by_stop_words(tokens(full)).alias("language"), "department", U.category_groups(categories).alias("acl"))
+    released = G.release_date(F.col("said"), F.lit(None).cast("date"), F.col("modified"), run_date)
+    return joined.select("path", "tenant_id", "checksum", released.alias("released"), F.coalesce("language", F.lit(next(iter(G.STOP_WORDS)))).alias("language"), "department", U.category_groups(categories).alias("acl"))
 
 
 def full_reindex(files: DataFrame, pages: DataFrame, keywords: DataFrame, categories: DataFrame, run_time: Column, split: C.Split, mode: str = C.ISOLATED, overlap: int = 0, embed: Embedder | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, chunks, relations) of all files: analysed, put in the order of their dates, related to earlier ones, split and embedded."""
+    """(documents, chunks, relations) of all files: analysed, put in the order of their dates, related to earlier ones, split and embedded.
+
+    Documents and relations hold no texts and are kept while the job runs (persist(), which
+    a lost executor makes Spark work out again); unpersist them once all three are written.
+    """
     known = analysed(files, pages, keywords, categories, run_time.cast("date"))
     metadata = U.merged(I.folder_metadata(I.relative_path(F.col("path"))), F.create_map(F.lit("department"), F.col("department"), F.lit("created_at"), F.col("released").cast("string")))
-    rows = known.select("path", "tenant_id", "content", "language", "acl", F.lit("current").alias("freshness_status"), metadata.alias("metadata"))
-    documents = I.document_rows(rows, run_time)
+    rows = known.select("path", "tenant_id", "checksum", "language", "acl", F.lit("current").alias("freshness_status"), metadata.alias("metadata"))
+    documents = I.document_rows(rows, run_time).persist()
+    numbered = pages.withColumn("document_id", F.sha2(I.file_uri(F.col("path")), 256))
     ordered = G.chronological(documents, F.col("metadata")["created_at"])
-    numbers = known.select(F.sha2(I.file_uri(F.col("path")), 256).alias("document_id"), "path", "full_text")
-    sentences = numbers.select("document_id", F.explode(C.sentences(F.col("full_text"))).alias("sentence"))
-    relations = G.relations_by_rule(sentences, ordered.join(G.relation_candidates(documents).select("document_id"), "document_id", "left_semi"))
-    cut = C.split_pages(pages.join(numbers.select("document_id", "path"), "path"), guarded(split), mode, overlap)
+    sentences = numbered.select("document_id", F.explode(C.sentences(F.col("text"))).alias("sentence"))
+    relations = G.relations_by_rule(sentences, ordered.join(G.relation_candidates(documents).select("document_id"), "document_id", "left_semi")).persist()
+    cut = C.split_pages(numbered, guarded(split), mode, overlap)
     chunks = U.archive_chunks(I.chunk_rows(cut, documents), relations)
     if embed is not None:
         chunks = with_embeddings(chunks, embed)
