@@ -181,6 +181,9 @@ def test_warc_round_trip(spark, sf_dir):
     pages = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
     pages += [(9001, None, None), (9002, "http://x/", ""), (9003, "http://y/", "é" * 60), (9004, "http://z/", "é" * 60), (9005, "u\r\nX: y", "short"), (9006, "v", "short"), (9000, "w", "é" * 60)]
     frame = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    from pyspark.sql import functions as F
+
+    frame = frame.withColumns({c: F.lit("clash") for c in ("id", "uri", "payload", "digest", "first", "refers_to", "record_id")})
     archives = warc.write_archives(warc.page_records(frame).coalesce(1)).cache()
     got = {r["record_id"]: r for r in warc.read_archives(archives).collect()}
     assert len(got) == len(pages) and not [r for r in got.values() if r["error"]]

@@ -39,3 +39,23 @@ def test_stages(spark, sf_dir, outputs):
     assert ids(clean) == sorted(d for d, *_, bad in brute_contamination([(r["doc_id"], r["text"]) for r in single.collect()], items) if not bad)
     assert Counter(ids(mixed)) == Counter({r["doc_id"]: r["copies"] for r in mixing.mix(clean).collect() if r["copies"]})
     assert ids(sharded) == ids(mixed) and {"shard", "slot"} <= set(sharded.columns)
+
+
+def test_stages_of_odd_tables(spark, sf_dir, tmp_path):
+    """Null, empty, long, equal and repeated rows, a column with a working name, string ids; and a table without rows."""
+    import corpus_pipeline
+
+    long = " ".join(f"w{i}" for i in range(20_000))
+    fine = " ".join(f"a{i}" for i in range(80))
+    rows = [(None, None, None), ("1", "", "s"), ("2", long, "s"), ("2", long, "s"), ("3", fine, None), ("4", fine, "t"), (None, f"{fine} {fine[::-1]}", "t"), ("3", f"{long} x", "u")]
+    odd = spark.createDataFrame(rows, "doc_id string, text string, source string").selectExpr("*", "'clash' as id", "1 as copy", "'x' as one", "'y' as size", "2 as shard")
+    for k, docs in enumerate((odd, odd.limit(0))):
+        for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{k}-{n}")
+            out = stage(spark, docs, sf_dir)
+            assert set(docs.columns) <= set(out.columns)
+            out.write.parquet(path)
+            docs = spark.read.parquet(path)
+            if k == 0 and n == 1:  # of the two long texts and of the two equal ones, one each; the other has half its words in common
+                assert sorted((r["doc_id"] or "", len(r["text"])) for r in docs.collect()) == sorted([("2", len(long)), ("3", len(fine)), ("", 2 * len(fine) + 1)])
+        assert (docs.count() > 0) == (k == 0)
