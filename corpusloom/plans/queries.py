@@ -124,6 +124,17 @@ def i5_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.replaced(kept, found.filter("change = 'changed'"), fresh).select("document_id", "language", F.length("text").cast("bigint").alias("size"))
 
 
+@query(f"""with {B.D}, {B.C} select chunk_id, case when document_id % 3 = 0 then 'xx' else language end as language, case when document_id % 3 = 1 then 'HR,User' else acl_csv end as acl,
+ case when document_id % 3 = 2 then 'new' else department end as department from c""")
+def i5_refreshed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of unchanged documents take new values of language, list of groups and metadata where there are any."""
+    docs, n = B.documents(spark, sf_dir).select("document_id", "language", "acl", "metadata"), F.col("document_id")
+    updates = docs.select("document_id", F.when(n % 3 == 0, "xx").alias("language"), F.when(n % 3 == 1, F.array(F.lit("HR"), F.lit("User"))).alias("acl"), F.when(n % 3 == 2, F.create_map(F.lit("department"), F.lit("new"))).alias("metadata"))
+    stored = B.chunks(spark, sf_dir).select("document_id", "chunk_id").join(docs, "document_id")
+    out = I.refreshed(stored, updates, ("language", "acl", "metadata"))
+    return out.select("chunk_id", "language", _csv(F.col("acl")).alias("acl"), F.col("metadata")["department"].alias("department"))
+
+
 @query(f"""with {B.D} select document_id, case when contains(title, '_15') then 'archived' else 'current' end as freshness_status,
  case when contains(title, '_15') then 'Management' when contains(title, '7') then 'HR' else 'Public' end as department from d""")
 def i9_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,6 +301,17 @@ def c7_token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.documents(spark, sf_dir).select("document_id", F.size(C.token_windows(F.col("text"), 512, 64)).cast("bigint").alias("n_windows"))
 
 
+@query(f"""with {B.D}, w as (select document_id, regexp_extract_all(lower(text), '{B.WORDS_RE}') as ws from d),
+ k as (select *, unnest(range(0, cast(greatest(0, ceil((len(ws) - 100) / 80.0)) as bigint) + 1)) as i from w)
+ select document_id, i as chunk_index, array_to_string(ws[i * 80 + 1 : i * 80 + 100], ' ') as content from k where len(ws) > 0""")
+def c7_word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a hundred tokens, twenty of them shared, by the tokenizer hook."""
+    from ..hooks import word_tokenizer
+
+    cut = B.documents(spark, sf_dir).select("document_id", F.posexplode(C.token_windows(F.col("text"), 100, 20, word_tokenizer)).alias("chunk_index", "content"))
+    return cut.select("document_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "content")
+
+
 _CUT = ["document_id", "page_number", "chunk_index", "content"]
 
 
