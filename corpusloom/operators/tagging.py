@@ -75,6 +75,7 @@ def relations_by_rule(sentences: DataFrame, documents: DataFrame) -> DataFrame:
 
     Titles are looked up by equality of word runs rather than by pairing every sentence
     with every title: the runs of up to four words after a phrase are exploded and joined.
+    Documents with a tenant_id relate within their tenant.
     """
     found = None
     for kind, phrase in RELATION_PHRASES.items():
@@ -83,9 +84,12 @@ def relations_by_rule(sentences: DataFrame, documents: DataFrame) -> DataFrame:
         runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))))
         part = sentences.filter(F.col("sentence").rlike(phrase)).select("document_id", F.lit(kind).alias("relationship_type"), F.explode(F.array_distinct(runs)).alias("title"))
         found = part if found is None else found.unionByName(part)
-    targets = documents.select(F.col("document_id").alias("target_document_id"), "title", F.col("date_order").alias("target_order"))
-    order = documents.select("document_id", "date_order")
+    tenant = ["tenant_id"] if "tenant_id" in documents.columns else []
+    targets = documents.select(F.col("document_id").alias("target_document_id"), "title", F.col("date_order").alias("target_order"), *tenant)
+    order = documents.select("document_id", "date_order", *[F.col(c).alias("own_tenant") for c in tenant])
     joined = found.join(targets, "title").join(order, "document_id").filter("target_order < date_order")
+    if tenant:
+        joined = joined.filter(F.col("own_tenant").eqNullSafe(F.col("tenant_id")))
     return joined.select(F.col("document_id").alias("source_document_id"), "relationship_type", "target_document_id").distinct()
 
 

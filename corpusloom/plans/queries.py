@@ -199,20 +199,6 @@ def i14_rechunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("document_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "language", _csv(F.col("acl")).alias("acl"), F.sha2("content", 256).alias("digest"))
 
 
-@query()
-def i15_full_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as files, from reading to related documents with their chunks counted."""
-    docs, n = B.documents(spark, sf_dir), F.col("document_id")
-    path = F.concat(F.lit("/srv/data/"), F.col("source_folder"), F.lit("/doc_"), n, F.lit(".txt"))
-    more = F.when((n % 35 == 0) & (n >= 7), F.concat(F.lit("\nIssued "), F.col("created_at").cast("string"), F.lit(". This replaces doc_"), n - 7, F.lit("."))).otherwise("")
-    files = docs.select(path.alias("path"), "tenant_id", F.concat("text", more).alias("content"), F.lit(None).cast("timestamp").alias("modified"))
-    pages = files.select("path", F.lit(1).alias("page_number"), F.col("content").alias("text"))
-    keywords = spark.createDataFrame(KEYWORDS, "key string, term string")
-    documents, chunks, _ = J.full_reindex(files, pages, keywords, B.categories(spark), F.lit(RUN_TIME).cast("timestamp"), lambda t: C.window_pieces(t, B.SIZE, B.OVERLAP))
-    counts = chunks.groupBy("document_id", F.col("freshness_status").alias("chunk_status")).agg(F.count(F.lit(1)).alias("n_chunks"))
-    return documents.join(counts, "document_id").select("source_uri", "language", "freshness_status", "chunk_status", F.col("metadata")["department"].alias("department"), F.col("metadata")["replaced_by_document_title"].alias("replaced_by"), "n_chunks")
-
-
 # ---- chunking ----------------------------------------------------------------------------
 
 
@@ -439,6 +425,30 @@ def t12_chronology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.chronological(B.documents(spark, sf_dir), day).select("document_id", F.col("date_order").cast("bigint").alias("date_order"))
 
 
+@query(f"""with {B.D}, f as (select document_id, source_folder, created_at, concat(text, case when document_id % 35 = 0 and document_id >= 7 then concat(chr(10), 'Issued ', created_at, '. This replaces doc_', document_id - 7, '.') else '' end) as content from d),
+ w as (select document_id, regexp_extract_all(lower(content), '{B.WORDS_RE}') as ws from f),
+ k as (select * from (values {", ".join(map(str, KEYWORDS))}) as k(key, term)),
+ h as (select document_id, key, count(*) as n from (select document_id, unnest(ws) as term from w) join k using (term) group by all),
+ b as (select document_id, min(key) as key from (select *, max(n) over (partition by document_id) as top from h) where n = top group by document_id),
+ c as (select document_id, count(*) as n_chunks from (select *, unnest(range(0, cast(greatest(0, ceil((length(content) - {B.SIZE}) / {B.SIZE - B.OVERLAP}.0)) as bigint) + 1)) as i from f)
+  where regexp_matches(substr(content, cast(i * {B.SIZE - B.OVERLAP} + 1 as bigint), {B.SIZE}), '\\S') group by document_id),
+ r as (select f.document_id, s.document_id as by_id from f join f s on s.document_id = f.document_id + 7 and s.document_id % 35 = 0 and s.created_at > f.created_at)
+ select concat('file://', source_folder, '/doc_', f.document_id, '.txt') as source_uri, {{stops}}.lang as language, case when by_id is null then 'current' else 'archived' end as freshness_status,
+  case when by_id is null then 'current' else 'archived' end as chunk_status, coalesce(b.key, 'user') as department, case when by_id is not null then concat('doc_', by_id) end as replaced_by, n_chunks
+ from f join w using (document_id) join c using (document_id) left join b using (document_id) left join r using (document_id)""".replace("{stops}", _SQL_STOPS))
+def i15_full_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as files of one tenant, from reading to related documents with their chunks counted; one in 35 replaces an earlier one."""
+    docs, n = B.documents(spark, sf_dir), F.col("document_id")
+    path = F.concat(F.lit("/srv/data/"), F.col("source_folder"), F.lit("/doc_"), n, F.lit(".txt"))
+    more = F.when((n % 35 == 0) & (n >= 7), F.concat(F.lit("\nIssued "), F.col("created_at").cast("string"), F.lit(". This replaces doc_"), n - 7, F.lit("."))).otherwise("")
+    files = docs.select(path.alias("path"), F.lit("acme").alias("tenant_id"), F.concat("text", more).alias("content"), F.col("created_at").cast("timestamp").alias("modified"))
+    pages = files.select("path", F.lit(1).alias("page_number"), F.col("content").alias("text"))
+    keywords = spark.createDataFrame(KEYWORDS, "key string, term string")
+    documents, chunks, _ = J.full_reindex(files, pages, keywords, B.categories(spark), F.lit(RUN_TIME).cast("timestamp"), lambda t: C.window_pieces(t, B.SIZE, B.OVERLAP))
+    counts = chunks.groupBy("document_id", F.col("freshness_status").alias("chunk_status")).agg(F.count(F.lit(1)).alias("n_chunks"))
+    return documents.join(counts, "document_id").select("source_uri", "language", "freshness_status", "chunk_status", F.col("metadata")["department"].alias("department"), F.col("metadata")["replaced_by_document_title"].alias("replaced_by"), "n_chunks")
+
+
 # ---- governance --------------------------------------------------------------------------
 
 
