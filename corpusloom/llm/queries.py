@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, langid, license_scan, mixing, pii, quality, sharding, simhash, url_graph, warc
-from .common import staged, table
+from .common import forget, staged, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,9 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     archives = staged(warc.write_archives(warc.page_records(pages)), "warc-archives")
-    read = warc.checked_revisits(staged(warc.read_archives(archives, payloads=False), "warc-records"))
+    records = staged(warc.read_archives(archives, payloads=False), "warc-records")
+    forget(archives)
+    read = warc.checked_revisits(records)
     number = lambda c: F.regexp_extract(c, r"^urn:page:(.*)$", 1).cast("long")
     checked = F.when(F.col("error").isNull(), number(F.col("record_id"))).otherwise(F.raise_error(F.col("error")).cast("long"))
     return read.select(checked.alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"))
