@@ -14,8 +14,6 @@ ROW = "_cl_row"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word of text whose A-Z are lower case already.
 LOWERED_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before lowering.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: What stands between white space.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 

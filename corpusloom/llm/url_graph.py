@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, ROW, UPPER, bare, forget, packed, staged, unpacked
+from .common import LOWER, UPPER, bare, forget, packed, staged, unpacked
 
 #: (verdict, host, path): a rule holds for the host and its subdomains; the longest that fits wins.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
