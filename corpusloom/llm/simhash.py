@@ -3,7 +3,9 @@
 A BK-tree keeps each child under its integer Hamming distance to the parent; a search
 follows only the edges within the radius. Trees are built per shard and reach the tasks by
 the shuffle that deals out the shards, because fingerprints grow with the corpus and so
-have no size bound that a driver-side broadcast could rely on.
+have no size bound that a driver-side broadcast could rely on. This departure from
+broadcast trees is meant to stay: a broadcast would hold at small sizes alone, with the
+same links, and would need the shuffle beside it.
 
 * ``linked_fingerprints``: radius 2 or so. Two fingerprints within the radius agree on one
   of radius + 1 blocks of bits, so a shard is one value of one block; shards that are too
@@ -206,6 +208,18 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return marked.join(named, "fp").select(F.col("id").alias(id_col), hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def _least(hashes: np.ndarray, odd: np.ndarray, add: np.ndarray) -> np.ndarray:
+    """The smallest value of the hashes under each of the functions (odd, add), by blocks that stay in the cache."""
+    least = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 512):
+        values = hashes[at : at + 512, None] * odd
+        values += add
+        # Multiply-shift mixes the low bits up; the hashes are well mixed already.
+        values ^= values >> np.uint64(29)
+        np.minimum(least, values.min(0), out=least)
+    return least
+
+
 def _signatures(shingle: int, bands: int, rows: int):
     odd = np.array([xxhash.xxh64_intdigest(b"factor%d" % i, SEED) | 1 for i in range(SKETCH)], np.uint64)
     add = np.array([xxhash.xxh64_intdigest(b"summand%d" % i, SEED) for i in range(SKETCH)], np.uint64)
@@ -221,8 +235,7 @@ def _signatures(shingle: int, bands: int, rows: int):
                 keys.append([])
                 sketches.append(b"")
                 continue
-            # Multiply-shift mixes the low bits up; the hashes are well mixed already.
-            least = np.array([((hashes * a + b) ^ ((hashes * a + b) >> np.uint64(29))).min() for a, b in zip(odd, add, strict=True)], np.uint64)
+            least = _least(hashes, odd, add)
             keys.append([_signed(xxhash.xxh64_intdigest(b"%d:" % i + least[i * rows : (i + 1) * rows].tobytes(), SEED)) for i in range(bands)])
             sketches.append(least.astype(np.uint32).tobytes())
         return pd.DataFrame({"fp": pd.Series(fps, dtype="int64"), "bands": keys, "sketch": sketches})
