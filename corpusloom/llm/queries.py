@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, license_scan, mixing, pii, quality, sharding, simhash, url_graph, warc
-from .common import forget, staged, table
+from . import decontamination, langid, license_scan, mixing, pii, quality, sharding, simhash, url_graph, warc, word_runs
+from .common import SPACED_WORD, forget, staged, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,10 +135,64 @@ from d left join spots using (r) left join found using (r)
 """
 
 
+def _repeating(text: Column, number: Column) -> Column:
+    """op13's texts: in one document in ten, by its number, a piece of it repeats from some word on to the end."""
+    g = F.floor(number / 10)
+
+    def from_there_on(w: Column) -> Column:
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        again = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.slice(F.concat(F.slice(w, F.lit(1), a), again), F.lit(1), n), " ")
+
+    words = F.regexp_extract_all(text, F.lit(f"({SPACED_WORD})"), F.lit(1))
+    # The one-element array binds the words, so that they are found once.
+    edited = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, from_there_on(w))), F.lit(0))
+    return F.when(number % 10 == 0, F.coalesce(edited, text)).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    edited = docs.select("doc_id", _repeating(F.col("text"), F.crc32(F.col("doc_id").cast("string"))).alias("text"))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    found = word_runs.periodic_runs(edited).select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("best"), "runs", "collapsed")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.select(
+        "doc_id", "n_runs", (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.floor(-1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.when(F.col("n_runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+OP13_SQL = r"""
+with h as (
+  select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+    xor(list_reduce(list_concat([4294967295], list_transform(string_split(cast(doc_id as varchar), ''), lambda c: ord(c))), lambda crc, b:
+      list_reduce(list_concat([xor(crc, b)], range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) as h from documents),
+a as (select *, len(w) as n, case when h % 10 = 0 and len(w) > 0 then (h // 10) % len(w) end as a from h),
+p as (select *, 1 + (n - a) // (3 + (h // 10) % 8) as p from a),
+d as (select r, doc_id, n, case when a is null then w else list_transform(range(n), lambda i: w[1 + case when i < a then i else a + (i - a) % p end]) end as w from p),
+grams as (select r, n, i, array_to_string(w[i+1:i+6], ' ') as g from (select *, unnest(range(0, n - 5)) as i from d)),
+pairs as (select x.r, x.i, x.i - y.i as q from grams x join grams y on x.r = y.r and x.g = y.g and x.i > y.i and 2 * (x.i - y.i) <= x.n),
+spots as (select *, i - row_number() over (partition by r, q order by i) as spot from pairs),
+met as (select r, q, min(i) - q as start, count(*) + 5 + q as length from spots group by r, q, spot),
+runs as (select r, start, length, min(q) as q from met where length >= greatest(12, 2 * q) group by r, start, length),
+best as (select distinct on (r) r, start, length, q from runs order by r, length desc, start, q),
+listed as (select r, count(*) as n_runs, string_agg(concat(start, ',', length, ',', q, chr(10)), '' order by start, q) as lines from runs group by r),
+gone as (select distinct r, unnest(range(start + q, start + length)) as i from runs),
+words as (select r, unnest(w) as x, unnest(range(n)) as i from d),
+left_over as (select words.r, string_agg(x, ' ' order by words.i) as t from words left join gone on words.r = gone.r and words.i = gone.i where gone.r is null group by words.r)
+select d.doc_id, cast(coalesce(n_runs, 0) as bigint) as n_runs, cast(start as bigint) as start, cast(length as bigint) as length, cast(q as bigint) as period,
+  cast(1000 * length // q as bigint) as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(t, '')) as collapsed_sha256
+from d left join best using (r) left join listed using (r) left join left_over using (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_license_scan, op2_source_mix, op3_warc, op4_quality, op5_language, op6_shards, op7_url_filter, op8_simhash, op9_surrogates, op10_decontamination)
+    found = (op1_license_scan, op2_source_mix, op3_warc, op4_quality, op5_language, op6_shards, op7_url_filter, op8_simhash, op9_surrogates, op10_decontamination, op13_periodic_runs)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op4_quality": OP4_SQL, "op10_decontamination": OP10_SQL}
+    return {"op3_warc": OP3_SQL, "op4_quality": OP4_SQL, "op10_decontamination": OP10_SQL, "op13_periodic_runs": OP13_SQL}
