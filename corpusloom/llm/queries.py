@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, license_scan, mixing, pii, quality, sharding, simhash, url_graph, warc, word_runs
+from . import decontamination, langid, license_scan, mixing, pii, quality, ranked_search, sharding, simhash, url_graph, warc, word_runs
 from .common import SPACED_WORD, forget, staged, table
 
 
@@ -135,6 +135,28 @@ from d left join spots using (r) left join found using (r)
 """
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked_search.rank_documents(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")).select("item_id", "rank", "doc_id", "score")
+
+
+OP11_SQL = r"""
+with words as (
+  select row_number() over () as r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+d as (select * from words where len(w) > 0),
+b as (select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as term from benchmark),
+s as (select cast(count(*) as bigint) as n_docs, cast(sum(len(w)) as bigint) as n_terms from d),
+tf as (select r, term, count(*) as tf from (select r, unnest(w) as term from d) where term in (select term from b) group by r, term),
+weights as (select term, cast(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) as bigint) as w from tf, s group by term),
+m as (select r, doc_id, 50 + (50 * cast(len(w) as bigint) * n_docs) // n_terms as m from d, s),
+parts as (select r, term, w * ((1000000000 * tf) // (1000 * tf + 20 * m)) as part, doc_id from tf join weights using (term) join m using (r)),
+scores as (select item_id, r, doc_id, sum(part) as score from parts join b using (term) group by all having sum(part) > 0)
+select item_id, cast(rank as int) as rank, doc_id, cast(score as bigint) as score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank from scores) where rank <= 50
+"""
+
+
 def _repeating(text: Column, number: Column) -> Column:
     """op13's texts: in one document in ten, by its number, a piece of it repeats from some word on to the end."""
     g = F.floor(number / 10)
@@ -190,9 +212,9 @@ from d left join best using (r) left join listed using (r) left join left_over u
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_license_scan, op2_source_mix, op3_warc, op4_quality, op5_language, op6_shards, op7_url_filter, op8_simhash, op9_surrogates, op10_decontamination, op13_periodic_runs)
+    found = (op1_license_scan, op2_source_mix, op3_warc, op4_quality, op5_language, op6_shards, op7_url_filter, op8_simhash, op9_surrogates, op10_decontamination, op11_ranked_search, op13_periodic_runs)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op4_quality": OP4_SQL, "op10_decontamination": OP10_SQL, "op13_periodic_runs": OP13_SQL}
+    return {"op3_warc": OP3_SQL, "op4_quality": OP4_SQL, "op10_decontamination": OP10_SQL, "op11_ranked_search": OP11_SQL, "op13_periodic_runs": OP13_SQL}
