@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, license_scan, mixing, pii, quality, ranked_search, sharding, simhash, url_graph, warc, word_runs
-from .common import SPACED_WORD, forget, staged, table
+from . import decontamination, langid, license_scan, minhash, mixing, pii, quality, ranked_search, sharding, simhash, succession, url_graph, warc, word_runs
+from .common import SPACED_WORD, forget, row_key, staged, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,6 +157,27 @@ from (select *, row_number() over (partition by item_id order by score desc, doc
 """
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document beside the next one by id: rows equal in id and text count as one in that order, and a null id comes first."""
+    read = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = read.select("doc_id", "text", *row_key(read))
+    prints = staged(minhash.minhash(docs.select("doc_id", "one", "two", F.char_length("text").cast("long").alias("n_chars"), "text")).drop("text"), "minhash-prints")
+    order = succession.with_next(prints.dropDuplicates(["doc_id", "one", "two"]), ["doc_id", "one", "two"], ["one", "two", "fingerprint"])
+    forget(prints)
+    # The start of the next document's text goes to the one that asks for it; both joins read texts by the same key, so they share one exchange of texts.
+    asks = order.select(F.col("next_one").alias("one"), F.col("next_two").alias("two"), F.col("one").alias("to_one"), F.col("two").alias("to_two"), F.floor(F.col("n_chars") / 4).cast("int").alias("part"), "n_chars", "fingerprint", "next_fingerprint")
+    lent = docs.withColumnRenamed("doc_id", "next_id").join(asks, ["one", "two"]).select("to_one", "to_two", "next_id", "part", "n_chars", "fingerprint", "next_fingerprint", F.substring("text", F.lit(1), F.col("part")).alias("lent"))
+    if order.count() < docs.count():  # a next document that repeats lends its text once
+        lent = lent.dropDuplicates(["to_one", "to_two"])
+    both = docs.join(lent, (F.col("one") == F.col("to_one")) & (F.col("two") == F.col("to_two")))
+    edited = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.col("part")).cast("int")), "lent"))
+    edited = edited.withColumn("edited_fingerprint", minhash.fingerprint(F.col("edited")))
+    return edited.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), minhash.as_hex(F.col("fingerprint")).alias("fingerprint"), minhash.as_hex(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        minhash.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), minhash.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), "next_id",
+    )
+
+
 def _repeating(text: Column, number: Column) -> Column:
     """op13's texts: in one document in ten, by its number, a piece of it repeats from some word on to the end."""
     g = F.floor(number / 10)
@@ -212,7 +233,7 @@ from d left join best using (r) left join listed using (r) left join left_over u
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_license_scan, op2_source_mix, op3_warc, op4_quality, op5_language, op6_shards, op7_url_filter, op8_simhash, op9_surrogates, op10_decontamination, op11_ranked_search, op13_periodic_runs)
+    found = (op1_license_scan, op2_source_mix, op3_warc, op4_quality, op5_language, op6_shards, op7_url_filter, op8_simhash, op9_surrogates, op10_decontamination, op11_ranked_search, op12_minhash, op13_periodic_runs)
     return {f.__name__: f for f in found}
 
 
