@@ -166,7 +166,7 @@ def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     forget(prints)
     # The start of the next document's text goes to the one that asks for it; both joins read texts by the same key, so they share one exchange of texts.
     asks = order.select(F.col("next_one").alias("one"), F.col("next_two").alias("two"), F.col("one").alias("to_one"), F.col("two").alias("to_two"), F.floor(F.col("n_chars") / 4).cast("int").alias("part"), "n_chars", "fingerprint", "next_fingerprint")
-    lent = docs.withColumnRenamed("doc_id", "next_id").join(asks, ["one", "two"]).select("to_one", "to_two", "next_id", "part", "n_chars", "fingerprint", "next_fingerprint", F.substring("text", F.lit(1), F.col("part")).alias("lent"))
+    lent = docs.join(asks, ["one", "two"]).select("to_one", "to_two", F.col("doc_id").alias("next_id"), "part", "n_chars", "fingerprint", "next_fingerprint", F.substring("text", F.lit(1), F.col("part")).alias("lent"))
     if order.count() < docs.count():  # a next document that repeats lends its text once
         lent = lent.dropDuplicates(["to_one", "to_two"])
     both = docs.join(lent, (F.col("one") == F.col("to_one")) & (F.col("two") == F.col("to_two")))
