@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 
@@ -16,8 +19,10 @@ from .common import bare, staged
 #: Fixed values of the formats: skippable frame of a WARC dictionary, Zstandard frame, Zstandard dictionary.
 SKIPPABLE_DICT, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
 SKIPPABLE = range(0x184D2A50, 0x184D2A60)
-#: A record may be so long once it is read; one that goes on is an error, whatever its frame says of itself.
-RECORD_BYTES = 1 << 30
+#: A record may be so long, written or read, unless a caller says otherwise: Spark holds no longer value. A frame that goes on is an error, whatever it says of itself.
+RECORD_BYTES = (1 << 31) - 1
+#: Digests that can be checked, by the names that records give them.
+ALGORITHMS = {"sha1": hashlib.sha1, "sha-1": hashlib.sha1, "sha256": hashlib.sha256, "sha-256": hashlib.sha256, "sha512": hashlib.sha512, "sha-512": hashlib.sha512, "md5": hashlib.md5}
 #: An archive is closed at so many payload bytes, and so are the samples that train its dictionary.
 ARCHIVE_BYTES, SAMPLE_BYTES, DICT_BYTES = 16 << 20, 1 << 20, 16 << 10
 LEVEL = 3
@@ -26,7 +31,7 @@ REVISIT_BYTES = 100
 LINE_BREAKS = {0x0A: "%0A", 0x0D: "%0D"}
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 ARCHIVE_SCHEMA = "archive string, content binary"
-RECORD_SCHEMA = "archive string, record_id string, record_type string, target_uri string, refers_to string, payload_bytes bigint, payload_digest string, payload binary, error string"
+RECORD_SCHEMA = "archive string, record_id string, record_type string, target_uri string, refers_to string, payload_bytes bigint, payload_digest string, stated_digest string, digest_checked boolean, payload binary, error string"
 
 
 class ArchiveError(ValueError):
@@ -136,10 +141,38 @@ def load_dictionary(data: memoryview) -> tuple[zstandard.ZstdCompressionDict | N
     return zstandard.ZstdCompressionDict(raw), 8 + size
 
 
+def stated_digest(value: str) -> tuple[str, str, bytes | None]:
+    """Algorithm, comparable notation and bytes of a digest header: hex in either case or Base32, with or without padding.
+
+    Of an unknown algorithm, or in another notation, the value stays as it is and the bytes are None.
+    """
+    name, colon, told = value.partition(":")
+    name = name.strip().lower()
+    if colon and name in ALGORITHMS:
+        size, told, name = ALGORITHMS[name]().digest_size, told.strip(), name.replace("-", "")
+        if re.fullmatch(f"[0-9A-Fa-f]{{{2 * size}}}", told):
+            return name, f"{name}:{told.lower()}", bytes.fromhex(told)
+        bare32 = told.rstrip("=").upper()
+        try:
+            raw = base64.b32decode(bare32 + "=" * (-len(bare32) % 8))
+        except binascii.Error:
+            raw = b""
+        if len(raw) == size:
+            return name, f"{name}:{raw.hex()}", raw
+    return name, value.strip(), None
+
+
 def parse_record(raw: bytes) -> dict:
-    """Headers, lengths and digest of one record, validated."""
+    """Headers, lengths and digest of one record, validated.
+
+    ``stated_digest`` is what the record says, ``algorithm:hex`` where that is known;
+    ``digest_checked`` tells whether the payload was held against it. ``payload_digest`` is
+    the SHA-256 of the payload, of a revisit the one it states, else null; a revisit's
+    ``payload_bytes`` is null unless it states a length.
+    """
     head, gap, rest = raw.partition(b"\r\n\r\n")
-    lines = head.split(b"\r\n")
+    # A line that begins with white space goes on with the one before.
+    lines = re.sub(rb"\r\n[ \t]+", b" ", head).split(b"\r\n")
     if not gap or lines[0] not in (b"WARC/1.0", b"WARC/1.1"):
         raise ArchiveError("no WARC header")
     fields = {}
@@ -155,22 +188,26 @@ def parse_record(raw: bytes) -> dict:
         raise ArchiveError("the block is not as long as stated")
     block = rest[:-4]
     payload = block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
+    said = fields.get("warc-payload-digest")
+    algorithm, stated, told = stated_digest(said) if said else (None, None, None)
+    checked = False
     if fields["warc-type"] == "revisit":
-        payload, length = b"", number(fields.get("x-payload-length", "0"))
+        payload, length = b"", number(fields["x-payload-length"]) if "x-payload-length" in fields else None
+        digest = told.hex() if told and algorithm == "sha256" else None
     else:
-        length, own = len(payload), hashlib.sha256(payload).hexdigest()
-        if digest and digest != own:
-            raise ArchiveError("the payload does not agree with its digest")
-        digest = own
+        length, digest = len(payload), hashlib.sha256(payload).hexdigest()
+        if told is not None:
+            checked = True
+            if told != ALGORITHMS[algorithm](payload).digest():
+                raise ArchiveError("the payload does not agree with its digest")
     strip = lambda x: x.removeprefix("<").removesuffix(">") if x else None
-    return {"record_id": strip(fields["warc-record-id"]), "record_type": fields["warc-type"], "target_uri": fields.get("warc-target-uri"), "refers_to": strip(fields.get("warc-refers-to")), "payload_bytes": length, "payload_digest": digest, "payload": payload, "error": None}
+    return {"record_id": strip(fields["warc-record-id"]), "record_type": fields["warc-type"], "target_uri": fields.get("warc-target-uri"), "refers_to": strip(fields.get("warc-refers-to")), "payload_bytes": length, "payload_digest": digest, "stated_digest": stated, "digest_checked": checked, "payload": payload, "error": None}
 
 
-def read_records(content: bytes) -> Iterator[dict]:
+def read_records(content: bytes, most: int = RECORD_BYTES) -> Iterator[dict]:
     """Every record of an archive. A bad record gives a row with ``error``; where frames can't be told apart any more, the rest is one."""
     data = memoryview(content)
-    none = dict.fromkeys(("record_id", "record_type", "target_uri", "refers_to", "payload_bytes", "payload_digest", "payload"))
+    none = dict.fromkeys(("record_id", "record_type", "target_uri", "refers_to", "payload_bytes", "payload_digest", "stated_digest", "digest_checked", "payload"))
     try:
         made, at = load_dictionary(data)
     except (ArchiveError, zstandard.ZstdError) as e:
@@ -187,18 +224,18 @@ def read_records(content: bytes) -> Iterator[dict]:
             yield none | {"error": str(e)}
             return
         try:
-            yield parse_record(unpacked_frame(data[at:end], reader))
+            yield parse_record(unpacked_frame(data[at:end], reader, most))
         except (ArchiveError, zstandard.ZstdError) as e:
             yield none | {"error": f"record at byte {at}: {e}"}
         at = end
 
 
-def write_archives(records: DataFrame) -> DataFrame:
+def write_archives(records: DataFrame, most: int = RECORD_BYTES) -> DataFrame:
     """(archive, content) from (record_id, uri, payload binary, digest, refers_to).
 
     A task closes an archive at ARCHIVE_BYTES, so it holds one archive at a time. The
     dictionary is trained on the first SAMPLE_BYTES of the archive's records. Null
-    payloads are empty.
+    payloads are empty. A record of more than ``most`` bytes ends the job with its name.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,6 +248,8 @@ def write_archives(records: DataFrame) -> DataFrame:
             for rid, uri, payload, digest, refers in batch[["record_id", "uri", "payload", "digest", "refers_to"]].itertuples(index=False):
                 first = first or rid
                 pending.append(record_bytes(rid, uri or "", payload or b"", digest, refers if isinstance(refers, str) else None))
+                if len(pending[-1]) > most:
+                    raise ArchiveError(f"{rid} is a record of more than {most} bytes")
                 size += len(pending[-1])
                 if size >= ARCHIVE_BYTES:
                     yield closed()
@@ -221,15 +260,18 @@ def write_archives(records: DataFrame) -> DataFrame:
     return records.mapInPandas(write, ARCHIVE_SCHEMA)
 
 
-def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """One row per record of (archive, content), such as spark.read.format("binaryFile") gives; ``error`` is null for good ones."""
+def read_archives(archives: DataFrame, payloads: bool = True, most: int = RECORD_BYTES) -> DataFrame:
+    """One row per record of (archive, content), such as spark.read.format("binaryFile") gives; ``error`` is null for good ones.
+
+    A record of more than ``most`` bytes is an error row.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in RECORD_SCHEMA.split(", ")]
         for batch in batches:
             for archive, content in zip(batch["archive"], batch["content"], strict=True):
                 rows, size = [], 0
-                for record in read_records(content or b""):
+                for record in read_records(content or b"", most):
                     size += len(record["payload"] or b"")
                     rows.append(record | {"archive": archive} | ({} if payloads else {"payload": None}))
                     if size > ARCHIVE_BYTES // 2:
@@ -244,21 +286,29 @@ def checked_revisits(records: DataFrame) -> DataFrame:
     """``records`` of read_archives; a revisit that no good response bears out gets an ``error``.
 
     The response named must exist, in whatever archive, with the length and digest that the
-    revisit states. Records of one id are told apart by these two, so one of them is enough.
+    revisit states, as far as it states them; a digest is compared in the notation of the response
+    or in SHA-256. A revisit that names no response is borne out by any with its
+    digest, and one that states neither is left as it is. Records of one id are told apart
+    by what they state, so one of them is enough.
     """
     good = F.col("error").isNull()
-    responses = records.filter(good & (F.col("record_type") == "response")).select(F.col("record_id").alias("r_id"), F.col("payload_bytes").alias("r_bytes"), F.col("payload_digest").alias("r_digest"))
-    asked = records.filter(good & (F.col("record_type") == "revisit"))
-    same = (F.col("refers_to") == F.col("r_id")) & (F.col("payload_bytes") == F.col("r_bytes")) & (F.col("payload_digest") == F.col("r_digest"))
+    digests = F.array_compact(F.array(F.concat(F.lit("sha256:"), "payload_digest"), F.col("stated_digest")))
+    responses = records.filter(good & (F.col("record_type") == "response")).select(F.col("record_id").alias("r_id"), F.col("payload_bytes").alias("r_bytes"), F.explode(F.array_distinct(digests)).alias("r_digest"))
+    names = ["refers_to", "payload_bytes", "stated_digest"]
     # Many revisits refer to one response: they meet it by what they state, once for each different statement.
-    stated = asked.select("refers_to", "payload_bytes", "payload_digest").distinct()
-    borne = staged(stated.join(responses, same, "left_semi"), "warc-borne")
-    names = ["refers_to", "payload_bytes", "payload_digest"]
-    wrong = staged(stated.join(borne, names, "left_anti").select(*[F.col(c).alias(f"w_{c}") for c in names]).distinct(), "warc-unborne")
+    stated = records.filter(good & (F.col("record_type") == "revisit")).select(*names).distinct()
+    long_enough = F.col("payload_bytes").isNull() | (F.col("payload_bytes") == F.col("r_bytes"))
+    named = stated.filter("refers_to is not null").join(responses, (F.col("refers_to") == F.col("r_id")) & long_enough & (F.col("stated_digest").isNull() | (F.col("stated_digest") == F.col("r_digest"))), "left_semi")
+    alike = responses.select("r_digest", "r_bytes").distinct()
+    unnamed = stated.filter("refers_to is null and stated_digest is not null").join(alike, (F.col("stated_digest") == F.col("r_digest")) & long_enough, "left_semi")
+    borne = staged(named.unionByName(unnamed), "warc-borne")
+    told = stated.filter("refers_to is not null or stated_digest is not null")
+    unborne = told.join(borne, [told[c].eqNullSafe(borne[c]) for c in names], "left_anti")
+    wrong = staged(unborne.select(*[F.col(c).alias(f"w_{c}") for c in names]), "warc-unborne")
     if wrong.isEmpty():
         return records
-    unborne = [F.col(c).eqNullSafe(F.col(f"w_{c}")) for c in names]
-    marked = records.join(wrong.withColumn("w", F.lit(True)), [*unborne, good, F.col("record_type") == "revisit"], "left")
+    same = [F.col(c).eqNullSafe(F.col(f"w_{c}")) for c in names]
+    marked = records.join(wrong.withColumn("w", F.lit(True)), [*same, good, F.col("record_type") == "revisit"], "left")
     error = F.when(F.col("w"), F.lit("no response has the payload of this revisit")).otherwise(F.col("error"))
     return marked.select(*[error.alias(c) if c == "error" else F.col(c) for c in records.columns])
 
