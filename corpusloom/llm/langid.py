@@ -185,13 +185,14 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     Of a text longer than sample_chars that many characters from a hashed place on are
     taken, so long texts teach like others. The sample is what the driver gets; its bound
-    is sample_texts x sample_chars a language. It is thinned by the languages' counts before
-    it is ranked, so no task reads a language. Rows without a text or a language teach nothing.
+    is sample_texts x sample_chars a language. It is thinned by the languages' counts of
+    different rows (a sketch of 2 %) before it is ranked, so no task reads a language; a row
+    that repeats counts and teaches once. Rows without a text or a language teach nothing.
     """
     text = bare(text_col)
     usable = labelled.filter(text.isNotNull() & bare(lang_col).isNotNull())
     rows = usable.select(bare(lang_col).alias("lang"), F.xxhash64(bare(id_col), text).alias("h"), text.alias("text"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("lang", "n_lang")
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).withColumnRenamed("lang", "n_lang")
     u = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
     # Twice as many as are taken, and a few: too few come out once in 10 ** 20 samples.
     near = rows.join(F.broadcast(counts), F.col("lang") == F.col("n_lang")).filter(u * F.col("n") <= 2 * sample_texts + 50)  # one row a language
