@@ -13,6 +13,9 @@ DataFrame functions.
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +42,13 @@ SURNAMES = {
 ALPHABETS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøùúûü", "ñçß", "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщъь", "αεηιουωάέήίόύώ", "βγδζθκλμνξπρσςτφχψ")
 HEX_ALPHABETS = ("0123456789", "abcdef")
 ROUNDS = 6
+#: Draws after which addresses and names grow longer, after which other kinds keep a surrogate that is a real entity, and at which the job ends with an error.
+WIDER_AFTER, FULL_AFTER, MOST_DRAWS = 3, 6, 64
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 NAME = r"\p{Lu}[\p{Ll}]+(?:-\p{Lu}\p{Ll}+)?"
+#: A word of a script without capitals that puts spaces between words: after a title it is a name.
+PLAIN_NAME = r"[\p{IsGeorgian}\p{Lo}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]][\p{L}\p{M}]{1,20}"
+TITLED = f"(?:{NAME}|{PLAIN_NAME})"
 TITLE = "|".join(t for titles in TITLES.values() for t in titles)
 #: (type, pattern) in the order in which they are tried at a place.
 PATTERNS = (
@@ -51,7 +59,7 @@ PATTERNS = (
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("card", r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"),
     ("phone", r"(?<![0-9A-Za-z+])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}|\+[0-9]{8,15})(?![0-9])"),
-    ("name", rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{TITLE})\.? {NAME}(?: {NAME})?|(?:{'|'.join(n for names in FIRST_NAMES.values() for n in names)}) {NAME})(?!\p{{L}})"),
+    ("name", rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{TITLE})\.? {TITLED}(?: {TITLED})?|(?:{'|'.join(n for names in FIRST_NAMES.values() for n in names)}) {NAME})(?!\p{{L}})"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 
@@ -107,9 +115,44 @@ def _draw(digest: Column, at: Column) -> Column:
     return F.conv(F.substr(digest, (at * 4) % 60 + 1, F.lit(5)), 16, 10).cast("long")
 
 
+@cache
+def letter_runs() -> tuple[tuple[int, int], ...]:
+    """(first, last) of runs of code points beyond ASCII: at least eight neighbouring letters in lower case or without case, or ten digits, of Unicode 3.2, which every runtime knows."""
+    known, runs = unicodedata.ucd_3_2_0, []
+    for cp in range(0x80, 0x10000):
+        c = chr(cp)
+        kind = known.category(c)
+        letter = kind in ("Ll", "Lo") and c.lower() == c and len(c.upper()) == 1
+        kind = "letter" if letter else kind
+        if kind in ("letter", "Nd"):
+            if runs and runs[-1][1] == cp - 1 and runs[-1][2] == kind:
+                runs[-1][1] = cp
+            else:
+                runs.append([cp, cp, kind])
+    return tuple((a, b) for a, b, _ in runs if b - a >= 7)
+
+
+def _rotated(symbol: Column, by: Column) -> Column:
+    """A letter or digit of no alphabet: another one of its run of code points, and where it has none an accented letter, or a digit. Marks stay."""
+    starts, ends = (F.lit([r[k] for r in letter_runs()]) for k in (0, 1))
+    accented = ALPHABETS[3]
+    letter = lambda code: F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    pick = lambda cp, text: F.substr(F.lit(text), ((cp + by) % len(text) + 1).cast("int"), F.lit(1))
+
+    def other(cp: Column) -> Column:
+        def within(run: Column) -> Column:
+            inside = letter(run["a"] + (cp - run["a"] + by) % (run["b"] - run["a"] + 1))
+            return F.when(cp <= run["b"], inside).when(symbol.rlike(r"^\p{N}$"), pick(cp, ALPHABETS[0])).when(symbol.rlike(r"^\p{L}$"), pick(cp, accented)).otherwise(symbol)
+
+        at = F.size(F.filter(starts, lambda s: s <= cp)) - 1
+        return _let(at, lambda k: _let(F.struct(F.coalesce(F.get(starts, k), F.lit(0)).cast("long").alias("a"), F.coalesce(F.get(ends, k), F.lit(-1)).cast("long").alias("b")), within))
+
+    return _let(F.ascii(symbol).cast("long"), other)
+
+
 def _shifted(symbol: Column, by: Column, alphabets: tuple[str, ...]) -> Column:
     moved = [F.when(F.position(symbol, F.lit(a)) > 0, F.substr(F.lit(a), ((F.position(symbol, F.lit(a)) - 1 + by) % len(a) + 1).cast("int"), F.lit(1))) for a in alphabets]
-    return F.coalesce(*moved, symbol)
+    return F.coalesce(*moved, _rotated(symbol, by))
 
 
 def permuted(symbols: Column, tweak: Column, alphabets: tuple[str, ...] = ALPHABETS) -> Column:
@@ -147,7 +190,8 @@ def _drawn_name(canon: Column, key: str, attempt: Column) -> Column:
     """A name for gender|words, drawn by the key and the whole entity: as many words, first names of the gender and script.
 
     From the second draw on surnames are double, and from the fifth on the letters are
-    permuted, so that there is always another name. Scripts without lists are permuted at once.
+    permuted; after WIDER_AFTER draws a name grows by a letter a draw, so that there is always
+    another name. Scripts without lists are permuted at once.
     """
     seed = F.concat_ws("|", F.lit(key), canon, attempt.cast("string"))
     gender, words = F.regexp_extract(canon, r"^([a-z]*)\|", 1), F.split(F.regexp_replace(canon, r"^[a-z]*\|", ""), " ")
@@ -161,7 +205,8 @@ def _drawn_name(canon: Column, key: str, attempt: Column) -> Column:
     listed = F.when(F.size(words) > 1, F.concat_ws(" ", F.coalesce(*firsts), lasts)).otherwise(lasts)
     tweak = F.concat_ws("|", F.lit(key), F.lit("name"), attempt.cast("string"))
     salad = F.array_join(F.transform(words, lambda w: written(w, permuted(F.lower(F.regexp_replace(w, r"[^\p{L}]", "")), tweak))), " ")
-    return F.when((attempt > 4) | (script == ""), salad).otherwise(listed)
+    more = F.when(attempt > WIDER_AFTER, permuted(F.repeat(F.lower(F.right(last, F.lit(1))), attempt - WIDER_AFTER), tweak)).otherwise("")
+    return F.when((attempt > 4) | (script == ""), F.concat(salad, more)).otherwise(listed)
 
 
 def _with_luhn(payload: Column) -> Column:
@@ -183,10 +228,11 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: Column) -> Column:
     def spaced(part: Column, tweak: Column) -> Column:
         return filled(part, permuted(F.regexp_replace(part, r"[^\p{L}\p{N}]", ""), tweak))
 
+    more = F.when(attempt > WIDER_AFTER, permuted(F.repeat(F.lit("a"), attempt - WIDER_AFTER), F.concat(tweak, F.lit("|more")))).otherwise("")
     country = F.regexp_extract(canon, r"^(\+[0-9]+\|)", 1)
     rest = F.substr(canon, F.length(country) + 1)
     return (
-        F.when(kind == "email", F.concat(spaced(local, F.concat(tweak, F.lit("|"), domain)), F.lit("@"), spaced(domain, F.concat(tweak, F.lit("|domain"))), top))
+        F.when(kind == "email", F.concat(spaced(local, F.concat(tweak, F.lit("|"), domain)), more, F.lit("@"), spaced(domain, F.concat(tweak, F.lit("|domain"))), top))
         .when(kind == "ipv4", _permuted_ipv4(canon, tweak))
         .when(kind == "name", _drawn_name(canon, key, attempt))
         .when(kind == "card", _with_luhn(permuted(F.substr(canon, F.lit(1), F.length(canon) - 1), tweak)))
@@ -220,7 +266,7 @@ def render(kind: Column, raw: Column, canon: Column, new: Column) -> Column:
     """The surrogate in the format of one mention; of a name that is linked to a longer one, the word at the same end."""
     lead, words = F.regexp_extract(raw, rf"^((?:{TITLE})\.? )", 1), F.split(new, " ")
     name = F.when(F.contains(F.substr(raw, F.length(lead) + 1), F.lit(" ")), new).otherwise(F.element_at(words, -1))
-    return F.when(kind == "name", F.concat(lead, name)).when(kind == "ipv4", new).otherwise(written(raw, F.regexp_replace(new, r"[^\p{L}\p{N}]", "")))
+    return F.when(kind == "name", F.concat(lead, name)).when((kind == "ipv4") | ((kind == "email") & (F.length(new) > F.length(raw))), new).otherwise(written(raw, F.regexp_replace(new, r"[^\p{L}\p{N}]", "")))
 
 
 def _words_of(kind: Column, canon: Column) -> Column:
@@ -233,7 +279,10 @@ def settled_surrogates(entities: DataFrame, key: str) -> DataFrame:
 
     Permuted surrogates are distinct from the start; of names that drew the same one the
     smallest keeps it. Those that clash are drawn again, tweak by tweak, until they meet
-    neither an entity nor a surrogate.
+    neither an entity nor a surrogate. Addresses and names have room for that, as they grow
+    longer in the end. Other kinds keep their form; if it is so full of real entities that
+    FULL_AFTER draws met one each time, the first surrogate stays: permuted, so that no
+    other entity has it, but one that is real too.
     """
     tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work a row
     drawn = staged(entities.repartition(tasks, "kind", "canon").select("kind", "canon", surrogate(F.col("kind"), F.col("canon"), key, F.lit(0)).alias("new")), "pii-drawn")
@@ -251,7 +300,15 @@ def settled_surrogates(entities: DataFrame, key: str) -> DataFrame:
         again = pending.select("kind", "canon", surrogate(F.col("kind"), F.col("canon"), f"{key}|again", F.lit(attempt)).alias("new"))
         free = staged(firsts(again).join(real, ["kind", "new"], "left_anti").join(used, ["kind", "new"], "left_anti").select("kind", "canon", "new"), "pii-solved")
         solved, used = solved.unionByName(free), used.unionByName(free.select("kind", "new"))
-        pending = staged(pending.join(free.select("kind", "canon"), ["kind", "canon"], "left_anti"), "pii-pending")
+        left = pending.join(free.select("kind", "canon"), ["kind", "canon"], "left_anti")
+        if attempt >= FULL_AFTER:
+            full = left.filter(~F.col("kind").isin("email", "name")).join(drawn, ["kind", "canon"]).filter("new <> canon").select("kind", "canon", "new")
+            full = staged(full, "pii-full")
+            solved, used = solved.unionByName(full), used.unionByName(full.select("kind", "new"))
+            left = left.join(full.select("kind", "canon"), ["kind", "canon"], "left_anti")
+        if attempt >= MOST_DRAWS:
+            raise RuntimeError(f"{pending.count()} entities have no surrogate after {attempt} draws")
+        pending = staged(left, "pii-pending")
     return solved
 
 
