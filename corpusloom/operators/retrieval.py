@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..config import SearchConfig
 from ..functions.text import dedup_key, tokens
 from ..functions.vectors import cosine
+from ..sources.store import staged
+from . import keyword_index as K
 from . import predicates as P
 from .context import expand
 from .predicates import ASKER, SEEN, may_see
@@ -138,17 +140,32 @@ def vector_candidates(queries: DataFrame, chunks: DataFrame, limit: int, as_of_y
     return chunks.join(best, "chunk_id")
 
 
-def keyword_candidates(queries: DataFrame, chunks: DataFrame, limit: int, as_of_year: int, index: DataFrame | None = None, pre: bool = False, analyzer: Analyzer = tokens) -> DataFrame:
+def keyword_candidates(queries: DataFrame, chunks: DataFrame, limit: int, as_of_year: int, index: DataFrame | K.KeywordIndex | None = None, pre: bool = False, analyzer: Analyzer = tokens) -> DataFrame:
     """The chunks' columns with query_id, fts_rank, score and rank: by keyword rank; ``score`` is the cosine, for display.
 
-    The index gives the pairs; chunks come in by their ids, and only the first ``limit`` of each query are scored.
+    The index gives the pairs; chunks come in by their ids, and only the first ``limit`` of
+    each query are scored. A stored index is read as far as the query needs.
     """
-    hits = keyword_ranks(queries, chunks, index, analyzer)
     about = chunks.select("chunk_id", *SEEN, *(["columns", "doc_metadata", "metadata"] if pre else []))
     asker = queries.select("query_id", *ASKER, *(["filters"] if pre else []))
-    pairs = hits.join(about, "chunk_id").join(asker, "query_id").filter(may_see(as_of_year) & (fits_metadata() if pre else F.lit(True)))
-    best = _top(pairs.select("query_id", "chunk_id", "fts_rank"), limit, F.col("fts_rank").desc(), "chunk_id")
-    found = chunks.join(best, "chunk_id").join(queries.select("query_id", "vector"), "query_id")
+
+    def visible(pairs: DataFrame) -> DataFrame:
+        return pairs.join(about, "chunk_id").join(asker, "query_id").filter(may_see(as_of_year) & (fits_metadata() if pre else F.lit(True)))
+
+    order = (F.col("fts_rank").desc(), "chunk_id")
+    vectors = queries.select("query_id", "vector")
+    if isinstance(index, K.KeywordIndex):
+        terms = query_terms(queries, analyzer)
+        reads, _ = K.search_plan(index, terms, lambda hits: visible(staged(hits, "keyword-hits")), limit)
+        pairs = staged(visible(staged(K.candidates(index, reads), "keyword-pairs")).select("query_id", "chunk_id"), "keyword-visible")
+        asked = terms.groupBy("query_id").agg(F.collect_set("term").alias("asked"))
+        places = F.size(F.filter(analyzer(F.col("content")), lambda w: F.array_contains("asked", w)))
+        ranked = chunks.join(pairs, "chunk_id").join(asked, "query_id").withColumn("fts_rank", F.round(0.1 * places, DECIMALS)).drop("asked")
+        found = _top(ranked, limit, *order).join(vectors, "query_id")
+    else:
+        pairs = visible(keyword_ranks(queries, chunks, index, analyzer))
+        best = _top(pairs.select("query_id", "chunk_id", "fts_rank"), limit, *order)
+        found = chunks.join(best, "chunk_id").join(vectors, "query_id")
     return found.withColumn("score", F.round(cosine(F.col("embedding"), F.col("vector")), DECIMALS)).drop("vector")
 
 
@@ -210,7 +227,7 @@ def fuse_union(vector: DataFrame, keyword: DataFrame, vector_limit: int, keyword
     return _top(both, vector_limit + keyword_limit, "list", "place").select("query_id", "rank", "chunk_id", "score", "content")
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, config: SearchConfig, as_of_year: int, index: DataFrame | None = None, limit: int | None = None, analyzer: Analyzer = tokens) -> DataFrame:
+def retrieve(queries: DataFrame, chunks: DataFrame, config: SearchConfig, as_of_year: int, index: DataFrame | K.KeywordIndex | None = None, limit: int | None = None, analyzer: Analyzer = tokens) -> DataFrame:
     """The whole search for every query: (query_id, rank, chunk_id, score, content). ``limit`` None means the configured one.
 
     With a context expansion, ``content`` is the hit between markers among what surrounds it,

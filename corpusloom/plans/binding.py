@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import keyword_index as K
 from ..operators.chunking import character_windows
+from ..sources.store import kept
 
 AS_OF_YEAR = 2026
 SIZE, OVERLAP = 1000, 250
+#: Buckets of the keyword index: some MB each at the sizes of these tables.
+BUCKETS = 16
 #: No document has so many chunks, so their numbers never run into the next document's.
 CHUNKS_AT_MOST = 1 << 32
 #: The same text in both engines.
@@ -69,6 +73,17 @@ def searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.withColumn("embedding", F.when(F.col("chunk_index") == 0, F.col("embedding"))).withColumn("metadata", F.create_map(F.lit("chunk_index"), F.col("chunk_index").cast("string")))
 
 
+def library(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, K.KeywordIndex]:
+    """The searchable chunks and their keyword index as an ingest leaves them: stored once for the documents and vectors that are there."""
+
+    def ingest(folder: str) -> None:
+        searchable(spark, sf_dir).write.mode("overwrite").parquet(f"{folder}/chunks")
+        K.build(K.KeywordIndex(f"{folder}/keywords", buckets=BUCKETS), spark.read.parquet(f"{folder}/chunks"))
+
+    folder = kept(spark, "library", (f"{sf_dir}/documents.parquet", f"{sf_dir}/embeddings.parquet"), ingest)
+    return spark.read.parquet(f"{folder}/chunks"), K.KeywordIndex(f"{folder}/keywords", buckets=BUCKETS)
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"), F.col("embedding").cast("array<double>").alias("vector"))
     asking = documents(spark, sf_dir).filter(F.col("document_id") % 20 == 0).join(vectors, "document_id")

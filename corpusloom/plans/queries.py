@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,10 +16,12 @@ from ..operators import conversations as V
 from ..operators import governance as U
 from ..operators import ingest as I
 from ..operators import jobs as J
+from ..operators import keyword_index as K
 from ..operators import passages as L
 from ..operators import predicates as P
 from ..operators import retrieval as R
 from ..operators import tagging as G
+from ..sources import store
 from . import binding as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -547,22 +550,58 @@ _KEY = "lower(substr(trim(regexp_replace(content, '\\s+', ' ', 'g')), 1, 120))"
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    asked, searched = B.queries(spark, sf_dir), B.searchable(spark, sf_dir)
-    return R.vector_candidates(asked, searched, 50, B.AS_OF_YEAR), R.keyword_candidates(asked, searched, 50, B.AS_OF_YEAR)
+    asked, (searched, index) = B.queries(spark, sf_dir), B.library(spark, sf_dir)
+    return R.vector_candidates(asked, searched, 50, B.AS_OF_YEAR), R.keyword_candidates(asked, searched, 50, B.AS_OF_YEAR, index)
 
 
 @query(f"with {_PAIRS} select query_id, chunk_id, rank, score from vec")
 def r1_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.vector_candidates(B.queries(spark, sf_dir), B.searchable(spark, sf_dir), 50, B.AS_OF_YEAR)
+    found = R.vector_candidates(B.queries(spark, sf_dir), B.library(spark, sf_dir)[0], 50, B.AS_OF_YEAR)
     return found.select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), "score")
 
 
 @query(f"with {_PAIRS} select query_id, chunk_id, rank, fts_rank, score from key")
 def r6_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.keyword_candidates(B.queries(spark, sf_dir), B.searchable(spark, sf_dir), 50, B.AS_OF_YEAR)
+    chunks, index = B.library(spark, sf_dir)
+    found = R.keyword_candidates(B.queries(spark, sf_dir), chunks, 50, B.AS_OF_YEAR, index)
     return found.select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), "fts_rank", "score")
 
 
+@query()
+def r6_postings_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many postings each search's words have, and how many its search reads."""
+    chunks, index = B.library(spark, sf_dir)
+    asked = B.queries(spark, sf_dir)
+    about = chunks.select("chunk_id", *P.SEEN)
+    visible = lambda hits: hits.join(about, "chunk_id").join(asked.select("query_id", *P.ASKER), "query_id").filter(P.may_see(B.AS_OF_YEAR))
+    reads, told = K.search_plan(index, R.query_terms(asked), visible, 50)
+    return K.postings_read(told, reads)
+
+
+def _changed(docs: DataFrame) -> DataFrame:
+    """One document in ten with another text."""
+    return docs.filter("document_id % 10 = 1").withColumn("text", F.concat(F.lit("the alpha of the "), "text"))
+
+
+@query(f"with {_PAIRS.replace(B.DOCUMENTS_SQL, B.DOCUMENTS_SQL.replace('source_folder, text', chr(34) + 'source_folder' + chr(34) + ', case when doc_id % 10 = 1 then concat(' + chr(39) + 'the alpha of the ' + chr(39) + ', text) else text end as text'))} select query_id, chunk_id, rank, fts_rank from key")
+def r6_updated_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyword search after one document in ten was replaced in the stored index, which is not built again."""
+    chunks, index = B.library(spark, sf_dir)
+    mine = K.KeywordIndex(f"{store.shared_folder(spark)}/keywords-{uuid.uuid4().hex}", buckets=B.BUCKETS)
+    K.build(mine, chunks)
+    changed = _changed(B.documents(spark, sf_dir))
+    cut = C.character_windows(changed.select("document_id", "text"), B.SIZE, B.OVERLAP).withColumn("chunk_id", F.col("document_id") * B.CHUNKS_AT_MOST + F.col("chunk_index"))
+    gone = chunks.filter("document_id % 10 = 1")
+    K.update(mine, gone.select("chunk_id"), cut)
+    # A document's chunks all inherit the same.
+    inherited = gone.filter("chunk_index = 0").drop("chunk_id", "chunk_index", "start", "content", "embedding", "metadata")
+    vectors = gone.select("chunk_id", "embedding").filter("embedding is not null")
+    fresh = cut.join(inherited, "document_id").join(vectors, "chunk_id", "left").withColumn("metadata", F.create_map(F.lit("chunk_index"), F.col("chunk_index").cast("string")))
+    now = store.staged(chunks.filter("document_id % 10 <> 1").unionByName(fresh), "updated-chunks")
+    found = R.keyword_candidates(B.queries(spark, sf_dir), now, 50, B.AS_OF_YEAR, mine)
+    return found.select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), "fts_rank")
+
+
 _RRF = f"""{_PAIRS}, fused as (select *, round(coalesce(0.6::double / (60 + v_rank), 0) + coalesce(0.4::double / (60 + k_rank), 0), 9) as fused from both_lists),
  best as (select * from fused qualify row_number() over (partition by query_id, {_KEY} order by fused desc, v_rank nulls last, k_rank nulls last, chunk_id) = 1),
  top as (select query_id, row_number() over (partition by query_id order by fused desc, v_rank nulls last, k_rank nulls last, chunk_id) as rank, chunk_id, fused as score from best qualify rank <= 8)"""
@@ -574,13 +613,15 @@ def r12_hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.retrieve(B.queries(spark, sf_dir), B.searchable(spark, sf_dir), CONFIG, B.AS_OF_YEAR)
+    chunks, index = B.library(spark, sf_dir)
+    found = R.retrieve(B.queries(spark, sf_dir), chunks, CONFIG, B.AS_OF_YEAR, index)
     return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id", "score", "content")
 
 
 @query(f"""with {_PAIRS} select query_id, chunk_id, rank, round(score + case when year(created_at) = {B.AS_OF_YEAR} then 0.25 else 0 end, 6) as score from key""")
 def r8_freshness_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.keyword_candidates(B.queries(spark, sf_dir), B.searchable(spark, sf_dir), 50, B.AS_OF_YEAR)
+    chunks, index = B.library(spark, sf_dir)
+    found = R.keyword_candidates(B.queries(spark, sf_dir), chunks, 50, B.AS_OF_YEAR, index)
     return R.boosted(found, 0.25, B.AS_OF_YEAR).select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), "score")
 
 
@@ -628,7 +669,7 @@ def _placed(cut: DataFrame) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    cut = _placed(B.searchable(spark, sf_dir))
+    cut = _placed(B.library(spark, sf_dir)[0])
     around = cut.select("chunk_id", "document_id", "chunk_index", "page_number", "section_title")
     return _found(spark, sf_dir).withColumn("hit_id", F.col("chunk_id")).join(around, "chunk_id"), cut
 
@@ -651,7 +692,8 @@ def x1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x2_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole search with its hits' siblings around them."""
     config = SearchConfig(final_limit=8, context_expansion="siblings", context_expansion_size=2, context_max_tokens=700)
-    return R.retrieve(B.queries(spark, sf_dir), _placed(B.searchable(spark, sf_dir)), config, B.AS_OF_YEAR)
+    chunks, index = B.library(spark, sf_dir)
+    return R.retrieve(B.queries(spark, sf_dir), _placed(chunks), config, B.AS_OF_YEAR, index)
 
 
 def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
