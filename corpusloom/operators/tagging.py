@@ -70,27 +70,52 @@ def parsed_relation(answer: Column) -> Column:
     return F.struct(F.when(known, raw["relationship_type"]).otherwise("none").alias("relationship_type"), F.when(known, raw["target_document_id"]).alias("target_document_id"), F.when(known, raw["target_document_title"]).alias("target_document_title"))
 
 
+def title_words(text: Column) -> Column:
+    """Lower-cased runs of letters, digits, underscores and hyphens that have a letter or a digit; what stands between them does not count."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_-]+"), lambda w: w.rlike(r"[\p{L}\p{N}]"))
+
+
+def titles_in(texts: DataFrame, keys: list[str], titles: DataFrame, within: list[str]) -> DataFrame:
+    """(keys, at, end, and titles' columns) for every title (``title``, ...) whose words stand in a row in texts (keys, within, words).
+
+    Titles may be of any length: the word runs of every length that a title has are joined
+    with them by equality, so no text meets a title that it does not hold. A title that
+    stands within a longer one is no find there. Texts and titles meet if they agree in
+    the columns ``within``.
+    """
+    known = titles.withColumn("_words", title_words(F.col("title"))).filter(F.size("_words") > 0).withColumn("_run", F.array_join("_words", " "))
+    lengths = sorted(r[0] for r in known.select(F.size("_words")).distinct().collect())  # as many as words in the longest title at most
+    if not lengths:
+        lengths = [1]
+    each = F.explode(F.array(*map(F.lit, lengths)))
+    sized = texts.select(*keys, *within, "words", each.alias("_n")).filter(F.size("words") >= F.col("_n"))
+    placed = sized.select(*keys, *within, "words", "_n", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("_n") + 1)).alias("at"))
+    runs = placed.select(*keys, *[F.col(c).alias(f"_of_{c}") for c in within], "at", (F.col("at") + F.col("_n")).alias("end"), F.array_join(F.slice("words", F.col("at"), F.col("_n")), " ").alias("_run"))
+    met = runs.join(known.drop("_words"), "_run")
+    for c in within:
+        met = met.filter(F.col(f"_of_{c}").eqNullSafe(F.col(c)))
+    before = Window.partitionBy(*keys).orderBy("at", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    span = lambda: F.struct("end", -F.col("at"))
+    return met.withColumn("_wider", F.max(span()).over(before)).filter(F.col("_wider").isNull() | (F.col("_wider") <= span())).drop("_wider", "_run", *[f"_of_{c}" for c in within])
+
+
 def relations_by_rule(sentences: DataFrame, documents: DataFrame) -> DataFrame:
     """(source_document_id, relationship_type, target_document_id) where a sentence has a phrase and, later, an earlier document's title.
 
-    Titles are looked up by equality of word runs rather than by pairing every sentence
-    with every title: the runs of up to four words after a phrase are exploded and joined.
-    Documents with a tenant_id relate within their tenant.
+    Titles are found as ``titles_in`` finds them, of any length and whatever their
+    punctuation. Documents with a tenant_id relate within their tenant.
     """
     found = None
     for kind, phrase in RELATION_PHRASES.items():
-        rest = F.split(F.regexp_replace("sentence", rf"(?s)^.*?{phrase.removeprefix('(?iu)')}", ""), r"[^\p{L}\p{N}_-]+")
-        words = F.filter(rest, lambda w: w != "")
-        runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))))
-        part = sentences.filter(F.col("sentence").rlike(phrase)).select("document_id", F.lit(kind).alias("relationship_type"), F.explode(F.array_distinct(runs)).alias("title"))
+        rest = title_words(F.regexp_replace("sentence", rf"(?s)^.*?{phrase.removeprefix('(?iu)')}", ""))
+        part = sentences.filter(F.col("sentence").rlike(phrase)).select("document_id", F.lit(kind).alias("relationship_type"), rest.alias("words"))
         found = part if found is None else found.unionByName(part)
     tenant = ["tenant_id"] if "tenant_id" in documents.columns else []
+    order = documents.select("document_id", "date_order", *tenant)
+    said = found.distinct().join(order, "document_id").withColumn("sentence", F.xxhash64("words"))
     targets = documents.select(F.col("document_id").alias("target_document_id"), "title", F.col("date_order").alias("target_order"), *tenant)
-    order = documents.select("document_id", "date_order", *[F.col(c).alias("own_tenant") for c in tenant])
-    joined = found.join(targets, "title").join(order, "document_id").filter("target_order < date_order")
-    if tenant:
-        joined = joined.filter(F.col("own_tenant").eqNullSafe(F.col("tenant_id")))
-    return joined.select(F.col("document_id").alias("source_document_id"), "relationship_type", "target_document_id").distinct()
+    hits = titles_in(said, ["document_id", "date_order", "relationship_type", "sentence"], targets, tenant)
+    return hits.filter("target_order < date_order").select(F.col("document_id").alias("source_document_id"), "relationship_type", "target_document_id").distinct()
 
 
 def language_answer(answer: Column, default: str = "cs") -> Column:

@@ -378,6 +378,33 @@ def t8_relation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.relations_by_rule(said, docs.select("document_id", "title", n.alias("date_order")))
 
 
+#: A document's title by its number, as SQL text and Column: two to eleven words with punctuation between them.
+_TITLE = """concat(case {0} % 3 when 0 then 'Order ' when 1 then 'RULES No.' else '' end, {0}, '/2020', array_to_string(list_transform(range({0} % 8), lambda i: concat(case when i % 2 = 0 then ' (word ' else ', & ' end, i)), ''), case when {0} % 2 = 0 then '"' else '' end)"""
+
+
+def _title(n: F.Column) -> F.Column:
+    more = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(i < n % 8, F.concat(F.when(i % 2 == 0, " (word ").otherwise(", & "), i.cast("string"))).otherwise(""))
+    return F.concat(F.when(n % 3 == 0, "Order ").when(n % 3 == 1, "RULES No.").otherwise(""), n.cast("string"), F.lit("/2020"), F.array_join(more, ""), F.when(n % 2 == 0, '"').otherwise(""))
+
+
+_TITLE_WORDS = r"array_to_string(list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}_-]+'), lambda w: regexp_matches(w, '[\p{{L}}\p{{N}}]')), ' ')"
+
+
+@query(rf"""with t as (select doc_id, text, {_TITLE.format("doc_id")} as title from documents),
+ s as (select doc_id, unnest(list_filter(list_transform(string_split(regexp_replace(concat(text, case when doc_id % 35 = 0 then concat(' This replaces "', {_TITLE.format("(doc_id - 7)")}, ', at once.') when doc_id % 35 = 1 then concat(' It amends the ', {_TITLE.format("(doc_id - 1)")}, '.') else '' end), '([.!?])\s+', concat('\1', chr(1)), 'g'), chr(1)),
+  lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')) as sentence from t),
+ f as (select doc_id, 'replaces' as kind, regexp_extract(sentence, '(?is)\b(?:replaces|nahrazuje|ruší)\b(.*)$', 1) as rest from s where regexp_matches(sentence, '(?i)\b(?:replaces|nahrazuje|ruší)\b')
+  union all select doc_id, 'modifies', regexp_extract(sentence, '(?is)\b(?:modifies|amends|upravuje|doplňuje|mění)\b(.*)$', 1) from s where regexp_matches(sentence, '(?i)\b(?:modifies|amends|upravuje|doplňuje|mění)\b')),
+ n as (select doc_id, kind, concat(' ', {_TITLE_WORDS.format("rest")}, ' ') as rest from f), k as (select doc_id, concat(' ', {_TITLE_WORDS.format("title")}, ' ') as title from t)
+ select distinct n.doc_id as source_document_id, kind as relationship_type, k.doc_id as target_document_id from n join k on contains(n.rest, k.title) and k.doc_id < n.doc_id""")
+def t8_long_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of up to eleven words, with punctuation, after the phrases that announce a relation; no title stands in another."""
+    docs, n = B.documents(spark, sf_dir), F.col("document_id")
+    more = F.when(n % 35 == 0, F.concat(F.lit(' This replaces "'), _title(n - 7), F.lit(", at once."))).when(n % 35 == 1, F.concat(F.lit(" It amends the "), _title(n - 1), F.lit("."))).otherwise("")
+    said = docs.select("document_id", F.explode(C.sentences(F.concat("text", more))).alias("sentence"))
+    return G.relations_by_rule(said, docs.select("document_id", _title(n).alias("title"), n.alias("date_order")))
+
+
 @query(f"with {B.D} select document_id, title from d where freshness_status = 'current'")
 def t6_relation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.relation_candidates(B.documents(spark, sf_dir))
