@@ -39,7 +39,7 @@ _COLUMNS = "key bigint, term string, max_tf int, n int, postings array<struct<ch
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """Where an index is, the type of chunk_id, and the buckets of every generation. Generations are folders; one without its mark does not count."""
+    """Where an index is, the type of chunk_id, and the buckets of generations to come (of those there are, their folders tell). One without its mark does not count."""
 
     folder: str
     kind: str = "bigint"
@@ -70,7 +70,7 @@ def _key(term: Column, piece: Column) -> Column:
 
 def _write(index: KeywordIndex, postings: DataFrame, n_chunks: int, number: int, anew: bool, gone: DataFrame | None) -> None:
     spark = postings.sparkSession
-    place = f"{index.folder}/generation={number}-{uuid.uuid4().hex[:8]}"
+    place = f"{index.folder}/generation={number}-{index.buckets}-{uuid.uuid4().hex[:8]}"
     shares = max(1, -(-n_chunks // SHARE))
     share = F.pmod(F.xxhash64("chunk_id"), F.lit(shares))
     rows = postings.withColumn("share", share).groupBy("term", banded(F.col("tf")).alias("band"), "share").agg(F.max("tf").alias("max_tf"), F.count(F.lit(1)).cast("int").alias("n"), F.sort_array(F.collect_list(F.struct(F.col("chunk_id").cast(index.kind).alias("chunk_id"), "tf"))).alias("postings"))
@@ -97,9 +97,10 @@ def update(index: KeywordIndex, gone: DataFrame, fresh: DataFrame, analyzer=toke
 
 def _rows(index: KeywordIndex, spark: SparkSession, place: str) -> DataFrame:
     """The bucketed rows of one generation."""
+    buckets = int(place.rsplit("=", 1)[1].split("-")[1])
     name = "corpusloom_keywords_" + hashlib.sha256(place.encode()).hexdigest()[:24]
     if not spark.catalog.tableExists(name):
-        spark.sql(f"create table {name} ({_COLUMNS.format(kind=index.kind)}) using parquet clustered by (key) sorted by (key) into {index.buckets} buckets location '{place}/rows'")
+        spark.sql(f"create table {name} ({_COLUMNS.format(kind=index.kind)}) using parquet clustered by (key) sorted by (key) into {buckets} buckets location '{place}/rows'")
     return spark.table(name)
 
 

@@ -21,6 +21,7 @@ from ..functions.vectors import cosine
 from ..sources.store import staged
 from . import keyword_index as K
 from . import predicates as P
+from . import vector_index as N
 from .context import expand
 from .predicates import ASKER, SEEN, may_see
 
@@ -117,27 +118,38 @@ def top_k_blocks(queries: DataFrame, chunks: DataFrame, limit: int, block: int =
     return _top(_met_blocks(asked, held, limit, block), limit, F.col("score").desc(), "chunk_id")
 
 
-def vector_candidates(queries: DataFrame, chunks: DataFrame, limit: int, as_of_year: int, pre: bool = False, block: int = BLOCK) -> DataFrame:
+def vector_candidates(queries: DataFrame, chunks: DataFrame, limit: int, as_of_year: int, pre: bool = False, block: int = BLOCK, index: N.VectorIndex | None = None) -> DataFrame:
     """The chunks' columns with query_id, score and rank: nearest by cosine among those that the query may see.
 
     Queries that may see the same are one class; a chunk is looked at once for each class
-    of its tenant, and vectors meet in blocks. Chunks without a vector come last, ties go by
-    chunk_id. Queries without a vector have no list.
+    of its tenant, and vectors meet in blocks. With a stored index a vector is sent once for
+    all classes, and blocks that cannot hold a better one are passed over. Chunks without a
+    vector come last, ties go by chunk_id. Queries without a vector have no list.
     """
+    asked, seen = _classes(queries, chunks, as_of_year, pre)
+    if index is None:
+        there = chunks.filter("embedding is not null").select("chunk_id", "embedding")
+        met = _met_blocks(asked.select("class", "query_id", "vector"), seen.filter("there").select("class", "chunk_id").join(there, "chunk_id"), limit, block)
+    else:
+        by_chunk = seen.filter("there").groupBy("chunk_id").agg(F.collect_set("class").alias("classes"))
+        met, _ = N.nearest_visible(index, asked.select("query_id", "class", "vector"), by_chunk, limit)
+    first = F.row_number().over(Window.partitionBy("class").orderBy("chunk_id"))
+    blanks = seen.filter("not there").select("class", "chunk_id").withColumn("n", first).filter(F.col("n") <= limit)
+    blanks = asked.select("class", "query_id").join(blanks, "class").select("query_id", "chunk_id", F.lit(0.0).alias("score"), F.lit(True).alias("blank"))
+    best = _top(met.withColumn("blank", F.lit(False)).unionByName(blanks), limit, "blank", F.col("score").desc(), "chunk_id").drop("blank")
+    return chunks.join(best, "chunk_id")
+
+
+def _classes(queries: DataFrame, chunks: DataFrame, as_of_year: int, pre: bool) -> tuple[DataFrame, DataFrame]:
+    """Queries with their ``class``, which may see the same, and (class, chunk_id, there) of what each may see; ``there`` tells of a vector."""
     who = [*ASKER, *(["filters"] if pre else [])]
     key = F.xxhash64("tenant", F.col("groups").isNull(), "groups", F.col("freshness").isNull(), "freshness", *([F.to_json("filters")] if pre else []))
     asked = queries.filter("vector is not null").withColumn("class", key)
     classes = asked.groupBy("class").agg(*[F.first(c).alias(c) for c in who])
     classes = classes.select("class", *who, F.explode(F.array_distinct(F.array("tenant", F.split("tenant", "-")[0]))).alias("tenant_id"))
     ok = may_see(as_of_year) & (fits_metadata() if pre else F.lit(True))
-    looked = ["chunk_id", "embedding", *SEEN, *(["columns", "doc_metadata", "metadata"] if pre else [])]
-    seen = chunks.select(*looked).join(_small(classes), "tenant_id").filter(ok).select(F.col("class").alias("class"), "chunk_id", "embedding")
-    met = _met_blocks(asked.select("class", "query_id", "vector"), seen.filter("embedding is not null"), limit, block).withColumn("blank", F.lit(False))
-    first = F.row_number().over(Window.partitionBy("class").orderBy("chunk_id"))
-    blanks = seen.filter("embedding is null").select("class", "chunk_id").withColumn("n", first).filter(F.col("n") <= limit)
-    blanks = asked.select("class", "query_id").join(blanks, "class").select("query_id", "chunk_id", F.lit(0.0).alias("score"), F.lit(True).alias("blank"))
-    best = _top(met.unionByName(blanks), limit, "blank", F.col("score").desc(), "chunk_id").drop("blank")
-    return chunks.join(best, "chunk_id")
+    looked = ["chunk_id", F.col("embedding").isNotNull().alias("there"), *SEEN, *(["columns", "doc_metadata", "metadata"] if pre else [])]
+    return asked, chunks.select(*looked).join(_small(classes), "tenant_id").filter(ok).select(F.col("class").alias("class"), "chunk_id", "there")
 
 
 def keyword_candidates(queries: DataFrame, chunks: DataFrame, limit: int, as_of_year: int, index: DataFrame | K.KeywordIndex | None = None, pre: bool = False, analyzer: Analyzer = tokens) -> DataFrame:

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import keyword_index as K
+from ..operators import vector_index as N
 from ..operators.chunking import character_windows
 from ..sources.store import kept
 
 AS_OF_YEAR = 2026
 SIZE, OVERLAP = 1000, 250
+#: Changes with the layout of what is stored, so that nothing older is read.
+STORED = 2
 #: Buckets of the keyword index: some MB each at the sizes of these tables.
 BUCKETS = 16
 #: No document has so many chunks, so their numbers never run into the next document's.
@@ -80,10 +83,17 @@ def library(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, K.KeywordIndex
         searchable(spark, sf_dir).write.mode("overwrite").parquet(f"{folder}/chunks")
         K.build(K.KeywordIndex(f"{folder}/keywords", buckets=BUCKETS), spark.read.parquet(f"{folder}/chunks"))
 
-    folder = kept(spark, "library", (f"{sf_dir}/documents.parquet", f"{sf_dir}/embeddings.parquet"), ingest)
+    folder = kept(spark, f"library-{STORED}-{SIZE}-{OVERLAP}", (f"{sf_dir}/documents.parquet", f"{sf_dir}/embeddings.parquet"), ingest)
     return spark.read.parquet(f"{folder}/chunks"), K.KeywordIndex(f"{folder}/keywords", buckets=BUCKETS)
 
 
+def vector_index(spark: SparkSession, sf_dir: str) -> N.VectorIndex:
+    """The library's vectors by pivots, stored once."""
+    chunks, _ = library(spark, sf_dir)
+    folder = kept(spark, f"vectors-{STORED}-{SIZE}-{OVERLAP}", (f"{sf_dir}/documents.parquet", f"{sf_dir}/embeddings.parquet"), lambda folder: N.build(N.VectorIndex(folder), chunks, block_rows=256))
+    return N.VectorIndex(folder)
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"), F.col("embedding").cast("array<double>").alias("vector"))
     asking = documents(spark, sf_dir).filter(F.col("document_id") % 20 == 0).join(vectors, "document_id")

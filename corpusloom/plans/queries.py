@@ -587,6 +587,13 @@ def r1_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), "score")
 
 
+@query(f"with {_PAIRS} select query_id, chunk_id, rank, score from vec")
+def r1_vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lists from the stored vectors by pivots."""
+    found = R.vector_candidates(B.queries(spark, sf_dir), B.library(spark, sf_dir)[0], 50, B.AS_OF_YEAR, index=B.vector_index(spark, sf_dir))
+    return found.select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), "score")
+
+
 @query(f"with {_PAIRS} select query_id, chunk_id, rank, fts_rank, score from key")
 def r6_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, index = B.library(spark, sf_dir)
