@@ -1,8 +1,9 @@
 """Splitting pages into passages.
 
 Windows, sentences and headings are SQL expressions. Recursive, structural, semantic and
-annotated splits fold over one text; where their chunks stand among a document's pages and
-sections depends on the chunk before, so a document is one group of applyInPandas.
+annotated splits fold over one text: a page in mapInPandas, with numbers and sections by
+windows afterwards, or all pages of a document as one group of applyInPandas where a page's
+chunks depend on the pages before.
 """
 
 from __future__ import annotations
@@ -132,32 +133,31 @@ def recursive_pieces(text: str, size: int, overlap: int, separators: tuple[str,
     glue, finer = separators[0], separators[1:]
     done: list[str] = []
     held: list[str] = []
+    width = 0  # of what is held, with the glue between
 
     def emit() -> None:
         joined = glue.join(held)
         if joined.strip():
             done.append(joined)
 
-    def width(parts: list[str]) -> int:
-        return sum(map(len, parts)) + len(glue) * max(0, len(parts) - 1)
-
     for piece in text.split(glue) if glue else list(text):
         if len(piece) > size:
             if held:
                 emit()
-                held = []
+                held, width = [], 0
             if finer:
                 done += recursive_pieces(piece, size, overlap, finer)
             else:
                 starts = range(0, max(1, len(piece) - overlap), max(1, size - overlap))
                 done += [w for w in (piece[a : a + size] for a in starts) if w.strip()]
             continue
-        if width(held) + len(piece) + (len(glue) if held else 0) > size:
+        if held and width + len(glue) + len(piece) > size:
             emit()
-            kept = 0
-            while kept < len(held) and width(held[len(held) - kept - 1 :]) <= overlap:
-                kept += 1
+            kept, width = 0, 0
+            while kept < len(held) and (wider := width + len(held[-1 - kept]) + (len(glue) if kept else 0)) <= overlap:
+                kept, width = kept + 1, wider
             held = held[len(held) - kept :]
+        width += len(piece) + (len(glue) if held else 0)
         held.append(piece)
     rest = glue.join(held)
     if rest.strip() and not (done and rest in done[-1]):
@@ -285,16 +285,40 @@ def placed_chunks(pages: list[tuple[int, str]], split: Split, mode: str, overlap
             yield number, start, content, section
 
 
+def _page_pieces(pages: DataFrame, split: Split, kind: str) -> DataFrame:
+    """(document_id, page_number, page, k, start, content, own) of pages split each on its own: the k-th piece, and the last heading of the page at or before it."""
+    columns = ["document_id", "page_number", "page", "k", "start", "content", "own"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, number, page, text in zip(batch["document_id"], batch["page_number"], batch["page"], batch["text"], strict=True):
+                if text and text.strip():
+                    rows += [(doc, number, page, k, start, content, section) for k, (_, start, content, section) in enumerate(placed_chunks([(number, text)], split, ISOLATED, 0))]
+            yield pd.DataFrame(rows, columns=columns)
+
+    return pages.mapInPandas(run, f"document_id {kind}, page_number int, page bigint, k int, start int, content string, own string")
+
+
 def split_pages(pages: DataFrame, split: Split, mode: str = ISOLATED, overlap: int = 0) -> DataFrame:
     """(document_id, page_number, chunk_index, start, content, section_title) by any way of splitting a text.
 
     Blank pages are skipped, null ones are blank; chunk_index is gapless through the
-    document. A document's pages are one group: each chunk's place depends on the one before.
+    document. Isolated pages are split one by one wherever they are, and numbered by a
+    running count; a section stays open over later pages. Where a page takes from the one
+    before, or pages are laid end to end, a document's pages are one group.
     """
     if mode not in (ISOLATED, CARRIED, JOINED):
         raise ValueError(f"{mode!r} is no way to treat pages")
     kind = pages.schema["document_id"].dataType.simpleString()
     columns = ["document_id", "page_number", "chunk_index", "start", "content", "section_title"]
+    asked = pages.select("document_id", F.col("page_number").cast("int").alias("page_number"), "text")
+    if mode == ISOLATED:
+        # Different pages of one number are told apart by their texts; equal ones have equal pieces.
+        pieces = _page_pieces(asked.withColumn("page", F.xxhash64("text")), split, kind)
+        order = Window.partitionBy("document_id").orderBy("page_number", "page", "k")
+        numbered = pieces.withColumn("chunk_index", F.row_number().over(order) - 1).withColumn("section_title", F.last("own", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        return numbered.select(columns)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         listed = [(int(p), t or "") for p, t in zip(group["page_number"], group["text"], strict=True)]
@@ -302,7 +326,7 @@ def split_pages(pages: DataFrame, split: Split, mode: str = ISOLATED, overlap: i
         return pd.DataFrame(rows, columns=columns)
 
     schema = f"document_id {kind}, page_number int, chunk_index int, start int, content string, section_title string"
-    return pages.select("document_id", "page_number", "text").groupBy("document_id").applyInPandas(run, schema)
+    return asked.groupBy("document_id").applyInPandas(run, schema)
 
 
 def previews(pages: DataFrame, settings: dict[str, tuple[Split, str, int]]) -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import counted, tokens
 from ..sources.store import file_system, mark, staged
 
 #: Slices of a word, and chunks that share a row at most (on average).
@@ -33,7 +33,7 @@ BROADCAST_ROWS = 100_000
 NAMED_KEYS = 512
 #: Postings of a word, for each chunk that a list has room for, from which the score to reach is estimated.
 DEPTH = 4
-_READS = "array<struct<term:string,least:int>>"
+_READS = "array<struct<term:string,least:int,need:int>>"
 _COLUMNS = "key bigint, term string, max_tf int, n int, postings array<struct<chunk_id:{kind},tf:int>>"
 
 
@@ -60,8 +60,8 @@ def banded(tf: Column) -> Column:
 
 
 def postings_of(chunks: DataFrame, analyzer=tokens) -> DataFrame:
-    """(term, chunk_id, tf)."""
-    return chunks.select("chunk_id", F.explode(analyzer(F.col("content"))).alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    """(term, chunk_id, tf), without a shuffle, as a chunk is one row."""
+    return chunks.select("chunk_id", F.explode(counted(analyzer(F.col("content")))).alias("t")).select("t.term", "chunk_id", "t.tf")
 
 
 def _key(term: Column, piece: Column) -> Column:
@@ -73,9 +73,11 @@ def _write(index: KeywordIndex, postings: DataFrame, n_chunks: int, number: int,
     place = f"{index.folder}/generation={number}-{index.buckets}-{uuid.uuid4().hex[:8]}"
     shares = max(1, -(-n_chunks // SHARE))
     share = F.pmod(F.xxhash64("chunk_id"), F.lit(shares))
-    rows = postings.withColumn("share", share).groupBy("term", banded(F.col("tf")).alias("band"), "share").agg(F.max("tf").alias("max_tf"), F.count(F.lit(1)).cast("int").alias("n"), F.sort_array(F.collect_list(F.struct(F.col("chunk_id").cast(index.kind).alias("chunk_id"), "tf"))).alias("postings"))
-    keyed = rows.select(_key(F.col("term"), F.pmod("share", F.lit(SLICES)).cast("int")).alias("key"), "term", "max_tf", "n", "postings")
-    dealt = keyed.repartition(index.buckets, "key").sortWithinPartitions("key", "term", F.col("max_tf").desc())
+    placed = postings.select("term", F.struct(F.col("chunk_id").cast(index.kind).alias("chunk_id"), "tf").alias("p"), banded(F.col("tf")).alias("band"), share.alias("share"))
+    # Dealt out by the key once; grouping and sorting stay within the buckets.
+    keyed = placed.withColumn("key", _key(F.col("term"), F.pmod("share", F.lit(SLICES)).cast("int"))).repartition(index.buckets, "key")
+    rows = keyed.groupBy("key", "term", "band", "share").agg(F.max("p.tf").alias("max_tf"), F.count(F.lit(1)).cast("int").alias("n"), F.sort_array(F.collect_list("p")).alias("postings"))
+    dealt = rows.select("key", "term", "max_tf", "n", "postings").sortWithinPartitions("key", "term", F.col("max_tf").desc())
     name = f"corpusloom_keywords_{uuid.uuid4().hex}"
     dealt.write.bucketBy(index.buckets, "key").sortBy("key").option("path", f"{place}/rows").saveAsTable(name)
     spark.sql(f"drop table {name}")  # an external table: its files stay
@@ -172,7 +174,7 @@ def first_reads(limit: pd.Series, told: pd.Series) -> pd.Series:
                 least, left = b["max_tf"], left - b["n"]
                 if left <= 0:
                     break
-            out.append({"term": w["term"], "least": int(least)})
+            out.append({"term": w["term"], "least": int(least), "need": 1})
         return out
 
     return pd.Series([reads(n, w) for n, w in zip(limit, told, strict=True)])
@@ -184,6 +186,8 @@ def last_reads(score: pd.Series, told: pd.Series) -> pd.Series:
     Words outside the ones chosen sum up to less than the score even at their highest, so
     such a chunk has one of the chosen words, and as often as its share of what is missing.
     Of the choices by falling highest frequency the one with the fewest postings is taken.
+    ``need`` is what a chunk's postings that are read must sum up to, each counted from one
+    below ``least``, as what isn't read has at most that or its word's highest frequency.
     """
 
     def reads(need: int, words) -> list[dict]:
@@ -197,39 +201,51 @@ def last_reads(score: pd.Series, told: pd.Series) -> pd.Series:
             least = max(1, -(-missing // k))
             cost = sum(b["n"] for w in order[:k] for b in w["bounds"] if b["max_tf"] >= least)
             if best is None or cost < best[0]:
-                best = cost, [{"term": w["term"], "least": int(least)} for w in order[:k]]
+                best = cost, [{"term": w["term"], "least": int(least), "need": int(missing - k * (least - 1))} for w in order[:k]]
         return best[1]
 
     return pd.Series([reads(int(s), w) for s, w in zip(score, told, strict=True)])
 
 
+def n_postings(index: KeywordIndex, terms: DataFrame) -> int:
+    """Postings of the different words of ``terms``; none is read."""
+    return sum(rows.agg(F.sum("n")).first()[0] or 0 for _, rows in _of_words(index, terms.sparkSession, terms.select("term").distinct()))
+
+
+def all_hits(index: KeywordIndex, terms: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, tf) of every posting of terms (query_id, term)."""
+    return _hits(index, terms.sparkSession, terms, lambda rows: rows, ["query_id"])
+
+
 def search_plan(index: KeywordIndex, terms: DataFrame, visible: Callable[[DataFrame], DataFrame], limit: int) -> tuple[DataFrame, DataFrame]:
-    """For ``terms`` (query_id, term): what each query reads (query_id, term, least), and its words' postings below every bound (query_id, told).
+    """For ``terms`` (query_id, term): what each query reads (query_id, term, least, need), and its words' postings below every bound (query_id, told).
 
-    ``visible`` takes (query_id, chunk_id, ...) and leaves what the query may see. The
+    ``visible`` takes (query_id, chunk_id, score) and leaves what the query may see. The
     score to reach is the limit-th best sum of frequencies among the highest postings, a
-    lower bound of the limit-th best score; a query with fewer reads all.
+    lower bound of the limit-th best score; a query with fewer such chunks reads all.
     """
     spark = terms.sparkSession
     words = terms.select("term").distinct()
     known = terms.join(_small(bounds(index, spark, words))[0], "term").groupBy("query_id", "term").agg(F.collect_list(F.struct("max_tf", "n")).alias("bounds"))
     told = staged(known.groupBy("query_id").agg(F.collect_list(F.struct("term", "bounds")).alias("told")), "keyword-bounds")
     first = staged(told.select("query_id", F.explode(F.pandas_udf(first_reads, _READS)(F.lit(limit), "told")).alias("r")).select("query_id", "r.*"), "keyword-first")
-    seen = visible(_asked_hits(index, first).groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("score")))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))
-    bar = seen.select("query_id", "score").withColumn("place", place).filter(F.col("place") == limit).select("query_id", "score")
+    seen = visible(_asked_hits(index, first).groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("score"))).select("query_id", "chunk_id", "score")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id"))
+    bar = seen.withColumn("place", place).filter(F.col("place") == limit).select("query_id", "score")
     needs = told.join(bar, "query_id", "left").select("query_id", "told", F.coalesce("score", F.lit(0)).alias("score"))
     return staged(needs.select("query_id", F.explode(F.pandas_udf(last_reads, _READS)("score", "told")).alias("r")).select("query_id", "r.*"), "keyword-reads"), told
 
 
 def _asked_hits(index: KeywordIndex, reads: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, tf) for reads (query_id, term, least)."""
-    return _hits(index, reads.sparkSession, reads, lambda rows: rows.filter(F.col("max_tf") >= F.col("least")), ["query_id", "least"]).filter(F.col("tf") >= F.col("least")).select("query_id", "chunk_id", "tf")
+    """(query_id, chunk_id, tf, least, need) for reads (query_id, term, least, need)."""
+    asked = ["query_id", "least", "need"]
+    return _hits(index, reads.sparkSession, reads, lambda rows: rows.filter(F.col("max_tf") >= F.col("least")), asked).filter(F.col("tf") >= F.col("least")).select(*asked, "chunk_id", "tf")
 
 
 def candidates(index: KeywordIndex, reads: DataFrame) -> DataFrame:
-    """(query_id, chunk_id) of the postings that ``reads`` names."""
-    return _asked_hits(index, reads).select("query_id", "chunk_id").distinct()
+    """(query_id, chunk_id) of the postings that ``reads`` names, without those that cannot reach the query's score."""
+    found = _asked_hits(index, reads).groupBy("query_id", "chunk_id").agg(F.sum(F.col("tf") - F.col("least") + 1).alias("got"), F.first("need").alias("need"))
+    return found.filter(F.col("got") >= F.col("need")).select("query_id", "chunk_id")
 
 
 def postings_read(told: DataFrame, reads: DataFrame) -> DataFrame:

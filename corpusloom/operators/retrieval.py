@@ -30,6 +30,8 @@ BROADCAST_QUERIES = 10_000
 #: Queries, and chunks, of one block of the matrix product.
 BLOCK = 4096
 DECIMALS = 6
+#: Searches whose words have up to so many postings in a stored index read them all.
+PRUNE_ABOVE = 50_000_000
 #: Words of a text column: the place for a stemmer.
 Analyzer = Callable[[Column], Column]
 
@@ -152,32 +154,38 @@ def _classes(queries: DataFrame, chunks: DataFrame, as_of_year: int, pre: bool)
     return asked, chunks.select(*looked).join(_small(classes), "tenant_id").filter(ok).select(F.col("class").alias("class"), "chunk_id", "there")
 
 
-def keyword_candidates(queries: DataFrame, chunks: DataFrame, limit: int, as_of_year: int, index: DataFrame | K.KeywordIndex | None = None, pre: bool = False, analyzer: Analyzer = tokens) -> DataFrame:
+def keyword_candidates(queries: DataFrame, chunks: DataFrame, limit: int, as_of_year: int, index: DataFrame | K.KeywordIndex | None = None, pre: bool = False, analyzer: Analyzer = tokens, prune_above: int = PRUNE_ABOVE) -> DataFrame:
     """The chunks' columns with query_id, fts_rank, score and rank: by keyword rank; ``score`` is the cosine, for display.
 
     The index gives the pairs; chunks come in by their ids, and only the first ``limit`` of
-    each query are scored. A stored index is read as far as the query needs.
+    each query are scored. Of a stored index the queries' postings are read, and if there
+    are more than ``prune_above``, only those that can lead to a first chunk; the chunks that
+    they lead to are then counted by their words.
     """
+    stored = isinstance(index, K.KeywordIndex)
+    queries = staged(queries, "keyword-queries") if stored else queries
     about = chunks.select("chunk_id", *SEEN, *(["columns", "doc_metadata", "metadata"] if pre else []))
     asker = queries.select("query_id", *ASKER, *(["filters"] if pre else []))
 
     def visible(pairs: DataFrame) -> DataFrame:
         return pairs.join(about, "chunk_id").join(asker, "query_id").filter(may_see(as_of_year) & (fits_metadata() if pre else F.lit(True)))
 
-    order = (F.col("fts_rank").desc(), "chunk_id")
-    vectors = queries.select("query_id", "vector")
-    if isinstance(index, K.KeywordIndex):
-        terms = query_terms(queries, analyzer)
-        reads, _ = K.search_plan(index, terms, lambda hits: visible(staged(hits, "keyword-hits")), limit)
-        pairs = staged(visible(staged(K.candidates(index, reads), "keyword-pairs")).select("query_id", "chunk_id"), "keyword-visible")
+    rank = lambda n: F.round(0.1 * n, DECIMALS).alias("fts_rank")
+    terms = staged(query_terms(queries, analyzer), "keyword-terms") if stored else None
+    if stored and K.n_postings(index, terms) > prune_above:
         asked = terms.groupBy("query_id").agg(F.collect_set("term").alias("asked"))
+        seen = lambda hits: visible(staged(hits, "keyword-hits"))
+        reads, _ = K.search_plan(index, terms, seen, limit)
+        led_to = staged(seen(K.candidates(index, reads)).select("query_id", "chunk_id"), "keyword-pairs")
         places = F.size(F.filter(analyzer(F.col("content")), lambda w: F.array_contains("asked", w)))
-        ranked = chunks.join(pairs, "chunk_id").join(asked, "query_id").withColumn("fts_rank", F.round(0.1 * places, DECIMALS)).drop("asked")
-        found = _top(ranked, limit, *order).join(vectors, "query_id")
+        pairs = chunks.select("chunk_id", "content").join(led_to, "chunk_id").join(asked, "query_id").select("query_id", "chunk_id", rank(places))
+    elif stored:
+        pairs = visible(K.all_hits(index, terms).groupBy("query_id", "chunk_id").agg(rank(F.sum("tf"))))
     else:
         pairs = visible(keyword_ranks(queries, chunks, index, analyzer))
-        best = _top(pairs.select("query_id", "chunk_id", "fts_rank"), limit, *order)
-        found = chunks.join(best, "chunk_id").join(vectors, "query_id")
+    best = _top(pairs.select("query_id", "chunk_id", "fts_rank"), limit, F.col("fts_rank").desc(), "chunk_id")
+    best = staged(best, "keyword-best") if stored else best
+    found = chunks.join(best, "chunk_id").join(queries.select("query_id", "vector"), "query_id")
     return found.withColumn("score", F.round(cosine(F.col("embedding"), F.col("vector")), DECIMALS)).drop("vector")
 
 

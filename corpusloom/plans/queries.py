@@ -619,7 +619,7 @@ def _changed(docs: DataFrame) -> DataFrame:
 
 @query(f"with {_PAIRS.replace(B.DOCUMENTS_SQL, B.DOCUMENTS_SQL.replace('source_folder, text', chr(34) + 'source_folder' + chr(34) + ', case when doc_id % 10 = 1 then concat(' + chr(39) + 'the alpha of the ' + chr(39) + ', text) else text end as text'))} select query_id, chunk_id, rank, fts_rank from key")
 def r6_updated_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The keyword search after one document in ten was replaced in the stored index, which is not built again."""
+    """The keyword search, by as few postings as lead to its results, after one document in ten was replaced in the stored index, which is not built again."""
     chunks, index = B.library(spark, sf_dir)
     mine = K.KeywordIndex(f"{store.shared_folder(spark)}/keywords-{uuid.uuid4().hex}", buckets=B.BUCKETS)
     K.build(mine, chunks)
@@ -632,7 +632,7 @@ def r6_updated_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = gone.select("chunk_id", "embedding").filter("embedding is not null")
     fresh = cut.join(inherited, "document_id").join(vectors, "chunk_id", "left").withColumn("metadata", F.create_map(F.lit("chunk_index"), F.col("chunk_index").cast("string")))
     now = store.staged(chunks.filter("document_id % 10 <> 1").unionByName(fresh), "updated-chunks")
-    found = R.keyword_candidates(B.queries(spark, sf_dir), now, 50, B.AS_OF_YEAR, mine)
+    found = R.keyword_candidates(B.queries(spark, sf_dir), now, 50, B.AS_OF_YEAR, mine, prune_above=0)
     return found.select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), "fts_rank")
 
 

@@ -132,6 +132,6 @@ def test_candidates_are_those_of_a_whole_scan(spark, tmp_path):
     index = K.KeywordIndex(str(tmp_path), buckets=4)
     K.build(index, chunks)
     pick = ["query_id", "chunk_id", "fts_rank", "rank"]
-    told = [sorted(map(tuple, R.keyword_candidates(queries, chunks, 7, 2026, i).select(*pick).collect())) for i in (None, index)]
-    assert told[0] == told[1] and len(told[0]) == 84
+    told = [sorted(map(tuple, R.keyword_candidates(queries, chunks, 7, 2026, i, prune_above=n).select(*pick).collect())) for i, n in ((None, 0), (index, 0), (index, 10**9))]
+    assert told[0] == told[1] == told[2] and len(told[0]) == 84
     assert R.keyword_candidates(queries.filter(F.lit(False)), chunks, 7, 2026, index).count() == 0
