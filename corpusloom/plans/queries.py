@@ -176,11 +176,11 @@ def i8_chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.chunk_rows(cut, _stored(spark, sf_dir)).select("chunk_id", "language", _csv(F.col("acl")).alias("acl"), "freshness_status", "content_hash")
 
 
-@query(f"""with {B.D}, q as (select distinct 'api' as source_type, source_uri, title, document_type, language, text as content, acl_csv from d where document_id % 2 = 0)
+@query(f"""with {B.D}, q as (select distinct 'api' as source_type, source_uri, title, document_type, language, text as content, acl_csv from d)
  select sha256(content) as checksum, title, language, acl_csv as acl, 0 as chunk_index, content, 'current' as freshness_status from q""")
 def s5_direct_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every second document sent in as a request, twice."""
-    asked = B.documents(spark, sf_dir).filter("document_id % 2 = 0").select(F.lit("api").alias("source_type"), "source_uri", "title", "document_type", "language", "acl", "metadata", F.col("text").alias("content"))
+    """Every document sent in as a request, twice."""
+    asked = B.documents(spark, sf_dir).select(F.lit("api").alias("source_type"), "source_uri", "title", "document_type", "language", "acl", "metadata", F.col("text").alias("content"))
     documents, chunks = J.direct_records(asked.unionByName(asked), F.lit(RUN_TIME).cast("timestamp"))
     both = documents.select("document_id", "checksum", "title").join(chunks, "document_id")
     return both.select("checksum", "title", "language", _csv(F.col("acl")).alias("acl"), "chunk_index", "content", "freshness_status")
