@@ -43,7 +43,7 @@ ALPHABETS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèé
 HEX_ALPHABETS = ("0123456789", "abcdef")
 ROUNDS = 6
 #: Draws after which addresses and names grow longer, after which other kinds keep a surrogate that is a real entity, and at which the job ends with an error.
-WIDER_AFTER, FULL_AFTER, MOST_DRAWS = 3, 6, 64
+WIDER_AFTER, FULL_AFTER, MOST_DRAWS = 3, 40, 64
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 NAME = r"\p{Lu}[\p{Ll}]+(?:-\p{Lu}\p{Ll}+)?"
 #: A word of a script without capitals that puts spaces between words: after a title it is a name.
