@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,28 @@ def guarded(split: C.Split) -> C.Split:
     return tried
 
 
+def split_failures(pages: DataFrame, split: C.Split) -> DataFrame:
+    """(document_id, page_number, reason) of the pages (document_id, page_number, text) on which a split fails; blank pages aren't split.
+
+    For the pages of a job that kept the chunks of documents whose split failed: ``guarded``
+    lets the job go on, and this tells why.
+    """
+    kind = pages.schema["document_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, number, text in zip(batch["document_id"], batch["page_number"], batch["text"], strict=True):
+                try:
+                    if text and text.strip():
+                        split(text)
+                except Exception as e:  # any failure of a plugged-in split is what is asked for
+                    rows.append((doc, number, f"{type(e).__name__}: {e}"[:500]))
+            yield pd.DataFrame(rows, columns=["document_id", "page_number", "reason"])
+
+    return pages.select("document_id", F.col("page_number").cast("int").alias("page_number"), "text").mapInPandas(run, f"document_id {kind}, page_number int, reason string")
+
+
 def direct_records(requests: DataFrame, run_time: Column, embed: Embedder | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, chunks) of requests (source_type, source_uri, title, document_type, language, acl, metadata, content): one chunk each, number 0, with the document's access and metadata."""
     fields = ["source_type", "source_uri", "title", "document_type", "language", "content"]
