@@ -317,6 +317,16 @@ def c4_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.split_pages(_pages(B.documents(spark, sf_dir)), lambda t: C.semantic_pieces(t, lambda s: embed(s).tolist())).select(_CUT)
 
 
+@query(f"""with {_PAGES}, k as (select doc_id, page_number, unnest(p) as raw, unnest(range(len(p))) as j from (select doc_id, page_number, string_split(replace(t, '. ', concat('.', chr(1))), chr(1)) as p from n)),
+ s as (select doc_id, page_number, j, {_STRIPPED.format("raw")} as content from k)
+ select doc_id as document_id, cast(page_number as bigint) as page_number, row_number() over (partition by doc_id order by page_number, j) - 1 as chunk_index, content from s where content <> ''""")
+def c8_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages cut where an annotator, which here marks the ends of sentences, says."""
+    marked = lambda text: text.replace(". ", f".{C.BREAK_MARKER}")
+    cut = C.split_pages(_pages(B.documents(spark, sf_dir)), lambda t: C.annotated_pieces(t, marked))
+    return cut.select("document_id", *[F.col(c).cast("bigint").alias(c) for c in ("page_number", "chunk_index")], "content")
+
+
 @query()
 def c6_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
     headed = B.documents(spark, sf_dir).select("document_id", F.lit(1).alias("page_number"), F.concat(F.lit("# One\n"), F.col("text"), F.lit("\n## Two\n"), F.col("text")).alias("text"))
