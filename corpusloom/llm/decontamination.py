@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from .common import ROW, bare, forget, lowered_words, packed, staged, unpacked
 
-#: Tables of at most so many rows are broadcast (all are a few numbers a row, or ten words); larger ones are joined by shuffle.
+#: Tables of at most so many rows (a few numbers each) are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 300_000
+#: A shingle's hash takes a twelfth of such a row, and ROW_BYTES is what texts of windows may take for one.
+GRAMS_A_ROW, ROW_BYTES = 12, 300
 #: Parts into which a shingle's hits are dealt where the join with the prefixes shuffles.
 SALTS = 16
 #: Joins like a shingle, so that the one pass over the corpus also gives a row for each document.
@@ -63,38 +65,50 @@ def _shingles(windows: DataFrame, lengths: list[int]) -> DataFrame:
     return rows.select("window", "length", "len", "s.offset", "s.gram")
 
 
-def window_hits(source: DataFrame, items: DataFrame, keys: list[str], item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shingle: int = 3, broadcast_rows: int = BROADCAST_ROWS, count_words: bool = True) -> tuple[DataFrame, DataFrame]:
+def window_hits(source: DataFrame, items: DataFrame, keys: list[str], item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shingle: int = 3, broadcast_rows: int = BROADCAST_ROWS, count_words: bool = True) -> tuple[DataFrame | None, DataFrame]:
     """From (keys, text): (keys, n_words) of every text, and the exact occurrences (keys, start, length, items) of item windows.
 
     The corpus is read once for the shingles that items hold. Their rarity, the choice of
     prefixes and the bounds by position come from these hits. Texts with a candidate that
     is left are read again, and the words of the window are compared one by one. Beyond
     ``broadcast_rows`` rows the joins shuffle, salted, as a passage may stand in a third of
-    all documents. Without ``count_words`` the first table has only texts with a shingle.
+    all documents. Without ``count_words`` the first table is None.
     """
     windows = item_windows(items, item_col, item_text_col, window).groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
     windows = staged(windows.select(F.monotonically_increasing_id().alias("window"), "words", "items", F.least(F.size("words"), F.lit(shingle)).alias("len")), "decontam-windows")
-    lengths = sorted(r[0] for r in windows.select("len").distinct().collect()) or [shingle]  # ``shingle`` values at most
+    listed = F.concat("words", F.col("items").cast("array<string>"))
+    width = F.octet_length(F.array_join(listed, " ")) + 16 * F.size(listed)
+    by_length = windows.groupBy("len").agg(F.sum(width).alias("bytes")).collect()  # ``shingle`` rows at most
+    lengths = sorted(r["len"] for r in by_length) or [shingle]
+    window_rows = sum(r["bytes"] for r in by_length) // ROW_BYTES
     shingles = _shingles(windows, lengths)
-    held = shingles.select("gram")
-    grams = staged((held.unionByName(source.sparkSession.range(1).select(F.lit(SENTINEL).alias("gram"))) if count_words else held).distinct(), "decontam-grams")
+    grams = staged(shingles.select("gram").distinct(), "decontam-grams")
     words = source.select(*keys, lowered_words(F.col("text")).alias("w"))
     n_grams = grams.count()
-    hits = staged(_document_grams(words, keys, lengths, count_words).join(_hinted(grams, n_grams, broadcast_rows), "gram"), "decontam-hits")
-    texts = hits.filter("pos < 0").select(*keys, "n_words") if count_words else hits.select(*keys, "n_words")
+    gram_rows = n_grams // GRAMS_A_ROW + 1
+    if gram_rows <= broadcast_rows:
+        sought = grams.unionByName(source.sparkSession.range(1).select(F.lit(SENTINEL).alias("gram"))) if count_words else grams
+        hits = staged(_document_grams(words, keys, lengths, count_words).join(F.broadcast(sought), "gram"), "decontam-hits")
+        texts = hits.filter("pos < 0").select(*keys, "n_words")
+        texts.staged_path = hits.staged_path
+    else:
+        # Shingles are dealt to salts, and texts are counted apart: no key then stands for a share of the corpus.
+        salted = grams.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        spread = _document_grams(words, keys, lengths, False).withColumn("salt", F.pmod(F.xxhash64(*keys, "pos"), F.lit(SALTS)).cast("int"))
+        hits = staged(spread.join(salted, ["gram", "salt"]).drop("salt"), "decontam-hits")
+        texts = words.select(*keys, F.size("w").alias("n_words"))
 
     # Shingles that no document holds rule their windows out; of the others a window's rarest is its prefix.
     counts = hits.filter("pos >= 0").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    ranked = shingles.join(_hinted(counts, n_grams, broadcast_rows), "gram", "left")
+    ranked = shingles.join(_hinted(counts, gram_rows, broadcast_rows), "gram", "left")
     rarest = ranked.groupBy("window", "length").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "gram", "len")).alias("p")).filter("p.n > 0")
     prefixes = staged(rarest.select("window", "length", "p.offset", "p.gram", F.col("p.len").alias("p_len")), "decontam-prefixes")
-    few = prefixes.count() <= broadcast_rows
-    sought = hits.filter("pos >= 0")
-    if few:
-        met = sought.join(F.broadcast(prefixes), "gram")
+    held = hits.filter("pos >= 0")
+    if prefixes.count() <= broadcast_rows:
+        met = held.join(F.broadcast(prefixes), "gram")
     else:
         salted = prefixes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = sought.withColumn("salt", F.pmod(F.xxhash64(*keys, "pos"), F.lit(SALTS)).cast("int")).join(salted, ["gram", "salt"])
+        met = held.withColumn("salt", F.pmod(F.xxhash64(*keys, "pos"), F.lit(SALTS)).cast("int")).join(salted, ["gram", "salt"])
     start = F.col("pos") - F.col("offset")
     fits = (F.col("len") == F.col("p_len")) & (start >= 0) & (start + F.col("length") <= F.col("n_words"))
     candidates = staged(met.filter(fits).select(*keys, "window", start.alias("start")).distinct(), "decontam-candidates")
@@ -103,13 +117,15 @@ def window_hits(source: DataFrame, items: DataFrame, keys: list[str], item_col:
     asked = candidates.groupBy(*keys).agg(F.collect_list(F.struct("start", "window")).alias("asked"))
     n_asked = candidates.select(*keys).distinct().count()
     again = source.join(_hinted(asked.select(*keys), n_asked, broadcast_rows), [source[k].eqNullSafe(asked[k]) for k in keys], "left_semi").dropDuplicates(keys)
-    spots = candidates.join(_hinted(windows.select("window", "words", "items"), n_grams, broadcast_rows), "window")
+    spots = candidates.join(_hinted(windows.select("window", "words", "items"), window_rows, broadcast_rows), "window")
     rows = again.select(*[F.col(k).alias(f"a_{k}") for k in keys], lowered_words(F.col("text")).alias("w"))
     same = F.slice("w", F.col("start") + 1, F.size("words")) == F.col("words")
     found = spots.join(rows, [spots[k].eqNullSafe(rows[f"a_{k}"]) for k in keys]).filter(same)
     found = staged(found.select(*keys, "start", F.size("words").alias("length"), "items"), "decontam-found")
     forget(grams, prefixes, candidates, windows)
-    return texts, found
+    if not count_words or gram_rows > broadcast_rows:
+        forget(hits)  # else the texts' numbers of words are still read from them: ``forget(texts)``
+    return texts if count_words else None, found
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -138,6 +154,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     per_doc = per_doc.select(F.col("id").alias("h_id"), F.col("text_hash").alias("h_hash"), covered.alias("hit"), F.array_sort(F.array_distinct(F.transform("ids", lambda x: x.cast("string")))).alias("ids"))
     known = texts.groupBy(*keys).agg(F.max("n_words").alias("n_words"))
     known = known.join(per_doc, F.col("id").eqNullSafe(F.col("h_id")) & (F.col("text_hash") == F.col("h_hash")), "left").select(F.col("id").alias("k_id"), F.col("text_hash").alias("k_hash"), "n_words", "hit", "ids")
+    known = staged(known, "decontam-known")
+    forget(texts, hits)
     base = docs.select(packed(docs), bare(id_col).alias("id"), F.xxhash64(F.coalesce(bare(text_col), F.lit(""))).alias("text_hash"))
     joined = base.join(known, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("text_hash") == F.col("k_hash")), "left")
     found = F.coalesce(F.col("hit"), F.lit(0).cast("long"))
