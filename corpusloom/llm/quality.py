@@ -107,7 +107,8 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 def _judged(docs: DataFrame, host_col: str = "source", text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """The packed rows with COUNTS, n_left, gone (hashes of the lines to take out, or null), base_failed and kept."""
     text = F.coalesce(bare(text_col), F.lit(""))
-    copy = F.xxhash64(text, F.length(text)).alias("copy")
+    # 128 bits tell texts apart: of 10^10 texts two would share 64 bits.
+    copy = F.struct(*[F.xxhash64(F.lit(k), text).alias(name) for k, name in ((1, "one"), (2, "two"))]).alias("copy")
     # The rows themselves stay where they are; what the rules need of a text is written once.
     marked = staged(docs.select(bare(host_col).alias("host"), bare(id_col).alias("id"), copy, text_counts(text).alias("c")).select("host", "id", "copy", "c.*"), "quality-marked")
     common = staged(frequent_lines(marked, min_docs, max_share), "quality-common")
@@ -122,7 +123,7 @@ def _judged(docs: DataFrame, host_col: str = "source", text_col: str = "text", i
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     depleted = F.col("removed").isNotNull() & ((F.col("n_left") < min_words) | (F.col("n_left") < min_left * F.col("n_words")))
     verdicts = staged(verdicts.select(F.col("host").alias("v_host"), F.col("copy").alias("v_copy"), *COUNTS, "n_left", "gone", failed.alias("base_failed"), (~failed & ~depleted).alias("kept")), "quality-verdicts")
-    forget(marked, texts)
+    forget(marked, texts, common)
     # Equal texts of a host meet one verdict; where they are very many, AQE deals them out anew.
     rows = docs.select(packed(docs), bare(host_col).alias("host"), copy)
     return rows.join(verdicts, rows["host"].eqNullSafe(F.col("v_host")) & (rows["copy"] == F.col("v_copy"))).drop("host", "copy", "v_host", "v_copy")
