@@ -379,7 +379,7 @@ def _leader_blocks(source: DataFrame, texts: DataFrame, heads: DataFrame, shingl
     """The leaders (shard, salt, node, fp, sketch) of cut shards in blocks: all ask, and those of one tree have met already."""
     sizes = heads.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("tbs"))
     fine = _texts_of(source, texts, heads.select("node")).select("node", _finest(shingle)("text").alias("fine"))
-    rows = heads.join(F.broadcast(sizes), "shard").join(fine, "node")  # cut shards only: 10 in SHARD_ROWS rows at most
+    rows = heads.join(sizes, "shard").join(fine, "node")  # AQE broadcasts the sizes while they are few
     return _blocks(rows.select("shard", "node", "fp", F.col("salt").alias("root"), F.lit(True).alias("minor"), "sketch", "fine", F.col("tbs").alias("qbs"), "tbs"))
 
 
