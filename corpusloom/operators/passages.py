@@ -2,52 +2,98 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_form, strip
 
+#: Characters by which a phrase and a page first meet: as many as one 64-bit number holds.
+SEED = 8
 
-def page_strings(words: DataFrame) -> DataFrame:
-    """(document_id, page_number, joined, indexes, ends): normalised words end to end, and where each ends."""
-    on_page = ["document_id", "page_number"]
-    end = F.sum(F.length("w")).over(Window.partitionBy(*on_page).orderBy("word_index")).cast("int")
-    ended = words.select(*on_page, "word_index", normal_form(F.col("word")).alias("w")).withColumn("end", end)
-    listed = ended.groupBy(*on_page).agg(F.array_sort(F.collect_list(F.struct("word_index", "w", "end"))).alias("ws"))
-    return listed.select(*on_page, F.array_join(F.transform("ws", lambda x: x["w"]), "").alias("joined"), F.transform("ws", lambda x: x["word_index"]).alias("indexes"), F.transform("ws", lambda x: x["end"]).alias("ends"))
 
+def _grams(text: str) -> np.ndarray:
+    """The SEED characters that begin at each place of an ASCII text, as one number each."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    if len(raw) < SEED:
+        return np.empty(0, np.uint64)
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, SEED)).view(np.uint64)[:, 0]
 
-def _word_range(phrase: Column) -> Column:
-    """Struct of the first and last word index of a phrase in ``joined``; null if it is not there."""
-    found = F.struct(normal_form(phrase).alias("norm"))
-    at = F.transform(F.array(found), lambda f: F.struct(F.position(f["norm"], F.col("joined")).alias("begins"), F.length(f["norm"]).alias("size")))
 
-    def ranged(f: Column) -> Column:
-        begin = F.size(F.filter("ends", lambda e: e < f["begins"]))
-        end = F.size(F.filter("ends", lambda e: e < f["begins"] + f["size"] - 1))
-        return F.when((f["size"] > 0) & (f["begins"] > 0), F.struct(F.get("indexes", begin).alias("first_word"), F.get("indexes", end).alias("last_word")))
+def first_places(text: str, phrases: Iterable[str]) -> dict[str, int]:
+    """Where each phrase first stands in a text of ASCII characters; phrases that are empty or not there are left out.
 
-    return F.get(F.transform(at, ranged), F.lit(0))
+    Text and phrases meet by equality of the phrases' first and last SEED characters. The rarer
+    end names the places, which are compared whole. So a page is read once for all its passages.
+    """
+    asked = {p for p in phrases if p}
+    ends = {p: _grams(p)[[0, -1]] for p in asked if len(p) >= SEED}
+    out = {p: at for p in asked if len(p) < SEED and (at := text.find(p)) >= 0}
+    if not ends:
+        return out
+    grams = _grams(text)
+    at = np.flatnonzero(np.isin(grams, np.unique(np.concatenate(list(ends.values())))))
+    at = at[np.argsort(grams[at], kind="stable")]  # a gram's places stay in order
+    for phrase, pair in ends.items():
+        (h0, t0), (h1, t1) = np.searchsorted(grams[at], pair, "left"), np.searchsorted(grams[at], pair, "right")
+        places = at[h0:h1] if h1 - h0 <= t1 - t0 else at[t0:t1] - (len(phrase) - SEED)
+        here = next((p for p in places.tolist() if p >= 0 and text.startswith(phrase, p)), None)
+        if here is not None:
+            out[phrase] = here
+    return out
+
+
+def _levels(chunks: pd.DataFrame, words: pd.DataFrame) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """The level and the word ranges of each chunk of one page."""
+    words = words.sort_values("word_index", kind="stable")
+    text = "".join(words["w"])
+    indexes, ends = words["word_index"].to_numpy(), words["w"].str.len().cumsum().to_numpy()
+    asked: list[list[str]] = [[w] if w else [] for w in chunks["whole"]]
+    found: list[tuple[str, list[tuple[int, int]]]] = [("none", [])] * len(asked)
+    for level, column in (("whole", None), ("sentences", "sentences"), ("ten words", "ten"), ("five words", "five")):
+        open_ = [i for i, (known, _) in enumerate(found) if known == "none"]
+        if column:
+            values = chunks[column].tolist()
+            for i in open_:
+                asked[i] = list(values[i]) if column == "sentences" else [values[i]] if values[i] else []
+        places = first_places(text, {p for i in open_ for p in asked[i]})
+        for i in open_:
+            here = [(places[p], places[p] + len(p) - 1) for p in asked[i] if p in places]
+            if here:
+                first, last = (np.searchsorted(ends, np.array(side) + 1) for side in zip(*here, strict=True))
+                found[i] = level, list(zip(indexes[first].tolist(), indexes[last].tolist(), strict=True))
+    return iter(found)
 
 
 def locate(chunks: DataFrame, words: DataFrame) -> DataFrame:
     """(chunk_id, document_id, page_number, level, ranges): whole text, else its sentences, else its first ten words, else its first five.
 
-    A step is worked out only where the one before found nothing. Chunks of pages without words are left out.
+    A step is looked for only where the one before found nothing. Chunks of pages without
+    words are left out. A page's words and its chunks meet once, so a long page is neither
+    copied nor searched for each of its chunks.
     """
-    joined = chunks.join(page_strings(words), ["document_id", "page_number"])
-    known = ["chunk_id", "document_id", "page_number", "joined", "indexes", "ends"]
-    rows = joined.select(*known, strip(F.regexp_replace("content", r"(?U)\s+", " ")).alias("text"))
-    rows = rows.select("*", F.split("text", " ").alias("tokens"), _word_range(F.col("text")).alias("whole"))
+    on_page = ["document_id", "page_number"]
+    text = strip(F.regexp_replace("content", r"(?U)\s+", " "))
     parts = F.filter(F.transform(F.split("text", "[.!?]"), strip), lambda s: F.length(s) > 10)
-    rows = rows.select("*", F.when(F.col("whole").isNull(), F.filter(F.transform(parts, _word_range), lambda r: r.isNotNull())).alias("sentences"))
-    missed = F.size("sentences") == 0
-    first = lambda n, least: F.when(missed & (F.size("tokens") >= least), _word_range(F.array_join(F.slice("tokens", 1, n), " ")))
-    rows = rows.select("*", first(10, 5).alias("ten")).select("*", F.when(F.col("ten").isNull(), first(5, 3)).alias("five"))
-    level = F.when(F.col("whole").isNotNull(), "whole").when(F.size("sentences") > 0, "sentences").when(F.col("ten").isNotNull(), "ten words").when(F.col("five").isNotNull(), "five words").otherwise("none")
-    one = F.coalesce("whole", "ten", "five")
-    ranges = F.when(F.size("sentences") > 0, F.col("sentences")).otherwise(F.filter(F.array(one), lambda r: r.isNotNull()))
-    return rows.select("chunk_id", "document_id", "page_number", level.alias("level"), ranges.alias("ranges"))
+    rows = chunks.select("chunk_id", *on_page, text.alias("text")).select("*", F.split("text", " ").alias("tokens"))
+    first = lambda n, least: F.when(F.size("tokens") >= least, normal_form(F.array_join(F.slice("tokens", 1, n), " ")))
+    asked = rows.select("chunk_id", *on_page, normal_form(F.col("text")).alias("whole"), F.coalesce(F.transform(parts, normal_form), F.array().cast("array<string>")).alias("sentences"), first(10, 5).alias("ten"), first(5, 3).alias("five"))
+    there = words.select(*on_page, F.col("word_index").cast("int").alias("word_index"), F.coalesce(normal_form(F.col("word")), F.lit("")).alias("w"))
+    columns = ["chunk_id", *on_page, "level", "firsts", "lasts"]
+
+    def run(page: pd.DataFrame, of_page: pd.DataFrame) -> pd.DataFrame:
+        if page.empty or of_page.empty:
+            return pd.DataFrame(columns=columns)
+        found = [(level, [r[0] for r in ranges], [r[1] for r in ranges]) for level, ranges in _levels(page, of_page)]
+        return page[["chunk_id", *on_page]].assign(**dict(zip(columns[3:], zip(*found, strict=True), strict=True)))
+
+    kinds = [f"{c} {asked.schema[c].dataType.simpleString()}" for c in columns[:3]]
+    met = asked.dropna(subset=on_page).groupBy(*on_page).cogroup(there.dropna(subset=on_page).groupBy(*on_page))
+    out = met.applyInPandas(run, ", ".join([*kinds, "level string, firsts array<int>, lasts array<int>"]))
+    return out.select(*columns[:4], F.transform(F.arrays_zip("firsts", "lasts"), lambda r: F.struct(r["firsts"].alias("first_word"), r["lasts"].alias("last_word"))).alias("ranges"))
 
 
 def matched_words(located: DataFrame, words: DataFrame) -> DataFrame:
