@@ -14,6 +14,7 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -205,21 +206,57 @@ def packed_sentences(parts: list[str], distances: list[float] | None, limit: flo
     return [" ".join(x) for x in out]
 
 
+def neighbour_distances(groups: list[str], embed: Callable[[list[str]], list[list[float]]], batch: int) -> list[float | None]:
+    """Cosine distance of each text from the next one. The embedder gets ``batch`` texts at once; None where it gave another number of vectors."""
+    vectors: list = []
+    for at in range(0, len(groups), batch):
+        reply = list(embed(groups[at : at + batch]))
+        there = min(batch, len(groups) - at)
+        vectors += reply if len(reply) == there else [None] * there
+    pairs = [i for i in range(len(groups) - 1) if vectors[i] is not None and vectors[i + 1] is not None]
+    out: list[float | None] = [None] * max(0, len(groups) - 1)
+    if pairs:
+        a, b = (np.array([vectors[i + k] for i in pairs], float) for k in (0, 1))
+        scale = np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1))
+        # A vector of zeros is no distance from any.
+        near = np.divide((a * b).sum(1), scale, out=np.ones_like(scale), where=scale > 0)
+        for i, d in zip(pairs, (1 - near).tolist(), strict=True):
+            out[i] = d
+    return out
+
+
+class SemanticSplit:
+    """Cut where neighbouring groups of ``buffer`` sentences are further apart than most; without an embedder, or where it fails, by length alone.
+
+    ``many`` splits texts together, so that the embedder gets full batches however short they are.
+    """
+
+    def __init__(self, embed: Callable[[list[str]], list[list[float]]] | None, kind: str = "percentile", value: float = 95.0, buffer: int = 1, most: int = 3000, batch: int = 32):
+        self.embed, self.kind, self.value, self.buffer, self.most, self.batch = embed, kind, value, buffer, most, batch
+
+    def __call__(self, text: str) -> list[str]:
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> list[list[str]]:
+        listed = [[s.strip() for s in re.split(r"(?<=[.!?])\s+", t) if s.strip()] for t in texts]
+        groups = [" ".join(parts[i : i + self.buffer]) for parts in listed for i in range(len(parts))]
+        apart = neighbour_distances(groups, self.embed, self.batch) if self.embed else [None] * len(groups)
+        out, at = [], 0
+        for text, parts in zip(texts, listed, strict=True):
+            own: list[float | None] = apart[at : at + max(0, len(parts) - 1)]
+            at += len(parts)
+            if not parts or (len(parts) == 1 and self.embed):
+                out.append([text])
+            elif None in own or not own:
+                out.append(packed_sentences(parts, None, 0.0, self.most))
+            else:
+                out.append(packed_sentences(parts, own, distance_limit(own, self.kind, self.value), self.most))
+        return out
+
+
 def semantic_pieces(text: str, embed: Callable[[list[str]], list[list[float]]] | None, kind: str = "percentile", value: float = 95.0, buffer: int = 1, most: int = 3000) -> list[str]:
-    """Cut where neighbouring groups of ``buffer`` sentences are further apart than most; without an embedder by length alone."""
-    parts = [s.strip() for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()]
-    if not parts:
-        return [text]
-    vectors = embed([" ".join(parts[i : i + buffer]) for i in range(len(parts))]) if embed else []
-    if len(vectors) != len(parts):
-        return packed_sentences(parts, None, 0.0, most)
-    distances = []
-    for a, b in zip(vectors, vectors[1:], strict=False):
-        scale = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
-        distances.append(1 - (sum(x * y for x, y in zip(a, b, strict=True)) / scale if scale > 0 else 1.0))
-    if not distances:
-        return [text]
-    return packed_sentences(parts, distances, distance_limit(distances, kind, value), most)
+    """One text by ``SemanticSplit``."""
+    return SemanticSplit(embed, kind, value, buffer, most)(text)
 
 
 def annotated_pieces(text: str, annotate: Callable[[str], str | None] | None, block: int = 4000, size: int = 1500, overlap: int = 250) -> list[str]:
@@ -288,13 +325,14 @@ def placed_chunks(pages: list[tuple[int, str]], split: Split, mode: str, overlap
 def _page_pieces(pages: DataFrame, split: Split, kind: str) -> DataFrame:
     """(document_id, page_number, page, k, start, content, own) of pages split each on its own: the k-th piece, and the last heading of the page at or before it."""
     columns = ["document_id", "page_number", "page", "k", "start", "content", "own"]
+    together = getattr(split, "many", lambda texts: map(split, texts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, number, page, text in zip(batch["document_id"], batch["page_number"], batch["page"], batch["text"], strict=True):
-                if text and text.strip():
-                    rows += [(doc, number, page, k, start, content, section) for k, (_, start, content, section) in enumerate(placed_chunks([(number, text)], split, ISOLATED, 0))]
+            batch = batch[[bool(t and t.strip()) for t in batch["text"]]]
+            for doc, number, page, text, parts in zip(batch["document_id"], batch["page_number"], batch["page"], batch["text"], together(batch["text"].tolist()), strict=True):
+                rows += [(doc, number, page, k, start, content, section) for k, (_, start, content, section) in enumerate(placed_chunks([(number, text)], lambda _, p=parts: p, ISOLATED, 0))]
             yield pd.DataFrame(rows, columns=columns)
 
     return pages.mapInPandas(run, f"document_id {kind}, page_number int, page bigint, k int, start int, content string, own string")
@@ -304,7 +342,7 @@ def split_pages(pages: DataFrame, split: Split, mode: str = ISOLATED, overlap: i
     """(document_id, page_number, chunk_index, start, content, section_title) by any way of splitting a text.
 
     Blank pages are skipped, null ones are blank; chunk_index is gapless through the
-    document. Isolated pages are split one by one wherever they are, and numbered by a
+    document. A split with a method ``many`` gets the isolated pages of a batch together. Isolated pages are split one by one wherever they are, and numbered by a
     running count; a section stays open over later pages. Where a page takes from the one
     before, or pages are laid end to end, a document's pages are one group.
     """

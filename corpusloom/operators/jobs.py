@@ -25,6 +25,14 @@ def guarded(split: C.Split) -> C.Split:
         except Exception:  # reported by the document keeping its old chunks
             return []
 
+    def tried_together(texts: list[str]) -> list[list[str]]:
+        try:
+            return split.many(texts)
+        except Exception:  # one of them fails: each by itself, so that it alone goes without
+            return [tried(t) for t in texts]
+
+    if hasattr(split, "many"):
+        tried.many = tried_together
     return tried
 
 

@@ -314,7 +314,7 @@ def c4_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..hooks import hashing_embedder
 
     embed = hashing_embedder(32)
-    return C.split_pages(_pages(B.documents(spark, sf_dir)), lambda t: C.semantic_pieces(t, lambda s: embed(s).tolist())).select(_CUT)
+    return C.split_pages(_pages(B.documents(spark, sf_dir)), C.SemanticSplit(embed)).select(_CUT)
 
 
 @query(f"""with {_PAGES}, k as (select doc_id, page_number, unnest(p) as raw, unnest(range(len(p))) as j from (select doc_id, page_number, string_split(replace(t, '. ', concat('.', chr(1))), chr(1)) as p from n)),
