@@ -343,10 +343,15 @@ def _across(radius: int, similarity: float):
 
 
 def _texts_of(source: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the distinct texts with these nodes, from (copy, text) rows; a few digests are broadcast, so that only their texts move."""
+    """(node, text) of the distinct texts with these nodes, from (copy, text) rows; a few digests are broadcast, so that only their texts move.
+
+    ``forget`` on it deletes the digests.
+    """
     wanted = staged(texts.join(nodes.distinct(), "node", "left_semi").select("node", F.col("copy").alias("w_copy")), "neardup-wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
-    return source.join(wanted, F.col("copy") == F.col("w_copy")).dropDuplicates(["node"]).select("node", "text")
+    hinted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
+    out = source.join(hinted, F.col("copy") == F.col("w_copy")).dropDuplicates(["node"]).select("node", "text")
+    out.staged_path = wanted.staged_path
+    return out
 
 
 def _class_crossings(source: DataFrame, texts: DataFrame, members: DataFrame, roots: DataFrame, shingle: int, similarity: float, radius: int, block_rows: int) -> DataFrame:
@@ -360,9 +365,10 @@ def _class_crossings(source: DataFrame, texts: DataFrame, members: DataFrame, ro
     mixed = classes.groupBy("shard").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n")).filter("top.n < n")
     blocks = mixed.select("shard", F.col("top.root").alias("major"), F.ceil((F.col("n") - F.col("top.n")) / block_rows).alias("qbs"), F.ceil(F.col("n") / block_rows).alias("tbs"))
     rows = staged(rooted.join(blocks, "shard").withColumn("minor", F.col("root") != F.col("major")), "neardup-mixed")
-    fine = staged(_texts_of(source, texts, rows.select("node")).select("node", _finest(shingle)("text").alias("fine")), "neardup-fine")
+    again = _texts_of(source, texts, rows.select("node"))
+    fine = staged(again.select("node", _finest(shingle)("text").alias("fine")), "neardup-fine")
     out = staged(_blocks(rows.join(fine, "node")).mapInPandas(_across(radius, similarity), "node bigint, leader bigint").distinct(), "neardup-across")
-    forget(rooted, rows, fine)
+    forget(rooted, rows, fine, again)
     return out
 
 
@@ -386,11 +392,12 @@ def _leader_blocks(source: DataFrame, texts: DataFrame, heads: DataFrame, shingl
 def _alike(source: DataFrame, texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those of the distinct pairs (node, leader) whose shingle sets reach the similarity."""
     wanted = pairs.select(F.explode(F.array("node", "leader")).alias("node"))
-    sets = staged(_texts_of(source, texts, wanted).select("node", F.array_distinct(_shingle_sets(shingle)("text")).alias("set")), "neardup-sets")
+    again = _texts_of(source, texts, wanted)
+    sets = staged(again.select("node", F.array_distinct(_shingle_sets(shingle)("text")).alias("set")), "neardup-sets")
     both = pairs.join(sets.select("node", F.col("set").alias("a")), "node").join(sets.select(F.col("node").alias("leader"), F.col("set").alias("b")), "leader")
     common = F.size(F.array_intersect("a", "b"))
     out = staged(both.filter(common >= similarity * (F.size("a") + F.size("b") - common) - 1e-9).select("node", "leader"), "neardup-links")
-    forget(sets)
+    forget(sets, again)
     return out
 
 
@@ -426,6 +433,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
         across = _class_crossings(source, texts, full, roots, shingle, similarity, radius, block_rows)
         crossing = staged(across.join(pairs, ["node", "leader"], "left_anti"), "neardup-crossing")
         more = _alike(source, texts, crossing, shingle, similarity)
+        forget(across, crossing)
         if not more.isEmpty():
             roots = connected_components(links.unionByName(more).select(*edge))
     out = staged(texts.join(roots, "node", "left").select("copy", "least", F.coalesce("root", "node").alias("root")), "neardup-classes")
