@@ -593,14 +593,14 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"with {_PAIRS} select query_id, chunk_id, rank, score from vec")
 def r1_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.vector_candidates(B.queries(spark, sf_dir), B.library(spark, sf_dir)[0], 50, B.AS_OF_YEAR)
+    found = R.vector_candidates(B.queries(spark, sf_dir), B.stored_chunks(spark, sf_dir), 50, B.AS_OF_YEAR)
     return found.select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), "score")
 
 
 @query(f"with {_PAIRS} select query_id, chunk_id, rank, score from vec")
 def r1_vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same lists from the stored vectors by pivots."""
-    found = R.vector_candidates(B.queries(spark, sf_dir), B.library(spark, sf_dir)[0], 50, B.AS_OF_YEAR, index=B.vector_index(spark, sf_dir))
+    found = R.vector_candidates(B.queries(spark, sf_dir), B.stored_chunks(spark, sf_dir), 50, B.AS_OF_YEAR, index=B.vector_index(spark, sf_dir))
     return found.select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), "score")
 
 
@@ -713,7 +713,7 @@ def _placed(cut: DataFrame) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    cut = _placed(B.library(spark, sf_dir)[0])
+    cut = _placed(B.stored_chunks(spark, sf_dir))
     around = cut.select("chunk_id", "document_id", "chunk_index", "page_number", "section_title")
     return _found(spark, sf_dir).withColumn("hit_id", F.col("chunk_id")).join(around, "chunk_id"), cut
 
