@@ -23,17 +23,6 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), F.lit(1))
 
 
-def counted(words: Column) -> Column:
-    """Array of (term, tf): each different word and how often it occurs; runs of the sorted words, worked out in the row."""
-
-    def runs(s: Column) -> Column:
-        starts = F.filter(F.transform(s, lambda w, i: F.when((i == 0) | (w != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
-        pairs = lambda at: F.transform(at, lambda p, k: F.struct(F.get(s, p).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - p).alias("tf")))
-        return F.get(F.transform(F.array(starts), pairs), F.lit(0))
-
-    return F.get(F.transform(F.array(F.sort_array(words)), runs), F.lit(0))
-
-
 def dedup_key(text: Column) -> Column:
     """The first 120 characters with single spaces, then lower-cased."""
     return F.lower(F.substring(strip(F.regexp_replace(text, r"(?U)\s+", " ")), 1, 120))

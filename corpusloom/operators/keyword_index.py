@@ -6,6 +6,10 @@ its slice (a frequent word has several, so it is no task's alone), and sorted by
 bound. A search looks at the bounds first; the words' highest postings give every query the
 score that its list must reach, and from then on only rows that can lead to it are read.
 
+Many searches at once go the other way: blocks of shares meet all searches (``best_hits``),
+so a posting is sent once however many ask for it, and no pair of query and chunk is a row
+unless it is among the best of its block.
+
 An update writes a generation: the postings of fresh chunks and the ids of those that are
 gone. A posting counts unless its chunk is gone in a later generation. ``compacted`` writes
 all that counts as a new beginning.
@@ -18,11 +22,14 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import counted, tokens
+from ..functions.text import tokens
 from ..sources.store import file_system, mark, staged
 
 #: Slices of a word, and chunks that share a row at most (on average).
@@ -33,8 +40,13 @@ BROADCAST_ROWS = 100_000
 NAMED_KEYS = 512
 #: Postings of a word, for each chunk that a list has room for, from which the score to reach is estimated.
 DEPTH = 4
+#: Postings of one block of ``best_hits`` on average, of so many blocks one in this many is searched first, and a word's share of a block's chunks from which it is an array over all of them.
+BLOCK_POSTINGS, FIRST_BLOCKS, FREQUENT = 4_000_000, 8, 1 / 32
+#: Shares whose rows are about one bucket.
+BUCKET_SHARES = 16
 _READS = "array<struct<term:string,least:int,need:int>>"
-_COLUMNS = "key bigint, term string, max_tf int, n int, postings array<struct<chunk_id:{kind},tf:int>>"
+_ROWS = "term string, max_tf int, n int, share int, shares int, postings array<struct<chunk_id:{kind},tf:int>>"
+_COLUMNS = f"key bigint, {_ROWS}"
 
 
 @dataclass(frozen=True)
@@ -54,47 +66,94 @@ class KeywordIndex:
         return found[starts[-1] :] if starts else []
 
 
-def banded(tf: Column) -> Column:
-    """Frequencies of one band differ by less than a half."""
-    return F.floor(2 * F.log2(tf)).cast("int")
+def _share(chunk_id: Column, shares: int) -> Column:
+    """A power of two of shares, so that those of a smaller one are unions of them."""
+    return F.pmod(F.xxhash64(chunk_id), F.lit(shares)).cast("int")
 
 
-def postings_of(chunks: DataFrame, analyzer=tokens) -> DataFrame:
-    """(term, chunk_id, tf), without a shuffle, as a chunk is one row."""
-    return chunks.select("chunk_id", F.explode(counted(analyzer(F.col("content")))).alias("t")).select("t.term", "chunk_id", "t.tf")
+def _power(n: float) -> int:
+    """The power of two that is ``n`` at least."""
+    return 1 << max(0, int(np.ceil(np.log2(max(n, 1)))))
 
 
 def _key(term: Column, piece: Column) -> Column:
     return F.xxhash64(term, piece)
 
 
-def _write(index: KeywordIndex, postings: DataFrame, n_chunks: int, number: int, anew: bool, gone: DataFrame | None) -> None:
-    spark = postings.sparkSession
-    place = f"{index.folder}/generation={number}-{index.buckets}-{uuid.uuid4().hex[:8]}"
-    shares = max(1, -(-n_chunks // SHARE))
-    share = F.pmod(F.xxhash64("chunk_id"), F.lit(shares))
-    placed = postings.select("term", F.struct(F.col("chunk_id").cast(index.kind).alias("chunk_id"), "tf").alias("p"), banded(F.col("tf")).alias("band"), share.alias("share"))
-    # Dealt out by the key once; grouping and sorting stay within the buckets.
-    keyed = placed.withColumn("key", _key(F.col("term"), F.pmod("share", F.lit(SLICES)).cast("int"))).repartition(index.buckets, "key")
-    rows = keyed.groupBy("key", "term", "band", "share").agg(F.max("p.tf").alias("max_tf"), F.count(F.lit(1)).cast("int").alias("n"), F.sort_array(F.collect_list("p")).alias("postings"))
-    dealt = rows.select("key", "term", "max_tf", "n", "postings").sortWithinPartitions("key", "term", F.col("max_tf").desc())
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the one before, and the end."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.append(np.flatnonzero(new), len(new))
+
+
+def _share_rows(shares: int) -> Callable[[pa.Table], pa.Table]:
+    """Rows of the index for the chunks (share, chunk_id, terms, tf) of a share: every place in ``terms`` counts ``tf`` times; a chunk may have several rows."""
+
+    def rows(table: pa.Table) -> pa.Table:
+        ids = table["chunk_id"].combine_chunks()
+        words = pa.concat_arrays([c.flatten() for c in table["terms"].chunks]).dictionary_encode()
+        lengths = pc.list_value_length(table["terms"]).to_numpy()
+        by_id = pc.sort_indices(ids).to_numpy()
+        place = np.empty(len(ids), np.int64)
+        place[by_id] = np.arange(len(ids))
+        # A number for word and chunk; it occurs as often as the word does there.
+        pairs = words.indices.to_numpy().astype(np.int64) * len(ids) + np.repeat(place, lengths)
+        each = np.repeat(table["tf"].to_numpy(), lengths)
+        if (each == 1).all():
+            pairs, tf = np.unique(pairs, return_counts=True)
+        else:
+            pairs, at = np.unique(pairs, return_inverse=True)
+            tf = np.bincount(at, each).astype(np.int64)
+        term, at = np.divmod(pairs, max(1, len(ids)))
+        band = np.floor(2 * np.log2(tf)).astype(np.int64)  # frequencies of one band differ by less than a half
+        order = np.argsort((term * 64 + band) * len(ids) + at)
+        term, at, tf, band = term[order], at[order], tf[order], band[order]
+        cuts = _runs(term, band)
+        postings = pa.StructArray.from_arrays([ids.take(pa.array(by_id[at])), pa.array(tf, pa.int32())], names=["chunk_id", "tf"])
+        many = len(cuts) - 1
+        return pa.table({
+            "term": words.dictionary.take(pa.array(term[cuts[:-1]])), "max_tf": pa.array(np.maximum.reduceat(tf, cuts[:-1]) if many else [], pa.int32()), "n": pa.array(np.diff(cuts), pa.int32()),
+            "share": pa.array(np.full(many, table["share"][0].as_py()), pa.int32()), "shares": pa.array(np.full(many, shares), pa.int32()), "postings": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), postings),
+        })
+
+    return rows
+
+
+def _write(index: KeywordIndex, chunks: DataFrame, terms: Column, tf: Column, n_chunks: int, number: int, anew: bool, gone: DataFrame | None) -> None:
+    """A generation of ``chunks``: rows with a chunk_id and words ``terms``, each of which counts ``tf`` times; a chunk may have several rows."""
+    spark = chunks.sparkSession
+    shares = _power(n_chunks / SHARE)
+    buckets = max(index.buckets, shares // BUCKET_SHARES)
+    place = f"{index.folder}/generation={number}-{buckets}-{uuid.uuid4().hex[:8]}"
+    # What is dealt out is the chunks; their words are told apart where a share is together.
+    dealt = chunks.withColumn("chunk_id", F.col("chunk_id").cast(index.kind)).withColumn("share", _share(F.col("chunk_id"), shares)).repartition(shares, "share")
+    rows = dealt.select("share", "chunk_id", F.coalesce(terms, F.array().cast("array<string>")).alias("terms"), tf.cast("bigint").alias("tf"))
+    rows = rows.groupBy("share").applyInArrow(_share_rows(shares), _ROWS.format(kind=index.kind))
+    keyed = rows.withColumn("key", _key(F.col("term"), F.pmod("share", F.lit(SLICES)).cast("int"))).repartition(buckets, "key")
+    sorted_rows = keyed.select("key", "term", "max_tf", "n", "share", "shares", "postings").sortWithinPartitions("key", "term", F.col("max_tf").desc())
     name = f"corpusloom_keywords_{uuid.uuid4().hex}"
-    dealt.write.bucketBy(index.buckets, "key").sortBy("key").option("path", f"{place}/rows").saveAsTable(name)
+    sorted_rows.write.bucketBy(buckets, "key").sortBy("key").option("path", f"{place}/rows").saveAsTable(name)
     spark.sql(f"drop table {name}")  # an external table: its files stay
     if gone is not None:
         gone.select("chunk_id").distinct().write.parquet(f"{place}/gone")
     mark(spark, f"{place}/{'_anew' if anew else '_more'}")
 
 
+def _write_chunks(index: KeywordIndex, chunks: DataFrame, analyzer, number: int, anew: bool, gone: DataFrame | None) -> None:
+    _write(index, chunks.select("chunk_id", "content"), analyzer(F.col("content")), F.lit(1), chunks.count(), number, anew, gone)
+
+
 def build(index: KeywordIndex, chunks: DataFrame, analyzer=tokens) -> None:
     """A new beginning of the index, from all chunks (chunk_id, content)."""
     earlier = index.generations(chunks.sparkSession)
-    _write(index, postings_of(chunks, analyzer), chunks.count(), earlier[-1][0] + 1 if earlier else 0, True, None)
+    _write_chunks(index, chunks, analyzer, earlier[-1][0] + 1 if earlier else 0, True, None)
 
 
 def update(index: KeywordIndex, gone: DataFrame, fresh: DataFrame, analyzer=tokens) -> None:
     """A generation: chunks of ``gone`` (chunk_id) no longer count, those of ``fresh`` (chunk_id, content) do; an id may be in both."""
-    _write(index, postings_of(fresh, analyzer), fresh.count(), index.generations(fresh.sparkSession)[-1][0] + 1, False, gone)
+    _write_chunks(index, fresh, analyzer, index.generations(fresh.sparkSession)[-1][0] + 1, False, gone)
 
 
 def _rows(index: KeywordIndex, spark: SparkSession, place: str) -> DataFrame:
@@ -212,6 +271,13 @@ def n_postings(index: KeywordIndex, terms: DataFrame) -> int:
     return sum(rows.agg(F.sum("n")).first()[0] or 0 for _, rows in _of_words(index, terms.sparkSession, terms.select("term").distinct()))
 
 
+def n_hits(index: KeywordIndex, terms: DataFrame) -> tuple[int, int]:
+    """Postings of the different words of ``terms`` (query_id, term), and the same with a word's counted for every query that has it; none is read."""
+    asked = terms.groupBy("term").agg(F.count(F.lit(1)).alias("times"))
+    found = [rows.agg(F.sum("n"), F.sum(F.col("n") * F.col("times"))).first() for _, rows in _of_words(index, terms.sparkSession, asked)]
+    return sum(r[0] or 0 for r in found), sum(r[1] or 0 for r in found)
+
+
 def all_hits(index: KeywordIndex, terms: DataFrame) -> DataFrame:
     """(query_id, chunk_id, tf) of every posting of terms (query_id, term)."""
     return _hits(index, terms.sparkSession, terms, lambda rows: rows, ["query_id"])
@@ -257,4 +323,132 @@ def postings_read(told: DataFrame, reads: DataFrame) -> DataFrame:
 
 def compacted(index: KeywordIndex, spark: SparkSession, n_chunks: int) -> None:
     """All that counts as a new beginning; earlier generations no longer do."""
-    _write(index, live_postings(index, spark), n_chunks, index.generations(spark)[-1][0] + 1, True, None)
+    _write(index, live_postings(index, spark), F.array("term"), F.col("tf"), n_chunks, index.generations(spark)[-1][0] + 1, True, None)
+
+
+# ---- many searches at once ---------------------------------------------------------------
+
+
+def _best_scores(scores: np.ndarray, bar: int, limit: int) -> np.ndarray:
+    """Places of the ``limit`` highest scores from ``bar`` on, of equal ones the first; in no order."""
+    low, high = bar, int(scores.max(initial=0))
+    if high < low:
+        return np.empty(0, np.int64)
+    if np.count_nonzero(scores >= low) <= limit:
+        return np.flatnonzero(scores >= low)
+    while low < high:  # the highest that at least ``limit`` reach
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if np.count_nonzero(scores >= middle) >= limit else (low, middle - 1)
+    over = np.flatnonzero(scores > low)
+    return np.concatenate([over, np.flatnonzero(scores == low)[: limit - len(over)]])
+
+
+def _flat(lists: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """The structs of all lists, and how many each has."""
+    return pa.concat_arrays([c.flatten() for c in lists.chunks]), pc.list_value_length(lists).to_numpy()
+
+
+def _block_searched(limit: int, kind: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of one block: the ``limit`` best chunks of each search by sum of frequencies and chunk_id, among those that its class may see.
+
+    ``held`` (class, term, postings) has words' postings, and with a class in place of the
+    word the chunks that it may see; ``asked`` is (search, class, terms, bar).
+    """
+    out = pa.schema([("search", pa.int64()), ("chunk_id", kind), ("score", pa.int64())])
+
+    def searched(held: pa.Table, asked: pa.Table) -> pa.Table:
+        may, words = held.filter(pc.is_null(held["term"])), held.filter(pc.is_valid(held["term"]))
+        if not len(may) or not len(words) or not len(asked):
+            return out.empty_table()
+        structs, lengths = _flat(may["postings"])
+        ids, seen_by = structs.field("chunk_id").to_numpy(zero_copy_only=False), np.repeat(may["class"].to_numpy(), lengths)
+        chunks, at = np.unique(ids, return_inverse=True)
+        structs, lengths = _flat(words["postings"])
+        ids, times = structs.field("chunk_id").to_numpy(zero_copy_only=False), structs.field("tf").to_numpy()
+        place = np.minimum(np.searchsorted(chunks, ids), len(chunks) - 1)
+        visible = chunks[place] == ids
+        named = words["term"].combine_chunks().dictionary_encode()
+        code = np.repeat(named.indices.to_numpy(), lengths)[visible]
+        order = np.argsort(code, kind="stable")
+        place, times = place[visible][order], times[visible][order]
+        cuts = np.searchsorted(code[order], np.arange(len(named.dictionary) + 1))
+        codes = {t: k for k, t in enumerate(named.dictionary.to_pylist())}
+        terms = asked["terms"].to_pylist()
+        most = int(times.max(initial=0)) * max(map(len, terms))
+        number = np.int16 if most < 1 << 15 else np.int64
+        times = times.astype(number)
+        arrays: dict[int, np.ndarray] = {}
+        scores, rows = np.zeros(len(chunks), number), []
+        classes = asked["class"].to_numpy()
+        searches, bars = asked["search"].to_numpy(), asked["bar"].to_numpy()
+        for cls in np.unique(classes):
+            sees = np.zeros(len(chunks), number)
+            sees[at[seen_by == cls]] = 1
+            if not sees.any():
+                continue
+            for i in np.flatnonzero(classes == cls):
+                scores.fill(0)
+                for k in [codes[t] for t in terms[i] if t in codes]:
+                    a, b = cuts[k], cuts[k + 1]
+                    if b - a > FREQUENT * len(chunks):
+                        if k not in arrays:
+                            arrays[k] = np.zeros(len(chunks), number)
+                            arrays[k][place[a:b]] = times[a:b]
+                        scores += arrays[k]
+                    else:
+                        scores[place[a:b]] += times[a:b]
+                np.multiply(scores, sees, out=scores)
+                if len(best := _best_scores(scores, max(1, int(bars[i])), limit)):
+                    rows.append((np.full(len(best), searches[i]), best, scores[best].astype(np.int64)))
+        if not rows:
+            return out.empty_table()
+        search, best, score = map(np.concatenate, zip(*rows, strict=True))
+        return pa.table([pa.array(search, pa.int64()), pa.array(chunks[best], kind), pa.array(score, pa.int64())], schema=out)
+
+    return searched
+
+
+def best_hits(index: KeywordIndex, searches: DataFrame, seen: DataFrame, limit: int) -> DataFrame:
+    """(search, chunk_id, score) that hold the ``limit`` best chunks of each of searches (search, class, terms), by sum of frequencies and chunk_id.
+
+    ``seen`` is (class, chunk_id): what searches of a class may see. Postings, visible chunks and
+    all searches meet block by block. Where blocks are many, the best of the first give
+    every search the score that it must reach in the others.
+    """
+    spark = searches.sparkSession
+    seen = staged(seen.select("class", F.col("chunk_id").cast(index.kind).alias("chunk_id")), "keyword-seen")
+    searches = staged(searches.withColumn("bar", F.lit(1).cast("bigint")), "keyword-searches")
+    words = staged(searches.select(F.explode("terms").alias("term")).distinct(), "keyword-words")
+    found, held, blocks = _gone_later(index, spark), None, []
+    struct = f"array<struct<chunk_id:{index.kind},tf:int>>"
+    for number, rows in _of_words(index, spark, words):
+        n, shares = rows.agg(F.sum("n"), F.max("shares")).first()
+        if not n:
+            continue
+        many = min(shares, _power(n / BLOCK_POSTINGS))
+        blocks += [(number, k, many) for k in range(many)]
+        there = seen if found is None else seen.join(found.filter(F.col("gone_in") > number).select("chunk_id"), "chunk_id", "left_anti")
+        place = lambda block: (F.lit(number).alias("generation"), block.cast("int").alias("block"))  # noqa: E731, B023
+        part = rows.select(*place(F.pmod("share", F.lit(many))), F.lit(None).cast("bigint").alias("class"), "term", "postings")
+        may = there.select(*place(_share(F.col("chunk_id"), many)), "class", F.lit(None).cast("string").alias("term"), F.array(F.struct("chunk_id", F.lit(0).alias("tf"))).cast(struct).alias("postings"))
+        held = part.unionByName(may) if held is None else held.unionByName(part).unionByName(may)
+    told = f"search bigint, chunk_id {index.kind}, score bigint"
+    if held is None:
+        return spark.createDataFrame([], told)
+    kind = pa.int64() if index.kind == "bigint" else pa.string()
+    numbers = [g for g, *_ in blocks]
+    first = [b for b in blocks if b[2] >= 2 * FIRST_BLOCKS and b[1] % FIRST_BLOCKS == 0]
+
+    def met(asked: DataFrame, some: list[tuple[int, int, int]], wanted: Column) -> DataFrame:
+        placed = F.broadcast(spark.createDataFrame([b[:2] for b in some], "generation int, block int"))  # by the postings, of millions each
+        keys = ["generation", "block"]
+        return held.filter(wanted).groupBy(*keys).cogroup(asked.crossJoin(placed).groupBy(*keys)).applyInArrow(_block_searched(limit, kind), told)
+
+    if not first:
+        return met(searches, blocks, F.col("generation").isin(numbers))
+    early = F.struct("generation", "block").isin([F.struct(F.lit(g).alias("generation"), F.lit(k).alias("block")) for g, k, _ in first])
+    begun = staged(met(searches, first, early), "keyword-first-blocks")
+    place = F.row_number().over(Window.partitionBy("search").orderBy(F.col("score").desc(), "chunk_id"))
+    bars = begun.withColumn("place", place).filter(F.col("place") == limit).select("search", F.col("score").alias("least"))
+    rest = searches.join(bars, "search", "left").withColumn("bar", F.coalesce("least", "bar")).drop("least")
+    return begun.unionByName(met(rest, [b for b in blocks if b not in first], ~early))

@@ -27,11 +27,15 @@ from .predicates import ASKER, SEEN, may_see
 
 #: Tables made of queries are broadcast up to so many rows; more are joined by shuffle.
 BROADCAST_QUERIES = 10_000
-#: Queries, and chunks, of one block of the matrix product.
-BLOCK = 4096
+#: Queries, and chunks, of one block of the matrix product; queries whose scores are worked out together.
+BLOCK, TOGETHER = 16_384, 64
 DECIMALS = 6
 #: Searches whose words have up to so many postings in a stored index read them all.
 PRUNE_ABOVE = 50_000_000
+#: Searches with more hits than that, that ask for a posting so often on average, meet the stored postings block by block.
+MANY_HITS, ASKED_OFTEN = 20_000_000, 4
+#: Rows of chunks are picked by a broadcast of up to so many ids before they are joined.
+BROADCAST_IDS = 1_000_000
 #: Words of a text column: the place for a stemmer.
 Analyzer = Callable[[Column], Column]
 
@@ -84,8 +88,8 @@ def _nearest(limit: int):
             others = others.sort_values("chunk_id", ignore_index=True)
             ids, matrix, chunk_ids, vectors = some["query_id"].to_numpy(), _units(some["vector"]), others["chunk_id"].to_numpy(), _units(others["embedding"])
             most = min(limit, len(chunk_ids))
-            for at in range(0, len(ids), 256):
-                scores = (matrix[at : at + 256] @ vectors.T).round(DECIMALS)
+            for at in range(0, len(ids), TOGETHER):
+                scores = (matrix[at : at + TOGETHER] @ vectors.T).round(DECIMALS)
                 # The limit-th best score of each query; what equals it is kept too, and cut by chunk_id.
                 bar = -np.partition(-scores, most - 1, axis=1)[:, most - 1 : most]
                 q, c = np.nonzero(scores >= bar)
@@ -93,7 +97,7 @@ def _nearest(limit: int):
                 q, c = q[order], c[order]
                 place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
                 q, c = q[place < most], c[place < most]
-                parts.append(pd.DataFrame({"query_id": ids[at : at + 256][q], "chunk_id": chunk_ids[c], "score": scores[q, c]}))
+                parts.append(pd.DataFrame({"query_id": ids[at : at + TOGETHER][q], "chunk_id": chunk_ids[c], "score": scores[q, c]}))
         return pd.concat(parts[1:] or parts)
 
     return nearest
@@ -102,9 +106,10 @@ def _nearest(limit: int):
 def _met_blocks(asked: DataFrame, held: DataFrame, limit: int, block: int) -> DataFrame:
     """(query_id, chunk_id, score) of asked (class, query_id, vector) and held (class, chunk_id, embedding), class by class.
 
-    Both are dealt to blocks of about ``block`` rows, and each two blocks of a class meet in one group of a shuffle.
+    Both are dealt to blocks of about ``block`` rows of the largest class, and each two blocks of a class meet in one group of a shuffle.
     """
-    qbs, cbs = (max(1, -(-df.count() // block)) for df in (asked, held))
+    largest = lambda df: df.groupBy("class").count().agg(F.max("count")).first()[0] or 0
+    qbs, cbs = (max(1, -(-largest(df) // block)) for df in (asked, held))
     one = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     left = asked.select("*", one("query_id", qbs).alias("qb"), every(cbs).alias("cb"))
@@ -128,7 +133,7 @@ def vector_candidates(queries: DataFrame, chunks: DataFrame, limit: int, as_of_y
     all classes, and blocks that cannot hold a better one are passed over. Chunks without a
     vector come last, ties go by chunk_id. Queries without a vector have no list.
     """
-    asked, seen = _classes(queries, chunks, as_of_year, pre)
+    asked, seen = _classes(queries.filter("vector is not null"), chunks, as_of_year, pre)
     if index is None:
         there = chunks.filter("embedding is not null").select("chunk_id", "embedding")
         met = _met_blocks(asked.select("class", "query_id", "vector"), seen.filter("there").select("class", "chunk_id").join(there, "chunk_id"), limit, block)
@@ -139,14 +144,21 @@ def vector_candidates(queries: DataFrame, chunks: DataFrame, limit: int, as_of_y
     blanks = seen.filter("not there").select("class", "chunk_id").withColumn("n", first).filter(F.col("n") <= limit)
     blanks = asked.select("class", "query_id").join(blanks, "class").select("query_id", "chunk_id", F.lit(0.0).alias("score"), F.lit(True).alias("blank"))
     best = _top(met.withColumn("blank", F.lit(False)).unionByName(blanks), limit, "blank", F.col("score").desc(), "chunk_id").drop("blank")
-    return chunks.join(best, "chunk_id")
+    best = staged(best, "vector-best")
+    return _picked(chunks, best).join(best, "chunk_id")
+
+
+def _picked(chunks: DataFrame, found: DataFrame) -> DataFrame:
+    """The chunks that are in ``found``, picked before anything of them is exchanged if these are not too many."""
+    ids = found.select("chunk_id").distinct()
+    return chunks.join(F.broadcast(ids), "chunk_id", "left_semi") if ids.count() <= BROADCAST_IDS else chunks
 
 
 def _classes(queries: DataFrame, chunks: DataFrame, as_of_year: int, pre: bool) -> tuple[DataFrame, DataFrame]:
     """Queries with their ``class``, which may see the same, and (class, chunk_id, there) of what each may see; ``there`` tells of a vector."""
     who = [*ASKER, *(["filters"] if pre else [])]
     key = F.xxhash64("tenant", F.col("groups").isNull(), "groups", F.col("freshness").isNull(), "freshness", *([F.to_json("filters")] if pre else []))
-    asked = queries.filter("vector is not null").withColumn("class", key)
+    asked = queries.withColumn("class", key)
     classes = asked.groupBy("class").agg(*[F.first(c).alias(c) for c in who])
     classes = classes.select("class", *who, F.explode(F.array_distinct(F.array("tenant", F.split("tenant", "-")[0]))).alias("tenant_id"))
     ok = may_see(as_of_year) & (fits_metadata() if pre else F.lit(True))
@@ -160,7 +172,8 @@ def keyword_candidates(queries: DataFrame, chunks: DataFrame, limit: int, as_of_
     The index gives the pairs; chunks come in by their ids, and only the first ``limit`` of
     each query are scored. Of a stored index the queries' postings are read, and if there
     are more than ``prune_above``, only those that can lead to a first chunk; the chunks that
-    they lead to are then counted by their words.
+    they lead to are then counted by their words. Many queries that ask for the same postings
+    meet them in blocks, those of the same words and rights as one search.
     """
     stored = isinstance(index, K.KeywordIndex)
     queries = staged(queries, "keyword-queries") if stored else queries
@@ -172,7 +185,16 @@ def keyword_candidates(queries: DataFrame, chunks: DataFrame, limit: int, as_of_
 
     rank = lambda n: F.round(0.1 * n, DECIMALS).alias("fts_rank")
     terms = staged(query_terms(queries, analyzer), "keyword-terms") if stored else None
-    if stored and K.n_postings(index, terms) > prune_above:
+    postings_there, hits_there = K.n_hits(index, terms) if stored else (0, 0)
+    if stored and hits_there > max(MANY_HITS, ASKED_OFTEN * postings_there):
+        classed, seen = _classes(queries, chunks, as_of_year, pre)
+        words = terms.groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+        asked = staged(classed.select("query_id", "class").join(words, "query_id").withColumn("search", F.xxhash64("class", "terms")), "keyword-asked")
+        searches = asked.groupBy("search").agg(F.first("class").alias("class"), F.first("terms").alias("terms"))
+        hits = _top(K.best_hits(index, searches, seen.select("class", "chunk_id"), limit).withColumnRenamed("search", "query_id"), limit, F.col("score").desc(), "chunk_id")
+        hits = hits.select(F.col("query_id").alias("search"), "chunk_id", rank(F.col("score")))
+        pairs = hits.join(asked.select("query_id", "search"), "search")
+    elif stored and postings_there > prune_above:
         asked = terms.groupBy("query_id").agg(F.collect_set("term").alias("asked"))
         seen = lambda hits: visible(staged(hits, "keyword-hits"))
         reads, _ = K.search_plan(index, terms, seen, limit)
@@ -185,7 +207,7 @@ def keyword_candidates(queries: DataFrame, chunks: DataFrame, limit: int, as_of_
         pairs = visible(keyword_ranks(queries, chunks, index, analyzer))
     best = _top(pairs.select("query_id", "chunk_id", "fts_rank"), limit, F.col("fts_rank").desc(), "chunk_id")
     best = staged(best, "keyword-best") if stored else best
-    found = chunks.join(best, "chunk_id").join(queries.select("query_id", "vector"), "query_id")
+    found = (_picked(chunks, best) if stored else chunks).join(best, "chunk_id").join(queries.select("query_id", "vector"), "query_id")
     return found.withColumn("score", F.round(cosine(F.col("embedding"), F.col("vector")), DECIMALS)).drop("vector")
 
 

@@ -135,3 +135,30 @@ def test_candidates_are_those_of_a_whole_scan(spark, tmp_path):
     told = [sorted(map(tuple, R.keyword_candidates(queries, chunks, 7, 2026, i, prune_above=n).select(*pick).collect())) for i, n in ((None, 0), (index, 0), (index, 10**9))]
     assert told[0] == told[1] == told[2] and len(told[0]) == 84
     assert R.keyword_candidates(queries.filter(F.lit(False)), chunks, 7, 2026, index).count() == 0
+
+
+def test_many_searches_meet_blocks(spark, tmp_path, monkeypatch):
+    """Blocks, the first of which set the others' bars, give what a whole scan gives, after updates too; no hit outside a block's best is a row."""
+    for name, n in (("SHARE", 16), ("BLOCK_POSTINGS", 400), ("FIRST_BLOCKS", 2), ("BUCKET_SHARES", 4)):
+        monkeypatch.setattr(K, name, n)
+    monkeypatch.setattr(R, "MANY_HITS", -1)
+    monkeypatch.setattr(R, "ASKED_OFTEN", 0)
+    monkeypatch.setattr(R, "BROADCAST_IDS", 100)
+    rng = random.Random(7)
+    text = lambda: " ".join(rng.choices(WORDS, ODDS, k=40))
+    row = lambda i, content: (i, i // 3, i % 3, content, None, "acme" if i % 5 else "x", ["HR"] if i % 2 else ["User"], ["User"], "current", None, {}, {}, {})
+    kinds = "chunk_id long, document_id long, chunk_index int, content string, embedding array<double>, tenant_id string, doc_acl array<string>, acl array<string>, freshness_status string, created_at date, columns map<string,string>, doc_metadata map<string,string>, metadata map<string,string>"
+    texts = {i: text() for i in range(400)}
+    index = K.KeywordIndex(str(tmp_path), buckets=4)
+    K.build(index, spark.createDataFrame([row(*x) for x in texts.items()], kinds))
+    fresh = {i: text() for i in (*range(0, 400, 9), *range(500, 530))}
+    K.update(index, spark.createDataFrame([(i,) for i in range(0, 400, 3)], "chunk_id bigint"), spark.createDataFrame([row(*x) for x in fresh.items()], kinds))
+    now = spark.createDataFrame([row(*x) for x in ({i: t for i, t in texts.items() if i % 3} | fresh).items()], kinds)
+    asked = [(q, " ".join(rng.sample(WORDS, 1 + q % 4)) if q % 9 else "w0 w1", ["HR"] if q % 2 else ["X"], "acme", "all", {}, None) for q in range(40)] + [(50, "absent", ["X"], "acme", "all", {}, None), (51, "w0", ["X"], None, "all", {}, None)]
+    queries = spark.createDataFrame(asked, "query_id int, query string, groups array<string>, tenant string, freshness string, filters map<string,string>, vector array<double>")
+    pick = ["query_id", "chunk_id", "fts_rank", "rank"]
+    told = [sorted(map(tuple, R.keyword_candidates(queries, now, 7, 2026, i).select(*pick).collect())) for i in (None, index)]
+    assert told[0] == told[1] and len(told[0]) > 250
+    searches = spark.createDataFrame([(1, 1, ["w0", "w1"]), (2, 1, ["w0"])], "search bigint, class bigint, terms array<string>")
+    rows = K.best_hits(index, searches, now.select(F.lit(1).cast("bigint").alias("class"), "chunk_id"), 7)
+    assert rows.count() < 300 < K.n_hits(index, searches.select("search", F.explode("terms").alias("term")))[1]
