@@ -2,7 +2,7 @@
 
 Windows, sentences and headings are SQL expressions. Recursive, structural, semantic and
 annotated splits fold over one text: a page in mapInPandas, with numbers and sections by
-windows afterwards, or all pages of a document as one group of applyInPandas where a page's
+windows afterwards, or all pages of a document as one row of a plain function where a page's
 chunks depend on the pages before.
 """
 
@@ -30,6 +30,8 @@ BREAK_MARKER = "===CHUNK_BREAK==="
 #: Pages each on their own, with the end of the page before put in front, or laid end to end.
 ISOLATED, CARRIED, JOINED = "isolated", "carried", "joined"
 Split = Callable[[str], list[str]]
+#: Texts of a batch that are split together, and the characters from which fewer are; what Python holds of a batch's chunks is bounded by them.
+TOGETHER, TOGETHER_CHARS = 256, 1_000_000
 
 
 def window_array(text: Column, size: int, overlap: int) -> Column:
@@ -322,18 +324,38 @@ def placed_chunks(pages: list[tuple[int, str]], split: Split, mode: str, overlap
             yield number, start, content, section
 
 
+def few(lengths: list[int]) -> Iterator[tuple[int, int]]:
+    """Stretches of TOGETHER texts at most, that hold TOGETHER_CHARS at most if they are several."""
+    begin = held = 0
+    for i, n in enumerate(lengths):
+        if i > begin and (i - begin >= TOGETHER or held + n > TOGETHER_CHARS):
+            yield begin, i
+            begin, held = i, 0
+        held += n
+    if lengths:
+        yield begin, len(lengths)
+
+
 def _page_pieces(pages: DataFrame, split: Split, kind: str) -> DataFrame:
     """(document_id, page_number, page, k, start, content, own) of pages split each on its own: the k-th piece, and the last heading of the page at or before it."""
     columns = ["document_id", "page_number", "page", "k", "start", "content", "own"]
-    together = getattr(split, "many", lambda texts: map(split, texts))
+    together = getattr(split, "many", None)
+    if together is None:  # page by page, a hundred of them in Python's memory at a time
+        one = lambda text: [(k, start, content, section) for k, (_, start, content, section) in enumerate(placed_chunks([(1, text or "")], split, ISOLATED, 0))]
+        cut = F.udf(one, "array<struct<k:int,start:int,content:string,own:string>>", useArrow=False)
+        return pages.select(*columns[:3], F.explode(cut("text")).alias("c")).select(*columns[:3], "c.*")
+
+    def pieces(some: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for doc, number, page, text, parts in zip(some["document_id"], some["page_number"], some["page"], some["text"], together(some["text"].tolist()), strict=True):
+            rows += [(doc, number, page, k, start, content, section) for k, (_, start, content, section) in enumerate(placed_chunks([(number, text)], lambda _, p=parts: p, ISOLATED, 0))]
+        return pd.DataFrame(rows, columns=columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
             batch = batch[[bool(t and t.strip()) for t in batch["text"]]]
-            for doc, number, page, text, parts in zip(batch["document_id"], batch["page_number"], batch["page"], batch["text"], together(batch["text"].tolist()), strict=True):
-                rows += [(doc, number, page, k, start, content, section) for k, (_, start, content, section) in enumerate(placed_chunks([(number, text)], lambda _, p=parts: p, ISOLATED, 0))]
-            yield pd.DataFrame(rows, columns=columns)
+            for a, b in few(batch["text"].str.len().tolist()):
+                yield pieces(batch.iloc[a:b])
 
     return pages.mapInPandas(run, f"document_id {kind}, page_number int, page bigint, k int, start int, content string, own string")
 
@@ -344,7 +366,7 @@ def split_pages(pages: DataFrame, split: Split, mode: str = ISOLATED, overlap: i
     Blank pages are skipped, null ones are blank; chunk_index is gapless through the
     document. A split with a method ``many`` gets the isolated pages of a batch together. Isolated pages are split one by one wherever they are, and numbered by a
     running count; a section stays open over later pages. Where a page takes from the one
-    before, or pages are laid end to end, a document's pages are one group.
+    before, or pages are laid end to end, a document's pages are one row.
     """
     if mode not in (ISOLATED, CARRIED, JOINED):
         raise ValueError(f"{mode!r} is no way to treat pages")
@@ -358,13 +380,14 @@ def split_pages(pages: DataFrame, split: Split, mode: str = ISOLATED, overlap: i
         numbered = pieces.withColumn("chunk_index", F.row_number().over(order) - 1).withColumn("section_title", F.last("own", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
         return numbered.select(columns)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        listed = [(int(p), t or "") for p, t in zip(group["page_number"], group["text"], strict=True)]
-        rows = [(group["document_id"].iloc[0], p, i, a, c, s) for i, (p, a, c, s) in enumerate(placed_chunks(sorted(listed), split, mode, overlap))]
-        return pd.DataFrame(rows, columns=columns)
+    # Rows of a plain function come to Python a hundred at a time, and no group costs a frame of its own.
+    def run(listed: list) -> list[tuple]:
+        pages = sorted((int(p), t or "") for p, t in listed)
+        return [(p, i, a, c, s) for i, (p, a, c, s) in enumerate(placed_chunks(pages, split, mode, overlap))]
 
-    schema = f"document_id {kind}, page_number int, chunk_index int, start int, content string, section_title string"
-    return asked.groupBy("document_id").applyInPandas(run, schema)
+    chunked = F.udf(run, "array<struct<page_number:int,chunk_index:int,start:int,content:string,section_title:string>>", useArrow=False)
+    listed = asked.groupBy("document_id").agg(F.collect_list(F.struct("page_number", "text")).alias("pages"))
+    return listed.select("document_id", F.explode(chunked("pages")).alias("c")).select("document_id", "c.*")
 
 
 def previews(pages: DataFrame, settings: dict[str, tuple[Split, str, int]]) -> DataFrame:
