@@ -24,8 +24,8 @@ from ..sources.store import mark, staged
 PIVOTS, BLOCK_ROWS = 1024, 1024
 #: Angles of one band differ by so many radians at most.
 BAND = 0.1
-#: Vectors that the first pass looks at, for each place of the list.
-DEPTH = 8
+#: Vectors that the first pass looks at, for each place of the list, and at least one in so many of all; queries whose scores are worked out together.
+DEPTH, FIRST_SHARE, TOGETHER = 8, 16, 64
 DECIMALS = 6
 #: Rounding of scores and bounds never hides a block.
 MARGIN = 2e-6
@@ -50,8 +50,8 @@ def _angles(cosines: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosines, -1, 1))
 
 
-def build(index: VectorIndex, chunks: DataFrame, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> None:
-    """Index the chunks (chunk_id, embedding) that have a vector. A zero vector is at a right angle to all."""
+def build(index: VectorIndex, chunks: DataFrame, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS, part_rows: int | None = None) -> None:
+    """Index the chunks (chunk_id, embedding) that have a vector, a pivot for each ``block_rows`` of them; blocks are dealt to parts of ``part_rows``. A zero vector is at a right angle to all."""
     spark = chunks.sparkSession
     held = chunks.filter("embedding is not null").select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"))
     wanted = min(pivots, max(1, held.count() // block_rows))
@@ -74,7 +74,7 @@ def build(index: VectorIndex, chunks: DataFrame, pivots: int = PIVOTS, block_row
     rows = held.mapInPandas(placed, f"pivot int, band int, angle double, chunk_id {kind}, unit array<double>")
     rows = staged(rows, "vector-rows")
     blocks = rows.groupBy("pivot", "band").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count(F.lit(1)).alias("n"))
-    blocks = blocks.withColumn("parts", F.ceil(F.col("n") / block_rows).cast("int"))
+    blocks = blocks.withColumn("parts", F.ceil(F.col("n") / (part_rows or block_rows)).cast("int"))
     blocks.write.mode("overwrite").parquet(f"{index.folder}/blocks")
     sized = F.broadcast(index.table(spark, "blocks").select("pivot", "band", "parts"))  # pivots times bands at most
     dealt = rows.join(sized, ["pivot", "band"]).withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.col("parts")).cast("int"))
@@ -104,7 +104,7 @@ def block_bounds(index: VectorIndex, asked: DataFrame) -> DataFrame:
 
 
 def nearest_in(limit: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """Of one part of a block: each query's ``limit`` best of the chunks that its class may see, by rounded score and chunk_id."""
+    """Of one part of a block: each query's ``limit`` best of the chunks that its class may see, by rounded score and chunk_id, from its ``bar`` on."""
 
     def nearest(some: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         parts = []
@@ -116,11 +116,19 @@ def nearest_in(limit: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFram
                 there = np.array([cls in s for s in seen_by])
                 if not there.any():
                     continue
-                scores = (np.stack(askers["unit"].to_numpy()) @ vectors[there].T).round(DECIMALS)
-                most = min(limit, scores.shape[1])
-                # Equal scores keep the order of ids, which is that of the columns.
-                order = np.argsort(-scores, axis=1, kind="stable")[:, :most]
-                parts.append(pd.DataFrame({"query_id": np.repeat(askers["query_id"].to_numpy(), most), "chunk_id": ids[there][order.ravel()], "score": np.take_along_axis(scores, order, 1).ravel()}))
+                seen, seen_ids = vectors[there], ids[there]
+                most = min(limit, len(seen))
+                for at in range(0, len(askers), TOGETHER):
+                    few = askers.iloc[at : at + TOGETHER]
+                    scores = (np.stack(few["unit"].to_numpy()) @ seen.T).round(DECIMALS)
+                    # The limit-th best score of each query; what equals it is kept too, and cut by chunk_id, which is the order of the columns.
+                    bar = np.maximum(-np.partition(-scores, most - 1, axis=1)[:, most - 1 : most], few["bar"].to_numpy()[:, None])
+                    q, c = np.nonzero(scores >= bar)
+                    order = np.lexsort((c, -scores[q, c], q))
+                    q, c = q[order], c[order]
+                    kept = np.arange(len(q)) - np.searchsorted(q, q, side="left") < most
+                    q, c = q[kept], c[kept]
+                    parts.append(pd.DataFrame({"query_id": few["query_id"].to_numpy()[q], "chunk_id": seen_ids[c], "score": scores[q, c]}))
         return pd.concat(parts) if parts else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "chunk_id": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})
 
     return nearest
@@ -138,21 +146,22 @@ def nearest_visible(index: VectorIndex, asked: DataFrame, seen: DataFrame, limit
     asked = staged(asked.select("query_id", "class", unit.alias("unit")), "vector-asked")
     bounds = staged(block_bounds(index, asked), "vector-bounds")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "pivot", "band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ordered = staged(bounds.withColumn("first", before < DEPTH * limit), "vector-order")
+    held_rows = index.table(spark, "blocks").agg(F.sum("n")).first()[0] or 0
+    ordered = staged(bounds.withColumn("first", before < max(DEPTH * limit, held_rows // FIRST_SHARE)), "vector-order")
     rows = index.table(spark, "rows")
     kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, chunk_id {rows.schema['chunk_id'].dataType.simpleString()}, score double"
     held = rows.join(seen, "chunk_id").select("pivot", "band", "part", "chunk_id", "unit", "classes")
     keys = ["pivot", "band", "part"]
 
     def looked_into(pairs: DataFrame) -> DataFrame:
-        spread = pairs.select("query_id", "pivot", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(asked, "query_id")
+        spread = pairs.select("query_id", "pivot", "band", "bar", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(asked, "query_id")
         needed = held.join(spread.select(*keys).distinct(), keys, "left_semi")
         return spread.groupBy(*keys).cogroup(needed.groupBy(*keys)).applyInPandas(nearest_in(limit), kinds)
 
-    met = staged(looked_into(ordered.filter("first")), "vector-first")
+    met = staged(looked_into(ordered.filter("first").withColumn("bar", F.lit(-2.0))), "vector-first")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id"))
     bar = met.withColumn("place", place).filter(F.col("place") == limit).select("query_id", F.col("score").alias("bar"))
     judged = ordered.join(bar, "query_id", "left").withColumn("read", F.col("first") | F.col("bar").isNull() | (F.col("bound") + MARGIN >= F.col("bar")))
     judged = staged(judged, "vector-judged")
-    more = looked_into(judged.filter("read and not first"))
+    more = looked_into(judged.filter("read and not first").withColumn("bar", F.coalesce("bar", F.lit(-2.0))))
     return met.unionByName(more), judged.select("query_id", "pivot", "band", "n", "bound", "read")

@@ -1,6 +1,7 @@
 """Nearest vectors by pivots: equal to a look at all, and blocks of other clusters are left out."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +60,10 @@ def test_empty_tables(spark, tmp_path):
     asked = spark.createDataFrame([(1, 0, [1.0, 0.0])], "query_id bigint, class bigint, vector array<double>")
     met, _ = N.nearest_visible(made, asked, spark.createDataFrame([], "chunk_id bigint, classes array<bigint>"), 3)
     assert met.count() == 0
+
+
+def test_what_is_below_the_bar_is_not_sent():
+    some = pd.DataFrame({"query_id": [1, 2], "class": [0, 0], "unit": [[1.0, 0.0], [0.0, 1.0]], "bar": [0.9, -2.0]})
+    held = pd.DataFrame({"chunk_id": [3, 2, 1], "unit": [[1.0, 0.0], [0.8, 0.6], [1.0, 0.0]], "classes": [[0], [0], [1]]})
+    got = N.nearest_in(2)(some, held)
+    assert sorted(zip(got["query_id"], got["chunk_id"], got["score"], strict=True)) == [(1, 3, 1.0), (2, 2, 0.6), (2, 3, 0.0)]
