@@ -56,10 +56,10 @@ def category_for(answers: DataFrame, categories: DataFrame, fallback: str = "use
 
 def category_by_keywords(words: DataFrame, keywords: DataFrame, fallback: str = "user") -> DataFrame:
     """(document_id, category_key) with the most keyword hits; (document_id, term) against (key, term), ties to the smaller key."""
-    hits = words.join(F.broadcast(keywords), "term").groupBy("document_id", "key").agg(F.count(F.lit(1)).alias("n"))
-    best = hits.groupBy("document_id").agg(F.max(F.struct("n", F.col("key"))).alias("b"))
-    least = hits.join(best.select("document_id", F.col("b.n").alias("n")), ["document_id", "n"]).groupBy("document_id").agg(F.min("key").alias("category_key"))
-    return words.select("document_id").distinct().join(least, "document_id", "left").select("document_id", F.coalesce("category_key", F.lit(fallback)).alias("category_key"))
+    # The words are read once: those that no keyword meets count for no key, and keep their document in.
+    hits = words.join(F.broadcast(keywords), "term", "left").groupBy("document_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.when(F.col("key").isNotNull(), F.struct((-F.col("n")).alias("n"), "key")))
+    return hits.groupBy("document_id").agg(best.alias("b")).select("document_id", F.coalesce("b.key", F.lit(fallback)).alias("category_key"))
 
 
 def parsed_relation(answer: Column) -> Column:
