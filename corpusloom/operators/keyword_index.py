@@ -1,9 +1,9 @@
 """A keyword index that is kept with the chunks, updated by generations and read as far as a search needs.
 
-A row holds the postings of one word in one share of the chunks that have about the same
-frequency, with the highest of them as its bound. Rows are bucketed by a key of the word and
-its slice (a frequent word has several, so it is no task's alone), and sorted by key and
-bound. A search looks at the bounds first; the words' highest postings give every query the
+A row holds the chunks of one share in which a word is equally frequent: a frequency and
+plain ids, which is all that the exchange by key moves. Rows are bucketed by a key of the
+word and its slice (a frequent word has several, so it is no task's alone), and sorted by
+key. A search looks at the frequencies first; the words' highest postings give every query the
 score that its list must reach, and from then on only rows that can lead to it are read.
 
 Many searches at once go the other way: blocks of shares meet all searches (``best_hits``),
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..sources.store import file_system, mark, staged
 
-#: Slices of a word, and chunks that share a row at most (on average).
-SLICES, SHARE = 8, 4096
+#: Slices of a word, and chunks that share a row at most (on average); small tables have more shares, so that tasks are not too few.
+SLICES, SHARE, SMALL_SHARES, SMALL_SHARE = 8, 16_384, 16, 2048
 #: Tables made of queries' words, and ids of gone chunks, are broadcast up to so many rows.
 BROADCAST_ROWS = 100_000
 #: Of so many keys at most the buckets are picked by name.
@@ -43,10 +43,10 @@ DEPTH = 4
 #: Postings of one block of ``best_hits`` on average, of so many blocks one in this many is searched first, and a word's share of a block's chunks from which it is an array over all of them.
 BLOCK_POSTINGS, FIRST_BLOCKS, FREQUENT = 4_000_000, 8, 1 / 32
 #: Shares whose rows are about one bucket.
-BUCKET_SHARES = 16
+BUCKET_SHARES = 4
 _READS = "array<struct<term:string,least:int,need:int>>"
-_ROWS = "term string, max_tf int, n int, share int, shares int, postings array<struct<chunk_id:{kind},tf:int>>"
-_COLUMNS = f"key bigint, {_ROWS}"
+_ROWS = "term string, tf int, share int, chunk_ids array<{kind}>"
+_COLUMNS = "key bigint, term string, tf int, n int, share int, shares int, chunk_ids array<{kind}>"
 
 
 @dataclass(frozen=True)
@@ -88,53 +88,49 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(new), len(new))
 
 
-def _share_rows(shares: int) -> Callable[[pa.Table], pa.Table]:
+def _share_rows(table: pa.Table) -> pa.Table:
     """Rows of the index for the chunks (share, chunk_id, terms, tf) of a share: every place in ``terms`` counts ``tf`` times; a chunk may have several rows."""
-
-    def rows(table: pa.Table) -> pa.Table:
-        ids = table["chunk_id"].combine_chunks()
-        words = pa.concat_arrays([c.flatten() for c in table["terms"].chunks]).dictionary_encode()
-        lengths = pc.list_value_length(table["terms"]).to_numpy()
-        by_id = pc.sort_indices(ids).to_numpy()
-        place = np.empty(len(ids), np.int64)
-        place[by_id] = np.arange(len(ids))
-        # A number for word and chunk; it occurs as often as the word does there.
-        pairs = words.indices.to_numpy().astype(np.int64) * len(ids) + np.repeat(place, lengths)
+    ids = table["chunk_id"].combine_chunks()
+    words = pa.concat_arrays([c.flatten() for c in table["terms"].chunks]).dictionary_encode()
+    lengths = pc.list_value_length(table["terms"]).to_numpy()
+    by_id = pc.sort_indices(ids).to_numpy()
+    place = np.empty(len(ids), np.int64)
+    place[by_id] = np.arange(len(ids))
+    # A number for word and chunk; it occurs as often as the word does there.
+    pairs = words.indices.to_numpy().astype(np.int64)
+    pairs *= len(ids)
+    pairs += np.repeat(place, lengths)
+    if pc.all(pc.equal(table["tf"], 1)).as_py():
+        pairs, tf = np.unique(pairs, return_counts=True)
+    else:
         each = np.repeat(table["tf"].to_numpy(), lengths)
-        if (each == 1).all():
-            pairs, tf = np.unique(pairs, return_counts=True)
-        else:
-            pairs, at = np.unique(pairs, return_inverse=True)
-            tf = np.bincount(at, each).astype(np.int64)
-        term, at = np.divmod(pairs, max(1, len(ids)))
-        band = np.floor(2 * np.log2(tf)).astype(np.int64)  # frequencies of one band differ by less than a half
-        order = np.argsort((term * 64 + band) * len(ids) + at)
-        term, at, tf, band = term[order], at[order], tf[order], band[order]
-        cuts = _runs(term, band)
-        postings = pa.StructArray.from_arrays([ids.take(pa.array(by_id[at])), pa.array(tf, pa.int32())], names=["chunk_id", "tf"])
-        many = len(cuts) - 1
-        return pa.table({
-            "term": words.dictionary.take(pa.array(term[cuts[:-1]])), "max_tf": pa.array(np.maximum.reduceat(tf, cuts[:-1]) if many else [], pa.int32()), "n": pa.array(np.diff(cuts), pa.int32()),
-            "share": pa.array(np.full(many, table["share"][0].as_py()), pa.int32()), "shares": pa.array(np.full(many, shares), pa.int32()), "postings": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), postings),
-        })
-
-    return rows
+        pairs, at = np.unique(pairs, return_inverse=True)
+        tf = np.bincount(at, each).astype(np.int64)
+    term, at = np.divmod(pairs, max(1, len(ids)))
+    order = np.argsort(term * (tf.max(initial=0) + 1) + tf, kind="stable")  # chunks of a word and frequency stay sorted
+    term, at, tf = term[order], at[order], tf[order]
+    cuts = _runs(term, tf)
+    return pa.table({
+        "term": words.dictionary.take(pa.array(term[cuts[:-1]])), "tf": pa.array(tf[cuts[:-1]], pa.int32()), "share": pa.array(np.full(len(cuts) - 1, table["share"][0].as_py()), pa.int32()),
+        "chunk_ids": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), ids.take(pa.array(by_id[at]))),
+    })
 
 
 def _write(index: KeywordIndex, chunks: DataFrame, terms: Column, tf: Column, n_chunks: int, number: int, anew: bool, gone: DataFrame | None) -> None:
     """A generation of ``chunks``: rows with a chunk_id and words ``terms``, each of which counts ``tf`` times; a chunk may have several rows."""
     spark = chunks.sparkSession
-    shares = _power(n_chunks / SHARE)
+    shares = _power(max(n_chunks / SHARE, min(SMALL_SHARES, n_chunks / SMALL_SHARE)))
     buckets = max(index.buckets, shares // BUCKET_SHARES)
     place = f"{index.folder}/generation={number}-{buckets}-{uuid.uuid4().hex[:8]}"
     # What is dealt out is the chunks; their words are told apart where a share is together.
     dealt = chunks.withColumn("chunk_id", F.col("chunk_id").cast(index.kind)).withColumn("share", _share(F.col("chunk_id"), shares)).repartition(shares, "share")
     rows = dealt.select("share", "chunk_id", F.coalesce(terms, F.array().cast("array<string>")).alias("terms"), tf.cast("bigint").alias("tf"))
-    rows = rows.groupBy("share").applyInArrow(_share_rows(shares), _ROWS.format(kind=index.kind))
-    keyed = rows.withColumn("key", _key(F.col("term"), F.pmod("share", F.lit(SLICES)).cast("int"))).repartition(buckets, "key")
-    sorted_rows = keyed.select("key", "term", "max_tf", "n", "share", "shares", "postings").sortWithinPartitions("key", "term", F.col("max_tf").desc())
+    rows = rows.groupBy("share").applyInArrow(_share_rows, _ROWS.format(kind=index.kind))
+    # What can be worked out again isn't exchanged.
+    key = _key(F.col("term"), F.pmod("share", F.lit(SLICES)).cast("int"))
+    keyed = rows.repartition(buckets, key).select(key.alias("key"), "term", "tf", F.size("chunk_ids").alias("n"), "share", F.lit(shares).alias("shares"), "chunk_ids")
     name = f"corpusloom_keywords_{uuid.uuid4().hex}"
-    sorted_rows.write.bucketBy(buckets, "key").sortBy("key").option("path", f"{place}/rows").saveAsTable(name)
+    keyed.write.bucketBy(buckets, "key").sortBy("key", "term", "tf").option("compression", "zstd").option("path", f"{place}/rows").saveAsTable(name)
     spark.sql(f"drop table {name}")  # an external table: its files stay
     if gone is not None:
         gone.select("chunk_id").distinct().write.parquet(f"{place}/gone")
@@ -178,7 +174,7 @@ def _gone_later(index: KeywordIndex, spark: SparkSession) -> DataFrame | None:
 
 def live_postings(index: KeywordIndex, spark: SparkSession) -> DataFrame:
     """(term, chunk_id, tf) of all that counts."""
-    return _hits(index, spark, None, lambda rows: rows.select("term", "postings"), ["term"])
+    return _hits(index, spark, None, lambda rows: rows.select("term", "tf", "chunk_ids"), ["term"])
 
 
 def _small(df: DataFrame) -> tuple[DataFrame, int]:
@@ -205,7 +201,7 @@ def _hits(index: KeywordIndex, spark: SparkSession, words: DataFrame | None, pic
     found, out = _gone_later(index, spark), None
     tables = _of_words(index, spark, words) if words is not None else [(n, _rows(index, spark, place)) for n, place, _ in index.generations(spark)]
     for number, rows in tables:
-        part = pick(rows).select(*columns, F.explode("postings").alias("p")).select(*columns, "p.chunk_id", "p.tf")
+        part = pick(rows).select(*columns, "tf", F.explode("chunk_ids").alias("chunk_id")).select(*columns, "chunk_id", "tf")
         if found is not None:
             later = found.filter(F.col("gone_in") > number).select("chunk_id")
             part = part.join(_small(later)[0], "chunk_id", "left_anti")
@@ -214,12 +210,12 @@ def _hits(index: KeywordIndex, spark: SparkSession, words: DataFrame | None, pic
 
 
 def bounds(index: KeywordIndex, spark: SparkSession, words: DataFrame) -> DataFrame:
-    """(term, max_tf, n): how many postings the words have below each bound; postings themselves are not read."""
+    """(term, tf, n): how many postings the words have of each frequency; postings themselves are not read."""
     out = None
     for _, rows in _of_words(index, spark, words):
-        part = rows.groupBy("term", "max_tf").agg(F.sum("n").alias("n"))
+        part = rows.groupBy("term", "tf").agg(F.sum("n").alias("n"))
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("term", "max_tf").agg(F.sum("n").alias("n"))
+    return out.groupBy("term", "tf").agg(F.sum("n").alias("n"))
 
 
 def first_reads(limit: pd.Series, told: pd.Series) -> pd.Series:
@@ -229,8 +225,8 @@ def first_reads(limit: pd.Series, told: pd.Series) -> pd.Series:
         out = []
         for w in words:
             left = DEPTH * most
-            for b in sorted(w["bounds"], key=lambda b: -b["max_tf"]):
-                least, left = b["max_tf"], left - b["n"]
+            for b in sorted(w["bounds"], key=lambda b: -b["tf"]):
+                least, left = b["tf"], left - b["n"]
                 if left <= 0:
                     break
             out.append({"term": w["term"], "least": int(least), "need": 1})
@@ -250,15 +246,15 @@ def last_reads(score: pd.Series, told: pd.Series) -> pd.Series:
     """
 
     def reads(need: int, words) -> list[dict]:
-        order = sorted(words, key=lambda w: -max(b["max_tf"] for b in w["bounds"]))
-        tops = [max(b["max_tf"] for b in w["bounds"]) for w in order]
+        order = sorted(words, key=lambda w: -max(b["tf"] for b in w["bounds"]))
+        tops = [max(b["tf"] for b in w["bounds"]) for w in order]
         best = None
         for k in range(1, len(order) + 1):
             missing = need - sum(tops[k:])
             if missing < 1 and k < len(order):
                 continue
             least = max(1, -(-missing // k))
-            cost = sum(b["n"] for w in order[:k] for b in w["bounds"] if b["max_tf"] >= least)
+            cost = sum(b["n"] for w in order[:k] for b in w["bounds"] if b["tf"] >= least)
             if best is None or cost < best[0]:
                 best = cost, [{"term": w["term"], "least": int(least), "need": int(missing - k * (least - 1))} for w in order[:k]]
         return best[1]
@@ -292,7 +288,7 @@ def search_plan(index: KeywordIndex, terms: DataFrame, visible: Callable[[DataFr
     """
     spark = terms.sparkSession
     words = terms.select("term").distinct()
-    known = terms.join(_small(bounds(index, spark, words))[0], "term").groupBy("query_id", "term").agg(F.collect_list(F.struct("max_tf", "n")).alias("bounds"))
+    known = terms.join(_small(bounds(index, spark, words))[0], "term").groupBy("query_id", "term").agg(F.collect_list(F.struct("tf", "n")).alias("bounds"))
     told = staged(known.groupBy("query_id").agg(F.collect_list(F.struct("term", "bounds")).alias("told")), "keyword-bounds")
     first = staged(told.select("query_id", F.explode(F.pandas_udf(first_reads, _READS)(F.lit(limit), "told")).alias("r")).select("query_id", "r.*"), "keyword-first")
     seen = visible(_asked_hits(index, first).groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("score"))).select("query_id", "chunk_id", "score")
@@ -305,7 +301,7 @@ def search_plan(index: KeywordIndex, terms: DataFrame, visible: Callable[[DataFr
 def _asked_hits(index: KeywordIndex, reads: DataFrame) -> DataFrame:
     """(query_id, chunk_id, tf, least, need) for reads (query_id, term, least, need)."""
     asked = ["query_id", "least", "need"]
-    return _hits(index, reads.sparkSession, reads, lambda rows: rows.filter(F.col("max_tf") >= F.col("least")), asked).filter(F.col("tf") >= F.col("least")).select(*asked, "chunk_id", "tf")
+    return _hits(index, reads.sparkSession, reads, lambda rows: rows.filter(F.col("tf") >= F.col("least")), asked).select(*asked, "chunk_id", "tf")
 
 
 def candidates(index: KeywordIndex, reads: DataFrame) -> DataFrame:
@@ -317,7 +313,7 @@ def candidates(index: KeywordIndex, reads: DataFrame) -> DataFrame:
 def postings_read(told: DataFrame, reads: DataFrame) -> DataFrame:
     """(query_id, postings, read): how many postings a query's words have, and how many are in rows that it reads."""
     rows = told.select("query_id", F.explode("told").alias("w")).select("query_id", "w.term", F.explode("w.bounds").alias("b")).join(reads, ["query_id", "term"], "left")
-    read = F.when(F.col("b.max_tf") >= F.col("least"), F.col("b.n")).otherwise(0)
+    read = F.when(F.col("b.tf") >= F.col("least"), F.col("b.n")).otherwise(0)
     return rows.groupBy("query_id").agg(F.sum("b.n").alias("postings"), F.sum(read).alias("read"))
 
 
@@ -343,15 +339,15 @@ def _best_scores(scores: np.ndarray, bar: int, limit: int) -> np.ndarray:
     return np.concatenate([over, np.flatnonzero(scores == low)[: limit - len(over)]])
 
 
-def _flat(lists: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
-    """The structs of all lists, and how many each has."""
-    return pa.concat_arrays([c.flatten() for c in lists.chunks]), pc.list_value_length(lists).to_numpy()
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all lists, and how many each has."""
+    return pa.concat_arrays([c.flatten() for c in lists.chunks]).to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy()
 
 
 def _block_searched(limit: int, kind: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Of one block: the ``limit`` best chunks of each search by sum of frequencies and chunk_id, among those that its class may see.
 
-    ``held`` (class, term, postings) has words' postings, and with a class in place of the
+    ``held`` (class, term, tf, chunk_ids) has words' postings, and with a class in place of the
     word the chunks that it may see; ``asked`` is (search, class, terms, bar).
     """
     out = pa.schema([("search", pa.int64()), ("chunk_id", kind), ("score", pa.int64())])
@@ -360,11 +356,11 @@ def _block_searched(limit: int, kind: pa.DataType) -> Callable[[pa.Table, pa.Tab
         may, words = held.filter(pc.is_null(held["term"])), held.filter(pc.is_valid(held["term"]))
         if not len(may) or not len(words) or not len(asked):
             return out.empty_table()
-        structs, lengths = _flat(may["postings"])
-        ids, seen_by = structs.field("chunk_id").to_numpy(zero_copy_only=False), np.repeat(may["class"].to_numpy(), lengths)
+        ids, lengths = _flat(may["chunk_ids"])
+        seen_by = np.repeat(may["class"].to_numpy(), lengths)
         chunks, at = np.unique(ids, return_inverse=True)
-        structs, lengths = _flat(words["postings"])
-        ids, times = structs.field("chunk_id").to_numpy(zero_copy_only=False), structs.field("tf").to_numpy()
+        ids, lengths = _flat(words["chunk_ids"])
+        times = np.repeat(words["tf"].to_numpy(), lengths)
         place = np.minimum(np.searchsorted(chunks, ids), len(chunks) - 1)
         visible = chunks[place] == ids
         named = words["term"].combine_chunks().dictionary_encode()
@@ -420,7 +416,6 @@ def best_hits(index: KeywordIndex, searches: DataFrame, seen: DataFrame, limit:
     searches = staged(searches.withColumn("bar", F.lit(1).cast("bigint")), "keyword-searches")
     words = staged(searches.select(F.explode("terms").alias("term")).distinct(), "keyword-words")
     found, held, blocks = _gone_later(index, spark), None, []
-    struct = f"array<struct<chunk_id:{index.kind},tf:int>>"
     for number, rows in _of_words(index, spark, words):
         n, shares = rows.agg(F.sum("n"), F.max("shares")).first()
         if not n:
@@ -429,8 +424,8 @@ def best_hits(index: KeywordIndex, searches: DataFrame, seen: DataFrame, limit:
         blocks += [(number, k, many) for k in range(many)]
         there = seen if found is None else seen.join(found.filter(F.col("gone_in") > number).select("chunk_id"), "chunk_id", "left_anti")
         place = lambda block: (F.lit(number).alias("generation"), block.cast("int").alias("block"))  # noqa: E731, B023
-        part = rows.select(*place(F.pmod("share", F.lit(many))), F.lit(None).cast("bigint").alias("class"), "term", "postings")
-        may = there.select(*place(_share(F.col("chunk_id"), many)), "class", F.lit(None).cast("string").alias("term"), F.array(F.struct("chunk_id", F.lit(0).alias("tf"))).cast(struct).alias("postings"))
+        part = rows.select(*place(F.pmod("share", F.lit(many))), F.lit(None).cast("bigint").alias("class"), "term", "tf", "chunk_ids")
+        may = there.select(*place(_share(F.col("chunk_id"), many)), "class", F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"), F.array("chunk_id").alias("chunk_ids"))
         held = part.unionByName(may) if held is None else held.unionByName(part).unionByName(may)
     told = f"search bigint, chunk_id {index.kind}, score bigint"
     if held is None:

@@ -226,16 +226,18 @@ def with_metadata(df: DataFrame) -> DataFrame:
 
 
 def _deduplicated(fused: DataFrame, limit: int, *order) -> DataFrame:
-    """Best of each text key, then the first ``limit`` of each query."""
+    """Best of each text key (worked out here if ``fused`` has none), then the first ``limit`` of each query."""
     best = Window.partitionBy("query_id", "key").orderBy(*order)
-    first = fused.withColumn("key", dedup_key(F.col("content"))).withColumn("in_key", F.row_number().over(best)).filter("in_key = 1")
+    keyed = fused if "key" in fused.columns else fused.withColumn("key", dedup_key(F.col("content")))
+    first = keyed.withColumn("in_key", F.row_number().over(best)).filter("in_key = 1")
     return _top(first.drop("in_key", "key"), limit, *order)
 
 
 def _both_lists(vector: DataFrame, keyword: DataFrame) -> DataFrame:
-    v = vector.select("query_id", "chunk_id", F.col("content").alias("v_content"), F.col("score").alias("v_score"), F.col("rank").alias("v_rank"))
-    k = keyword.select("query_id", "chunk_id", F.col("content").alias("k_content"), F.col("score").alias("k_score"), "fts_rank", F.col("rank").alias("k_rank"))
-    return v.join(k, ["query_id", "chunk_id"], "full_outer").withColumn("content", F.coalesce("v_content", "k_content"))
+    """Both lists by chunk. Texts' keys are made before the join, so that a caller without use for texts has none of them moved."""
+    told = lambda df, x, *more: df.select("query_id", "chunk_id", *[F.col(c).alias(f"{x}_{c}") for c in ("content", "score", "rank")], dedup_key(F.col("content")).alias(f"{x}_key"), *more)
+    both = told(vector, "v").join(told(keyword, "k", "fts_rank"), ["query_id", "chunk_id"], "full_outer")
+    return both.select("*", F.coalesce("v_content", "k_content").alias("content"), F.coalesce("v_key", "k_key").alias("key"))
 
 
 def fuse_rrf(vector: DataFrame, keyword: DataFrame, limit: int, k: int = 60, vector_weight: float = 0.6, keyword_weight: float = 0.4) -> DataFrame:
