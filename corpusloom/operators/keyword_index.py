@@ -325,13 +325,14 @@ def compacted(index: KeywordIndex, spark: SparkSession, n_chunks: int) -> None:
 # ---- many searches at once ---------------------------------------------------------------
 
 
-def _best_scores(scores: np.ndarray, bar: int, limit: int) -> np.ndarray:
-    """Places of the ``limit`` highest scores from ``bar`` on, of equal ones the first; in no order."""
+def _best_scores(scores: np.ndarray, bar: int, before: int, limit: int) -> np.ndarray:
+    """Places of the ``limit`` highest scores above ``bar``, or equal to it and before ``before``, of equal ones the first; in no order."""
     low, high = bar, int(scores.max(initial=0))
     if high < low:
         return np.empty(0, np.int64)
-    if np.count_nonzero(scores >= low) <= limit:
-        return np.flatnonzero(scores >= low)
+    if (more := np.count_nonzero(scores > low)) < limit:
+        return np.concatenate([np.flatnonzero(scores > low), np.flatnonzero(scores[:before] == low)[: limit - more]])
+    low += 1
     while low < high:  # the highest that at least ``limit`` reach
         middle = (low + high + 1) // 2
         low, high = (middle, high) if np.count_nonzero(scores >= middle) >= limit else (low, middle - 1)
@@ -348,7 +349,8 @@ def _block_searched(limit: int, kind: pa.DataType) -> Callable[[pa.Table, pa.Tab
     """Of one block: the ``limit`` best chunks of each search by sum of frequencies and chunk_id, among those that its class may see.
 
     ``held`` (class, term, tf, chunk_ids) has words' postings, and with a class in place of the
-    word the chunks that it may see; ``asked`` is (search, class, terms, bar).
+    word the chunks that it may see; ``asked`` is (search, class, terms, bar, last). Of chunks
+    at the score ``bar`` those before the chunk ``last`` count, all if there is none.
     """
     out = pa.schema([("search", pa.int64()), ("chunk_id", kind), ("score", pa.int64())])
 
@@ -369,6 +371,9 @@ def _block_searched(limit: int, kind: pa.DataType) -> Callable[[pa.Table, pa.Tab
         place, times = place[visible][order], times[visible][order]
         cuts = np.searchsorted(code[order], np.arange(len(named.dictionary) + 1))
         codes = {t: k for k, t in enumerate(named.dictionary.to_pylist())}
+        tops, some = np.zeros(len(codes), np.int64), cuts[1:] > cuts[:-1]
+        if some.any():
+            tops[some] = np.maximum.reduceat(times, cuts[:-1][some])
         terms = asked["terms"].to_pylist()
         most = int(times.max(initial=0)) * max(map(len, terms))
         number = np.int16 if most < 1 << 15 else np.int64
@@ -377,14 +382,18 @@ def _block_searched(limit: int, kind: pa.DataType) -> Callable[[pa.Table, pa.Tab
         scores, rows = np.zeros(len(chunks), number), []
         classes = asked["class"].to_numpy()
         searches, bars = asked["search"].to_numpy(), asked["bar"].to_numpy()
+        befores = [len(chunks) if last is None else int(np.searchsorted(chunks, last)) for last in asked["last"].to_pylist()]
         for cls in np.unique(classes):
             sees = np.zeros(len(chunks), number)
             sees[at[seen_by == cls]] = 1
             if not sees.any():
                 continue
             for i in np.flatnonzero(classes == cls):
+                there = [codes[t] for t in terms[i] if t in codes]
+                if tops[there].sum() < bars[i]:
+                    continue
                 scores.fill(0)
-                for k in [codes[t] for t in terms[i] if t in codes]:
+                for k in there:
                     a, b = cuts[k], cuts[k + 1]
                     if b - a > FREQUENT * len(chunks):
                         if k not in arrays:
@@ -394,7 +403,7 @@ def _block_searched(limit: int, kind: pa.DataType) -> Callable[[pa.Table, pa.Tab
                     else:
                         scores[place[a:b]] += times[a:b]
                 np.multiply(scores, sees, out=scores)
-                if len(best := _best_scores(scores, max(1, int(bars[i])), limit)):
+                if len(best := _best_scores(scores, int(bars[i]), befores[i], limit)):
                     rows.append((np.full(len(best), searches[i]), best, scores[best].astype(np.int64)))
         if not rows:
             return out.empty_table()
@@ -404,16 +413,25 @@ def _block_searched(limit: int, kind: pa.DataType) -> Callable[[pa.Table, pa.Tab
     return searched
 
 
+def _round(block: int, many: int) -> int:
+    """Blocks are searched from the highest round to 0; a round has about FIRST_BLOCKS times as many as those before."""
+    r = 0
+    while many >= 2 * FIRST_BLOCKS ** (r + 1) and block % FIRST_BLOCKS ** (r + 1) == 0:
+        r += 1
+    return r
+
+
 def best_hits(index: KeywordIndex, searches: DataFrame, seen: DataFrame, limit: int) -> DataFrame:
     """(search, chunk_id, score) that hold the ``limit`` best chunks of each of searches (search, class, terms), by sum of frequencies and chunk_id.
 
     ``seen`` is (class, chunk_id): what searches of a class may see. Postings, visible chunks and
-    all searches meet block by block. Where blocks are many, the best of the first give
-    every search the score that it must reach in the others.
+    all searches meet block by block. Where blocks are many, they are searched in rounds: a search's
+    limit-th best chunk so far is what those of later blocks must come before, by score and
+    chunk_id, so that what a round finds grows with the searches, not with the blocks.
     """
     spark = searches.sparkSession
     seen = staged(seen.select("class", F.col("chunk_id").cast(index.kind).alias("chunk_id")), "keyword-seen")
-    searches = staged(searches.withColumn("bar", F.lit(1).cast("bigint")), "keyword-searches")
+    searches = staged(searches.select("search", "class", "terms"), "keyword-searches")
     words = staged(searches.select(F.explode("terms").alias("term")).distinct(), "keyword-words")
     found, held, blocks = _gone_later(index, spark), None, []
     for number, rows in _of_words(index, spark, words):
@@ -431,19 +449,20 @@ def best_hits(index: KeywordIndex, searches: DataFrame, seen: DataFrame, limit:
     if held is None:
         return spark.createDataFrame([], told)
     kind = pa.int64() if index.kind == "bigint" else pa.string()
-    numbers = [g for g, *_ in blocks]
-    first = [b for b in blocks if b[2] >= 2 * FIRST_BLOCKS and b[1] % FIRST_BLOCKS == 0]
-
-    def met(asked: DataFrame, some: list[tuple[int, int, int]], wanted: Column) -> DataFrame:
-        placed = F.broadcast(spark.createDataFrame([b[:2] for b in some], "generation int, block int"))  # by the postings, of millions each
-        keys = ["generation", "block"]
-        return held.filter(wanted).groupBy(*keys).cogroup(asked.crossJoin(placed).groupBy(*keys)).applyInArrow(_block_searched(limit, kind), told)
-
-    if not first:
-        return met(searches, blocks, F.col("generation").isin(numbers))
-    early = F.struct("generation", "block").isin([F.struct(F.lit(g).alias("generation"), F.lit(k).alias("block")) for g, k, _ in first])
-    begun = staged(met(searches, first, early), "keyword-first-blocks")
-    place = F.row_number().over(Window.partitionBy("search").orderBy(F.col("score").desc(), "chunk_id"))
-    bars = begun.withColumn("place", place).filter(F.col("place") == limit).select("search", F.col("score").alias("least"))
-    rest = searches.join(bars, "search", "left").withColumn("bar", F.coalesce("least", "bar")).drop("least")
-    return begun.unionByName(met(rest, [b for b in blocks if b not in first], ~early))
+    keys = ["generation", "block"]
+    rounds = sorted({_round(k, many) for _, k, many in blocks}, reverse=True)
+    best, asked = None, searches.select("*", F.lit(1).cast("bigint").alias("bar"), F.lit(None).cast(index.kind).alias("last"))
+    for r in rounds:
+        some = [(g, k) for g, k, many in blocks if _round(k, many) == r]
+        others = [(g, k) for g, k, many in blocks if _round(k, many) > r]
+        named = lambda these: F.struct(*keys).isin([F.struct(F.lit(g).alias("generation"), F.lit(k).alias("block")) for g, k in these])
+        wanted = named(some) if r else ~named(others) if others else F.lit(True)
+        placed = F.broadcast(spark.createDataFrame(some, "generation int, block int"))  # by the postings, of millions each
+        met = held.filter(wanted).groupBy(*keys).cogroup(asked.crossJoin(placed).groupBy(*keys)).applyInArrow(_block_searched(limit, kind), told)
+        best = met if best is None else best.unionByName(met)
+        if r:
+            place = F.row_number().over(Window.partitionBy("search").orderBy(F.col("score").desc(), "chunk_id"))
+            first = staged(best.withColumn("place", place).filter(F.col("place") <= limit), "keyword-first-blocks")
+            bars = first.filter(F.col("place") == limit).select("search", F.col("score").alias("bar"), F.col("chunk_id").alias("last"))
+            best, asked = first.drop("place"), searches.join(bars, "search", "left").withColumn("bar", F.coalesce("bar", F.lit(1).cast("bigint")))
+    return best

@@ -162,3 +162,22 @@ def test_many_searches_meet_blocks(spark, tmp_path, monkeypatch):
     searches = spark.createDataFrame([(1, 1, ["w0", "w1"]), (2, 1, ["w0"])], "search bigint, class bigint, terms array<string>")
     rows = K.best_hits(index, searches, now.select(F.lit(1).cast("bigint").alias("class"), "chunk_id"), 7)
     assert rows.count() < 300 < K.n_hits(index, searches.select("search", F.explode("terms").alias("term")))[1]
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_ties_in_many_blocks_are_found_once(spark, tmp_path, monkeypatch, kind):
+    """Chunks of one score in many blocks: later blocks return only what comes before the best so far, by chunk_id too."""
+    for name, n in (("SHARE", 8), ("BLOCK_POSTINGS", 20), ("FIRST_BLOCKS", 2)):
+        monkeypatch.setattr(K, name, n)
+    index = K.KeywordIndex(str(tmp_path), kind=kind, buckets=4)
+    texts = spark.range(500).select(F.format_string("%04d", "id").cast(kind).alias("chunk_id"), F.when(F.col("id") % 100 == 99, "w w w").otherwise("w v").alias("content"))
+    K.build(index, texts)
+    searches = spark.createDataFrame([(1, 1, ["w"]), (2, 1, ["v", "w"]), (3, 2, ["w"])], "search bigint, class bigint, terms array<string>")
+    odd = F.col("chunk_id").cast("int") % 2 == 1
+    seen = texts.select(F.lit(1).cast("bigint").alias("class"), "chunk_id").unionByName(texts.filter(odd).select(F.lit(2).cast("bigint").alias("class"), "chunk_id"))
+    got = {}
+    for r in K.best_hits(index, searches, seen, 7).collect():
+        got.setdefault(r["search"], []).append((-r["score"], int(r["chunk_id"])))
+    threes = [(-3, i) for i in range(99, 500, 100)]
+    assert [sorted(got[s])[:7] for s in (1, 2, 3)] == [threes + [(-1, 0), (-1, 1)], sorted(threes + [(-2, 0), (-2, 1)]), threes + [(-1, 1), (-1, 3)]]
+    assert max(map(len, got.values())) <= 30  # of 64 blocks, most of which hold seven
